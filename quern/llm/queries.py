@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, token_output
+from . import common, decontaminate, language_id, mixing, repetition, secrets, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,41 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("passes")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    said = language_id.identify(docs, language_id.train(docs))
+    return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "phrase_rate")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), model)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge_repetition(_table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op4_url_filter": op4_url_filter,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_repetition": op9_repetition,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
