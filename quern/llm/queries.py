@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, mixing, near_dup, repetition, secrets, token_output, url_filter
+from . import common, decontaminate, language_id, license_scan, mixing, near_dup, quotation, repetition, secrets, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``; short ones that speak of a licence are licence files."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", path.alias("path"), "text")
+    short = (F.length("text") <= 400) & F.col("text").rlike("(?i)licen[sc]e")
+    found = license_scan.scan_licences(files, licence_file=short, keep=("doc_id",))
+    return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "how", "licence_path")
+
+
+def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), model)
@@ -60,6 +74,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_license_scan": op2_license_scan,
+    "op3_chat_quotes": op3_chat_quotes,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
