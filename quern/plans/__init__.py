@@ -1 +1,6 @@
+"""Queries over the standard tables, with their SQL counterparts."""
 
+from . import usage, vectors  # noqa: F401
+from .book import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
