@@ -51,7 +51,10 @@ def word_pattern(term: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams; a shorter text is its own."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
+    # Arrays of characters, as finding the i-th of a string takes i steps.
+    chars = F.split(text, "")
+    rest = lambda n: F.slice(chars, n, F.greatest(F.length(text) - n + 1, F.lit(0)))
+    grams = F.array_compact(F.zip_with(F.zip_with(chars, rest(2), lambda a, b: F.concat(a, b)), rest(3), lambda a, b: F.concat(a, b)))
     return F.when(F.length(text) >= 3, F.array_distinct(grams)).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
