@@ -9,35 +9,34 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-# Hints are given as strings: pandas_udf reads them from the signature below.
 
-
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold_key(text: pd.Series) -> pd.Series:
     """Composed, compact, case-folded."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()).casefold())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(base: pd.Series, target: pd.Series) -> pd.Series:
     """Ratio of matching blocks; not symmetric, ``base`` comes first."""
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(base, target, strict=True)])
 
 
-@F.pandas_udf("array<struct<match: string, first: int, last: int>>")
+@F.pandas_udf(ArrayType(StructType().add("match", StringType()).add("first", IntegerType()).add("last", IntegerType())))
 def spans(text: pd.Series, pattern: pd.Series) -> pd.Series:
     """All matches of a pattern with their offsets in code points, last exclusive."""
     return pd.Series([[] if t is None or p is None else [{"match": m[0], "first": m.start(), "last": m.end()} for m in re.finditer(p, t)] for t, p in zip(text, pattern, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and no blanks; null where it does not parse."""
 
@@ -50,7 +49,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def salvage_json(text: pd.Series) -> pd.Series:
     """The JSON in a model's answer: fenced, surrounded by talk, or cut off after a complete element."""
 

@@ -4,15 +4,19 @@
    band keys of its MinHash minima, and a signature that packs the low bits of
    the minima. Documents with equal sets fall into one class at once; the class
    goes on under its smallest id.
-2. Classes that share a band key are candidates. Each class is first compared
-   with the smallest class it shares most bands with, so that a large group of
-   near copies needs as many comparisons as it has members.
-3. What is left are pairs in shared buckets that are not yet connected. They
-   are compared by signature, in cells of at most ``CHUNK`` x ``CHUNK`` however
-   large a bucket is; agreeing bits, corrected for chance, estimate the
-   similarity, and likely pairs go on, the best of each class first.
-4. A pair links if its full shingle sets, made from the texts again, meet the
-   limit. Connected classes get their smallest id by alternating large-star and
+2. Classes that share a band key are candidates. Each class is compared by
+   signature with the smallest class of its buckets; agreeing bits, corrected
+   for chance, estimate the similarity. Classes that are broadly alike form a
+   family, and each member is kept as its difference from the family's
+   smallest class: the shingles it lacks and those it adds.
+3. Inside a family the differences give the exact common shingles of any two
+   members. Members that do not link with the smallest class are compared with
+   all others in cells of at most ``CHUNK`` x ``CHUNK``, however large the
+   family is; only links leave a cell.
+4. Pairs in shared buckets but of different families are compared by signature
+   in like cells; likely pairs go on, the best of each class first, and are
+   confirmed on their full sets, made from the texts again.
+5. Connected classes get their smallest id by alternating large-star and
    small-star steps.
 
 No step keeps a list of links, classes or signatures on the driver.
@@ -26,13 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, mix64, slices, word_hashes
 
 #: Members of a bucket that one cell compares with as many others.
 CHUNK = 256
+#: Estimated similarity from which a class joins the family of a bucket's smallest class.
+FAMILY = 0.5
 #: Pairs that each class may propose in a round, best first; the last round proposes all that are left.
 ROUNDS = (4, 64, None)
 
@@ -121,6 +127,15 @@ def agreeing(a: np.ndarray, b: np.ndarray, like: Likeness) -> np.ndarray:
     return out - (a.shape[1] * (64 // like.bits) - like.minima)
 
 
+def agreeing_rows(a: np.ndarray, b: np.ndarray, like: Likeness) -> np.ndarray:
+    """How many low-bit minima agree, row by row."""
+    ones = np.uint64(sum(1 << i for i in range(0, 64, like.bits)))
+    differ = a ^ b
+    for k in range(1, like.bits):
+        differ |= (a ^ b) >> np.uint64(k)
+    return np.bitwise_count(~differ & ones).sum(axis=1, dtype=np.int64) - (a.shape[1] * (64 // like.bits) - like.minima)
+
+
 def similarity(agree: int, like: Likeness) -> float:
     """The estimate from agreeing minima, corrected for chance agreement of the low bits."""
     chance = 2.0**-like.bits
@@ -142,22 +157,33 @@ def _features(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.mapInArrow(go, "doc_id long, set_id binary, n_shingles long, bands array<long>, sig binary")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs ``(u, v)`` whose full shingle sets meet the limit."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(u, v, text_u, text_v)`` of the pairs."""
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     slim = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(needed, "doc_id", "left_semi")
     both = pairs.join(slim.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(slim.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    return both.select("u", "v", "text_u", "text_v")
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, np.ndarray] = {}
 
-        def made(text: str) -> np.ndarray:
-            if text not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[text] = shingle_set(text, like.shingle)
-            return last[text]
+def _cached_sets(like: Likeness):
+    """``shingle_set`` that remembers the last few texts: a task meets the same ones in a row."""
+    last: dict[str, np.ndarray] = {}
+
+    def made(text: str) -> np.ndarray:
+        if text not in last:
+            if len(last) >= 64:
+                last.clear()
+            last[text] = shingle_set(text, like.shingle)
+        return last[text]
 
+    return made
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs ``(u, v)`` whose full shingle sets meet the limit."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _cached_sets(like)
         for b in slices(batches):
             ok = []
             for tu, tv in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
@@ -166,7 +192,137 @@ def _linked(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
                 ok.append(same > 0 and 100 * same >= like.percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(ok)), b.column("v").filter(pa.array(ok))], names=["u", "v"])
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(go, "u long, v long")
+    return _with_texts(pairs, texts).mapInArrow(go, "u long, v long")
+
+
+def _pair_scores(pairs: DataFrame, sigs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs ``(u, v)`` whose signatures agree as families do."""
+    least = next(n for n in range(like.minima + 1) if similarity(n, like) >= FAMILY)
+    both = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for c in "ab")
+                keep = pa.array(agreeing_rows(x, y, like) >= least)
+                yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(go, "u long, v long")
+
+
+def _differences(families: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """``(node, pivot, size, lacks, adds, linked)`` of every member but the pivot; ``size`` is the pivot's.
+
+    ``lacks`` and ``adds`` hold shingle hashes, packed.
+    """
+    pairs = families.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _cached_sets(like)
+        for b in slices(batches):
+            cols = [[], [], [], []]
+            for tu, tv in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
+                x, y = made(tu), made(tv)
+                lacks, adds = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                same = len(x) - len(lacks)
+                for c, value in zip(cols, (len(x), lacks.tobytes(), adds.tobytes(), same > 0 and 100 * same >= like.percent * (len(x) + len(adds))), strict=True):
+                    c.append(value)
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("u"), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.binary()), pa.array(cols[2], type=pa.binary()), pa.array(cols[3], type=pa.bool_())], names=["node", "pivot", "size", "lacks", "adds", "linked"])
+
+    return _with_texts(pairs, texts).mapInArrow(go, "node long, pivot long, size long, lacks binary, adds binary, linked boolean")
+
+
+def _family_links(diffs: DataFrame) -> DataFrame:
+    """Exploded cells ``(pivot, i, j, part, node, size, lacks, adds)``: unlinked members with all, pivot included."""
+    empty = F.lit(b"")
+    pivots = diffs.groupBy("pivot").agg(F.first("size").alias("size"), F.count_if("linked").alias("near"), F.count_if(~F.col("linked")).alias("far")).filter("far > 0")
+    counts = pivots.select("pivot", F.ceil((F.col("near") + 1) / CHUNK).cast("int").alias("na"), F.ceil(F.col("far") / CHUNK).cast("int").alias("nb"))
+    rows = diffs.unionByName(pivots.select(F.col("pivot").alias("node"), "pivot", "size", empty.alias("lacks"), empty.alias("adds"), F.lit(True).alias("linked")))
+    rows = rows.join(counts, "pivot")
+    spot = F.xxhash64("node")
+    part = F.when(F.col("linked"), F.pmod(spot, F.col("na"))).otherwise(F.col("na") + F.pmod(spot, F.col("nb"))).cast("int")
+    last = F.col("na") + F.col("nb") - 1
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.when(F.col("linked"), F.sequence("na", last)).otherwise(F.sequence(F.lit(0), last))))
+    return rows.select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "size", "lacks", "adds", "linked")
+
+
+def _by_cell(cells: DataFrame, key: str, compare, schema: str) -> DataFrame:
+    """Rows of each cell ``(key, i, j)`` to ``compare``, which returns one Arrow batch or None."""
+    cells = cells.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in (key, "i", "j")])
+            edges = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for s, e in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                here = tuple(keys[:, s].tolist())
+                if here != at:
+                    if held and (out := compare(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held, at = [], here
+                held.append(b.slice(s, e - s))
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return cells.mapInArrow(go, schema)
+
+
+def _common(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each row of ``left`` has in common with each of ``right``."""
+    row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    all_ = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
+    _, col, count = np.unique(all_, return_inverse=True, return_counts=True)
+    shared = count > 1  # the others are in no intersection
+    keep = shared[col] if len(col) else np.zeros(0, dtype=bool)
+    place = np.cumsum(shared) - 1
+    row, col = row[keep], place[col[keep]] if len(col) else col
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(shared.sum()), 8192):
+        here = (col >= at) & (col < at + 8192)
+        grid = np.zeros((len(values), min(8192, int(shared.sum()) - at)), dtype=np.float32)
+        grid[row[here], col[here] - at] = 1
+        out += grid[left] @ grid[right].T
+    return np.rint(out).astype(np.int64)
+
+
+def _compare_family(like: Likeness):
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        node, part, linked = (t.column(c).to_numpy() for c in ("node", "part", "linked"))
+        i, j, size = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("size")[0].as_py()
+        lacks, adds = ([np.frombuffer(v, dtype=np.uint64) for v in t.column(c).to_pylist()] for c in ("lacks", "adds"))
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        nl, na = np.array([len(v) for v in lacks]), np.array([len(v) for v in adds])
+        us, vs = [], []
+        for a in range(0, len(left), 2 * CHUNK):
+            for b in range(0, len(right), 2 * CHUNK):
+                x, y = left[a : a + 2 * CHUNK], right[b : b + 2 * CHUNK]
+                pick = np.concatenate([x, y])
+                mine, yours = np.arange(len(x)), np.arange(len(x), len(pick))
+                both = _common([lacks[k] for k in pick], mine, yours)
+                same = size - nl[x][:, None] - nl[y][None, :] + both + _common([adds[k] for k in pick], mine, yours)
+                whole = (size - nl + na)[x][:, None] + (size - nl + na)[y][None, :] - same
+                ok = (same > 0) & (100 * same >= like.percent * whole) & (node[x][:, None] != node[y][None, :])
+                # All linked members are one: a row needs one of them only. Of the rest a spanning forest will do.
+                root: dict[int, int] = {}
+                for p, q in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True):
+                    u, v = int(node[x[p]]), int(node[y[q]])
+                    ru, rv = (-1 if linked[k] else w for k, w in ((x[p], u), (y[q], v)))
+                    while (up := root.get(ru, ru)) != ru:
+                        ru = up
+                    while (up := root.get(rv, rv)) != rv:
+                        rv = up
+                    if ru != rv:
+                        root[ru] = rv
+                        us.append(min(u, v))
+                        vs.append(max(u, v))
+        if us:
+            return pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64())], names=["u", "v"])
+        return None
+
+    return compare
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -193,19 +349,17 @@ def connected(edges: DataFrame) -> DataFrame:
 def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int | None) -> DataFrame:
     """``(u, v, cut)``: likely pairs of unconnected classes in shared buckets, the best ``most`` of each class.
 
-    ``members`` has ``(band, node, comp, sig)``, ``live`` the size of each
-    bucket. ``cut`` tells that a class had more pairs than it proposed.
+    ``members`` has ``(band, node, family, comp, sig)``, ``live`` the size of
+    each bucket. ``cut`` tells that a class had more pairs than it proposed.
     """
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     cells = members.join(live, "band").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = cells.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "sig")
-    cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    cells = cells.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "family", "comp", "sig")
     floor = like.least_agreeing
 
-    def compare(rows: list[pa.RecordBatch]) -> tuple[list[int], list[int], list[bool]]:
-        t = pa.Table.from_batches(rows)
-        node, comp, part = (t.column(c).to_numpy() for c in ("node", "comp", "part"))
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        node, family, comp, part = (t.column(c).to_numpy() for c in ("node", "family", "comp", "part"))
         sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
@@ -214,7 +368,8 @@ def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int |
             for b in range(0, len(right), 2 * CHUNK):
                 x, y = left[a : a + 2 * CHUNK], right[b : b + 2 * CHUNK]
                 agree = agreeing(sigs[x], sigs[y], like)
-                agree[(comp[x][:, None] == comp[y][None, :]) | ((i == j) & (node[x][:, None] >= node[y][None, :]))] = -1
+                done = (comp[x][:, None] == comp[y][None, :]) | (family[x][:, None] == family[y][None, :])
+                agree[done | ((i == j) & (node[x][:, None] >= node[y][None, :]))] = -1
                 good = agree >= floor
                 cut = False
                 if most is not None:
@@ -232,32 +387,11 @@ def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int |
                 us += np.minimum(node[x[p]], node[y[q]]).tolist()
                 vs += np.maximum(node[x[p]], node[y[q]]).tolist()
                 cuts += [cut] * len(p)
-        return us, vs, cuts
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        names = ["u", "v", "cut"]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                us, vs, cuts = compare(held)
-                if us:
-                    yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64()), pa.array(cuts)], names=names)
-            held.clear()
-
-        for b in batches:
-            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
-            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-                if e > s:
-                    here = tuple(key[:, s].tolist())
-                    if here != at:
-                        yield from flush()
-                        at = here
-                    held.append(b.slice(s, e - s))
-        yield from flush()
+        if us:
+            return pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64()), pa.array(cuts)], names=["u", "v", "cut"])
+        return None
 
-    return cells.mapInArrow(go, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
+    return _by_cell(cells, "band", compare, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,14 +415,21 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     shared = spread.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("top")).filter("center < top").select("band", "center")
     members = materialize(spread.join(shared, "band"), "members")
 
-    # First the star round, then rounds over what is still unconnected.
-    votes = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
-    star = votes.groupBy("node").agg(F.max(F.struct("n", -F.col("center"))).alias("best")).select(F.col("node").alias("v"), (-F.col("best.col2")).alias("u"))
-    labels = connected(_linked(star.select("u", "v"), texts, like))
+    sigs = classes.groupBy("node").agg(F.first("sig").alias("sig"))
+
+    # Families and what can be settled inside them.
+    stars = members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    families = connected(_pair_scores(stars, sigs, like))
+    diffs = materialize(_differences(families, texts, like), "differences")
+    inside = _by_cell(_family_links(diffs), "pivot", _compare_family(like), "u long, v long")
+    links = diffs.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")).unionByName(inside)
+    labels = connected(links)
+
+    # Pairs of different families, in rounds over what is still unconnected.
+    placed = materialize(members.select("band", "node").join(families, "node", "left").select("band", "node", F.coalesce("root", "node").alias("family")), "placed")
     for most in ROUNDS:
-        named = members.select("band", "node").distinct().join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
-        live = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).filter("a < b").select("band", "size")
-        sigs = classes.groupBy("node").agg(F.first("sig").alias("sig"))
+        named = placed.join(labels, "node", "left").select("band", "node", "family", F.coalesce("root", "node").alias("comp"))
+        live = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("family").alias("c"), F.max("family").alias("d"), F.count("*").alias("size")).filter("a < b AND c < d").select("band", "size")
         pairs = materialize(_proposals(named.join(sigs, "node"), live, like, most), "pairs")
         n, cut = pairs.agg(F.count("*"), F.max("cut")).first()
         if not n:

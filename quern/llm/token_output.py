@@ -16,16 +16,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, slices
 
 #: Words whose ids a worker remembers; the older half goes when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: A space may end one piece and start the next only between two of these.
 _LOOSE = re.compile("[^!-~¡-ᙹ、-퟿\n ]|^ | $|[ \n] | \n")
 _TIGHT = re.compile("(?<=[!-~¡-ᙹ、-퟿]) (?=[!-~¡-ᙹ、-퟿])")
+#: Bytes of UTF-8 texts in which white space can only be a blank or a line feed.
+_PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0), *range(0xE4, 0xEA)])
+
+
+def is_plain(text: str) -> bool:
+    """Whether every blank of the text stands between visible characters, told without looking at each."""
+    plain = not text.encode("utf-8", "replace").translate(None, _PLAIN)
+    return plain and "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
+
+
+def cut_texts(texts: list[str]) -> pa.ListArray:
+    """Each text cut at blanks between visible characters; a piece after the first stands for a blank and itself."""
+    odd = {i: _TIGHT.split(t) if _LOOSE.search(t) else t.split(" ") for i, t in enumerate(texts) if not is_plain(t)}
+    if not odd:
+        return pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+    cut = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], type=pa.large_string()), " ")
+    both = pa.concat_arrays([cut, pa.array(list(odd.values()), type=cut.type)])
+    place = np.arange(len(texts))
+    place[list(odd)] = len(texts) + np.arange(len(odd))
+    return both.take(pa.array(place))
+
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -60,7 +82,7 @@ class PieceEncoder:
         self.half = max(1, cache_words // 2)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         ids = self._ids(" " + " ".join(pieces))
@@ -70,24 +92,50 @@ class PieceEncoder:
         raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
         return {p: raw[a:b] for p, a, b in zip(pieces, (4 * cuts).tolist(), ends, strict=True)}
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        head, *pieces = _TIGHT.split(text) if _LOOSE.search(text) else text.split(" ")
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, a blank before each."""
         young, old = self.young, self.old
+        found = [young.get(p) for p in pieces]
         missing = []
-        for p in set(pieces).difference(young):
-            if (known := old.get(p)) is None:
-                missing.append(p)
-            else:
-                young[p] = known
+        for i, ids in enumerate(found):
+            if ids is None:
+                p = pieces[i]
+                if (ids := old.get(p)) is None:
+                    missing.append(p)
+                else:
+                    young[p] = found[i] = ids
         if missing:
             young |= self._learn(missing)
-        out = self._ids(head).tobytes() + b"".join(map(young.__getitem__, pieces))
+            found = [young[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         if len(young) > self.half:
             self.young, self.old = {}, young
-        return out
+        return found
+
+    def encode_all(self, texts: list[str], end: tuple[int, ...] = ()) -> pa.ListArray:
+        """The ids of each text, with ``end`` after them, as lists of 32-bit integers."""
+        cut = cut_texts(texts)
+        stops = np.asarray(cut.offsets).astype(np.int64)
+        sizes = np.diff(stops)
+        rest = np.ones(int(stops[-1] - stops[0]), dtype=bool)
+        rest[stops[:-1] - stops[0]] = False
+        pieces = cut.flatten()
+        flat, first_ones = pieces.filter(pa.array(rest)).dictionary_encode(), pieces.filter(pa.array(~rest)).to_pylist()
+        # One numbered list of ids for each distinct piece, each head (no blank before it), and the end.
+        parts = self._known(flat.dictionary.to_pylist())
+        heads = len(parts)
+        parts += [self._ids(p).tobytes() if p else b"" for p in first_ones]
+        parts.append(np.array(end, dtype="<u4").tobytes())
+        length = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+        pool = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)])), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+        # Each text is its head, its other pieces, the end.
+        first = np.concatenate([[0], np.cumsum(sizes + 1)])
+        order = np.full(int(first[-1]), -1, dtype=np.int64)
+        order[first[:-1]] = heads + np.arange(len(texts))
+        order[first[1:] - 1] = len(parts) - 1
+        order[order < 0] = np.asarray(flat.indices)
+        values = pool.take(pa.array(order)).flatten()
+        ends = np.concatenate([[0], np.cumsum(length[order])])[first]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -111,12 +159,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, pos = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
+        coder, pos = _encoder(tokenizer), 0
         for b in slices(batches):
-            raw = [coder.encode(t.as_py()) + end for t in b.column("text")]
-            sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+            ids = coder.encode_all(b.column("text").to_pylist(), (end_id,))
+            sizes = np.diff(np.asarray(ids.offsets)).astype(np.int64)
             at = pa.array(np.arange(pos, pos + b.num_rows, dtype=np.int64))
             pos += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("block"), at, pa.array(sizes), ids], names=["doc_id", "block", "pos", "n_tokens", "ids"])

@@ -1,6 +1,6 @@
 """Queries over the standard tables, with their SQL counterparts."""
 
-from . import context, relations, usage, vectors  # noqa: F401
+from . import context, quality, relations, structure, usage, vectors  # noqa: F401
 from .book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
