@@ -20,17 +20,20 @@ def probe_join(corpus: DataFrame, terms: DataFrame, text: str, term: str, keys:
     """Pairs of rows and terms that stand in them as whole words, with the number of places.
 
     A term is found through its longest word, an equality join, and confirmed
-    by looking for all its words in a row. Terms without a word match nothing.
+    by looking for all its words in a row. Terms without a word match nothing,
+    nor do rows with a null in ``keys``; equal rows of ``terms`` count once.
     """
     ws = words(F.col(term))
     longest = F.element_at(F.array_sort(F.transform(F.array_distinct(ws), lambda w: F.struct((-F.length(w)).alias("less"), w.alias("w")))), 1)["w"]
     t = terms.withColumn("__needle", F.array_join(ws, " ")).filter("__needle <> ''").withColumn("__probe", longest)
-    c = corpus.select(*keys, F.concat(F.lit(" "), F.array_join(words(F.col(text)), "  "), F.lit(" ")).alias("__hay"), F.explode(F.array_distinct(words(F.col(text)))).alias("__probe"))
-    both = c.join(t, "__probe")
+    c = corpus.select(*keys, F.explode(F.array_distinct(words(F.col(text)))).alias("__probe"))
+    # Only keys and single words meet the terms; the texts come back for what was found.
+    hits = c.join(t, "__probe").drop("__probe").distinct()
+    both = hits.join(corpus.select(*keys, F.concat(F.lit(" "), F.array_join(words(F.col(text)), "  "), F.lit(" ")).alias("__hay")), keys)
     # Words are two blanks apart, so that every place of a repeated word counts.
     needle = F.concat(F.lit(" "), F.replace("__needle", F.lit(" "), F.lit("  ")), F.lit(" "))
     places = ((F.length("__hay") - F.length(F.replace("__hay", needle, F.lit("")))) / F.length(needle)).cast("long")
-    return both.withColumn("places", places).filter("places > 0").drop("__needle", "__hay", "__probe")
+    return both.withColumn("places", places).filter("places > 0").drop("__needle", "__hay")
 
 
 def occurrences(corpus: DataFrame, candidates: DataFrame, source: str = "source", key: list[str] | None = None) -> DataFrame:
