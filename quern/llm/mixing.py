@@ -27,7 +27,7 @@ BLOCK_WORDS = 64
 #: The recipe (one row per source) is held on the driver; more sources are refused.
 MAX_SOURCES = 100_000
 #: Documents of one tape segment; offsets are summed per segment, then inside it.
-SEGMENT_ROWS = 20_000
+SEGMENT_ROWS = 2_000
 
 
 @dataclass(frozen=True)
