@@ -13,8 +13,8 @@ from quern.operators import quality as Q
 
 from .book import query
 
-# A short source and a translation into which Chinese, tags and mistakes are set by the id.
-_SUBJECT = """(SELECT doc_id AS item_id, source AS file, CAST(doc_id % 97 AS INT) AS line, text[1:40] AS s, CASE doc_id % 8 WHEN 0 THEN '你好{w}世界' WHEN 1 THEN '你好{b世界' WHEN 2 THEN '你好walking世界' WHEN 3 THEN '你好,世界' WHEN 4 THEN '你好...世界'
+# A source and a translation into which Chinese, tags and mistakes are set by the id.
+_SUBJECT = """(SELECT doc_id AS item_id, source AS file, CAST(doc_id % 97 AS INT) AS line, text AS s, CASE doc_id % 8 WHEN 0 THEN '你好{w}世界' WHEN 1 THEN '你好{b世界' WHEN 2 THEN '你好walking世界' WHEN 3 THEN '你好,世界' WHEN 4 THEN '你好...世界'
   WHEN 5 THEN '你好 Well 世界' WHEN 6 THEN 'Hmm 你好' ELSE '你好世界' END AS t FROM documents)"""
 
 
@@ -23,7 +23,7 @@ def subjects(t):
     text = F.lit("你好世界")
     for k, v in made.items():
         text = F.when(F.col("doc_id") % 8 == k, v).otherwise(text)
-    source = F.when(F.col("doc_id") % 8 == 6, "Hmm, well").otherwise(F.substring("text", 1, 40))
+    source = F.when(F.col("doc_id") % 8 == 6, "Hmm, well").otherwise(F.col("text"))
     return t("documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("file"), (F.col("doc_id") % 97).cast("int").alias("line"), source.alias("source"), text.alias("translation"))
 
 

@@ -14,36 +14,39 @@ from quern.operators import versions as R
 
 from .book import query
 
-# -- versions: the target lacks every ninth document, moves every fourth, and has new ones
+# -- versions of conversations: the target lacks every ninth turn, moves every fourth, and has new ones
+
+
+def _turns(t):
+    return t("conversations").select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.concat_ws("-", "conv_id", "turn").alias("name"), "text")
 
 
 def _versions(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    head = F.substring("text", 1, 60)
-    d = t("documents").select("doc_id", "source", head.alias("head"), F.lag(head).over(w).alias("before"), F.lead(head).over(w).alias("after"), F.row_number().over(w).alias("n"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    d = _turns(t).withColumns({"before": F.lag("text").over(w), "after": F.lead("text").over(w)})
     sides = []
-    for side, keep in (("b", F.col("doc_id") % 10 != 1), ("t", F.col("doc_id") % 9 != 1)):
-        moved = F.when((F.lit(side) == "t") & (F.col("doc_id") % 4 == 0), F.col("n") + 1000).otherwise(F.col("n"))
+    for side, keep in (("b", F.col("k") % 10 != 1), ("t", F.col("k") % 9 != 1)):
+        moved = F.when((F.lit(side) == "t") & (F.col("k") % 4 == 0), F.col("turn") + 1000).otherwise(F.col("turn"))
         sides.append(
             d.filter(keep).select(
-                F.concat(F.lit(side), F.col("doc_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("lineage"), F.concat_ws(":", "source", moved.cast("string")).alias("locator"),
-                F.md5(F.concat_ws("|", "source", "head")).alias("content"), F.col("head").alias("source"), "before", "after",
+                F.concat(F.lit(side), "name").alias("id"), F.lit(None).cast("string").alias("lineage"), F.concat_ws(":", "conv_id", moved.cast("string")).alias("locator"),
+                F.md5(F.concat_ws("|", "conv_id", "text")).alias("content"), F.col("text").alias("source"), "before", "after",
             )
         )
     return sides
 
 
-_V = """WITH d AS (SELECT doc_id, source, text[1:60] AS h, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), b AS (SELECT * FROM d WHERE doc_id % 10 <> 1), t AS (SELECT doc_id, source, h, CASE WHEN doc_id % 4 = 0 THEN n + 1000 ELSE n END AS n FROM d WHERE doc_id % 9 <> 1)"""
+_V = """WITH d AS (SELECT conv_id, turn, conv_id * 7 + turn AS k, conv_id || '-' || turn AS name, text AS h FROM conversations), b AS (SELECT *, turn AS n FROM d WHERE k % 10 <> 1), t AS (SELECT *, CASE WHEN k % 4 = 0 THEN turn + 1000 ELSE turn END AS n FROM d WHERE k % 9 <> 1)"""
 
 
-@query("version_locator_matches", f"{_V} SELECT 'b' || b.doc_id AS base_id, 't' || t.doc_id AS target_id FROM b JOIN t ON b.source = t.source AND b.n = t.n AND b.h = t.h")
+@query("version_locator_matches", f"{_V} SELECT 'b' || b.name AS base_id, 't' || t.name AS target_id FROM b JOIN t ON b.conv_id = t.conv_id AND b.n = t.n AND b.h = t.h")
 def version_locator_matches(t):
     """Pairs at the same place with the same source."""
     base, target = _versions(t)
     return R.candidates(base, target, fuzzy=False).filter("kind = 'locator'").select("base_id", "target_id")
 
 
-@query("version_content_candidates", f"{_V} SELECT 'b' || b.doc_id AS base_id, 't' || t.doc_id AS target_id FROM b JOIN t ON b.h = t.h")
+@query("version_content_candidates", f"{_V} SELECT 'b' || b.name AS base_id, 't' || t.name AS target_id FROM b JOIN t ON b.h = t.h")
 def version_content_candidates(t):
     """All pairs that some key joins."""
     base, target = _versions(t)
@@ -68,16 +71,15 @@ def version_reuse_summary(t):
 
 @query(
     "version_relocate",
-    f"""{_V}, x AS (SELECT CAST(doc_id AS VARCHAR) || source AS id, h FROM b), y AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'm' ELSE '' END || CAST(doc_id AS VARCHAR) || source AS id, h FROM t), s AS (SELECT id FROM x JOIN y USING (id)),
+    f"""{_V}, x AS (SELECT name AS id, h FROM b), y AS (SELECT CASE WHEN k % 4 = 0 THEN 'm' ELSE '' END || name AS id, h FROM t), s AS (SELECT id FROM x JOIN y USING (id)),
         ox AS (SELECT h, MIN(id) AS id FROM x WHERE id NOT IN (SELECT id FROM s) GROUP BY h HAVING COUNT(*) = 1), oy AS (SELECT h, MIN(id) AS id FROM y WHERE id NOT IN (SELECT id FROM s) GROUP BY h HAVING COUNT(*) = 1)
         SELECT id, id AS new_id, 'identity' AS how FROM s UNION ALL SELECT ox.id, oy.id, 'content' FROM ox JOIN oy USING (h)""",
 )
 def version_relocate(t):
     """Rows found again by identity, else by content that is unique."""
-    d = t("documents").select("doc_id", "source", F.substring("text", 1, 60).alias("content"))
-    key = F.concat(F.col("doc_id").cast("string"), F.col("source"))
-    old = d.filter("doc_id % 10 <> 1").select(key.alias("id"), "content", F.lit("l").alias("locator"))
-    new = d.filter("doc_id % 9 <> 1").select(F.concat(F.when(F.col("doc_id") % 4 == 0, "m").otherwise(""), key).alias("id"), "content", F.lit("l").alias("locator"))
+    d = _turns(t).withColumn("content", F.col("text"))
+    old = d.filter("k % 10 <> 1").select(F.col("name").alias("id"), "content", F.lit("l").alias("locator"))
+    new = d.filter("k % 9 <> 1").select(F.concat(F.when(F.col("k") % 4 == 0, "m").otherwise(""), "name").alias("id"), "content", F.lit("l").alias("locator"))
     return R.relocate(old, new)
 
 
@@ -85,14 +87,14 @@ def version_relocate(t):
 
 
 def _script(t):
-    """Events as a script: labels every tenth row, jumps to labels ahead."""
+    """Events as scripts, a file per user: labels every tenth row, jumps to labels ahead."""
     e = t("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
     own = F.concat(F.lit("L"), F.floor(F.col("n") / 10).cast("string"))
     text = F.when(F.col("n") % 10 == 0, F.concat(F.lit("label "), own, F.lit(":"))).when(F.col("n") % 10 == 3, F.concat(F.lit("    jump L"), (F.floor(F.col("n") / 10) + 1 + F.col("user_id") % 3).cast("string")))
-    return e.filter("user_id < 8").select(F.lit("s").alias("file"), (F.col("user_id") * 100_000 + F.col("n")).alias("line"), F.coalesce(F.concat(F.lit(""), text), F.lit('"say"')).alias("text"))
+    return e.select(F.col("user_id").cast("string").alias("file"), F.col("n").cast("long").alias("line"), F.coalesce(F.concat(F.lit(""), text), F.lit('"say"')).alias("text"))
 
 
-_N = """WITH e AS (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events WHERE user_id < 8), l AS (SELECT DISTINCT 'L' || (n // 10) AS label FROM e WHERE n % 10 = 0), j AS (SELECT 'L' || (n // 10) AS source, 'L' || (n // 10 + 1 + user_id % 3) AS target FROM e WHERE n % 10 = 3)"""
+_N = """WITH e AS (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), l AS (SELECT DISTINCT 'L' || (n // 10) AS label FROM e WHERE n % 10 = 0), j AS (SELECT 'L' || (n // 10) AS source, 'L' || (n // 10 + 1 + user_id % 3) AS target FROM e WHERE n % 10 = 3)"""
 
 
 @query("route_edges", f"{_N} SELECT source, target, CASE WHEN label IS NULL THEN 'unresolved' ELSE 'jump' END AS kind, COUNT(*) AS n FROM j LEFT JOIN l ON label = target GROUP BY 1, 2, 3")

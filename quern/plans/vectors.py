@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
@@ -16,26 +17,27 @@ _COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding A
     "vector_top_k",
     f"""SELECT query_id, vec_id, ROUND(score, 6) AS score, rank FROM (
           SELECT q.vec_id AS query_id, s.vec_id, {_COS} AS score, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY ROUND({_COS}, 12) DESC, s.vec_id) AS rank
-          FROM embeddings s JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20) q ON q.vec_id <> s.vec_id WHERE {_COS} >= 0.2) WHERE rank <= 4""",
+          FROM embeddings s JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON q.vec_id <> s.vec_id WHERE {_COS} >= 0.2) WHERE rank <= 4""",
 )
 def vector_top_k(t):
-    """Best 4 of the store for the first 20 vectors as queries, themselves left out."""
+    """Best 4 of the store for every vector whose id is divisible by 20, itself left out."""
     store = t("embeddings").select("vec_id", "embedding")
-    queries = store.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = store.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = O.top_k(store, queries, k=5, min_similarity=0.2).filter("query_id <> vec_id")
-    return hits.withColumn("rank", (F.col("rank") - 1).cast("int")).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits.withColumn("rank", place).filter("rank <= 4").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "vector_top_k_by_quality",
     f"""SELECT query_id, vec_id, ROUND(score, 6) AS score, rank FROM (
           SELECT q.vec_id AS query_id, s.vec_id, {_COS} AS score, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY ROUND({_COS}, 12) DESC, s.label DESC, s.vec_id) AS rank
-          FROM embeddings s, (SELECT * FROM embeddings WHERE vec_id % 50 = 3) q WHERE {_COS} >= 0.1) WHERE rank <= 6""",
+          FROM embeddings s, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE {_COS} >= 0.1) WHERE rank <= 6""",
 )
 def vector_top_k_by_quality(t):
-    """Best 6, equal scores by label: the query set is every fiftieth vector."""
+    """Best 6, equal scores by label: the queries are the vectors whose id is divisible by 20."""
     store = t("embeddings")
-    queries = store.filter("vec_id % 50 = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = store.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return O.top_k(store, queries, k=6, min_similarity=0.1, tie=(F.col("label"),)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
