@@ -111,24 +111,24 @@ def context_slice(t):
 
 @query(
     "context_budget_lines",
-    """SELECT doc_id, len(k) AS n, list_sum([length(x) for x in k]) AS chars FROM (SELECT doc_id, list_reduce([CAST([] AS VARCHAR[])] || [[x] for x in string_split(text, chr(10))], lambda a, b: CASE WHEN length(array_to_string(a || b, ' ')) <= 300 THEN a || b WHEN len(a) = 0 THEN [b[1][1:300]] ELSE a END) AS k FROM documents WHERE doc_id % 10 = 0)""",
+    """SELECT doc_id, len(k) AS n, list_sum([length(x) for x in k]) AS chars FROM (SELECT doc_id, list_reduce([CAST([] AS VARCHAR[])] || [[x] for x in string_split(text, chr(10))], lambda a, b: CASE WHEN length(array_to_string(a || b, ' ')) <= 300 THEN a || b WHEN len(a) = 0 THEN [b[1][1:300]] ELSE a END) AS k FROM documents)""",
 )
 def context_budget_lines(t):
-    """Lines of every tenth document that fit 300 characters; one that does not fit is passed over."""
-    out = t("documents").filter("doc_id % 10 = 0").select("doc_id", C.fit_lines(F.split("text", "\n"), 300).alias("k"))
+    """Lines of each document that fit 300 characters; one that does not fit is passed over."""
+    out = t("documents").select("doc_id", C.fit_lines(F.split("text", "\n"), 300).alias("k"))
     return out.select("doc_id", F.size("k").cast("long").alias("n"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
 @query(
     "text_functions",
     r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS compact, CASE WHEN length(text) > 60 THEN text[1:57] || '...' ELSE text END AS short, regexp_matches(text, '[A-Za-z]') AS english,
-          trim(lower(regexp_replace(text[1:40], '[^\p{L}\p{N}]+', '_', 'g')), '_') AS slug, sha1(text)[1:8] AS digest, len(list_distinct([text[i:i+2] for i in range(1, length(text) - 1)])) AS n_trigrams FROM documents""",
+          trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g')), '_') AS slug, sha1(text)[1:8] AS digest, len(list_distinct([text[i:i+2] for i in range(1, length(text) - 1)])) AS n_trigrams FROM documents""",
 )
 def text_functions(t):
     """Compacting, cutting, tests, slugs, digests, trigrams."""
     x = F.col("text")
     return t("documents").select(
-        "doc_id", F.md5(T.compact(x)).alias("compact"), T.truncate(x, 60).alias("short"), T.english_like(x).alias("english"), T.slug(F.substring(x, 1, 40)).alias("slug"),
+        "doc_id", F.md5(T.compact(x)).alias("compact"), T.truncate(x, 60).alias("short"), T.english_like(x).alias("english"), T.slug(x).alias("slug"),
         F.substring(F.sha1(x), 1, 8).alias("digest"), F.size(T.trigrams(x)).cast("long").alias("n_trigrams"),
     )
 
