@@ -1,10 +1,14 @@
 """Operator 3: chat formatting by quotation linking.
 
 Lines that start with ``>`` are quoted, once per sign. A passage is a run of
-lines of one level; its normalised text is hashed and joined to the message of
-the same conversation that first said it: as a whole, as a paragraph or as a
-line. A message answers the latest of the messages that its shallowest
-passages come from. Messages, freed of quotes, are ordered by thread.
+lines of one level, without the lines that announce deeper quotes. Its
+normalised text is hashed and joined to the message of the same conversation
+that first said it: as a whole, as a paragraph or as a line. A passage that
+nobody said in one piece is joined by its paragraphs and lines: it comes from
+the message that said most of its lines, if that is more than half of them; a
+passage of which half or more is unknown comes from nowhere. A message answers
+the latest of the messages that its shallowest passages come from. Messages,
+freed of quotes, are ordered by thread.
 
 DataFrame functions only.
 """
@@ -30,6 +34,18 @@ def _mark(text: Column) -> Column:
     return F.md5(normalise(text).cast("binary"))
 
 
+def _quoted_text(passage: Column, depth: Column) -> Column:
+    """The passage without its announcing lines, as ``own`` is; one of such lines alone, with nothing deeper, is a quote of them."""
+    rest = F.array_join(F.filter(F.split(passage["body"], "\n"), lambda x: ~x.rlike(ATTRIBUTION)), "\n")
+    return F.when((normalise(rest) == "") & (passage["level"] == depth), passage["body"]).otherwise(rest)
+
+
+def _lines(text: Column) -> Column:
+    """``(line, para)`` marks of the different lines with words, each with its paragraph's."""
+    paras = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.struct(_mark(p).alias("para"), F.transform(F.filter(F.split(p, "\n"), lambda x: normalise(x) != ""), _mark).alias("lines")))
+    return F.array_distinct(F.flatten(F.transform(paras, lambda p: F.transform(p["lines"], lambda x: F.struct(x.alias("line"), p["para"].alias("para"))))))
+
+
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``passages``, an array of ``(level, body)`` runs in order, ``own`` and ``depth``.
 
@@ -62,8 +78,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ``thread`` the turn that its chain of answers starts from. Ordered by
     ``(thread, turn)`` a conversation has every answer after what it answers,
     thread by thread. Passages and originals without words do not link, nor do
-    messages without conversation or turn. Of equal originals the first turn
-    counts, and only turns before the quoting one. Rows that repeat are all
+    messages without conversation or turn. Of originals that said as many lines
+    of a passage the first turn counts, and only turns before the quoting one. Rows that repeat are all
     returned; an empty table gives an empty result; other columns are not read.
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("said"))
@@ -73,15 +89,29 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     # would copy the parsing into a filter that stands after it.
     placed = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("said").isNotNull()).withColumn("text_id", F.md5(F.col("said").cast("binary")))
     quoted = parse_quotes(placed.filter(F.col("said").rlike(r"(^|\n)[ \t]*>")), "said")
-    quoted = quoted.select("conv_id", "turn", "text_id", F.array_min(F.transform("passages", lambda p: p["level"])).alias("top"), F.explode_outer("passages").alias("p"))
-    quoted = quoted.select("conv_id", "turn", "text_id", "top", "p.level", normalise(F.col("p.body")).alias("plain")).filter("plain <> ''").withColumn("mark", F.md5(F.col("plain").cast("binary")))
+    quoted = quoted.select("conv_id", "turn", "text_id", "depth", F.array_min(F.transform("passages", lambda p: p["level"])).alias("top"), F.explode_outer("passages").alias("p"))
+    quoted = quoted.select("conv_id", "turn", "text_id", "top", "p.level", _quoted_text(F.col("p"), F.col("depth")).alias("plain")).filter(normalise(F.col("plain")) != "")
+    quoted = materialize(quoted.select("conv_id", "turn", "text_id", "top", "level", _mark(F.col("plain")).alias("mark"), _lines(F.col("plain")).alias("lines")).withColumn("run_id", F.md5(F.to_json("lines"))), "quoted")
 
     pieces = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))
     said = parse_quotes(placed, "said").select("conv_id", "turn", F.explode_outer(F.array_distinct(F.transform(F.filter(pieces, lambda x: normalise(x) != ""), _mark))).alias("mark")).filter("mark IS NOT NULL")
+    # A passage of one line has no smaller pieces; one line said over and over has.
+    smaller = F.exists("lines", lambda x: x["line"] != F.col("mark"))
+    runs = quoted.filter(smaller).dropDuplicates(["conv_id", "run_id"]).select("conv_id", "run_id", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "l"))
+    parts = runs.select("conv_id", "run_id", "n_lines", "at", F.explode(F.array_distinct(F.array("l.line", "l.para"))).alias("mark"))
+    wanted = quoted.select("conv_id", "mark").union(parts.select("conv_id", "mark")).distinct()
+    held = materialize(said.join(wanted, ["conv_id", "mark"], "left_semi"), "held")
     # Pre-aggregated, so that a line that all turns repeat joins once.
-    wanted = quoted.select("conv_id", "mark").distinct()
-    first = said.join(wanted, ["conv_id", "mark"], "left_semi").groupBy("conv_id", "mark").agg(F.min("turn").alias("original"))
+    first = held.groupBy("conv_id", "mark").agg(F.min("turn").alias("original"))
     links = quoted.join(first, ["conv_id", "mark"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+
+    # Of messages that hold the same wanted pieces only the first can be an original.
+    same = held.groupBy("conv_id", "turn").agg(F.md5(F.array_join(F.array_sort(F.collect_set("mark")), "")).alias("held_id")).groupBy("conv_id", "held_id").agg(F.min("turn").alias("turn")).select("conv_id", "turn")
+    shared = parts.join(held.join(same, ["conv_id", "turn"], "left_semi"), ["conv_id", "mark"]).groupBy("conv_id", "run_id", "n_lines", "turn").agg(F.countDistinct("at").alias("covered"))
+    shared = shared.filter(F.col("covered") * 2 > F.col("n_lines")).groupBy("conv_id", "run_id", "covered").agg(F.min("turn").alias("part"))
+    rest = links.filter(F.col("original").isNull() & smaller).select("conv_id", "run_id", "turn").distinct()
+    found = rest.join(shared, ["conv_id", "run_id"]).filter("part < turn").groupBy("conv_id", "run_id", "turn").agg(F.max_by("part", "covered").alias("part"))
+    links = links.join(found, ["conv_id", "run_id", "turn"], "left").withColumn("original", F.coalesce("original", "part"))
     # Rows that repeat bring their passages again; n_linked counts distinct ones.
     links = links.groupBy("conv_id", "turn", "text_id").agg(
         F.max(F.when(F.col("level") == F.col("top"), F.col("original"))).alias("near"), F.max("original").alias("far"), F.countDistinct(F.when(F.col("original").isNotNull(), F.struct("level", "mark"))).alias("n_linked")

@@ -98,3 +98,26 @@ def test_quotes(spark):
     assert pick(2, 4)[:2] == (0, 0) and pick(2, 5)[0] is None
     assert pick(4, 1)[:4] == (0, 0, 1, 1)
     assert quotation.link_quotes(df.limit(0)).count() == 0
+
+
+def test_quotes_of_parts(spark):
+    rows = [
+        (1, 0, "one a\ntwo b\nthree c\nfour d\nfive e"), (1, 1, "> two b\n> four d\ntwo of five lines"),
+        (1, 2, "first par\nof two lines\n\nsecond par\n\nthird par"), (1, 3, "> first par of\n> two lines\n>\n> third par\ntwo of three paragraphs, wrapped anew"),
+        (1, 4, "> two b\n> four d\n> unknown\nmore than half is known"), (1, 5, "> two b\n> unknown\nonly half is known"),
+        (1, 6, "two b\nthird par"), (1, 7, "> two b\n> second par\n> third par\nmost are of 2"),
+        (2, 0, "hello"), (2, 1, "Agreed.\n\nOn Sun, A wrote:\n> hello"), (2, 2, "Me too.\n\nOn Mon, B wrote:\n> Agreed.\n>\n> On Sun, A wrote:\n>> hello"),
+        (2, 3, "On Tue, C wrote:"), (2, 4, "> On Tue, C wrote:\nso?"),
+        (3, 0, "Hi,\nalpha"), (3, 1, "Hi,\nbeta\ngamma"), (3, 2, "> Hi,\n> gamma\nthe first holder of a line is not the one of most"), (3, 3, "Hi,\ngamma"), (3, 4, "> gamma\n> Hi,\nequal ones: the first"),
+        (4, 0, "> later a\n> later b\nx"), (4, 1, "later a\n-\nlater b"), (4, 2, "a\nb\nc\nd"), (4, 3, "> a\n> c\n> d"), (4, 4, "a\nc\nd"), (4, 5, "> d\n> a\n> c\n> e"),
+        (5, 0, "a\nb"), (5, 1, "> a\n> a"), (5, 2, "> b\n>\n> b"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.n_linked) for r in quotation.link_quotes(df).collect()}
+    assert got[1, 1] == (0, 0, 1) and got[1, 3] == (2, 2, 1)
+    assert got[1, 4] == (0, 0, 1) and got[1, 5] == (None, 5, 0)
+    assert got[1, 7][0] == 2
+    assert got[2, 1] == (0, 0, 1) and got[2, 2] == (1, 0, 2) and got[2, 4] == (3, 3, 1)
+    assert got[3, 2] == (1, 1, 1) and got[3, 4] == (1, 1, 1)
+    assert got[4, 0] == (None, 0, 0) and got[4, 3] == (2, 2, 1) and got[4, 5] == (2, 2, 1)
+    assert got[5, 1] == (0, 0, 1) and got[5, 2] == (0, 0, 1)  # one line, said over and over
