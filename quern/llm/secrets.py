@@ -71,18 +71,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
-    """Strings that the method adds; none that overlaps a known span."""
+    """Strings that the method adds, in whole length; none that overlaps a known span."""
     out, done = [], -1
+    run, end = 0, 0  # the last token measured; from any place inside it a match ends where it ends
     for hint in _SENSITIVE.finditer(text):
-        for m in _TOKEN.finditer(text, max(hint.end(), done), min(len(text), hint.end() + CONTEXT + 4096)):
-            if m.start() - hint.end() > CONTEXT:
-                break
-            if m.start() < done or any(a < m.end() and m.start() < b for a, _, b in known):
+        at = max(hint.end(), done)
+        # The first MIN_LENGTH characters tell where a token starts.
+        while m := _TOKEN.search(text, at, hint.end() + CONTEXT + MIN_LENGTH):
+            start = m.start()
+            if not run <= start < end:
+                run, end = start, _TOKEN.match(text, start).end()
+            at = end
+            if any(a < end and start < b for a, _, b in known):
                 continue
-            done = m.end()
+            done, token = end, text[start:end]
             # Letters of one case are words, whatever they cost.
-            if (any(c.isdigit() for c in m[0]) or (m[0].lower() != m[0] and not m[0].istitle() and m[0].upper() != m[0])) and novelty.rate(text[max(0, m.start() - 120) : m.start()], m[0], text[m.end() : m.end() + 80]) >= min_novelty:
-                out.append((m.start(), 3, m.end()))
+            if (any(c.isdigit() for c in token) or (token.lower() != token and not token.istitle() and token.upper() != token)) and novelty.rate(text[max(0, start - 120) : start], token, text[end : end + 80]) >= min_novelty:
+                out.append((start, 3, end))
     return out
 
 

@@ -233,6 +233,37 @@ def test_secrets(spark):
     assert "novel" in rows[-2].spans and rows[-1].spans == ""
 
 
+def brute_novel(text, known, novelty):
+    """Every hint and every token from it on, without a bound on the token's end."""
+    out, done = [], -1
+    for hint in secrets._SENSITIVE.finditer(text):
+        for m in secrets._TOKEN.finditer(text, max(hint.end(), done)):
+            if m.start() - hint.end() > secrets.CONTEXT:
+                break
+            if any(a < m.end() and m.start() < b for a, _, b in known):
+                continue
+            done = m.end()
+            if (any(c.isdigit() for c in m[0]) or (m[0].lower() != m[0] and not m[0].istitle() and m[0].upper() != m[0])) and novelty.rate(text[max(0, m.start() - 120) : m.start()], m[0], text[m.end() : m.end() + 80]) >= secrets.MIN_NOVELTY:
+                out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_long_secrets(spark):
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f"the private key is {key(n)} end" for n in (15, 16, 4000, 4096, 4200, 50_000)]
+    texts += [f"credential{' ' * gap}{key(5000)}" for gap in (39, 40, 41)] + [f"bearer {key(20)} {key(9000)}", "auth " + "secret".join(key(1500) for _ in range(6))]
+    rows = secrets.digest(secrets.scan_secrets(frame(spark, texts))).orderBy("doc_id").collect()
+    assert [r.spans for r in rows[1:6]] == [f"novel:19:{len(t) - 4}" for t in texts[1:6]]
+    assert [r.spans for r in rows[6:9]] == ["novel:49:5049", "novel:50:5050", ""]
+    novelty = secrets.Novelty()
+    pieces = lambda: rng.choice(["secret", "auth ", "token=", " ", "\n", "AKIA", "é", key(15), key(16), key(40), key(4300), "0" * 32, "words and "])
+    for text in [*texts, *("".join(pieces() for _ in range(rng.randrange(2, 14))) for _ in range(300))]:
+        known = secrets.base_spans(text)
+        assert secrets.novel_spans(text, known, novelty) == brute_novel(text, known, novelty), text
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
