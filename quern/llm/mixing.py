@@ -6,13 +6,15 @@ them by highest quotients ``target / (2 k + 1)``. Highest-quotient seats keep
 when the house grows, so the seats of shard ``s`` are those between the first
 ``s`` and ``s + 1`` shards' worth, integers that always add up. A source that
 wins more seats than it has blocks repeats its whole tape and then takes the
-rest by a seeded choice of distinct blocks.
+rest by a seeded choice of distinct blocks. Its seats go to the shards in that
+order: whole tapes along the tape, then the chosen blocks.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 64
 #: The recipe (one row per source) is held on the driver; more sources are refused.
 MAX_SOURCES = 100_000
+#: Shards of the query's mix.
+SHARDS = 8
 #: Documents of one tape segment; offsets are summed per segment, then inside it.
 SEGMENT_ROWS = 2_000
 
@@ -92,7 +96,7 @@ def sainte_lague(shares: list[float], house: int, most: list[int]) -> list[int]:
 def shard_quotas(recipe: list[Share], shards: int) -> list[list[int]]:
     """Seats of each source in each shard; shards have equal seats, to within one, and sum to the recipe's."""
     house, most = sum(r.seats for r in recipe), [r.seats for r in recipe]
-    upto = [sainte_lague([r.target for r in recipe], house * s // shards, most) for s in range(shards)] + [most]
+    upto = [sainte_lague([r.target / (r.size / r.blocks) if r.size else 0.0 for r in recipe], house * s // shards, most) for s in range(shards)] + [most]
     return [[b - a for a, b in zip(x, y, strict=True)] for x, y in zip(upto, upto[1:], strict=False)]
 
 
@@ -117,12 +121,19 @@ def _stride(n: int, seed: int) -> int:
     return a
 
 
-def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), **options) -> DataFrame:
+def by_shard(passes: str, shards: int) -> Column:
+    """Words that each shard takes, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.aggregate(F.filter(passes, lambda p: p["shard"] == s), F.lit(0).cast("long"), lambda a, p: a + (p["last"] - p["first"]) * p["times"]))
+
+
+def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), shards: int = 1, **options) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, passes, *keep)`` of every row.
 
-    ``passes`` lists the parts that the mix takes: ``(first, last, times)``
-    word ranges of the document, last exclusive, in order; ``taken`` is the
-    words in them, repeats counted, never over three times ``size``. Null
+    ``passes`` lists the parts that the mix takes: ``(first, last, times,
+    shard)`` word ranges of the document, last exclusive, in order, and how
+    often the shard (from 0) has them. Each shard has its ``shard_quotas`` of
+    every source's blocks; what is taken in all does not depend on ``shards``.
+    ``taken`` is the words in the parts, repeats counted, never over three times ``size``. Null
     texts have size 0 and take nothing; the null source is a source of its
     own; rows that repeat are documents of their own. An empty table gives
     an empty result. Other columns are read only if named in ``keep``.
@@ -130,8 +141,11 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     recipe = make_recipe(sized, **options) if recipe is None else recipe
-    schema = "at int, name string, source_size long, target double, blocks long, whole long, extra long, stride long, segments long"
-    table = spark.createDataFrame([(i, r.source, r.size, r.target, r.blocks, r.seats // r.blocks, r.seats % r.blocks, _stride(r.blocks, seed), max(1, r.rows // SEGMENT_ROWS)) for i, r in enumerate(recipe)], schema)
+    if shards < 1:
+        raise ValueError("a mix has one shard at least")
+    ends = list(accumulate(shard_quotas(recipe, shards)[:-1], lambda x, y: [a + b for a, b in zip(x, y, strict=True)]))
+    schema = "at int, name string, source_size long, target double, blocks long, whole long, extra long, stride long, segments long, ends array<long>"
+    table = spark.createDataFrame([(i, r.source, r.size, r.target, r.blocks, r.seats // r.blocks, r.seats % r.blocks, _stride(r.blocks, seed), max(1, r.rows // SEGMENT_ROWS), [e[i] for e in ends]) for i, r in enumerate(recipe)], schema)
     # The recipe has MAX_SOURCES rows at most.
     rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").drop("name", "source")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -148,9 +162,13 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
              j -> named_struct(
                'first', greatest(0, (j * source_size) div blocks - first),
                'last', least(size, ((j + 1) * source_size) div blocks - first),
-               'times', whole + CASE WHEN pmod(j * stride, blocks) < extra THEN 1 ELSE 0 END))
-           ELSE CAST(array() AS ARRAY<STRUCT<first: BIGINT, last: BIGINT, times: BIGINT>>) END"""
+               'shards', transform(filter(sequence(0L, whole), t -> t < whole OR pmod(j * stride, blocks) < extra),
+                 t -> size(filter(ends, e -> e <= t * blocks + IF(t < whole, j, pmod(j * stride, blocks)))))))
+           ELSE CAST(array() AS ARRAY<STRUCT<first: BIGINT, last: BIGINT, shards: ARRAY<INT>>>) END"""
     )
-    rows = rows.withColumn("passes", F.filter(parts, lambda p: (p["first"] < p["last"]) & (p["times"] > 0)))
+    rows = rows.withColumn("parts", F.filter(parts, lambda p: p["first"] < p["last"]))
+    times = """flatten(transform(parts, p -> transform(array_distinct(p.shards), s -> named_struct(
+             'first', p.first, 'last', p.last, 'times', CAST(size(filter(p.shards, x -> x = s)) AS BIGINT), 'shard', s))))"""
+    rows = rows.withColumn("passes", F.expr(times))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + (p["last"] - p["first"]) * p["times"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", *[F.col(f"keep_{c}").alias(c) for c in keep])

@@ -29,7 +29,9 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("passes")
+    """``by_shard`` has the words that each shard takes, shard 0 first."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), shards=mixing.SHARDS)
+    return mixed.withColumn("by_shard", mixing.by_shard("passes", mixing.SHARDS)).drop("passes")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

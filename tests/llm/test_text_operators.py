@@ -107,6 +107,31 @@ def test_mix(spark):
     assert sorted((r.doc_id, r["size"], r.taken) for r in again) == sorted((r.doc_id, r["size"], r.taken) for r in got)
 
 
+def test_mix_shards(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 400))), rng.choice(["a", "a", "a", "a", "b", None])) for i in range(300)] + [(300, "one two three", "tiny"), (301, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    recipe = mixing.make_recipe(df.select("source", mixing.words(df.text).alias("size")))
+    assert any(r.seats > r.blocks for r in recipe) and any(0 < r.seats < r.blocks for r in recipe)
+    plain = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    for shards in (1, 5):
+        got = mixing.mix(df, keep=("source",), shards=shards).withColumn("by_shard", mixing.by_shard("passes", shards)).collect()
+        assert {r.doc_id: r.taken for r in got} == plain
+        have = Counter()
+        for r in got:
+            assert sum(r.by_shard) == r.taken and len(r.by_shard) == shards
+            for p in r.passes:
+                have[r.source, p["shard"]] += (p["last"] - p["first"]) * p["times"]
+        quotas = mixing.shard_quotas(recipe, shards)
+        assert all(min(q) >= 0 for q in quotas) and max(map(sum, quotas)) - min(map(sum, quotas)) <= 1
+        for s, quota in enumerate(quotas):  # blocks of a source differ by one word at most
+            for r, n in zip(recipe, quota, strict=True):
+                low = r.size // r.blocks
+                assert n * low <= have[r.source, s] <= n * (low + 1)
+                # A shard is at the mix itself: its seats are within a few of an equal share.
+                assert abs(n - r.seats / shards) <= 2
+
+
 # -- 6
 
 
