@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to numpy at once inside a task; bounds memory with very long texts.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, handed to numpy at once inside a task; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+#: Rows and bytes of one Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into small ones."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into parts of at most ``rows`` rows and ``size`` bytes of the column ``text``, one row at least."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        upto = np.zeros(batch.num_rows, dtype=np.int64) if text is None else np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = upto[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(upto, done + size, side="right"))), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -97,8 +106,12 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     return mix64(sums + mix64(size.astype(np.uint64)))
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, so that long texts fit a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches of whole texts by rows and bytes, so that long texts fit a worker's memory.
+
+    Spark reads these settings when the plan runs, so they stay lowered in the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key, "2147483646"))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))

@@ -10,9 +10,12 @@ global id stream with two-level prefix sums (per file, then inside a file).
 
 from __future__ import annotations
 
-import re
+import codecs
+import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +23,97 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
-
-#: Words whose ids a worker remembers; the older half goes when it is full.
-CACHE_WORDS = 1_000_000
-#: A space may end one piece and start the next only between two of these.
-_LOOSE = re.compile("[^!-~¡-ᙹ、-퟿\n ]|^ | $|[ \n] | \n")
-_TIGHT = re.compile("(?<=[!-~¡-ᙹ、-퟿]) (?=[!-~¡-ᙹ、-퟿])")
-#: Bytes of UTF-8 texts in which white space can only be a blank or a line feed.
-_PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0), *range(0xE4, 0xEA)])
-
-
-def is_plain(text: str) -> bool:
-    """Whether every blank of the text stands between visible characters, told without looking at each."""
-    plain = not text.encode("utf-8", "replace").translate(None, _PLAIN)
-    return plain and "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
-
-
-def cut_texts(texts: list[str]) -> pa.ListArray:
-    """Each text cut at blanks between visible characters; a piece after the first stands for a blank and itself."""
-    odd = {i: _TIGHT.split(t) if _LOOSE.search(t) else t.split(" ") for i, t in enumerate(texts) if not is_plain(t)}
-    if not odd:
-        return pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
-    cut = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], type=pa.large_string()), " ")
-    both = pa.concat_arrays([cut, pa.array(list(odd.values()), type=cut.type)])
-    place = np.arange(len(texts))
-    place[list(odd)] = len(texts) + np.arange(len(odd))
-    return both.take(pa.array(place))
-
+from .common import bound_batches, mix64, slices
+
+#: What a worker remembers of pieces and their ids, and about what a piece takes beside its ids.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 48
+#: Bytes of text that are encoded together.
+TOGETHER = 2 << 20
+
+# What the first byte of a character says about it: white space or unsure, visible, a Latin letter, a mark.
+_UNSURE, _VISIBLE, _LETTER, _MARK = range(4)
+
+
+def _byte_kinds() -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[33:127] = _MARK
+    out[[39, *range(48, 58)]] = _VISIBLE
+    out[[*range(65, 91), *range(97, 123)]] = _LETTER
+    out[0xC3:0xCA] = _LETTER  # U+00C0 to U+027F
+    out[[*range(0xCA, 0xE1), *range(0xE4, 0xEE)]] = _VISIBLE
+    return out
+
+
+def _byte_signs() -> str:
+    """The sign that stands for each byte in a byte-level vocabulary; a line feed stays, as a delimiter."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    signs = [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+    signs[10] = "\n"
+    return "".join(signs)
+
+
+BYTE_KINDS, BYTE_SIGNS = _byte_kinds(), _byte_signs()
+
+
+def take_runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, laid end to end."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Texts cut where byte-level BPE never merges; ``led`` pieces follow a blank that is theirs."""
+
+    first: np.ndarray
+    last: np.ndarray
+    led: np.ndarray
+    #: Per text, the place of its first piece, and one more number for the end.
+    of_text: np.ndarray
+    #: Whether every byte belongs to a Latin letter.
+    letters: np.ndarray
+    #: Two independent 64-bit hashes, which together stand for the piece.
+    key: np.ndarray
+    check: np.ndarray
+
+
+def cut_pieces(raw: np.ndarray, offsets: np.ndarray) -> Pieces:
+    """Cut texts, laid end to end as UTF-8, at single blanks and line feeds between visible characters and before marks that follow letters."""
+    n = len(raw)
+    place = np.arange(n, dtype=np.int32)
+    kind = BYTE_KINDS[raw[np.maximum.accumulate(np.where((raw & 0xC0) == 0x80, 0, place))]]
+    signs = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # multiplied, divided by
+    kind[signs] = kind[signs + 1] = _VISIBLE
+    inner = np.zeros(n, dtype=bool)
+    inner[1:-1] = (kind[:-2] > 0) & (kind[2:] > 0)
+    some = offsets[1:] > offsets[:-1]
+    inner[offsets[:-1][some]] = inner[offsets[1:][some] - 1] = False
+    blank = inner & (raw == 32)
+    line = np.flatnonzero(inner & (raw == 10))
+    begin = np.zeros(n, dtype=bool)
+    begin[offsets[:-1][some]] = begin[line] = begin[line + 1] = begin[np.flatnonzero(blank) + 1] = True
+    begin[1:] |= (kind[:-1] == _LETTER) & (kind[1:] == _MARK)
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], n)
+    place -= np.repeat(first, last - first).astype(np.int32)
+    last = last - blank[last - 1]
+    led = (first > 0) & blank[first - 1]
+    value = (raw.astype(np.uint64) + np.uint64(1)) * ~blank
+    extra = mix64((last - first).astype(np.uint64) * np.uint64(2) + led)
+    key, check = (mix64(np.add.reduceat(value * powers[place & (len(powers) - 1)], first) + extra) for powers in _POWERS)
+    letters = np.logical_and.reduceat((kind == _LETTER) | blank, first)
+    return Pieces(first, last, led, np.searchsorted(first, offsets), letters, key, check)
+
+
+def _powers(base: int, n: int = 4096) -> np.ndarray:
+    out = [1]
+    while len(out) < n:
+        out.append(out[-1] * base % (1 << 64))
+    return np.array(out, dtype=np.uint64)
+
+
+_POWERS = (_powers(0x9E3779B97F4A7C15), _powers(0xD1342543DE82EF95))
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -60,82 +126,159 @@ ORC_OPTIONS = {
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE tokenizer, remembering frequent words.
+    """Encodes texts with a tokenizer, remembering the ids of frequent pieces.
 
-    Byte-level BPE never merges across a space between two visible characters,
-    so a text's ids are those of its space-led pieces in order. Unseen pieces
-    of a text are joined again, encoded in one call and cut where a token
-    starts with the space sign. Texts with other white space in unusual places
-    are cut only at the safe spaces.
+    Byte-level BPE never merges across the cuts of ``cut_pieces``, so a text's
+    ids are those of its pieces in order. Unseen pieces of Latin letters are
+    one word each to the model, which takes them in one call; other pieces led
+    by a blank are joined again and cut where a token starts with the space
+    sign. Any other kind of tokenizer encodes whole texts.
+
+    Pieces are known by 128 bits of hashes. The memory is bounded: when it
+    holds more than ``cache_bytes``, the half that was used least goes.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache_bytes = cache_bytes
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        cut = kind.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind.get("normalizer")
+        self.by_piece = bool(plain and isinstance(self.tokenizer.model, models.BPE))
+        self.added = [t["content"] for t in kind.get("added_tokens") or []]
+        if not self.by_piece:
+            return
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         vocab = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.leads[i] = token.startswith("Ġ")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.half = max(1, cache_words // 2)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = self._ids(" " + " ".join(pieces))
-        cuts = np.flatnonzero(self.leads[ids])
-        if len(cuts) != len(pieces):  # a piece with its own space-led token
-            return {p: self._ids(" " + p).tobytes() for p in pieces}
-        raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-        return {p: raw[a:b] for p, a, b in zip(pieces, (4 * cuts).tolist(), ends, strict=True)}
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, a blank before each."""
-        young, old = self.young, self.old
-        found = [young.get(p) for p in pieces]
-        missing = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                p = pieces[i]
-                if (ids := old.get(p)) is None:
-                    missing.append(p)
-                else:
-                    young[p] = found[i] = ids
-        if missing:
-            young |= self._learn(missing)
-            found = [young[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        if len(young) > self.half:
-            self.young, self.old = {}, young
-        return found
-
-    def encode_all(self, texts: list[str], end: tuple[int, ...] = ()) -> pa.ListArray:
-        """The ids of each text, with ``end`` after them, as lists of 32-bit integers."""
-        cut = cut_texts(texts)
-        stops = np.asarray(cut.offsets).astype(np.int64)
-        sizes = np.diff(stops)
-        rest = np.ones(int(stops[-1] - stops[0]), dtype=bool)
-        rest[stops[:-1] - stops[0]] = False
-        pieces = cut.flatten()
-        flat, first_ones = pieces.filter(pa.array(rest)).dictionary_encode(), pieces.filter(pa.array(~rest)).to_pylist()
-        # One numbered list of ids for each distinct piece, each head (no blank before it), and the end.
-        parts = self._known(flat.dictionary.to_pylist())
-        heads = len(parts)
-        parts += [self._ids(p).tobytes() if p else b"" for p in first_ones]
-        parts.append(np.array(end, dtype="<u4").tobytes())
-        length = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-        pool = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)])), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
-        # Each text is its head, its other pieces, the end.
-        first = np.concatenate([[0], np.cumsum(sizes + 1)])
-        order = np.full(int(first[-1]), -1, dtype=np.int64)
-        order[first[:-1]] = heads + np.arange(len(texts))
-        order[first[1:] - 1] = len(parts) - 1
-        order[order < 0] = np.asarray(flat.indices)
-        values = pool.take(pa.array(order)).flatten()
-        ends = np.concatenate([[0], np.cumsum(length[order])])[first]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+        none = np.zeros(0, dtype=np.int64)
+        # Per entry: the second hash, where its ids start, how many, uses; and the first hashes in order with their entries.
+        self.check, self.starts, self.sizes, self.uses = none.astype(np.uint64), none, none, none
+        self.keys, self.slots = none.astype(np.uint64), none
+        self.values = none.astype(np.int32)
+
+    def _ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and how many each text has."""
+        told = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in told for i in ids], dtype=np.int32), np.array([len(ids) for ids in told], dtype=np.int64)
+
+    def _trim(self) -> None:
+        if len(self.keys) * ENTRY_BYTES + self.values.nbytes > self.cache_bytes:
+            stay = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+            self.values = take_runs(self.values, self.starts[stay], self.sizes[stay])
+            self.check, self.sizes, self.uses = self.check[stay], self.sizes[stay], self.uses[stay] // 2
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            moved = np.full(len(self.slots), -1, dtype=np.int64)
+            moved[stay] = np.arange(len(stay))
+            here = moved[self.slots] >= 0
+            self.keys, self.slots = self.keys[here], moved[self.slots[here]]
+
+    def _learn(self, raw: np.ndarray, p: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces ``which``, end to end in that order, and how many each has."""
+
+        def joined(at: np.ndarray, before: bytes) -> bytes:
+            """The pieces with ``before`` in front of each."""
+            size = p.last[at] - p.first[at] + len(before)
+            out = take_runs(raw, p.first[at] - len(before), size) if len(raw) else raw
+            head = np.cumsum(size) - size
+            for k, c in enumerate(before):
+                out[head + k] = c
+            return out.tobytes()
+
+        plain = p.led[which] & p.letters[which]
+        others = p.led[which] & ~plain
+        parts = []
+        if plain.any():
+            # Two bytes stand before every led piece, but before the first of all.
+            signs = codecs.charmap_decode(b"\n" + joined(which[plain], b" ").replace(b" ", b"\n ")[1:], "strict", BYTE_SIGNS)[0]
+            ids = np.asarray(self.words.encode_batch_fast([signs], add_special_tokens=False)[0].ids, dtype=np.int32)
+            parts.append((plain, ids, np.diff(np.append(np.flatnonzero(self.leads[ids]), len(ids)))))
+        if others.any():
+            ids, _ = self._ids_of([joined(which[others], b" ").decode()])
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) == int(others.sum()) and cuts[0] == 0:
+                parts.append((others, ids, np.diff(np.append(cuts, len(ids)))))
+            else:  # a piece with a space-led token of its own
+                parts.append((others, *self._ids_of([" " + raw[i:j].tobytes().decode() for i, j in zip(p.first[which[others]].tolist(), p.last[which[others]].tolist(), strict=True)])))
+        tight = ~p.led[which]
+        if tight.any():
+            parts.append((tight, *self._ids_of([raw[i:j].tobytes().decode() for i, j in zip(p.first[which[tight]].tolist(), p.last[which[tight]].tolist(), strict=True)])))
+        order = np.argsort(np.concatenate([np.flatnonzero(mask) for mask, _, _ in parts]), kind="stable")
+        sizes = np.concatenate([size for _, _, size in parts])
+        starts = np.cumsum(sizes) - sizes
+        return take_runs(np.concatenate([ids for _, ids, _ in parts]), starts[order], sizes[order]), sizes[order]
+
+    def _known(self, raw: np.ndarray, p: Pieces) -> np.ndarray | None:
+        """The entry of each piece, or None where hashes clash."""
+        coded = pa.array(p.key).dictionary_encode()
+        code, keys = np.asarray(coded.indices), np.asarray(coded.dictionary)
+        example = np.zeros(len(keys), dtype=np.int64)
+        example[code[::-1]] = np.arange(len(code))[::-1]
+        check = p.check[example]
+        if (check[code] != p.check).any():
+            return None
+        order = np.argsort(keys)
+        keys, example, check = keys[order], example[order], check[order]
+        at = np.searchsorted(self.keys, keys)
+        seen = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        seen[inside] = self.keys[at[inside]] == keys[inside]
+        entry = np.full(len(keys), -1, dtype=np.int64)
+        entry[seen] = self.slots[at[seen]]
+        if (self.check[entry[seen]] != check[seen]).any():
+            return None
+        new = np.flatnonzero(~seen)
+        if len(new):
+            ids, sizes = self._learn(raw, p, example[new])
+            entry[new] = len(self.sizes) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+            self.values, self.sizes = np.concatenate([self.values, ids]), np.concatenate([self.sizes, sizes])
+            self.check, self.uses = np.concatenate([self.check, check[new]]), np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], entry[new])
+        self.uses[entry] += 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return entry[back[code]]
+
+    def encode_all(self, texts: pa.Array, end: tuple[int, ...] = ()) -> pa.ListArray:
+        """The ids of each text (none is null), with ``end`` after them, as lists of 32-bit integers."""
+        if not self.by_piece:
+            return self._encode_whole(texts, end)
+        texts = texts.cast(pa.large_string())
+        # Added tokens may hold cuts: texts with one are encoded whole.
+        odd = reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pa.array(np.zeros(len(texts), dtype=bool)))
+        if not pc.any(odd).as_py():
+            return self._encode_pieces(texts, end)
+        rest = pc.invert(odd)
+        both = pa.concat_arrays([self._encode_whole(texts.filter(odd), end), self._encode_pieces(texts.filter(rest), end)])
+        return both.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(odd), np.flatnonzero(rest)]))))
+
+    def _encode_whole(self, texts: pa.Array, end: tuple[int, ...]) -> pa.ListArray:
+        told = [[*x.ids, *end] for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return pa.array(told, type=pa.list_(pa.int32()))
+
+    def _encode_pieces(self, texts: pa.Array, end: tuple[int, ...]) -> pa.ListArray:
+        self._trim()
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        if len(raw) < 3:
+            return self._encode_whole(texts, end)
+        p = cut_pieces(raw, offsets - offsets[0])
+        order = self._known(raw, p)
+        if order is None:
+            return self._encode_whole(texts, end)
+        # The end after each text's pieces.
+        pool = np.append(self.values, np.array(end, dtype=np.int32))
+        starts, sizes = np.append(self.starts, len(self.values)), np.append(self.sizes, len(end))
+        order = np.insert(order, p.of_text[1:], len(self.sizes))
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])[p.of_text + np.arange(len(p.of_text))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(take_runs(pool, starts[order], sizes[order])))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -154,14 +297,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     first; rows that share an id stay, ordered by text. An empty table writes
     files without rows. Other columns of ``docs`` are not read. ``block`` is
     the number of the range (and of its file), ``pos`` the row's place in it.
+    Ranges are cut by id and text, so that rows of one id spread over several.
+    A text longer than a slice is encoded by itself, as a whole.
     """
     bound_batches(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pos = _encoder(tokenizer), 0
-        for b in slices(batches):
-            ids = coder.encode_all(b.column("text").to_pylist(), (end_id,))
+        for b in slices(batches, "text", 1 << 20, TOGETHER):
+            ids = coder.encode_all(b.column("text"), (end_id,))
             sizes = np.diff(np.asarray(ids.offsets)).astype(np.int64)
             at = pa.array(np.arange(pos, pos + b.num_rows, dtype=np.int64))
             pos += b.num_rows
@@ -171,6 +316,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     ordered.withColumn("block", F.spark_partition_id()).mapInArrow(encode, schema).write.options(**ORC_OPTIONS).orc(path)
 
 
+def lookup_tokens(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` of a short list of documents.
+
+    The ids go to the ORC reader, which skips the stripes and strides whose
+    index or Bloom filter holds none of them.
+    """
+    return spark.read.schema("doc_id long, block int, pos long, n_tokens long, ids array<int>").orc(path).filter(F.col("doc_id").isin([int(i) for i in ids])).select("doc_id", "n_tokens", "ids")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the ORC files.
 
