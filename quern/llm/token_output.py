@@ -294,14 +294,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     """Write ``(doc_id, block, pos, n_tokens, ids)`` as ORC under ``path``, ascending by id.
 
     A null text counts as empty (its ids are just ``end_id``). Null ids come
-    first; rows that share an id stay, ordered by text. An empty table writes
+    first; rows that share an id stay, ordered by a hash of their texts. An empty table writes
     files without rows. Other columns of ``docs`` are not read. ``block`` is
     the number of the range (and of its file), ``pos`` the row's place in it.
-    Ranges are cut by id and text, so that rows of one id spread over several.
+    Ranges are cut by id and hash, so that rows of one id spread over several.
     A text longer than a slice is encoded by itself, as a whole.
     """
     bound_batches(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spread", F.xxhash64("text")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread").drop("spread")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pos = _encoder(tokenizer), 0

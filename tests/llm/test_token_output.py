@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -12,10 +13,15 @@ tokenizers = pytest.importorskip("tokenizers")
 from quern.llm import common, queries, token_output  # noqa: E402
 
 
+def hashed(text):
+    """What Spark's ``xxhash64`` gives."""
+    return int.from_bytes(xxhash.xxh64((text or "").encode(), seed=42).digest(), "big", signed=True)
+
+
 def brute(rows):
     tok = tokenizers.Tokenizer.from_file(queries.default_tokenizer())
     out, start = [], 0
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]))):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
