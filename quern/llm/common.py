@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows, and bytes of text, handed to numpy at once inside a task; a longer text is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
@@ -57,6 +58,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int
             at = to
 
 
+def keep_apart(docs: DataFrame, keep: tuple[str, ...], new: tuple[str, ...], text_col: str) -> DataFrame:
+    """The ``keep`` columns and the text as ``__text``; one that shares its name with a ``new`` column becomes ``kept_<name>``."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}" if c in new else c) for c in keep], F.col(f"`{text_col}`").alias("__text"))
+
+
+def salted_join(rows: DataFrame, other: DataFrame, on: str, spread: Column, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join on a column that may be hot in ``rows`` and is unique in ``other``: rows of a key are dealt over ``salts`` tasks, ``other`` is repeated."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [on, "__salt"], how).drop("__salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (xor-shift-multiply), on uint64 arrays."""
     x = x ^ (x >> np.uint64(32))

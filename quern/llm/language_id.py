@@ -4,7 +4,9 @@ For each language a suffix automaton of labelled text is built (a bounded
 sample). A text is parsed against it into phrases, each the longest match that
 the automaton holds; the language that needs the fewest phrases per symbol
 wins. Texts are parsed many at a time: fixed-length blocks of their symbols
-walk dense transition tables in step, a phrase also ending at a block's end.
+walk the automata in step, a phrase also ending at a block's end. An
+automaton's rows lie interleaved in one array, so that it takes a few bytes
+per transition, whatever the alphabet.
 """
 
 from __future__ import annotations
@@ -17,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, keep_apart, slices
 
 #: Documents of the sample, about, for each language, and symbols kept of all of them.
 TRAIN_DOCS, TRAIN_SYMBOLS = 128, 20_000
-#: Languages at most (a broadcast table each, at most 2 x TRAIN_SYMBOLS states x 96 classes x 4 bytes).
-MAX_LANGUAGES = 64
+#: Every label is learned; more than this many, of about 1 MB each in each task, are refused.
+MAX_LANGUAGES = 300
 #: Symbols of one parsed block.
 BLOCK = 256
 #: Symbol classes: 0 is a run of non-letters, then frequent letters, then hashed rare ones.
-FREQUENT, HASHED = 71, 24
+FREQUENT, HASHED = 3000, 1000
 #: Scores: how steeply a difference in phrases per symbol turns into certainty.
 STEEP = 60.0
 
@@ -34,7 +36,7 @@ STEEP = 60.0
 def _fold() -> np.ndarray:
     """Code point -> its lower-case code point; 0 for what is not a letter."""
     out = np.zeros(0x110000, dtype=np.int32)
-    for cp in range(0x30000):
+    for cp in range(len(out)):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
@@ -87,12 +89,51 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Automaton:
+    """Transitions in one array: those of state ``p`` are at ``base[p] + symbol`` where ``owner`` says so."""
+
+    def __init__(self, go: list[dict[int, int]], width: int):
+        self.base = np.zeros(len(go), dtype=np.int32)
+        slots = sum(map(len, go[1:])) * 2 + 2 * width
+        self.owner, self.next = np.full(slots, -1, dtype=np.int32), np.zeros(slots, dtype=np.int32)
+        # Where a phrase starts anew; a symbol that the language lacks is a phrase of its own.
+        self.root = np.zeros(width, dtype=np.int32)
+        self.root[list(go[0])] = list(go[0].values())
+        used, free = np.zeros(slots + width, dtype=bool), width
+        for p in sorted(range(1, len(go)), key=lambda p: -len(go[p])):
+            if not go[p]:
+                continue
+            symbols = np.fromiter(go[p], dtype=np.int64)
+            offsets = symbols - symbols[0]
+            while used[free]:
+                free += 1
+            at = free
+            while True:
+                tries = at + np.flatnonzero(~used[at : at + 256])
+                fits = tries[~used[tries[:, None] + offsets].any(axis=1)] if len(offsets) > 1 else tries
+                if len(fits):
+                    break
+                at += 256
+            place = fits[0] + offsets
+            used[place] = True
+            self.base[p] = fits[0] - symbols[0]
+            self.owner[place] = p
+            self.next[place] = np.fromiter(go[p].values(), dtype=np.int64)
+        last = int(np.flatnonzero(used)[-1]) + 1 if used.any() else 0
+        self.owner, self.next = self.owner[: last + width], self.next[: last + width]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether the symbol starts a phrase."""
+        at = self.base.take(state) + symbol
+        inside = self.owner.take(at) == state
+        return np.where(inside, self.next.take(at), self.root.take(symbol)), ~inside
+
+
 class Parser:
-    """The trained languages: a symbol table and one dense automaton each."""
+    """The trained languages: a symbol table and one automaton each."""
 
-    def __init__(self, names: list[str], alphabet: list[int], tables: list[np.ndarray]):
+    def __init__(self, names: list[str], alphabet: list[int], tables: list[Automaton]):
         self.names, self.alphabet, self.tables = names, alphabet, tables
-        self.width = 1 + FREQUENT + HASHED
 
     @classmethod
     def train(cls, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS) -> Parser:
@@ -104,23 +145,12 @@ class Parser:
         for group in coded.values():
             each = max(1, symbols // max(1, len(group)))
             joined = np.concatenate([np.concatenate([t[:each], [0]]) for t in group] or [np.zeros(0, dtype=np.int32)])
-            self.tables.append(self._dense(suffix_automaton(self.symbols(joined).tolist())))
+            self.tables.append(Automaton(suffix_automaton(self.symbols(joined).tolist()), 1 + FREQUENT + HASHED))
         return self
 
-    def _dense(self, go: list[dict[int, int]]) -> np.ndarray:
-        """Next state x width, lowest bit set where the symbol starts a phrase (always, at the root)."""
-        root = np.ones(self.width, dtype=np.int32)
-        for c, q in go[0].items():
-            root[c] = (q * self.width << 1) | 1
-        table = np.tile(root, (len(go), 1))
-        for p, row in enumerate(go):
-            if p and row:
-                table[p, list(row)] = np.fromiter(row.values(), dtype=np.int32) * self.width << 1
-        return table.ravel()
-
     def symbols(self, folded: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_lut"):
-            lut = (np.arange(0x110000) % HASHED + 1 + FREQUENT).astype(np.uint8)
+            lut = (np.arange(0x110000) % HASHED + 1 + FREQUENT).astype(np.int32)
             lut[0] = 0
             lut[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
             self._lut = lut
@@ -147,9 +177,8 @@ class Parser:
                 n = active[j]
                 if not n:
                     break
-                step = table.take(state[:n] + steps[j, :n])
-                count[:n] += step & 1
-                state[:n] = step >> 1
+                state[:n], fresh = table.step(state[:n], steps[j, :n])
+                count[:n] += fresh
             count[order] = count.copy()
             np.add.at(out[:, k], owner, count)
         return out
@@ -179,11 +208,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample: about ``train_docs`` labelled documents of each language, by id hash.
 
     Held-out rows and rows without id, text or language are not used. The
-    sample's bounds are ``train_docs`` and ``symbols``; counting the labels
-    reads all rows.
+    sample's bounds are ``train_docs`` documents and ``symbols`` symbols a
+    language; of each document it takes one passage, from a place drawn by its
+    id, twice as long as its even share of the symbols (white space and digits
+    fold). Counting the labels reads all rows.
     """
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Parser([], [], [])
     span = 1 << 40
@@ -192,7 +225,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     any_ = chosen[0]
     for c in chosen[1:]:
         any_ = any_ | c
-    rows = usable.filter(any_).select("lang", "id", drawn.alias("drawn"), F.substring("text", 1, symbols).alias("text")).collect()
+    share = F.lit(2 * max(1, symbols // train_docs))
+    start = F.pmod(F.xxhash64(F.lit(29), "id"), F.greatest(F.lit(1).cast("long"), F.length("text") - share + 1)).cast("int") + 1
+    rows = usable.filter(any_).select("lang", "id", drawn.alias("drawn"), F.substring("text", start, share).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.drawn, r.id, r.text)):
         if len(group := texts.setdefault(r.lang, [])) < train_docs:
@@ -206,18 +241,21 @@ def identify(docs: DataFrame, parser: Parser, text_col: str = "text", keep: tupl
     Null texts and texts without letters are ``und`` with score 0, and so is
     every text if nothing was learned. Ties go to the first language by name.
     Rows that repeat are judged alike; an empty table gives an empty result.
+    Texts of any length are parsed whole, in slices bounded by bytes. A kept
+    column that has the name of a returned one comes back as ``kept_<name>``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(parser)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
+    slim = keep_apart(docs, keep, ("lang_pred", "score", "phrase_rate"), text_col)
+    names = slim.columns[:-1]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches):
+        for b in slices(batches, "__text"):
             said = model.predict(b.column("__text").to_pylist())
             new = [pa.array([x[k] for x in said], type=t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], names=[*names, "lang_pred", "score", "phrase_rate"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return slim.mapInArrow(judge, f"{fields + ', ' if fields else ''}lang_pred string, score double, phrase_rate double")

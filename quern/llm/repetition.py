@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound_batches, mix64, slices, word_hashes
+from .common import SPACE, bound_batches, keep_apart, mix64, slices, word_hashes
 
 #: Words of a repeat that counts towards the method's limits.
 MIN_REPEAT = 10
@@ -164,12 +164,16 @@ def judge_repetition(docs: DataFrame, text_col: str = "text", keep: tuple[str, .
     ``covered`` words, with ``longest``, the words of the longest repeat of
     three or more. Null is an empty text: all counts 0, so the base fails it.
     Rows that repeat are judged alike; an empty table gives an empty result.
+    Texts are laid end to end in slices bounded by bytes; a longer text is a
+    slice of its own, whole. A kept column that has the name of a returned one
+    comes back as ``kept_<name>``.
     """
     bound_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
+    slim = keep_apart(docs, keep, (*_NUMBERS, "base_failed", "kept"), text_col)
+    names = slim.columns[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, "__text"):
             raw = [(t or "").encode("utf-8", "replace") for t in b.column("__text").to_pylist()]
             words = [word_hashes(t, lower=False) for t in raw]
             sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -178,7 +182,7 @@ def judge_repetition(docs: DataFrame, text_col: str = "text", keep: tuple[str, .
             hit, more = repeats(np.concatenate(words), owner, min_repeat)
             more = [np.pad(m, (0, len(raw) - len(m))) for m in more]
             cols = [sizes, lines[:, 0], lines[:, 1], lines[:, 2], np.bincount(owner[hit], minlength=len(raw)), *more]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(np.asarray(c, dtype=np.int64)) for c in cols)], names=[*keep, *_NUMBERS])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(np.asarray(c, dtype=np.int64)) for c in cols)], names=[*names, *_NUMBERS])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields[:-1])
     rows = slim.mapInArrow(count, fields + ", ".join(f"{c} long" for c in _NUMBERS))

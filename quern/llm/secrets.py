@@ -2,21 +2,25 @@
 
 Three fixed patterns find the usual forms. The method looks at every other
 token-like string that follows a sensitive word closely: it compresses the
-surrounding line with and without the string, primed with a dictionary of
-identifiers, and reports strings whose marginal cost in bytes is near their
-length: a random key cannot be predicted, a name or a sentence can.
+string, primed with a dictionary of identifiers and with the rest of its line,
+and reports strings whose marginal cost in bytes is near what random signs of
+their own alphabet cost: a random key cannot be predicted, a name or a sentence
+can.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, keep_apart, slices
 
 #: Kinds in the order in which they are listed where spans start together.
 KINDS = ("assign", "access", "hex", "novel")
@@ -24,8 +28,8 @@ KINDS = ("assign", "access", "hex", "novel")
 MIN_LENGTH = 16
 #: that a sensitive word precedes by this many characters at most,
 CONTEXT = 40
-#: and reports those with a marginal cost of this many bytes per character or more.
-MIN_NOVELTY = 0.75
+#: and reports those whose marginal cost is this part, or more, of random signs' cost.
+MIN_NOVELTY = 0.9
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -45,18 +49,30 @@ IDENTIFIERS = (
 
 
 class Novelty:
-    """Marginal compressed size of a string in its context."""
+    """Marginal compressed size of strings in their line."""
 
     def __init__(self, identifiers: str = IDENTIFIERS):
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        self.zstd, self.identifiers = zstandard, identifiers.encode()
 
-    def rate(self, before: str, string: str, after: str) -> float:
-        """Bytes that the string adds to its context's compressed size, per character."""
-        bare = len(self.compress((before + " " + after).encode("utf-8", "replace")))
-        return (len(self.compress((before + " " + string + " " + after).encode("utf-8", "replace"))) - bare) / len(string)
+    def rates(self, line: str, strings: list[str]) -> list[float]:
+        """Bytes that each string adds after the identifiers and the rest of its line, per byte that random signs would add."""
+        primed = self.zstd.ZstdCompressionDict(self.identifiers + line.encode("utf-8", "replace"), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=3)
+        compress = self.zstd.ZstdCompressor(dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        bare = len(compress(b""))
+        return [(len(compress(x.encode())) - bare) / random_cost(x) for x in strings]
+
+
+def random_cost(token: str) -> float:
+    """Bytes of as many random signs of the smallest usual alphabet that the token fits in: short ones stay as they are, longer ones cost their entropy and a code table."""
+    signs = set(token)
+    low, high, digits = signs & set("abcdefghijklmnopqrstuvwxyz"), signs & set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), signs & set("0123456789")
+    size = 10 * bool(digits) + len(signs - low - high - digits)
+    for letters in (low, high):
+        size += (6 if letters <= set("abcdefABCDEF") else 26) if letters else 0
+    return min(len(token), len(token) * math.log2(max(size, 2)) / 8 + 10 + size / 3)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,8 +88,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
     """Strings that the method adds, in whole length; none that overlaps a known span."""
-    out, done = [], -1
-    run, end = 0, 0  # the last token measured; from any place inside it a match ends where it ends
+    starts = [a for a, _, _ in known]
+    reach = list(accumulate((b for _, _, b in known), max))
+    lines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    line, done, run, end = (0, -1), -1, 0, 0  # the last token met; from any place inside it a match ends where it ends
     for hint in _SENSITIVE.finditer(text):
         at = max(hint.end(), done)
         # The first MIN_LENGTH characters tell where a token starts.
@@ -82,12 +100,21 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty,
             if not run <= start < end:
                 run, end = start, _TOKEN.match(text, start).end()
             at = end
-            if any(a < end and start < b for a, _, b in known):
+            before = bisect_left(starts, end)
+            if before and reach[before - 1] > start:
                 continue
             done, token = end, text[start:end]
             # Letters of one case are words, whatever they cost.
-            if (any(c.isdigit() for c in token) or (token.lower() != token and not token.istitle() and token.upper() != token)) and novelty.rate(text[max(0, start - 120) : start], token, text[end : end + 80]) >= min_novelty:
-                out.append((start, 3, end))
+            if any(c.isdigit() for c in token) or (token.lower() != token and not token.istitle() and token.upper() != token):
+                if start > line[1]:
+                    stop = text.find("\n", end)
+                    line = text.rfind("\n", 0, start) + 1, len(text) if stop < 0 else stop
+                lines.setdefault(line, []).append((start, end))
+    out = []
+    for (first, last), spans in lines.items():
+        edges = [first, *(x for span in spans for x in span), last]
+        rest = " ".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+        out += [(i, 3, j) for (i, j), rate in zip(spans, novelty.rates(rest, [text[i:j] for i, j in spans]), strict=True) if rate >= min_novelty]
     return out
 
 
@@ -96,21 +123,25 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
     ``spans`` are ``(kind, first, last)``, in code points, last exclusive, by
     ``first`` and then in the order of ``KINDS``. A null text has none. Rows
-    that repeat are judged alike; an empty table gives an empty result.
+    that repeat are judged alike; an empty table gives an empty result. Whole
+    texts are searched, however long; a token costs its own length, a line with
+    tokens its length once. A kept column named ``spans`` comes back as
+    ``kept_spans``.
     """
     bound_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
+    slim = keep_apart(docs, keep, ("spans",), text_col)
+    names = slim.columns[:-1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
-        for b in slices(batches):
+        for b in slices(batches, "__text"):
             found = []
             for text in b.column("__text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 found.append([{"kind": KINDS[k], "first": i, "last": j} for i, k, j in sorted(base + novel_spans(text, base, novelty, min_novelty))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, type=kind)], names=[*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, type=kind)], names=[*names, "spans"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields[:-1])
     return slim.mapInArrow(scan, fields + "spans array<struct<kind: string, first: long, last: long>>")

@@ -162,6 +162,31 @@ def test_languages(spark, small):
     assert got.score.between(0, 1).all()
 
 
+def test_every_label_and_every_letter_counts(spark):
+    rng = random.Random(9)
+    syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(400)]
+    lexicon = {f"l{k:02}": ["".join(rng.choices(syllables, k=3)) for _ in range(60)] for k in range(65)}
+    rows = [(i, " ".join(rng.choices(lexicon[name], k=40)), name) for i, name in enumerate(list(lexicon) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language_id.train(docs)
+    assert parser.names == sorted(lexicon)
+    got = language_id.identify(docs, parser, keep=("doc_id", "lang")).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    # A letter beyond U+30000 is a letter; scripts of many signs keep apart.
+    signs = {name: ["".join(chr(rng.randrange(a, b)) for _ in range(3)) for _ in range(100)] for name, a, b in (("zh", 0x4E00, 0x9000), ("ja", 0x3041, 0x3090), ("ko", 0xAC00, 0xD700), ("old", 0x30000, 0x31000))}
+    some = language_id.Parser.train({n: ["".join(rng.choices(c, k=200)) for _ in range(20)] for n, c in signs.items()})
+    assert [some.predict(["".join(rng.choices(c, k=50))])[0][0] for c in signs.values()] == list(signs)
+
+
+def test_long_texts_parse_in_blocks():
+    rng = random.Random(4)
+    train = "".join(rng.choices("abcd", k=400))
+    parser = language_id.Parser.train({"x": [train]})
+    text = "".join(rng.choices("abcde", k=1000))
+    blocks = [text[i : i + language_id.BLOCK] for i in range(0, len(text), language_id.BLOCK)]
+    assert parser.phrases([language_id.letters(text)])[0, 0] == sum(brute_phrases(b, train + "\0") for b in blocks)
+
+
 def test_language_edges(spark):
     parser = language_id.Parser.train({"en": ["the cat and the dog"], "de": ["der hund und die katze"]})
     got = language_id.identify(frame(spark, [None, "", "123 !?", "the cat", "der hund"]), parser).collect()
@@ -259,8 +284,8 @@ def test_secrets(spark):
 
 
 def brute_novel(text, known, novelty):
-    """Every hint and every token from it on, without a bound on the token's end."""
-    out, done = [], -1
+    """Every hint and every token from it on, without a bound on the token's end; each line's tokens are measured against its rest."""
+    met, done = [], -1
     for hint in secrets._SENSITIVE.finditer(text):
         for m in secrets._TOKEN.finditer(text, max(hint.end(), done)):
             if m.start() - hint.end() > secrets.CONTEXT:
@@ -268,11 +293,53 @@ def brute_novel(text, known, novelty):
             if any(a < m.end() and m.start() < b for a, _, b in known):
                 continue
             done = m.end()
-            if (any(c.isdigit() for c in m[0]) or (m[0].lower() != m[0] and not m[0].istitle() and m[0].upper() != m[0])) and novelty.rate(text[max(0, m.start() - 120) : m.start()], m[0], text[m.end() : m.end() + 80]) >= secrets.MIN_NOVELTY:
-                out.append((m.start(), 3, m.end()))
+            if any(c.isdigit() for c in m[0]) or (m[0].lower() != m[0] and not m[0].istitle() and m[0].upper() != m[0]):
+                met.append((m.start(), m.end()))
+    out, at = [], 0
+    for line in text.split("\n"):
+        here = [(i, j) for i, j in met if at <= i < at + len(line)]
+        bare = "".join("\n" if any(k == i - at for i, _ in here) else c for k, c in enumerate(line) if not any(i - at < k < j - at for i, j in here)).replace("\n", " ")
+        if here:
+            out += [(i, 3, j) for (i, j), rate in zip(here, novelty.rates(bare, [text[i:j] for i, j in here]), strict=True) if rate >= secrets.MIN_NOVELTY]
+        at += len(line) + 1
     return out
 
 
+def test_novelty_does_not_depend_on_length_or_alphabet():
+    rng, novelty = random.Random(3), secrets.Novelty()
+    for signs in ("0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (24, 64, 100, 200, 9000):
+            for _ in range(10):
+                key = "1A"[signs[10] == "A"] + "".join(rng.choices(signs, k=n))
+                text = f"a line before\nmy credential is {key} here"
+                assert [(i, j) for i, _, j in secrets.novel_spans(text, [], novelty)] == [(31, 32 + n)]
+    for name in ("my_secret_key_identifier_name1", "xxxxxxxxxxxxxxxxxxxxxxx1", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert not secrets.novel_spans(f"the token {name} of it", [], novelty)
+    # A token that its own line spells out is not new, however far away.
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40)) + "7"
+    assert not secrets.novel_spans(f"{key} {'word ' * 500} the secret {key}", [], novelty)
+
+
+def test_kept_columns_with_the_names_of_new_ones(spark):
+    df = frame(spark).selectExpr("doc_id", "text", "lang AS spans", "lang AS n_words", "lang AS score")
+    assert secrets.scan_secrets(df, keep=("doc_id", "spans")).columns == ["doc_id", "kept_spans", "spans"]
+    assert repetition.judge_repetition(df, keep=("doc_id", "n_words")).columns[:3] == ["doc_id", "kept_n_words", "n_words"]
+    parser = language_id.Parser.train({"en": ["the cat"]})
+    assert {r.kept_score for r in language_id.identify(df, parser, keep=("doc_id", "score")).collect()} == {"en"}
+
+
+def test_empty_repeated_and_long_rows(spark):
+    long = "the secret is k3JvQ9xLm2Pq8RtZ and more words " * 40_000
+    rows = [(1, "one two three"), (1, "one two three"), (2, long), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parser = language_id.Parser.train({"en": ["the secret is and more words"]})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for run in (lambda d: secrets.digest(secrets.scan_secrets(d)), repetition.judge_repetition, lambda d: language_id.identify(d, parser), lambda d: decontaminate.digest(decontaminate.find_overlap(d, bench))):
+        assert run(df.limit(0)).count() == 0
+        got = [tuple(r) for r in run(df).orderBy("doc_id").collect()]
+        assert len(got) == 4 and got[0] == got[1]
+
+
 def test_long_secrets(spark):
     rng = random.Random(8)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
