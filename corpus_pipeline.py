@@ -22,8 +22,9 @@ MAX_PHRASE_RATE = 0.6
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language; null, empty and letterless texts go, and random strings."""
-    said = language_id.identify(docs, language_id.train(docs), keep=tuple(docs.columns))
-    return said.filter((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= MAX_PHRASE_RATE)).select(*docs.columns)
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
+    said = language_id.identify(packed, language_id.train(docs), keep=("row",))
+    return said.filter((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= MAX_PHRASE_RATE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
