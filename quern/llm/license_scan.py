@@ -1,8 +1,9 @@
 """Operator 2: license scans by sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file, and the whole of every licence file, is a unit.
-Units that could reach the limit must hold one of the anchor terms: those of a
-template that outweigh its other terms together, so the filter loses nothing.
+Every line of every file, every block of lines between blank ones (freed of
+comment signs) and every whole file is a unit. Units that could reach the limit must hold one of the anchor terms: the rarest
+of a template, without which the others weigh too little, so the filter loses
+nothing.
 Surviving units become sparse TF-IDF rows and are joined with the templates'
 rows by term. A file without a licence of its own takes that of the licence
 file in its nearest ancestor directory.
@@ -19,6 +20,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, salted_join
+from .license_texts import NOTICES, TEXTS
+
 #: Cosine from which a unit carries a template's licence.
 MIN_COSINE = 0.6
 #: Terms that all templates may have together.
@@ -26,20 +30,17 @@ MAX_TERMS = 20_000
 #: Names of licence files.
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 
-#: The short notices by which files refer to licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-)
+#: Weights are inverse shares of files, to this share; terms of no template weigh as common words do, however many files there are.
+LEAST_SHARE, OTHER_WEIGHT = 1e-3, 1.0
+#: Signs that open or close a line of a comment.
+COMMENT = r"^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--|dnl|rem)?[ \t]?|[ \t]*(?:\*+/|-->)?[ \t]*$"
+
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    """Notices, whole texts, and the blocks of texts that no other licence has."""
+    blocks = [(name, block) for name, text in TEXTS for block in dict.fromkeys([text, *text.split("\n\n")])]
+    owners = {block: {n for n, b in blocks if b == block} for _, block in blocks}
+    return tuple(dict.fromkeys([*NOTICES, *((n, b) for n, b in blocks if len(owners[b]) == 1 and len(template_terms(b)) > 3)]))
 
 
 def terms(text: Column) -> Column:
@@ -52,12 +53,14 @@ def template_terms(text: str) -> Counter:
     return Counter(re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
 
 
+TEMPLATES = _templates()
+
+
 class Model:
-    """Weights of the templates under the corpus' document frequencies."""
+    """Weights of the templates under the corpus' shares of files that hold their terms."""
 
     def __init__(self, templates, found: dict[str, int], files: int):
-        self.rare = math.log(1 + files) + 1
-        self.idf = {t: math.log((1 + files) / (1 + found.get(t, 0))) + 1 for _, text in templates for t in template_terms(text)}
+        self.idf = {t: -math.log(found.get(t, 0) / max(files, 1) * (1 - LEAST_SHARE) + LEAST_SHARE) + 1 for _, text in templates for t in template_terms(text)}
         self.rows: list[tuple[int, str, str, float]] = []
         for i, (name, text) in enumerate(templates):
             vector = {t: n * self.idf[t] for t, n in template_terms(text).items()}
@@ -69,7 +72,8 @@ class Model:
         out: set[str] = set()
         for i in {r[0] for r in self.rows}:
             rest = 1.0
-            for w, t in sorted(((r[3], r[2]) for r in self.rows if r[0] == i), reverse=True):
+            # Rarest first: what is left may be common, and is too little.
+            for _, t, w in sorted((-self.idf[r[2]], r[2], r[3]) for r in self.rows if r[0] == i):
                 if rest < (least - 1e-9) ** 2:
                     break
                 out.add(t)
@@ -91,52 +95,61 @@ def fit(files: DataFrame, templates=TEMPLATES, text_col: str = "text") -> Model:
 def scan_licences(files: DataFrame, templates=TEMPLATES, path_col: str = "path", text_col: str = "text", licence_file: Column | None = None, min_cosine: float = MIN_COSINE, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(path, licence, cosine, how, licence_path, *keep)`` of every row.
 
-    ``how`` is ``header`` (a line of the file), ``file`` (a licence file as a
-    whole), ``inherited`` (``licence_path`` names the licence file in the
-    nearest ancestor directory, its own included) or null. Of several the
-    highest cosine wins, then the licence and the path in order. Rows with a
-    null path inherit nothing and lend nothing; null and empty texts hold no
-    licence; rows that repeat are judged alike; an empty table gives an empty
-    result. Column names of ``files`` may clash with those returned.
+    ``how`` is ``header`` (a line or block of the file), ``file`` (a licence
+    file as a whole), ``inherited`` (``licence_path`` names the licence file in
+    the nearest ancestor directory, its own included) or null. A licence file
+    is one by its name, by the column ``licence_file``, or because its whole
+    text is a licence. Of several the highest cosine wins, then the licence and
+    the path in order. Rows with a null path inherit nothing and lend nothing;
+    null and empty texts hold no licence; rows that repeat are judged alike; an
+    empty table gives an empty result; texts of any length are read whole.
+    Column names of ``files`` may clash with those returned; a kept column with
+    such a name comes back as ``kept_<name>``.
     """
     spark = files.sparkSession
     model = fit(files, templates, text_col)
     anchors = F.array(*map(F.lit, model.find_anchors(min_cosine)))
     name = F.substring_index(F.col(path_col), "/", -1)
     is_file = F.coalesce(licence_file if licence_file is not None else name.rlike(LICENCE_FILE), F.lit(False))
-    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), is_file.alias("is_file"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), is_file.alias("is_file"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     rows = rows.withColumn("text_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
-    # A text's units do not depend on its path: equal texts are scored once.
-    some = rows.filter(F.arrays_overlap(terms(F.col("text")), anchors))
-    lines = some.select("text_id", F.lit(False).alias("whole"), F.explode(F.split("text", "\n")).alias("unit"))
-    wholes = some.filter("is_file").select("text_id", F.lit(True).alias("whole"), F.col("text").alias("unit"))
-    units = lines.unionByName(wholes).withColumn("terms", terms(F.col("unit"))).filter(F.arrays_overlap("terms", anchors))
-    units = units.select("text_id", "whole", F.md5(F.col("unit").cast("binary")).alias("unit_id"), "terms").dropDuplicates(["text_id", "whole", "unit_id"])
+    # A text's units do not depend on its path: equal texts are scored once. Few texts hold an anchor.
+    some = materialize(rows.select("text_id", "text").filter(F.arrays_overlap(terms(F.col("text")), anchors)).dropDuplicates(["text_id"]), "anchored")
+    lines = F.split("text", "\n")
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, COMMENT, ""))
+    blocks = F.split(F.array_join(bare, "\n"), "\n[ \t\r]*\n")
+    shaped = F.concat(F.transform(F.concat(lines, blocks), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.array_join(bare, "\n").alias("unit"))))
+    units = some.select("text_id", F.explode(shaped).alias("u")).select("text_id", "u.whole", terms(F.col("u.unit")).alias("terms")).filter(F.arrays_overlap("terms", anchors))
+    units = units.withColumn("unit_id", F.md5(F.array_join("terms", " ").cast("binary"))).dropDuplicates(["text_id", "whole", "unit_id"])
+    units = materialize(units, "units")
     # Different texts share lines; one row per line is enough for its cosine.
     sparse = units.dropDuplicates(["unit_id"]).select("unit_id", F.explode("terms").alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
     idf = spark.createDataFrame(sorted(model.idf.items()), "term string, idf double")
     weights = spark.createDataFrame(model.rows, "template int, licence string, term string, weight double")
     # Both tables have at most MAX_TERMS rows per template.
-    sparse = sparse.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(model.rare)))
+    sparse = sparse.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(OTHER_WEIGHT)))
     norms = sparse.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = sparse.join(F.broadcast(weights), "term").groupBy("unit_id", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "unit_id").select("unit_id", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).filter(F.col("cosine") >= min_cosine)
     pick = F.min(F.struct((-F.col("cosine")).alias("less"), F.col("licence").alias("licence"))).alias("best")
-    by_text = units.join(scored, "unit_id").groupBy("text_id", "whole").agg(pick).groupBy("text_id").agg(
-        F.max(F.when(~F.col("whole"), F.col("best"))).alias("line"), F.max(F.when(F.col("whole"), F.col("best"))).alias("file")
-    )
-    rows = rows.drop("text").join(by_text, "text_id", "left")
-    of_file = F.col("is_file") & F.col("file").isNotNull() & (F.col("line").isNull() | (F.col("file.less") <= F.col("line.less")))
+    # A common line meets its score in several tasks.
+    by_text = salted_join(units.select("text_id", "whole", "unit_id"), scored.groupBy("unit_id").agg(pick), "unit_id", F.col("text_id"), "inner")
+    by_text = by_text.groupBy("text_id").agg(F.min(F.when(~F.col("whole"), F.col("best"))).alias("line"), F.min(F.when(F.col("whole"), F.col("best"))).alias("file"))
+    spread = F.coalesce(F.xxhash64("path"), F.lit(0))
+    rows = salted_join(rows.drop("text"), by_text, "text_id", spread)
+    of_file = F.col("file").isNotNull() & (F.col("line").isNull() | (F.col("file.less") <= F.col("line.less")))
+    rows = rows.withColumn("is_file", F.col("is_file") | F.col("file").isNotNull())
     rows = rows.withColumn("own", F.when(of_file, F.col("file")).otherwise(F.col("line"))).withColumn("how", F.when(of_file, "file").when(F.col("line").isNotNull(), "header"))
     rows = rows.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
+    rows = materialize(rows, "licences")
 
     lend = rows.filter("is_file AND own IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct("own.less", "own.licence", "path")).alias("lent"))
     parts = F.split("dir", "/")
     ways = rows.filter("own IS NULL AND dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.concat(F.array(F.lit(0)), F.when(F.col("dir") == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(parts))))).alias("depth"))
     ways = ways.withColumn("up", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("depth"), F.lit(1))), "/")))
     near = ways.join(lend.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("lent", "depth").alias("lent"))
-    rows = rows.join(near, "dir", "left")
+    rows = salted_join(rows, near, "dir", spread)
     lent = F.when(F.col("own").isNull(), F.col("lent"))
     return rows.select(
         "path",
@@ -144,5 +157,5 @@ def scan_licences(files: DataFrame, templates=TEMPLATES, path_col: str = "path",
         F.coalesce(-F.col("own.less"), -lent["less"]).alias("cosine"),
         F.when(F.col("own").isNotNull(), F.col("how")).when(lent.isNotNull(), "inherited").alias("how"),
         lent["path"].alias("licence_path"),
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
+        *[F.col(f"`keep_{c}`").alias(f"kept_{c}" if c in ("path", "licence", "cosine", "how", "licence_path") else c) for c in keep],
     )

@@ -1,7 +1,7 @@
 """Operator 5: mixing sources to target weights by Sainte-Laguë apportionment.
 
 The words of a source, its documents in a seeded order, form a tape that is
-cut into nearly equal blocks. All blocks of the mix are seats: the sources win
+cut into blocks of equal size, to within a word. All blocks of the mix are seats: the sources win
 them by highest quotients ``target / (2 k + 1)``. Highest-quotient seats keep
 when the house grows, so the seats of shard ``s`` are those between the first
 ``s`` and ``s + 1`` shards' worth, integers that always add up. A source that
@@ -12,8 +12,10 @@ order: whole tapes along the tape, then the chosen blocks.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +36,9 @@ SHARDS = 8
 SEGMENT_ROWS = 2_000
 
 
+_NEW = ("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
 @dataclass(frozen=True)
 class Share:
     """What the recipe says about one source."""
@@ -113,12 +118,13 @@ def make_recipe(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_wo
     return [Share(r.source, r.rows, r["size"], g, b, q) for r, g, b, q in zip(totals, goal, blocks, seats, strict=True)]
 
 
-def _stride(n: int, seed: int) -> int:
-    """A seeded multiplier that has no divisor in common with ``n``."""
-    a = max(1, int(n * 0.6180339887) + seed % 101)
+def _shuffle(n: int, seed: int, name: str | None) -> tuple[int, int]:
+    """``(a, b)`` drawn by seed and name such that ``j -> (a * j + b) mod n`` permutes the numbers below ``n``."""
+    drawn = hashlib.sha256(f"{seed}:{name is None}:{name}".encode()).digest()
+    a, b = int.from_bytes(drawn[:16], "big") % n, int.from_bytes(drawn[16:], "big") % n
     while math.gcd(a, n) != 1:
         a += 1
-    return a
+    return a, b
 
 
 def by_shard(passes: str, shards: int) -> Column:
@@ -136,16 +142,18 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
     ``taken`` is the words in the parts, repeats counted, never over three times ``size``. Null
     texts have size 0 and take nothing; the null source is a source of its
     own; rows that repeat are documents of their own. An empty table gives
-    an empty result. Other columns are read only if named in ``keep``.
+    an empty result. Other columns are read only if named in ``keep``; one
+    with the name of a returned column comes back as ``kept_<name>``. Texts of
+    any length count whole.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     recipe = make_recipe(sized, **options) if recipe is None else recipe
     if shards < 1:
         raise ValueError("a mix has one shard at least")
     ends = list(accumulate(shard_quotas(recipe, shards)[:-1], lambda x, y: [a + b for a, b in zip(x, y, strict=True)]))
-    schema = "at int, name string, source_size long, target double, blocks long, whole long, extra long, stride long, segments long, ends array<long>"
-    table = spark.createDataFrame([(i, r.source, r.size, r.target, r.blocks, r.seats // r.blocks, r.seats % r.blocks, _stride(r.blocks, seed), max(1, r.rows // SEGMENT_ROWS), [e[i] for e in ends]) for i, r in enumerate(recipe)], schema)
+    schema = "at int, name string, source_size long, target double, blocks long, whole long, extra long, factor decimal(19,0), shift decimal(19,0), segments long, ends array<long>"
+    table = spark.createDataFrame([(i, r.source, r.size, r.target, r.blocks, r.seats // r.blocks, r.seats % r.blocks, *map(Decimal, _shuffle(r.blocks, seed, r.source)), max(1, r.rows // SEGMENT_ROWS), [e[i] for e in ends]) for i, r in enumerate(recipe)], schema)
     # The recipe has MAX_SOURCES rows at most.
     rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").drop("name", "source")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -154,16 +162,17 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
     sums = sums.select("at", "segment", (F.sum("words").over(Window.partitionBy("at").orderBy("segment")) - F.col("words")).alias("before"))
     inside = Window.partitionBy("at", "segment").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(sums, ["at", "segment"])
-    # Block j of a source covers its words [j * size div blocks, (j + 1) * size div blocks).
+    # The first `size % blocks` blocks of a source have one word more than the others; no product passes its size.
     rows = rows.withColumn("first", F.col("before") + F.col("inside")).withColumn("last", F.col("first") + F.col("size"))
+    rows = rows.withColumn("each", F.expr("source_size div blocks")).withColumn("wide", F.expr("source_size % blocks"))
+    block = "IF({0} < wide * (each + 1), {0} div (each + 1), wide + ({0} - wide * (each + 1)) div greatest(each, 1))".format
     parts = F.expr(
-        """CASE WHEN size > 0 THEN transform(
-             sequence(greatest(0, (first * blocks) div source_size - 1), least(blocks - 1, (last * blocks) div source_size + 1)),
-             j -> named_struct(
-               'first', greatest(0, (j * source_size) div blocks - first),
-               'last', least(size, ((j + 1) * source_size) div blocks - first),
-               'shards', transform(filter(sequence(0L, whole), t -> t < whole OR pmod(j * stride, blocks) < extra),
-                 t -> size(filter(ends, e -> e <= t * blocks + IF(t < whole, j, pmod(j * stride, blocks)))))))
+        f"""CASE WHEN size > 0 THEN transform(sequence({block("first")}, {block("(last - 1)")}),
+             j -> transform(array(CAST(pmod(CAST(j AS DECIMAL(19,0)) * factor + shift, CAST(blocks AS DECIMAL(19,0))) AS BIGINT)), turn -> named_struct(
+               'first', greatest(0, j * each + least(j, wide) - first),
+               'last', least(size, (j + 1) * each + least(j + 1, wide) - first),
+               'shards', transform(filter(sequence(0L, whole), t -> t < whole OR turn < extra),
+                 t -> size(filter(ends, e -> e <= t * blocks + IF(t < whole, j, turn))))))[0])
            ELSE CAST(array() AS ARRAY<STRUCT<first: BIGINT, last: BIGINT, shards: ARRAY<INT>>>) END"""
     )
     rows = rows.withColumn("parts", F.filter(parts, lambda p: p["first"] < p["last"]))
@@ -171,4 +180,4 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
              'first', p.first, 'last', p.last, 'times', CAST(size(filter(p.shards, x -> x = s)) AS BIGINT), 'shard', s))))"""
     rows = rows.withColumn("passes", F.expr(times))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + (p["last"] - p["first"]) * p["times"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", *[F.col(f"`keep_{c}`").alias(f"kept_{c}" if c in _NEW else c) for c in keep])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, mix64, slices, word_hashes
+from .common import bound_batches, materialize, mix64, salted_join, slices, word_hashes
 
 #: Members of a bucket that one cell compares with as many others.
 CHUNK = 256
@@ -145,22 +145,26 @@ def similarity(agree: int, like: Likeness) -> float:
 def _features(docs: DataFrame, like: Likeness) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Sketcher(like)
-        for b in slices(batches):
+        for b in slices(batches, "text"):
             sets = [shingle_set(t, like.shingle) for t in b.column("text").to_pylist()]
             keys, sigs = maker.sketch(np.stack([maker.minima(s) for s in sets]))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(digests, type=pa.binary()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys.view(np.int64).tolist(), type=pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], type=pa.binary())],
-                names=["doc_id", "set_id", "n_shingles", "bands", "sig"],
+                [b.column("doc_id"), b.column("own"), pa.array(digests, type=pa.binary()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys.view(np.int64).tolist(), type=pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], type=pa.binary())],
+                names=["doc_id", "own", "set_id", "n_shingles", "bands", "sig"],
             )
 
-    return docs.mapInArrow(go, "doc_id long, set_id binary, n_shingles long, bands array<long>, sig binary")
+    return docs.mapInArrow(go, "doc_id long, own long, set_id binary, n_shingles long, bands array<long>, sig binary")
+
+
+#: Texts that have a word.
+WORDED = r"text RLIKE '[^\\x20\\x09-\\x0D]'"
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(u, v, text_u, text_v)`` of the pairs."""
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    slim = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(needed, "doc_id", "left_semi")
+    slim = texts.filter(WORDED).filter("doc_id IS NOT NULL").select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(slim.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(slim.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v")
 
@@ -184,7 +188,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _cached_sets(like)
-        for b in slices(batches):
+        for b in slices(batches, "text_u"):
             ok = []
             for tu, tv in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
                 x, y = made(tu), made(tv)
@@ -213,23 +217,35 @@ def _pair_scores(pairs: DataFrame, sigs: DataFrame, like: Likeness) -> DataFrame
 def _differences(families: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """``(node, pivot, size, lacks, adds, linked)`` of every member but the pivot; ``size`` is the pivot's.
 
-    ``lacks`` and ``adds`` hold shingle hashes, packed.
+    ``lacks`` and ``adds`` hold shingle hashes, packed. A family is cut into
+    cells of about ``CHUNK`` members, each of which gets the pivot's text once.
     """
-    pairs = families.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+    members = families.filter("node <> root")
+    counts = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cells"))
+    placed = salted_join(members, counts, "root", F.col("node"), "inner").select("root", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), "node")
+    heads = counts.select("root", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("root").alias("node"))
+    rows = materialize(placed.unionByName(heads), "cells")
+    slim = texts.filter(WORDED).select(F.col("doc_id").alias("node"), "text").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    ordered = rows.join(slim, "node").select("root", "cell", "node", "text").repartition("root", "cell").sortWithinPartitions("root", "cell", F.col("node") != F.col("root"), "node")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _cached_sets(like)
-        for b in slices(batches):
-            cols = [[], [], [], []]
-            for tu, tv in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
-                x, y = made(tu), made(tv)
+        x = np.zeros(0, dtype=np.uint64)
+        for b in slices(batches, "text"):
+            nodes, roots, cols = [], [], [[], [], [], []]
+            for root, node, text in zip(*(b.column(c).to_pylist() for c in ("root", "node", "text")), strict=True):
+                y = shingle_set(text, like.shingle)
+                if node == root:
+                    x = y
+                    continue
                 lacks, adds = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 same = len(x) - len(lacks)
+                nodes.append(node)
+                roots.append(root)
                 for c, value in zip(cols, (len(x), lacks.tobytes(), adds.tobytes(), same > 0 and 100 * same >= like.percent * (len(x) + len(adds))), strict=True):
                     c.append(value)
-            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("u"), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.binary()), pa.array(cols[2], type=pa.binary()), pa.array(cols[3], type=pa.bool_())], names=["node", "pivot", "size", "lacks", "adds", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(roots, type=pa.int64()), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.binary()), pa.array(cols[2], type=pa.binary()), pa.array(cols[3], type=pa.bool_())], names=["node", "pivot", "size", "lacks", "adds", "linked"])
 
-    return _with_texts(pairs, texts).mapInArrow(go, "node long, pivot long, size long, lacks binary, adds binary, linked boolean")
+    return ordered.mapInArrow(go, "node long, pivot long, size long, lacks binary, adds binary, linked boolean")
 
 
 def _family_links(diffs: DataFrame) -> DataFrame:
@@ -333,11 +349,11 @@ def connected(edges: DataFrame) -> DataFrame:
         # Large star: larger neighbours of a node move to its smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both.filter("v > u"), least, "u", F.col("v"), "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # Small star: smaller neighbours and the node itself move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = salted_join(large, low, "u", F.col("v"), "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct(), "edges")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
@@ -394,6 +410,24 @@ def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int |
     return _by_cell(cells, "band", compare, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
 
 
+def _numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(doc_id, own, text)``, and ``(own, doc_id)`` of texts that share their id ``own`` with another text.
+
+    All but one of the texts of an id get numbers above all ids; where no id
+    has two texts, nothing changes.
+    """
+    worded = texts.filter("doc_id IS NOT NULL").filter(WORDED).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    shared = materialize(worded.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high"), "shared")
+    plain = texts.select("doc_id", F.col("doc_id").alias("own"), "text")
+    if shared.isEmpty():
+        return plain, None
+    top = texts.agg(F.max("doc_id")).first()[0]
+    extra = worded.join(shared, "doc_id").filter("digest <> low").select("doc_id", "digest").distinct()
+    extra = materialize(extra.select(F.col("doc_id").alias("own"), "digest", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("number")), "numbers")
+    named = plain.withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("doc_id").join(extra, ["own", "digest"], "left")
+    return named.select(F.coalesce("number", "own").alias("doc_id"), "own", "text"), extra.select("own", F.col("number").alias("doc_id"))
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row.
 
@@ -403,11 +437,12 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     shingle, link with nothing and are kept. A row without id links with
     nothing, has no component and is kept. Rows that share an id are one
     document with the links of all of them. Equal rows are both returned. An
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. Texts of any
+    length count whole, in slices bounded by bytes.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts, twins = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     features = materialize(_features(texts, like), "features")
     classes = features.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
@@ -423,6 +458,9 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     diffs = materialize(_differences(families, texts, like), "differences")
     inside = _by_cell(_family_links(diffs), "pivot", _compare_family(like), "u long, v long")
     links = diffs.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")).unionByName(inside)
+    if twins is not None:
+        nodes = features.filter("doc_id IS NOT NULL").join(classes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
+        links = links.unionByName(twins.join(nodes.toDF("own", "u"), "own").join(nodes.toDF("doc_id", "v"), "doc_id").select("u", "v"))
     labels = connected(links)
 
     # Pairs of different families, in rounds over what is still unconnected.
@@ -438,6 +476,6 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
         labels = connected(fresh.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         if not cut:
             break
-    rows = features.select("doc_id", "set_id", "n_shingles").join(classes.select("set_id", "node"), "set_id", "left").join(labels, "node", "left")
+    rows = features.select(F.col("own").alias("doc_id"), "set_id", "n_shingles").join(classes.select("set_id", "node"), "set_id", "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

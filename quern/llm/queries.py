@@ -41,17 +41,31 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``; short ones that speak of a licence are licence files."""
+    """Documents as files ``source/lang/hundred/doc_id``; those whose whole text is a licence are licence files."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
     files = docs.select("doc_id", path.alias("path"), "text")
-    short = (F.length("text") <= 400) & F.col("text").rlike("(?i)licen[sc]e")
-    found = license_scan.scan_licences(files, licence_file=short, keep=("doc_id",))
+    found = license_scan.scan_licences(files, keep=("doc_id",))
     return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "how", "licence_path")
 
 
+def quoting(turns: DataFrame) -> DataFrame:
+    """The turns as mail: of every three, the second quotes the turn before it, the third the turn before it with what that quotes."""
+    said = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = turns
+    for back in (1, 2):
+        rows = rows.join(said.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"back{back}")), ["conv_id", "turn"], "left")
+    below = lambda text: F.regexp_replace(text, "(?m)^", "> ")
+    head = lambda back: F.format_string("On turn %d the other wrote:\n", F.col("turn") - back)
+    once = F.concat(head(1), below(F.col("back1")), F.lit("\n"), F.col("text"))
+    twice = F.concat(head(1), below(F.concat(head(2), below(F.col("back2")), F.lit("\n"), F.col("back1"))), F.lit("\n"), F.col("text"))
+    place = F.pmod("turn", F.lit(3))
+    return rows.select("conv_id", "turn", "role", F.coalesce(F.when(place == 1, once).when(place == 2, twice), F.col("text")).alias("text"))
+
+
 def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotation.link_quotes(_table(spark, sf_dir, "conversations"))
+    """The table's turns quote nothing, so the query links them as mail that does."""
+    return quotation.link_quotes(quoting(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Lines that start with ``>`` are quoted, once per sign. A passage is a run of
 lines of one level, without the lines that announce deeper quotes. Its
 normalised text is hashed and joined to the message of the same conversation
-that first said it: as a whole, as a paragraph or as a line. A passage that
-nobody said in one piece is joined by its paragraphs and lines: it comes from
-the message that said most of its lines, if that is more than half of them; a
-passage of which half or more is unknown comes from nowhere. A message answers
-the latest of the messages that its shallowest passages come from. Messages,
-freed of quotes, are ordered by thread.
+that first said it: as a whole, as a paragraph, a line or a sentence. A passage
+that nobody said in one piece is joined by its paragraphs and sentences (a line
+without a full stop is one): it comes from the message that said most of its
+sentences, if that is more than half of them; a passage of which half or more
+is unknown comes from nowhere. A message answers the latest of the messages
+that its shallowest passages come from. Messages, freed of quotes, are ordered
+by thread and laid out as conversations.
 
 DataFrame functions only.
 """
@@ -21,7 +22,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: A line that announces a quotation; it goes with the quotes.
-ATTRIBUTION = r"^\s*(On|Am|Le|El)\b.{0,300}\b(wrote|schrieb|a écrit|escribió):?\s*$"
+ATTRIBUTION = r"^\s*(On|Am|Le|El)\b.*\b(wrote|schrieb|a écrit|escribió):?\s*$"
+#: White space between sentences.
+SENTENCE = r"(?<=[.!?])[ \t]+"
+#: Turns of a thread that one row of a conversation holds.
+PART_TURNS = 1000
 
 
 def normalise(text: Column) -> Column:
@@ -40,9 +45,13 @@ def _quoted_text(passage: Column, depth: Column) -> Column:
     return F.when((normalise(rest) == "") & (passage["level"] == depth), passage["body"]).otherwise(rest)
 
 
+def _sentences(text: Column) -> Column:
+    return F.flatten(F.transform(F.split(text, "\n"), lambda x: F.split(x, SENTENCE)))
+
+
 def _lines(text: Column) -> Column:
-    """``(line, para)`` marks of the different lines with words, each with its paragraph's."""
-    paras = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.struct(_mark(p).alias("para"), F.transform(F.filter(F.split(p, "\n"), lambda x: normalise(x) != ""), _mark).alias("lines")))
+    """``(line, para)`` marks of the different sentences with words, each with its paragraph's."""
+    paras = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.struct(_mark(p).alias("para"), F.transform(F.filter(_sentences(p), lambda x: normalise(x) != ""), _mark).alias("lines")))
     return F.array_distinct(F.flatten(F.transform(paras, lambda p: F.transform(p["lines"], lambda x: F.struct(x.alias("line"), p["para"].alias("para"))))))
 
 
@@ -78,9 +87,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ``thread`` the turn that its chain of answers starts from. Ordered by
     ``(thread, turn)`` a conversation has every answer after what it answers,
     thread by thread. Passages and originals without words do not link, nor do
-    messages without conversation or turn. Of originals that said as many lines
-    of a passage the first turn counts, and only turns before the quoting one. Rows that repeat are all
-    returned; an empty table gives an empty result; other columns are not read.
+    messages without conversation or turn. Of originals that said as many
+    sentences of a passage the first turn counts, and only turns before the quoting one. Rows that repeat are all
+    returned; an empty table gives an empty result; other columns are not read;
+    texts of any length are parsed whole.
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("said"))
     parsed = parse_quotes(rows, "said").withColumn("text_id", F.md5(F.coalesce("said", F.lit("")).cast("binary")))
@@ -93,7 +103,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quoted = quoted.select("conv_id", "turn", "text_id", "top", "p.level", _quoted_text(F.col("p"), F.col("depth")).alias("plain")).filter(normalise(F.col("plain")) != "")
     quoted = materialize(quoted.select("conv_id", "turn", "text_id", "top", "level", _mark(F.col("plain")).alias("mark"), _lines(F.col("plain")).alias("lines")).withColumn("run_id", F.md5(F.to_json("lines"))), "quoted")
 
-    pieces = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))
+    pieces = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"), _sentences(F.col("own"))))
     said = parse_quotes(placed, "said").select("conv_id", "turn", F.explode_outer(F.array_distinct(F.transform(F.filter(pieces, lambda x: normalise(x) != ""), _mark))).alias("mark")).filter("mark IS NOT NULL")
     # A passage of one line has no smaller pieces; one line said over and over has.
     smaller = F.exists("lines", lambda x: x["line"] != F.col("mark"))
@@ -129,3 +139,19 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return out.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("depth").cast("long").alias("depth")
     )
+
+
+def build_conversations(linked: DataFrame) -> DataFrame:
+    """``(conv_id, thread, part, messages)`` from ``link_quotes``: a thread's messages in the order of answers.
+
+    ``messages`` are ``(turn, role, text, reply_to)``, free of quotes; answers
+    come after what they answer. A row holds the turns of one thousand
+    (``PART_TURNS``), so that a conversation of any length is rows in order of
+    ``(thread, part)``, none of which grows with it. Messages without
+    conversation or turn stand alone, a row each.
+    """
+    said = F.struct("turn", "role", "text", "reply_to")
+    placed = linked.filter("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("part", F.floor(F.col("turn") / PART_TURNS))
+    rows = placed.groupBy("conv_id", "thread", "part").agg(F.array_sort(F.collect_list(said)).alias("messages"))
+    alone = linked.filter("conv_id IS NULL OR turn IS NULL").select("conv_id", "thread", F.lit(None).cast("long").alias("part"), F.array(said).alias("messages"))
+    return rows.unionByName(alone)

@@ -38,6 +38,19 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
+def held_out(url: Column) -> Column:
+    """A fifth of the urls, by hash."""
+    return F.pmod(F.xxhash64(F.lit(31), url), F.lit(5)) == 0
+
+
+def accuracy(labelled: DataFrame) -> float:
+    """Share of the held-out labelled urls that a model of the others judges right, without rules."""
+    model = train(labelled.filter(~held_out(F.col("url"))))
+    rows = labelled.filter(held_out(F.col("url"))).withColumn("page_id", F.monotonically_increasing_id())
+    said = judge_urls(rows, model, ()).join(rows, "page_id")
+    return said.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1.0)).cast("double"))).first()[0]
+
+
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -65,9 +78,15 @@ def _grams(df: DataFrame) -> DataFrame:
     return df.withColumn("chars", F.filter(F.split(shown, ""), lambda c: c != ""))
 
 
-def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLED) -> PipelineModel:
-    """Fit on ``(url, label)``; at most ``most`` rows are taken, rows with nulls are not."""
+def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLED) -> PipelineModel | None:
+    """Fit on ``(url, label)``; at most ``most`` rows are taken, rows with nulls are not.
+
+    Without any row there is no model (None), and ``judge_urls`` then allows
+    what no rule decides.
+    """
     rows = labelled.filter("url IS NOT NULL AND label IS NOT NULL").limit(most).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    if rows.isEmpty():
+        return None
     steps = [
         NGram(n=3, inputCol="chars", outputCol="grams"),
         HashingTF(numFeatures=features, inputCol="grams", outputCol="features"),
@@ -76,16 +95,17 @@ def train(labelled: DataFrame, features: int = FEATURES, most: int = MAX_LABELLE
     return Pipeline(stages=steps).fit(_grams(rows).coalesce(1).select("chars", "label"))
 
 
-def judge_urls(pages: DataFrame, model: PipelineModel, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, model: PipelineModel | None, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """``(page_id, host, path, rule, verdict, p_block)`` of every row.
 
     A null url or one without ``://`` has empty host and path, no rule, and
     the classifier's verdict on nothing. Rows that repeat are judged alike; an
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read. Urls of any
+    length are read whole.
     """
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"))
     rows = slim.select("page_id", host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
-    scored = model.transform(_grams(rows))
-    p = vector_to_array("probability")[1]
+    scored = rows if model is None else model.transform(_grams(rows))
+    p = F.lit(0.0) if model is None else vector_to_array("probability")[1]
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))

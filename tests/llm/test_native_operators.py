@@ -1,19 +1,21 @@
 """Licence scans and quotation linking against plain re-computations."""
 
 import math
+import random
 import re
+import textwrap
 from collections import Counter
 
-from quern.llm import license_scan, quotation
+from quern.llm import license_scan, queries, quotation
 
 
 def brute_licences(rows, least=license_scan.MIN_COSINE):
-    """rows: (path, text, is_file)."""
-    n = len(rows)
+    """rows: (path, text, is_file by name)."""
+    n, share = max(len(rows), 1), license_scan.LEAST_SHARE
     vocab = {t for _, x in license_scan.TEMPLATES for t in license_scan.template_terms(x)}
     df = Counter(t for _, x, _ in rows for t in vocab & set(license_scan.template_terms(x or "")))
-    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1 if t in vocab else math.log(1 + n) + 1
-    vec = lambda x: {t: k * idf(t) for t, k in license_scan.template_terms(x).items()}
+    idf = {t: -math.log(df[t] / n * (1 - share) + share) + 1 for t in vocab}
+    vec = lambda x: {t: k * idf.get(t, license_scan.OTHER_WEIGHT) for t, k in license_scan.template_terms(x).items()}
     norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
 
     def best(unit):
@@ -26,14 +28,18 @@ def brute_licences(rows, least=license_scan.MIN_COSINE):
                     out.append((-c, name))
         return min(out, default=None)
 
-    own = []
+    own, files = [], []
     for path, text, is_file in rows:
-        line = min(filter(None, map(best, (text or "").split("\n"))), default=None)
-        whole = best(text) if is_file and text else None
+        lines = (text or "").split("\n")
+        bare = [re.sub(license_scan.COMMENT, "", x) for x in lines]
+        line = min(filter(None, map(best, lines + re.split("\n[ \t\r]*\n", "\n".join(bare)))), default=None)
+        whole = best("\n".join(bare))
+        files.append(is_file or whole is not None)
         if whole and (line is None or whole[0] <= line[0]):
             own.append((*whole, "file"))
         else:
             own.append((*line, "header") if line else None)
+    rows = [(path, text, f) for (path, text, _), f in zip(rows, files, strict=True)]
     out = []
     for (path, _, _), o in zip(rows, own, strict=True):
         if o or path is None:
@@ -45,10 +51,99 @@ def brute_licences(rows, least=license_scan.MIN_COSINE):
             if lent or not d:
                 break
             d = d.rpartition("/")[0]
-        out.append((path, lent[1], round(-lent[0], 6), "inherited", lent[2]) if lent else (path, None, None, None, None))
+        out.append((path, lent and lent[1], lent and round(-lent[0], 6), "inherited" if lent else None, lent and lent[2]))
     return out
 
 
+def test_headers_find_their_own_licence(spark):
+    texts = dict(license_scan.TEXTS)
+    wrap = lambda name, sign: "\n".join(f"{sign} {line}".rstrip() for block in texts[name].split("\n\n") for line in [*textwrap.wrap(block, 60), ""])
+    rows = [(f"{name}/{k}", wrap(name, sign) + "\n\n" + "x = compute(y)\n" * 50) for name in texts for k, sign in enumerate(("#", "//", " *"))]
+    rows += [("long/line", "this is prose that goes on for a while: Licensed under the Apache License, Version 2.0. And then it says more things of other kinds"), ("none/a", "words about a licence and software and nothing else"), ("none/b", "x " * 50_000)]
+    for more in (0, 3_000):  # the answer does not depend on how many other files there are
+        df = spark.createDataFrame(rows, "path string, text string").union(spark.range(more).selectExpr("concat('other/', id, '/f')", "concat('word', id, ' text')"))
+        got = {r.path: r.licence for r in license_scan.scan_licences(df).collect()}
+        assert {p: v for p, v in got.items() if "/" in p and p.split("/")[0] in texts and v != p.split("/")[0]} == {}
+        assert got["none/a"] is None and got["none/b"] is None
+    assert got["long/line"] == "Apache-2.0"
+
+
+def brute_quotes(rows):
+    """``{(conv, turn): (reply_to, n_linked)}``; rows (conv, turn, text), no repeats or nulls."""
+    norm = lambda x: re.sub(r"[\x09-\x0D\x20]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in x)).strip(" ")
+    sentences = lambda x: [s for line in x.split("\n") for s in re.split(quotation.SENTENCE, line)]
+    parsed, out = {}, {}
+    for c, t, text in rows:
+        runs = []
+        for line in text.split("\n"):
+            sign = re.match(r"(?:[ \t]*>)+", line)
+            level, body = (sign[0].count(">"), re.sub(r"^(?:[ \t]*>)+[ \t]?", "", line)) if sign else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(body)
+            else:
+                runs.append((level, [body]))
+        deep = max(k for k, _ in runs)
+        own = "\n".join(x for k, b in runs if k == 0 for x in b if not (deep and re.search(quotation.ATTRIBUTION, x)))
+        if deep:
+            own = re.sub(r"\n{3,}", "\n\n", own).strip(" ")
+        parsed[c, t] = deep, [(k, b) for k, b in runs if k], {norm(p) for p in [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n"), *sentences(own)]} - {""}
+    for (c, t), (deep, runs, _) in parsed.items():
+        before = sorted(u for d, u in parsed if d == c and u < t)
+        top, linked = min((k for k, _ in runs), default=0), {}
+        for k, body in runs:
+            plain = "\n".join(x for x in body if not re.search(quotation.ATTRIBUTION, x))
+            if not norm(plain) and k == deep:
+                plain = "\n".join(body)
+            if not norm(plain):
+                continue
+            units = list({(norm(s), norm(p)) for p in re.split(r"\n[ \t]*\n", plain) for s in sentences(p) if norm(s)})
+            first = next((u for u in sorted(u for d, u in parsed if d == c) if norm(plain) in parsed[c, u][2]), None)
+            source = first if first is not None and first < t else None
+            if source is None and any(s != norm(plain) for s, _ in units):
+                scores = [(sum(s in parsed[c, u][2] or p in parsed[c, u][2] for s, p in units), -u) for u in before]
+                best = max((x for x in scores if 2 * x[0] > len(units)), default=None)
+                source = best and -best[1]
+            linked[k, norm(plain)] = source
+        near = [s for (k, _), s in linked.items() if s is not None and k == top]
+        far = [s for s in linked.values() if s is not None]
+        out[c, t] = max(near, default=max(far, default=None)), len(far)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(14)
+    lines = [f"{a} {b}{end}" for a in ("red", "old", "big") for b in ("cat", "dog", "house", "tree") for end in (".", "", "?")]
+    rows, said = [], {}
+    for c in range(12):
+        for t in range(14):
+            own = "\n".join(rng.choice([" ", "\n", ""]).join(rng.choices(lines, k=rng.randrange(1, 3))) for _ in range(rng.randrange(1, 5)))
+            parts = [own]
+            for _ in range(rng.randrange(0, 3) if t else 0):
+                other = said[c, rng.randrange(t)].split("\n")
+                i = rng.randrange(len(other))
+                parts.insert(rng.randrange(len(parts) + 1), "\n".join([rng.choice(["On x, y wrote:", "so"]), *("> " + x for x in other[i : i + rng.randrange(1, 6)]), *rng.choice([[], ["> never said"]])]))
+            said[c, t] = "\n".join(parts)
+            rows.append((c, t, said[c, t]))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    linked = quotation.link_quotes(df)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in linked.collect()}
+    assert got == brute_quotes(rows) and sum(v[0] is not None for v in got.values()) > 60
+    talks = quotation.build_conversations(linked).collect()
+    assert sum(len(r.messages) for r in talks) == len(rows)
+    for r in talks:
+        seen = set()
+        for m in r.messages:
+            assert ">" not in m.text and (m.reply_to is None or m.reply_to in seen)
+            seen.add(m.turn)
+
+
+def test_the_query_quotes_and_links(spark, small):
+    rows = queries.op3_chat_quotes(spark, small).collect()
+    assert sum(r.n_linked for r in rows) > 0.9 * sum(r.n_quotes > 0 for r in rows) > 10
+    assert sum(r.depth == 2 for r in rows) > 3
+    assert all(r.reply_to in (None, r.turn - 1) or r.reply_to < r.turn for r in rows)
+
+
 def test_licences(spark):
     mit, apache = "Released under the MIT License.", "# Licensed under the Apache License, Version 2.0"
     rows = [

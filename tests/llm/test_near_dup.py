@@ -79,3 +79,13 @@ def test_estimate_follows_similarity():
             _, sigs = maker.sketch(np.stack([maker.minima(a), maker.minima(b)]))
             gaps.append(near_dup.similarity(int(near_dup.agreeing(sigs[:1], sigs[1:], like)[0, 0]), like) - share)
         assert abs(np.mean(gaps)) < 0.03
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("alpha " + " ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (5, c), (6, c), (6, None), (6, " "), (7, c), (7, a + " x"), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, near_dup.Likeness(3, 85)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.n_shingles} == {i: 1 for i in range(1, 8)}
+    assert sorted((r.doc_id, r.component_id) for r in got if not r.n_shingles) == [(6, 6), (6, 6)]
