@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quern.llm import common, decontaminate, language_id, mixing, queries, repetition, secrets, url_filter
 
@@ -62,6 +63,20 @@ def test_urls(spark):
 # -- 5
 
 
+def test_url_classifier(spark):
+    labelled = url_filter.labelled_urls(spark)
+    assert labelled.filter(url_filter.held_out(labelled.url)).count() > 30
+    assert url_filter.accuracy(labelled) > 0.85
+    model = url_filter.train(labelled)
+    urls = [None, "", "x", "https://www.best-casino-poker.com/slots/jackpot", "https://library.university.example.org/research/notes", "https://library.university.example.org/research/notes", "http://a.com/" + "casino/" * 20_000]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = [r.verdict for r in url_filter.judge_urls(pages, model).orderBy("page_id").collect()]
+    assert got[3:] == ["block", "allow", "allow", "block"] and got[0] == got[1] == got[2]
+    assert url_filter.judge_urls(pages.limit(0), model).count() == 0
+    assert url_filter.train(labelled.limit(0)) is None
+    assert {r.verdict for r in url_filter.judge_urls(pages, None).collect()} == {"allow"}
+
+
 def test_targets_and_seats():
     goal = mixing.targets([100, 10, 1, 0], [5, 2, 1, 5])
     assert sum(goal) == pytest.approx(111) and goal[1] == 30 and goal[2] == 3 and goal[3] == 0
@@ -107,6 +122,53 @@ def test_mix(spark):
     assert sorted((r.doc_id, r["size"], r.taken) for r in again) == sorted((r.doc_id, r["size"], r.taken) for r in got)
 
 
+def brute_mix(rows, recipe, shards, seed=17):
+    """``{id: (taken, by_shard)}`` by laying every source's tape out word by word."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def hashed(i):
+        start = xxhash.xxh64(seed.to_bytes(4, "little"), seed=42).intdigest()
+        return signed(xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=start).intdigest())
+
+    quotas, out = mixing.shard_quotas(recipe, shards), {}
+    for at, r in enumerate(recipe):
+        mine = [(i, len((t or "").split())) for i, t, s in rows if s == r.source]
+        segments = max(1, r.rows // mixing.SEGMENT_ROWS)
+        mine.sort(key=lambda x: ((hashed(x[0]) >> 20) % segments, hashed(x[0]), x[0], x[1]))
+        tape = [i for i, n in mine for _ in range(n)]
+        cuts = [0]
+        for j in range(r.blocks):
+            cuts.append(cuts[-1] + r.size // r.blocks + (j < r.size % r.blocks))
+        a, b = mixing._shuffle(r.blocks, seed, r.source)
+        turn = sorted(range(r.blocks), key=lambda j: (a * j + b) % r.blocks)
+        taken = [j for _ in range(r.seats // r.blocks) for j in range(r.blocks)] + turn[: r.seats % r.blocks]
+        shard = [s for s in range(shards) for _ in range(quotas[s][at])]
+        for i, _ in mine:
+            out[i] = [0] * shards
+        for j, s in zip(taken, shard, strict=True):
+            for i in tape[cuts[j] : cuts[j + 1]]:
+                out[i][s] += 1
+    return out
+
+
+@pytest.mark.parametrize("segment", [2_000, 20])
+def test_mix_against_tapes_laid_out(spark, monkeypatch, segment):
+    monkeypatch.setattr(mixing, "SEGMENT_ROWS", segment)
+    rng = random.Random(6)
+    rows = [(i - 40, " ".join("w" * rng.randrange(0, 500)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(1000, "", "none"), (1001, "x", "one"), (1002, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    recipe = mixing.make_recipe(df.select("source", mixing.words(df.text).alias("size")))
+    got = {r.doc_id: list(r.by_shard) for r in mixing.mix(df, shards=3).withColumn("by_shard", mixing.by_shard("passes", 3)).collect()}
+    assert got == brute_mix(rows, recipe, 3)
+
+
+def test_mix_of_a_source_beyond_any_product(spark):
+    df = spark.createDataFrame([(1, "a b c", "s"), (2, "d", "t")], "doc_id long, text string, source string")
+    size = 3 * 10**14
+    recipe = [mixing.Share("s", 2, size, size / 2, size // 64, size // 128), mixing.Share("t", 1, 1, 1.0, 1, 1)]
+    assert {r.doc_id: r.source_size for r in mixing.mix(df, recipe).collect()} == {1: size, 2: 1}
+
+
 def test_mix_shards(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 400))), rng.choice(["a", "a", "a", "a", "b", None])) for i in range(300)] + [(300, "one two three", "tiny"), (301, None, "none")]
@@ -212,6 +274,23 @@ def test_decontaminate(spark):
     assert [r.n_hit for r in decontaminate.digest(decontaminate.find_overlap(d, b.limit(0))).collect()] == [0] * len(docs)
 
 
+def test_passes_find_what_one_pass_finds(spark):
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(12)]
+    items = [(f"item-{k}", " ".join(rng.choices(words, k=rng.choice([0, 2, 4, 12, 30])))) for k in range(40)] + [("none", None), (None, "w1 w2")]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(80)] + [(3, None), (5, "w1 w2 w3")]
+    df = spark.createDataFrame([(i, t, "x", 1.5) for i, t in docs], "doc_id long, text string, items string, n_words double")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {}
+    for most in (5, 100_000):
+        found = decontaminate.find_overlap(df, bench, size=4, keep=("items",), pass_windows=most)
+        assert found.columns == ["doc_id", "n_words", "spans", "items", "kept_items"]
+        got[most] = sorted(tuple(r) for r in decontaminate.digest(found).collect())
+    known = [(i, decontaminate.bench_words(t)) for i, t in items if i is not None]
+    brute = sorted((i, *decontaminate.brute_digest(decontaminate.bench_words(t), known, 4)) for i, t in docs)
+    assert got[5] == got[100_000] == brute and sum(r[-1] for r in brute) > 20
+
+
 def test_bench_words_pattern():
     for t in [*TEXTS, "A-b_c'd É1\x7f2"]:
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
