@@ -76,7 +76,15 @@ def normalise_path(path: Column) -> Column:
     return F.when(~p.rlike(r"(^|/)\.\.(/|$)"), p)
 
 
-def display_name(speaker: Column, suffixes: tuple[str, ...] = ("happy", "sad", "angry", "whisper", "shout", "side", "casual")) -> Column:
+#: Endings of speaker ids that name a picture or a manner.
+STYLE_SUFFIXES = (
+    "alt", "angry", "annoyed", "big", "blank", "blush", "cg", "curious", "day", "extra", "happy", "mad", "neutral", "night", "open", "portrait",
+    "sad", "shadow", "shock", "shout", "side", "small", "smile", "smiling", "sprite", "thinking", "tiny", "upset", "whisper", "worry", "worried",
+)
+STYLE_SUFFIX_GROUPS = ("no_side",)
+
+
+def display_name(speaker: Column, suffixes: tuple[str, ...] = (*STYLE_SUFFIX_GROUPS, *STYLE_SUFFIXES)) -> Column:
     """A speaker id as a name: style suffixes off, words capitalised."""
     parts = F.filter(F.split(F.trim(speaker), "_"), lambda x: x != "")
     low = F.lower(F.array_join(parts, "_"))
@@ -103,16 +111,31 @@ def replace_terms(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-def strip_markup(text: Column, depth: int = 4) -> Column:
-    """Tags in braces and fields in brackets out, ``depth`` levels of them."""
-    for _ in range(depth):
-        text = F.regexp_replace(F.regexp_replace(text, r"\{[^{}\r\n]*\}", ""), r"\[[^\[\]\r\n]*\]", "")
-    return text
+#: A tag and a field that hold no other.
+TAG, FIELD = r"\{[^{}\r\n]*\}", r"\[[^\[\]\r\n]*\]"
+
+
+def _until_none(text: Column, step) -> Column:
+    """``step`` as often as there are signs that open markup, so that none it can take is left."""
+    n = F.length(text) - F.length(F.translate(text, "{[", ""))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.when(text.isNotNull(), F.aggregate(rounds, text, lambda t, _: step(t)))
+
+
+def strip_markup(text: Column) -> Column:
+    """Tags in braces and fields in brackets out, however deep they lie in each other."""
+    return _until_none(text, lambda t: F.regexp_replace(F.regexp_replace(t, TAG, ""), FIELD, ""))
 
 
 def mask_markup(text: Column) -> Column:
-    """Tags and fields as one space each, so that tokens next to them stay apart."""
-    return F.regexp_replace(F.regexp_replace(text, r"\{[^{}\r\n]*\}", " "), r"\[[^\[\]\r\n]*\]", " ")
+    """Tags and fields, however deep, as as many spaces: what is left stays in its place."""
+
+    def step(t: Column) -> Column:
+        found = F.regexp_extract(t, f"{TAG}|{FIELD}", 0)
+        at = F.instr(t, found)
+        return F.when(found == "", t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), F.repeat(F.lit(" "), F.length(found)), F.substring(t, at + F.length(found), F.length(t))))
+
+    return _until_none(text, step)
 
 
 def token_estimate(chars: Column) -> Column:
@@ -125,22 +148,25 @@ def clamp_confidence(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0))))
 
 
+#: Texts of a tag, of symbols, and of a file name, numeral, time format, identifier or row of letters.
+NON_TRANSLATABLE = (
+    r"^\{[^}]+\}$",
+    r"^[^A-Za-z0-9\x{4e00}-\x{9fff}]+$",
+    r"(?U)^[\w.-]+\.\w+$",
+    r"(?i)^(?:[+-][IVXLCDM]+|[IVXLCDM]{2,})$",
+    r"^(?:%[A-Za-z]|[%:\s,./\-0-9])+$",
+    r"^[A-Za-z_][A-Za-z0-9_]*(?:_name|_label|_id)$",
+    r"^(?:[A-Za-z]\.?)(?:\s+[A-Za-z]\.?)+$",
+)
+
+
 def non_translatable(text: Column, preserve: list[str] | None = None, repeated_letters: bool = False) -> Column:
     """Nothing to translate: empty, listed, markup, symbols, file names, numerals, formats, identifiers.
 
     ``repeated_letters`` also takes drawn-out sounds such as "Grrrr".
     """
     t = F.trim(text)
-    tests = [
-        t == "",
-        t.rlike(r"^(\{[^{}]*\}|\[[^\[\]]*\]|\s)+$"),
-        t.rlike(r"^[^\p{L}\p{N}]+$"),
-        t.rlike(r"^[\w.-]+\.\w+$"),
-        t.rlike(r"^[IVXLCDM]+\.?$"),
-        t.rlike(r"^(%[A-Za-z][\s:/.,-]*)+$"),
-        t.rlike(r"^[a-z]+(_[a-z0-9]+)+$"),
-        t.rlike(r"^(?:[A-Za-z]\.?)(?:\s+[A-Za-z]\.?)+$"),
-    ]
+    tests = [t == "", *[t.rlike(pattern) for pattern in NON_TRANSLATABLE], F.trim(strip_markup(t)) == ""]
     if preserve:
         tests.append(t.isin(preserve))
     if repeated_letters:

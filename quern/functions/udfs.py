@@ -30,6 +30,28 @@ def sequence_ratio(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(base, target, strict=True)])
 
 
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of a number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        if at := row & places.get(c, 0):
+            row = (row + at | row - at) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def ratio_from(base: pd.Series, target: pd.Series, least: pd.Series) -> pd.Series:
+    """``sequence_ratio`` where it can reach ``least``, else null: matching blocks are a common subsequence."""
+    out = []
+    for a, b, low in zip(base, target, least, strict=True):
+        hopeless = a is None or b is None or 2 * longest_common(a, b) < low * (len(a) + len(b))
+        out.append(None if hopeless else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
+    return pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(ArrayType(StructType().add("match", StringType()).add("first", IntegerType()).add("last", IntegerType())))
 def spans(text: pd.Series, pattern: pd.Series) -> pd.Series:
     """All matches of a pattern with their offsets in code points, last exclusive."""

@@ -76,5 +76,5 @@ def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def wide(rows: DataFrame, key: str, variant: str, value: str, variants: list[str]) -> DataFrame:
-    """One row per item, one column per variant."""
-    return rows.groupBy(key).pivot(variant, variants).agg(F.first(value))
+    """One row per item, one column per variant; of rows that repeat the largest value."""
+    return rows.groupBy(key).pivot(variant, variants).agg(F.max(value))

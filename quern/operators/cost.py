@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import token_estimate
 
-#: Rows of a price table that are broadcast.
-MAX_PRICES = 10_000
+#: Different lengths of prefixes that a price table may have; more are refused.
+MAX_LENGTHS = 1_000
 
 
 def price_for(rows: DataFrame, prices: DataFrame, name: str, prefix: str = "prefix", keep: tuple[str, ...] = ("input_rate", "output_rate")) -> DataFrame:
@@ -17,7 +17,9 @@ def price_for(rows: DataFrame, prices: DataFrame, name: str, prefix: str = "pref
     The candidates of a name are its own prefixes of the lengths that the
     table has, so the join is on equality and the table may be of any size.
     """
-    lengths = [r[0] for r in prices.select(F.length(prefix)).distinct().limit(MAX_PRICES).collect()]
+    lengths = [r[0] for r in prices.select(F.length(prefix)).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"prefixes of more than {MAX_LENGTHS} lengths")
     names = rows.select(name).filter(F.col(name).isNotNull()).distinct()
     tries = F.filter(F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in sorted(lengths) if n]), lambda x: x.isNotNull()) if any(lengths) else F.array().cast("array<string>")
     found = names.withColumn(prefix, F.explode(tries)).join(prices, prefix)

@@ -59,9 +59,34 @@ def progress(base: Column, done: Column) -> tuple[Column, Column]:
     return F.greatest(base - done, F.lit(0)), F.bround(F.when(base > 0, 100.0 * F.least(done, base) / base), 1)
 
 
-def suggest_status(percent: Column, pending: Column) -> Column:
-    """Translation status that the counts suggest."""
-    return F.when(percent >= 95, "finished").when(percent <= 1, "untouched").when(pending >= 50, "in_progress").otherwise("nearly_finished")
+#: The names of the states of a translation.
+STATES = {"unknown": "待确认", "running": "翻译中", "packed": "待反编译", "untouched": "未开始", "unextracted": "待提取", "finished": "已完成", "polish": "待润色", "open": "待翻译"}
+
+
+def suggest_status(rows: DataFrame) -> Column:
+    """Translation status that a project's counts suggest; the first rule that applies.
+
+    Reads ``in_pipeline, status, status_source, active_batch, has_work,
+    archives, scripts, translated_files, has_original, pending, percent``;
+    those that ``rows`` lacks count as null.
+    """
+    have = lambda c, kind="boolean": F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    yes = lambda c: F.coalesce(have(c), F.lit(False))
+    count = lambda c: F.coalesce(have(c, "long"), F.lit(0))
+    state, given = {k: F.lit(v) for k, v in STATES.items()}, F.nullif(have("status", "string"), F.lit(""))
+    percent = have("percent", "double")
+    return (
+        F.when(~F.coalesce(have("in_pipeline"), F.lit(True)), F.coalesce(given, state["unknown"]))
+        .when((have("status_source", "string") == "manual") & given.isNotNull(), given)
+        .when(yes("active_batch"), state["running"])
+        .when(~yes("has_work"), F.when((count("archives") > 0) & (count("scripts") == 0), state["packed"]).otherwise(state["untouched"]))
+        .when(count("translated_files") <= 0, F.when(yes("has_original"), state["unextracted"]).otherwise(state["untouched"]))
+        .when(count("pending") <= 0, state["finished"])
+        .when(percent >= 95, state["polish"])
+        .when(percent <= 1, state["open"])
+        .when(count("pending") >= 50, state["open"])
+        .otherwise(state["polish"])
+    )
 
 
 def search(rows: DataFrame, columns: list[str], text: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.tables import cut
+
 
 def labels_and_edges(lines: DataFrame, file: str = "file", line: str = "line", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Nodes ``(label, file, first_line, last_line)`` and edges ``(source, target, kind, line)``.
@@ -65,18 +67,32 @@ def routes(nodes: DataFrame, edges: DataFrame, max_depth: int = 32, max_routes:
     return done.withColumn("route", number).filter(F.col("route") <= max_routes).select("entry", "route", "path", "ends")
 
 
-def ancestry(parents: DataFrame, key: str = "id", parent: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """``(id, root, depth, cycle)``: the end of each row's chain of parents, found by doubling steps."""
-    up = parents.select(F.col(key).alias("id"), F.col(parent).alias("root"))
-    known = parents.select(F.col(key).alias("root")).distinct().withColumn("there", F.lit(True))
-    up = up.join(known, "root", "left").select("id", F.when(F.col("there"), F.col("root")).alias("root"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
-    steps = 1
-    while steps < max_depth:
-        above = up.select(F.col("id").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
-        up = up.join(above, "root", "left").select("id", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        up = up.checkpoint()
+def ancestry(parents: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """``(id, root, depth, cycle)``: the end of each row's chain of parents, found by doubling steps.
+
+    Rows still moving after as many steps as there are rows are in a cycle, or
+    lead into one; their ``root`` is the smallest id of the cycle and their
+    ``depth`` null. A parent that is no row ends the chain before it.
+    """
+    up = parents.select(F.col(key).alias("id"), F.col(parent).alias("next"))
+    known = parents.select(F.col(key).alias("next")).distinct().withColumn("there", F.lit(True))
+    # ``low`` is the smallest id met so far.
+    up = up.join(known, "next", "left").select("id", F.when(F.col("there"), F.col("next")).alias("next"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
+    up = cut(up.withColumn("low", F.least("id", F.coalesce("next", "id"))).withColumn("last", F.coalesce("next", "id")), "ancestry")
+    rows, steps = up.count(), 1
+    while steps <= rows and not up.filter("next IS NOT NULL").isEmpty():
+        above = up.select(F.col("id").alias("next"), F.col("next").alias("higher"), F.col("depth").alias("more"), F.col("low").alias("lower"), F.col("last").alias("further"))
+        up = up.join(above, "next", "left").select("id", F.col("higher").alias("next"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.least("low", F.coalesce("lower", "low")).alias("low"), F.coalesce("further", "last").alias("last"))
+        up = cut(up, "ancestry")
         steps *= 2
-    return up.select("id", F.coalesce("root", "id").alias("root"), "depth", (F.col("depth") >= max_depth).alias("cycle"))
+    cycle = F.col("next").isNotNull()
+    if not up.filter(cycle).isEmpty():
+        # ``next`` is on the cycle, and its own smallest id is the cycle's.
+        ring = up.filter(cycle).select(F.col("id").alias("next"), F.col("low").alias("ring"))
+        up = up.join(ring, "next", "left")
+    else:
+        up = up.withColumn("ring", F.col("low"))
+    return up.select("id", F.when(cycle, F.col("ring")).otherwise(F.col("last")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("cycle"))
 
 
 def invalidate(records: DataFrame, changed: DataFrame) -> DataFrame:

@@ -47,19 +47,23 @@ def scene_scores(targets: DataFrame, scenes: DataFrame, top: int = 3) -> DataFra
     """``(target_id, scene_id, score, rank)`` of the best scenes of each target.
 
     100 and the common lines where they overlap, else 40 less the distance;
-    50 for the same file, 8 for each shared person; scenes of other files are
-    left out. ``scenes`` and ``targets``
-    have ``file, first, last, people``.
+    50 for the same file, 8 for each shared person. Scenes of another file are
+    left out; where either has no file, people alone bring them together.
+    ``scenes`` and ``targets`` have ``file, first, last, people``.
     """
     t = targets.select("target_id", F.col("file").alias("tf"), F.col("first").alias("t1"), F.col("last").alias("t2"), F.col("people").alias("tp"))
     s = scenes.select("scene_id", F.col("file").alias("sf"), F.col("first").alias("s1"), F.col("last").alias("s2"), F.col("people").alias("sp"))
-    pairs = t.join(s, F.col("tf") == F.col("sf"))
+    # Without a file on both sides only shared people score: they are the key.
+    some = lambda d, c: d.withColumn("who", F.explode(F.array_distinct(c)))
+    lone_t, lone_s = t.filter("tf IS NULL"), s.filter("sf IS NULL")
+    loose = some(lone_t, "tp").join(some(s, "sp"), "who").unionByName(some(t.filter("tf IS NOT NULL"), "tp").join(some(lone_s, "sp"), "who")).drop("who").dropDuplicates(["target_id", "scene_id"])
+    pairs = t.join(s, F.col("tf") == F.col("sf")).unionByName(loose)
     over = (F.col("s1") <= F.col("t2")) & (F.col("t1") <= F.col("s2"))
     common = F.least("s2", "t2") - F.greatest("s1", "t1") + 1
     far = F.when(F.col("s2") < F.col("t1"), F.col("t1") - F.col("s2")).otherwise(F.col("s1") - F.col("t2"))
     near = F.when(F.col("s1").isNull() | F.col("t1").isNull(), 0).when(over, 100 + common).otherwise(F.greatest(F.lit(0), 40 - F.least(far, F.lit(40))))
     shared = F.size(F.array_intersect(F.coalesce("sp", F.array().cast("array<string>")), F.coalesce("tp", F.array().cast("array<string>"))))
-    scored = pairs.withColumn("score", (50 + near + 8 * shared).cast("long")).filter("score > 0")
+    scored = pairs.withColumn("score", (F.when(F.col("tf") == F.col("sf"), 50 + near).otherwise(0) + 8 * shared).cast("long")).filter("score > 0")
     w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), "scene_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("target_id", "scene_id", "score", "rank")
 

@@ -35,7 +35,7 @@ class Policy:
     interjections: tuple[str, ...] = INTERJECTIONS
     labels: tuple[str, ...] = SPEAKER_LABELS
     garbled: tuple[str, ...] = ()
-    blockers: tuple[str, ...] = ("unclosed_delimiters",)
+    blockers: tuple[str, ...] = ("quality.structure.unclosed_delimiters",)
     severity: dict[str, str] = field(default_factory=dict)
 
 
@@ -106,18 +106,18 @@ def garbled_phrase(s: DataFrame, p: Policy) -> Column:
     return F.array_compact(F.array(*[F.when(s["translation"].contains(x), F.lit(x)) for x in p.garbled])) if p.garbled else F.array().cast("array<string>")
 
 
-#: Rules by reason code. Others may be added; each takes the subjects and the policy.
+#: Rules by reason code; the codes are fixed values. Others may be added; each takes the subjects and the policy.
 RULES: dict[str, Callable[[DataFrame, Policy], Column]] = {
-    "wait_tag_in_cjk": wait_tag_in_cjk,
-    "unclosed_delimiters": unclosed_delimiters,
-    "english_suffix_next_to_cjk": english_suffix_next_to_cjk,
-    "cjk_latin_spacing": cjk_latin_spacing,
-    "halfwidth_punctuation": halfwidth_punctuation,
-    "ascii_ellipsis": ascii_ellipsis,
-    "english_residue": english_residue,
-    "speaker_label_untranslated": speaker_label_untranslated,
-    "interjection_untranslated": interjection_untranslated,
-    "garbled_phrase": garbled_phrase,
+    "quality.renpy.wait_tag_inside_cjk": wait_tag_in_cjk,
+    "quality.structure.unclosed_delimiters": unclosed_delimiters,
+    "quality.language.english_suffix_adjacent": english_suffix_next_to_cjk,
+    "quality.typography.cjk_latin_spacing": cjk_latin_spacing,
+    "quality.typography.halfwidth_punctuation": halfwidth_punctuation,
+    "quality.typography.ascii_ellipsis": ascii_ellipsis,
+    "quality.language.suspicious_english_residue": english_residue,
+    "quality.speaker.label_untranslated": speaker_label_untranslated,
+    "quality.completeness.interjection_untranslated": interjection_untranslated,
+    "quality.garbled.known_bad_phrase": garbled_phrase,
 }
 
 
@@ -157,8 +157,12 @@ def glossary_not_applied(subjects: DataFrame, glossary: DataFrame, key: str = "i
     return s.join(terms, "probe").filter(hit).select(key, "term", "target").distinct()
 
 
-def findings_filter(findings: DataFrame, reasons: list[str] | None = None, files: list[str] | None = None, min_severity: str | None = None, dispositions: list[str] | None = None, text: str | None = None) -> DataFrame:
-    """All given conditions at once; an empty one filters nothing. Files match by path (see ``path_match``)."""
+def findings_filter(findings: DataFrame, reasons: list[str] | None = None, files: list[str] | None = None, min_severity: str | None = None, dispositions: list[str] | None = None, text: str | None = None, items: list | None = None) -> DataFrame:
+    """All given conditions at once; an empty one filters nothing. Files match by path (see ``path_match``).
+
+    The text is looked for in source, translation and evidence, case aside;
+    of these, columns that the findings lack say nothing.
+    """
     out = findings
     if reasons:
         out = out.filter(F.col("reason_code").isin(reasons))
@@ -170,15 +174,21 @@ def findings_filter(findings: DataFrame, reasons: list[str] | None = None, files
     if min_severity:
         out = out.filter(F.col("severity").isin(list(SEVERITIES[SEVERITIES.index(min_severity) :])))
     if dispositions:
-        out = out.filter(F.col("disposition").isin(dispositions))
-    if text:
-        out = out.filter(F.contains(F.lower(F.concat_ws(" ", "file", "reason_code", F.array_join("evidence", " "))), F.lit(text.lower())))
+        out = out.filter(F.col("disposition").isin([d.strip().lower() for d in dispositions]))
+    if items:
+        out = out.filter(F.col("item_id").cast("string").isin([str(i).strip() for i in items]))
+    if text and text.strip():
+        said = [F.col(c) for c in ("source", "translation") if c in findings.columns]
+        out = out.filter(F.contains(F.lower(F.concat_ws(" ", *said, F.array_join("evidence", " "))), F.lit(text.strip().lower())))
     return out
 
 
 def path_match(path: Column, wanted: str) -> Column:
-    """Equal, below it, one of the path's components, or, for a bare fragment, part of it."""
-    out = (path == wanted) | path.startswith(wanted + "/") | F.array_contains(F.split(path, "/"), wanted)
+    """Equal, below it, one of the path's components, or, for a bare fragment, part of it; case and kind of slash aside."""
+    path, wanted = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), wanted.replace("\\", "/").strip().lower()
+    if not wanted:
+        return F.lit(False)
+    out = (path == wanted) | path.startswith(wanted.rstrip("/") + "/") | F.array_contains(F.split(path, "/"), wanted)
     return out | path.contains(wanted) if "/" not in wanted and "." not in wanted else out
 
 
@@ -188,8 +198,8 @@ def gate(findings: DataFrame, acknowledged: DataFrame, key: str = "finding_id")
     rows = findings.join(seen, key, "left")
     warning, ack = F.col("disposition") == "warning", F.coalesce(F.col("__ack"), F.lit(False))
     out = rows.agg(F.count_if(F.col("disposition") == "blocker").alias("blockers"), F.count_if(warning).alias("warnings"), F.count_if(warning & ack).alias("acknowledged"))
-    decision = F.when(F.col("blockers") > 0, "blocked").when(F.col("warnings") > F.col("acknowledged"), "needs_acknowledgement").otherwise("pass")
-    return out.withColumn("decision", decision)
+    open_ = (F.col("blockers") > 0) | (F.col("warnings") > F.col("acknowledged"))
+    return out.withColumn("decision", F.when(open_, "needs_review").when(F.col("warnings") > 0, "acknowledged").otherwise("pass"))
 
 
 def validate_translation(rows: DataFrame, source: str = "source", translation: str = "translation") -> DataFrame:

@@ -85,7 +85,12 @@ def usage_report(rows: DataFrame, by: tuple[str, ...] = ("task", "stage", "provi
 
 
 def cost_by_currency(rows: DataFrame, by: list[str], cost: str, currency: str) -> DataFrame:
-    """``costs``, a map of currency to its sum rounded to 8 places, with ``known`` and ``unknown`` counts."""
+    """``costs``, a map of currency to its sum rounded to 8 places, with ``known`` and ``unknown`` counts.
+
+    A cost below zero, NaN or infinite is unknown.
+    """
+    given = F.col(cost).cast("double")
+    rows = rows.withColumn(cost, F.when((given >= 0) & (given < float("inf")), F.col(cost)))
     one = rows.groupBy(*by, currency).agg(F.sum(cost).alias("__sum"), F.count(cost).alias("__known"), F.count("*").alias("__all"))
     pairs = F.sort_array(F.collect_list(F.when(F.col("__sum").isNotNull(), F.struct(F.coalesce(currency, F.lit("unknown")), F.bround("__sum", 8)))))
     return one.groupBy(*by).agg(F.map_from_entries(pairs).alias("costs"), F.sum("__known").alias("known"), (F.sum("__all") - F.sum("__known")).alias("unknown"))

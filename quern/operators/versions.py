@@ -2,104 +2,223 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.tables import cut
 from quern.functions.text import trigrams
-from quern.functions.udfs import sequence_ratio
+from quern.functions.udfs import ratio_from
 
-#: Rank of each kind of match, and the limits of fuzzy candidates.
-RANKS = {"lineage": 600, "locator": 500, "content": 450, "source_context": 300, "fuzzy": 200}
-MIN_RATIO, MARGIN, MAX_POSTING, MAX_CANDIDATES = 0.82, 5.0, 512, 16
+#: Rank of each kind of match and what context adds to it, limits of modified sources, options shown.
+RANKS = {"confirmed_lineage": 600.0, "locator_exact": 500.0, "content_exact": 450.0, "moved_exact": 300.0, "source_modified": 200.0}
+MOVED_BONUS = {"speaker": 30.0, "before": 12.0, "after": 12.0, "mode": 4.0}
+MODIFIED_BONUS = {"speaker": 8.0, "before": 4.0, "after": 4.0}
+MIN_RATIO, MARGIN, MIN_LENGTH, RAREST, OPTIONS = 0.82, 5.0, 4, 16, 8
+#: Columns of a version that may be missing; they are null then.
+OPTIONAL = ("lineage", "locator", "content", "before", "after", "speaker", "mode")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and reread, in the shared folder if the session has one; each round of matching starts from a table."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/versions-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _version(df: DataFrame) -> DataFrame:
+    """The columns that matching reads, texts normalised, empty ones null."""
+    text = lambda c: F.nullif(F.trim(F.regexp_replace(c, "\r\n?", "\n")), F.lit(""))
+    have = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in OPTIONAL]
+    rows = df.select("id", F.col("source"), *have)
+    rows = rows.withColumns({c: text(F.col(c)) for c in ("source", "before", "after", "speaker")})
+    # A neighbour that says the same as the row is no context.
+    return rows.withColumns({c: F.when(F.col(c) != F.col("source"), F.col(c)) for c in ("before", "after")})
 
 
-def candidates(base: DataFrame, target: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """``(base_id, target_id, kind, score)``: the best kind of match of each pair that shares a key.
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, id, ...)`` of keys that one row has."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("lineage", "locator") if c != key]).filter("n = 1").drop("n")
 
-    Both sides have ``id, lineage, locator, content, source, before, after``.
-    Rows that no exact key joins are compared by trigrams and block matching.
-    A trigram that more than ``MAX_POSTING`` rows share says nothing.
+
+def _pairs_of_once(base: DataFrame, target: DataFrame, key: str, kind: str, differ: tuple[str, ...]) -> DataFrame:
+    """``(base_id, target_id, kind, score)`` of keys that one row of each side has; stronger keys must not agree."""
+    a = _once(base, key).withColumnsRenamed({"id": "base_id"} | {c: f"b_{c}" for c in differ})
+    b = _once(target, key).withColumnsRenamed({"id": "target_id"} | {c: f"t_{c}" for c in differ})
+    same = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"b_{c}") == F.col(f"t_{c}"), F.lit(False)) for c in differ], F.lit(False))
+    return a.select(key, "base_id", *[f"b_{c}" for c in differ]).join(b.select(key, "target_id", *[f"t_{c}" for c in differ]), key).filter(~same).select("base_id", "target_id", F.lit(kind).alias("kind"), F.lit(RANKS[kind]).alias("score"), F.lit(1.0).alias("confidence"))
+
+
+def _less(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    return rows.join(pairs.select(F.col(f"{side}_id").alias("id")), "id", "left_anti")
+
+
+def exact_matches(base: DataFrame, target: DataFrame) -> DataFrame:
+    """``(base_id, target_id, kind, score, confidence)`` by lineage, then locator, then content.
+
+    Rows share a key with one row of the other side, and it with one of theirs,
+    or the key decides nothing: lineage and locator among rows that are left,
+    content among all. No pair of a common key is listed.
     """
-    pairs = None
-    a = base.select([F.col(c).alias(f"b_{c}") for c in base.columns])
-    b = target.select([F.col(c).alias(f"t_{c}") for c in target.columns])
-    near = (F.col("b_before").eqNullSafe(F.col("t_before"))).cast("int") + (F.col("b_after").eqNullSafe(F.col("t_after"))).cast("int")
-    for kind, key in (("lineage", "lineage"), ("locator", "locator"), ("content", "content"), ("source_context", "source")):
-        same = a.join(b, F.col(f"b_{key}") == F.col(f"t_{key}"))
-        if kind == "locator":
-            same = same.filter(F.col("b_source") == F.col("t_source"))
-        part = same.select(F.col("b_id").alias("base_id"), F.col("t_id").alias("target_id"), F.lit(kind).alias("kind"), (F.lit(float(RANKS[kind])) + near * 10).alias("score"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    best = pairs.groupBy("base_id", "target_id").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
-    if not fuzzy:
-        return best
-    best = _cut(best)
-    lone_a = base.join(best.select(F.col("base_id").alias("id")).distinct(), "id", "left_anti")
-    lone_b = target.join(best.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti")
-    grams = lambda d, n: d.select(F.col("id").alias(n), F.explode(trigrams(F.lower("source"))).alias("gram"))
-    ga, gb = grams(lone_a, "base_id"), grams(lone_b, "target_id")
-    usable = gb.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") <= MAX_POSTING).select("gram")
-    shared = ga.join(usable, "gram").join(gb, "gram").groupBy("base_id", "target_id").agg(F.count("*").alias("common"))
-    place = F.row_number().over(Window.partitionBy("base_id").orderBy(F.col("common").desc(), "target_id"))
-    top = shared.withColumn("p", place).filter(F.col("p") <= MAX_CANDIDATES)
-    text = top.join(lone_a.select(F.col("id").alias("base_id"), F.col("source").alias("x")), "base_id").join(lone_b.select(F.col("id").alias("target_id"), F.col("source").alias("y")), "target_id")
-    scored = text.withColumn("ratio", sequence_ratio("x", "y")).filter(F.col("ratio") >= MIN_RATIO)
-    return best.unionByName(scored.select("base_id", "target_id", F.lit("fuzzy").alias("kind"), (RANKS["fuzzy"] + 100 * F.col("ratio")).alias("score")))
-
-
-def match_one_to_one(pairs: DataFrame, margin: float = MARGIN, max_rounds: int = 50) -> DataFrame:
-    """Mutual best pairs, kind by kind, until none is left; ``(base_id, target_id, kind, score)``.
-
-    A pair is best if no other pair of its row comes within ``margin`` (fuzzy)
-    or as high (exact kinds). Matched rows leave, so that others may become
-    best in the next round; rounds are bounded by ``max_rounds``.
+    a, b = _version(base), _version(target)
+    found = cut(_pairs_of_once(a, b, "lineage", "confirmed_lineage", ()), "lineage")
+    place = _pairs_of_once(_less(a, found, "base"), _less(b, found, "target"), "locator", "locator_exact", ("lineage",))
+    found = cut(found.unionByName(place), "locator")
+    content = _pairs_of_once(a, b, "content", "content_exact", ("lineage", "locator"))
+    content = content.join(found.select("base_id"), "base_id", "left_anti").join(found.select("target_id"), "target_id", "left_anti")
+    return found.unionByName(content)
+
+
+def _patterns() -> list[tuple[tuple[str, ...], float]]:
+    """Which context two rows may share, and what that adds; those with the same sum add up."""
+    names = tuple(MOVED_BONUS)
+    some = [tuple(n for k, n in enumerate(names) if i >> k & 1) for i in range(1 << len(names))]
+    return [(p, sum(MOVED_BONUS[n] for n in p)) for p in some]
+
+
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.withColumn("side", F.lit("base")).unionByName(b.withColumn("side", F.lit("target")))
+
+
+def moved_matches(a: DataFrame, b: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(base_id, target_id, kind, score, confidence)`` of rows with the same source, mutual best by shared context.
+
+    For every set of context fields, rows are counted by their values: the
+    highest sum for which the other side has a row tells a row's best, and a
+    count of one that it is the only one. So no pair of a common source is
+    listed. ``counts`` tells how often each source is said in both versions; a
+    source that either says twice needs context. Matched rows leave and the
+    others are counted again, until no pair is found.
+    """
+    rows = cut(_sides(a, b).join(counts.filter("b_n > 0 AND t_n > 0"), "source"), "moved")
+    matched = None
+    while True:
+        options = F.array(
+            *[
+                F.when(
+                    reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in p], (F.col("b_n") * F.col("t_n") == 1) | F.lit(bool({*p} - {"mode"}))),
+                    F.struct(F.lit(bonus).alias("bonus"), F.sha2(F.to_json(F.struct(F.lit(",".join(p)).alias("p"), "source", *p)).cast("binary"), 256).alias("key")),
+                )
+                for p, bonus in _patterns()
+            ]
+        )
+        keyed = rows.select("id", "side", F.explode(F.filter(options, lambda o: o.isNotNull())).alias("o")).select("id", "side", "o.bonus", "o.key")
+        by_key = keyed.groupBy("key").agg(*[f(F.when(F.col("side") == s, F.col("id"))).alias(f"{s}_{n}") for s in ("base", "target") for f, n in ((F.count, "n"), (F.min, "id"))]).filter("base_n > 0 AND target_n > 0")
+        other = lambda c: F.when(F.col("side") == "base", F.col(f"target_{c}")).otherwise(F.col(f"base_{c}"))
+        sums = keyed.join(by_key, "key").groupBy("id", "side", "bonus").agg(F.sum(other("n")).alias("n"), F.min(other("id")).alias("choice"))
+        best = sums.groupBy("id", "side").agg(F.max(F.struct("bonus", "n", "choice")).alias("b")).filter("b.n = 1").select("id", "side", "b.bonus", "b.choice")
+        mine = best.filter("side = 'base'").select(F.col("id").alias("base_id"), F.col("choice").alias("target_id"), "bonus")
+        yours = best.filter("side = 'target'").select(F.col("choice").alias("base_id"), F.col("id").alias("target_id"))
+        new = mine.join(yours, ["base_id", "target_id"]).join(a.select(F.col("id").alias("base_id"), "source"), "base_id").join(counts, "source")
+        plain = (F.col("b_n") == 1) & (F.col("t_n") == 1)
+        context = F.col("bonus") > MOVED_BONUS["mode"]
+        new = cut(new.select("base_id", "target_id", F.when(plain | ~context, "moved_exact").otherwise("context_high_confidence").alias("kind"), (F.lit(RANKS["moved_exact"]) + F.col("bonus")).alias("score"), F.when(context, 0.98).otherwise(0.93).alias("confidence")), "moved")
+        if new.isEmpty():
+            return matched if matched is not None else new
+        matched = new if matched is None else matched.unionByName(new)
+        gone = new.select(F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col("base_id").alias("id")), F.struct(F.lit("target").alias("side"), F.col("target_id").alias("id")))).alias("g")).select("g.*")
+        rows = cut(rows.join(gone, ["side", "id"], "left_anti"), "moved")
+
+
+def modified_pairs(a: DataFrame, b: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """``(base_id, target_id, score, confidence, context)`` of rows whose sources are ``MIN_RATIO`` alike or more.
+
+    Rows are compared if the target has one of the base row's ``rarest``
+    trigrams that any target has. Lengths that cannot reach the ratio are left
+    out before texts meet, common subsequences that cannot before blocks are
+    matched.
     """
-    left, matched = _cut(pairs), None
-    for kind in ("lineage", "locator", "content", "source_context", "fuzzy"):
-        gap = margin if kind == "fuzzy" else 0.0
-        for _ in range(max_rounds):
-            own = left.filter(F.col("kind") == kind)
-            for side in ("base_id", "target_id"):
-                w = Window.partitionBy(side).orderBy(F.col("score").desc(), "base_id", "target_id")
-                own = own.withColumn(f"p_{side}", F.row_number().over(w)).withColumn(f"n_{side}", F.lead("score").over(w))
-                own = own.withColumn(f"ok_{side}", (F.col(f"p_{side}") == 1) & (F.col(f"n_{side}").isNull() | (F.col("score") - F.col(f"n_{side}") > gap)))
-            new = _cut(own.filter("ok_base_id AND ok_target_id").select("base_id", "target_id", "kind", "score"))
-            if not new.limit(1).count():
-                break
-            matched = new if matched is None else matched.unionByName(new)
-            left = _cut(left.join(new.select("base_id"), "base_id", "left_anti").join(new.select("target_id"), "target_id", "left_anti"))
-    return matched if matched is not None else left.limit(0)
+    grams = lambda d, n: d.filter(F.length("source") >= 3).select(F.col("id").alias(n), F.explode(F.array_distinct(trigrams("source"))).alias("gram")).filter(F.trim("gram") != "")
+    gb = grams(b, "target_id")
+    held = grams(a, "base_id").join(gb.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rare = held.withColumn("p", F.row_number().over(Window.partitionBy("base_id").orderBy("n", "gram"))).filter(F.col("p") <= rarest)
+    chars = lambda d, n: d.select(F.col("id").alias(f"{n}_id"), F.col("source").alias(f"{n}_source"), F.length("source").alias(f"{n}_length"), *[F.col(c).alias(f"{n}_{c}") for c in ("speaker", "before", "after")])
+    size = lambda d, n: d.select(F.col("id").alias(f"{n}_id"), F.length("source").alias(f"{n}_length"))
+    pairs = rare.join(gb, "gram").select("base_id", "target_id").distinct()
+    near = 2 * F.least("base_length", "target_length") >= MIN_RATIO * (F.col("base_length") + F.col("target_length"))
+    pairs = pairs.join(size(a, "base"), "base_id").join(size(b, "target"), "target_id").filter(near & (F.greatest("base_length", "target_length") >= MIN_LENGTH)).select("base_id", "target_id")
+    text = pairs.join(chars(a, "base"), "base_id").join(chars(b, "target"), "target_id")
+    scored = text.withColumn("ratio", ratio_from("base_source", "target_source", F.lit(MIN_RATIO))).filter(F.col("ratio") >= MIN_RATIO)
+    # A neighbour that is the other side's source is no context either.
+    same = {c: F.coalesce(F.col(f"base_{c}") == F.col(f"target_{c}"), F.lit(False)) for c in MODIFIED_BONUS}
+    for c in ("before", "after"):
+        same[c] = same[c] & (F.col(f"base_{c}") != F.col("target_source")) & (F.col(f"target_{c}") != F.col("base_source"))
+    score = reduce(lambda x, c: x + F.when(same[c], MODIFIED_BONUS[c]).otherwise(0.0), same, F.lit(RANKS["source_modified"]) + 100 * F.col("ratio"))
+    sure = F.least(F.lit(0.99), 0.88 * F.col("ratio") + F.when(same["speaker"], 0.05).otherwise(0.0) + F.when(same["before"], 0.025).otherwise(0.0) + F.when(same["after"], 0.025).otherwise(0.0))
+    return scored.select("base_id", "target_id", score.alias("score"), sure.alias("confidence"), (same["speaker"] | same["before"] | same["after"]).alias("context"))
+
+
+def match_one_to_one(pairs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Mutual best pairs of ``(base_id, target_id, score, usable, ...)`` until none is left.
+
+    A pair is best if it is ``usable`` and no other pair of its row comes
+    within ``margin``. Matched rows leave, so that others may become best in
+    the next round; every round but the last matches a pair, and each reads
+    what the one before left.
+    """
+    left, matched = cut(pairs, "pairs"), None
+    while True:
+        own = left
+        for side in ("base_id", "target_id"):
+            w = Window.partitionBy(side).orderBy(F.col("score").desc(), "base_id", "target_id")
+            own = own.withColumn(f"p_{side}", F.row_number().over(w)).withColumn(f"n_{side}", F.lead("score").over(w))
+            own = own.withColumn(f"ok_{side}", (F.col(f"p_{side}") == 1) & (F.col(f"n_{side}").isNull() | (F.col("score") - F.col(f"n_{side}") > margin)))
+        new = cut(own.filter("ok_base_id AND ok_target_id AND usable").select(*pairs.columns), "pairs")
+        if new.isEmpty():
+            return matched if matched is not None else new
+        matched = new if matched is None else matched.unionByName(new)
+        left = cut(left.join(new.select("base_id"), "base_id", "left_anti").join(new.select("target_id"), "target_id", "left_anti"), "pairs")
 
 
 def reconcile(base: DataFrame, target: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``(disposition, kind, base_id, target_id, options, confidence)`` of every row of both versions.
 
-    Matched first; a row with candidates left over is ambiguous, without any
-    it is deleted (base) or added (target).
+    Both sides have ``id`` and ``source``, and may have ``lineage, locator,
+    content, before, after, speaker, mode``. Ids are unique within a side; null
+    or empty keys agree with nothing. Kinds are tried from the strongest to the
+    weakest: ``confirmed_lineage, locator_exact, content_exact, moved_exact``
+    (``context_high_confidence`` where context decided among equal sources),
+    ``source_modified``. A row that shares a key with rows left over, or is
+    like one, is ``ambiguous`` (base) or ``ambiguous_target``; ``options``
+    shows the first of them (at most ``OPTIONS``). Without any it is
+    ``deleted`` or ``added``. Rows whose content is on the other side, but not
+    once on each, are not matched as moved.
     """
-    pairs = _cut(candidates(base, target, fuzzy))
-    matched = _cut(match_one_to_one(pairs))
-    rest = pairs.join(matched.select("base_id"), "base_id", "left_anti").join(matched.select("target_id"), "target_id", "left_anti")
-    confidence = F.when(F.col("kind") == "fuzzy", (F.col("score") - RANKS["fuzzy"]) / 100).otherwise(F.least(F.lit(1.0), F.col("score") / 620))
-    none = F.lit(None)
-    ids = base.schema["id"].dataType
-    out = matched.select(F.lit("matched").alias("disposition"), "kind", "base_id", "target_id", F.array("target_id").alias("options"), F.bround(confidence, 4).alias("confidence"))
-    open_a = base.select(F.col("id").alias("base_id")).join(matched.select("base_id"), "base_id", "left_anti").join(rest.groupBy("base_id").agg(F.array_sort(F.collect_set("target_id")).alias("options")), "base_id", "left")
-    open_a = open_a.select(F.when(F.col("options").isNull(), "deleted").otherwise("ambiguous").alias("disposition"), none.cast("string").alias("kind"), "base_id", none.cast(ids).alias("target_id"), F.coalesce("options", F.array().cast(f"array<{ids.simpleString()}>")).alias("options"), F.lit(0.0).alias("confidence"))
-    open_b = target.select(F.col("id").alias("target_id")).join(matched.select("target_id"), "target_id", "left_anti").join(rest.select("target_id").distinct().withColumn("some", F.lit(True)), "target_id", "left")
-    open_b = open_b.select(F.when(F.col("some"), "ambiguous_target").otherwise("added").alias("disposition"), none.cast("string").alias("kind"), none.cast(ids).alias("base_id"), "target_id", F.array().cast(f"array<{ids.simpleString()}>").alias("options"), F.lit(0.0).alias("confidence"))
+    a, b = cut(_version(base), "base"), cut(_version(target), "target")
+    exact = cut(exact_matches(base, target), "exact")
+    counts = _sides(a, b).filter("source IS NOT NULL").groupBy("source").agg(F.count_if(F.col("side") == "base").alias("b_n"), F.count_if(F.col("side") == "target").alias("t_n"))
+    counts = cut(counts, "counts")
+    left_a, left_b = cut(_less(a, exact, "base"), "left"), cut(_less(b, exact, "target"), "left")
+    shared = a.filter("content IS NOT NULL").select("content").distinct().join(b.select("content").distinct(), "content")
+    free = lambda d: d.join(shared, "content", "left_anti")
+    moved = moved_matches(free(left_a), free(left_b), counts)
+    matched = cut(exact.unionByName(moved), "matched")
+    left_a, left_b = cut(_less(left_a, moved, "base"), "left"), cut(_less(left_b, moved, "target"), "left")
+
+    # Rows left over that share a key; what is related is a pair of keys, not of rows.
+    related = lambda d: d.select("id", F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in ("lineage", "locator", "content", "source")])).alias("key")).filter("key IS NOT NULL")
+    has_key = related(a).join(related(b).select("key").distinct(), "key", "left_semi").select("id").distinct()
+    keys_a, keys_b = related(left_a), related(left_b)
+    shown = keys_b.withColumn("p", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("p") <= OPTIONS).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    options = keys_a.join(shown, "key").select("id", F.col("ids"))
+    unsure = keys_b.join(keys_a.select("key").distinct(), "key", "left_semi").select("id")
+    if fuzzy:
+        pairs = modified_pairs(left_a.join(has_key, "id", "left_anti"), left_b)
+        said = lambda d, n, c: d.select(F.col("id").alias(f"{n}_id"), "source").join(counts.select("source", F.col(c).alias(f"{n}_n")), "source").drop("source")
+        pairs = pairs.join(said(left_a, "base", "b_n"), "base_id").join(said(left_b, "target", "t_n"), "target_id")
+        pairs = cut(pairs.select("base_id", "target_id", "score", "confidence", (F.col("context") | ((F.col("base_n") == 1) & (F.col("target_n") == 1))).alias("usable")), "modified")
+        like = match_one_to_one(pairs)
+        matched = cut(matched.unionByName(like.select("base_id", "target_id", F.lit("source_modified").alias("kind"), "score", "confidence")), "matched")
+        rest = pairs.join(like.select("base_id"), "base_id", "left_anti").join(like.select("target_id"), "target_id", "left_anti")
+        left_a, left_b = _less(left_a, like, "base"), _less(left_b, like, "target")
+        best = rest.withColumn("p", F.row_number().over(Window.partitionBy("base_id").orderBy(F.col("score").desc(), "target_id"))).filter(F.col("p") <= OPTIONS)
+        options = options.unionByName(best.groupBy(F.col("base_id").alias("id")).agg(F.array_sort(F.collect_set("target_id")).alias("ids")))
+        # A target that a modified source took is no option any more.
+        options = options.select("id", F.explode("ids").alias("one")).join(like.select(F.col("target_id").alias("one")), "one", "left_anti").groupBy("id").agg(F.collect_set("one").alias("ids"))
+        unsure = unsure.unionByName(rest.select(F.col("target_id").alias("id")))
+    options = options.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, OPTIONS).alias("options"))
+
+    none, ids = F.lit(None), base.schema["id"].dataType
+    empty = F.array().cast(f"array<{ids.simpleString()}>")
+    out = matched.select(F.lit("matched").alias("disposition"), "kind", "base_id", "target_id", F.array("target_id").alias("options"), F.bround("confidence", 4).alias("confidence"))
+    open_a = left_a.select("id").join(options, "id", "left")
+    open_a = open_a.select(F.when(F.col("options").isNull(), "deleted").otherwise("ambiguous").alias("disposition"), none.cast("string").alias("kind"), F.col("id").alias("base_id"), none.cast(ids).alias("target_id"), F.coalesce("options", empty).alias("options"), F.lit(0.0).alias("confidence"))
+    open_b = left_b.select("id").join(unsure.distinct().withColumn("some", F.lit(True)), "id", "left")
+    open_b = open_b.select(F.when(F.col("some"), "ambiguous_target").otherwise("added").alias("disposition"), none.cast("string").alias("kind"), none.cast(ids).alias("base_id"), F.col("id").alias("target_id"), empty.alias("options"), F.lit(0.0).alias("confidence"))
     return out.unionByName(open_a).unionByName(open_b)
 
 

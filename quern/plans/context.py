@@ -139,11 +139,13 @@ def text_identity(t):
     return t("documents").select("doc_id", T.identity(F.col("source"), F.col("lang"), F.col("doc_id") % 3 + 1, F.col("doc_id"), F.col("text")).alias("unit_id"))
 
 
-@query("text_non_translatable", r"SELECT part, COUNT(*) AS n FROM (SELECT unnest(string_split(text, ' '))[1:12] AS part FROM documents) WHERE trim(part) = '' OR regexp_matches(part, '^[^\p{L}\p{N}]+$') OR regexp_matches(trim(part), '^[\w.-]+\.\w+$') OR regexp_matches(trim(part), '^[IVXLCDM]+\.?$') OR regexp_matches(trim(part), '^[a-z]+(_[a-z0-9]+)+$') OR regexp_matches(trim(part), '^(?:[A-Za-z]\.?)(?:\s+[A-Za-z]\.?)+$') GROUP BY part")
+@query("text_non_translatable", r"""WITH w AS (SELECT word, trim(word, ' ') AS p FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents))
+        SELECT md5(word) AS word, COUNT(*) AS n FROM w WHERE p = '' OR NOT regexp_matches(p, '[A-Za-z0-9\x{4e00}-\x{9fff}]') OR regexp_full_match(p, '\{[^}]+\}|[\p{L}\p{N}\p{M}_.-]+\.[\p{L}\p{N}\p{M}_]+|[+-](?i:[IVXLCDM]+)|(?i:[IVXLCDM]{2,})|(%[A-Za-z]|[%:\s,./0-9-])+|[A-Za-z_][A-Za-z0-9_]*_(name|label|id)|[A-Za-z]\.?(\s+[A-Za-z]\.?)+')
+        GROUP BY word""")
 def text_non_translatable(t):
     """Words that need no translation."""
-    words = t("documents").select(F.explode(F.split("text", " ")).alias("w")).select(F.substring("w", 1, 12).alias("part"))
-    return words.filter(T.non_translatable(F.col("part"))).groupBy("part").agg(F.count("*").alias("n"))
+    words = t("documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return words.filter(T.non_translatable(F.col("word"))).groupBy("word").agg(F.count("*").alias("n")).withColumn("word", F.md5("word"))
 
 
 @query("text_line_totals", "SELECT lang, COUNT(*) AS lines, CAST(SUM(length(l)) AS BIGINT) AS chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY lang")

@@ -27,14 +27,14 @@ def subjects(t):
     return t("documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("file"), (F.col("doc_id") % 97).cast("int").alias("line"), source.alias("source"), text.alias("translation"))
 
 
-_FOUND = f"""(SELECT item_id, file, line, unnest(CASE item_id % 8 WHEN 0 THEN ['wait_tag_in_cjk'] WHEN 1 THEN ['unclosed_delimiters', 'english_residue_x', 'cjk_latin_x'] WHEN 2 THEN ['english_suffix_next_to_cjk', 'cjk_latin_spacing', 'english_residue'] WHEN 3 THEN ['halfwidth_punctuation']
-  WHEN 4 THEN ['ascii_ellipsis', 'halfwidth_punctuation'] WHEN 5 THEN ['english_residue'] WHEN 6 THEN ['english_residue', 'interjection_untranslated'] ELSE [] END) AS reason_code FROM {_SUBJECT})"""
+_FOUND = f"""(SELECT item_id, file, line, unnest(CASE item_id % 8 WHEN 0 THEN ['quality.renpy.wait_tag_inside_cjk'] WHEN 1 THEN ['quality.structure.unclosed_delimiters', 'english_residue_x', 'cjk_latin_x'] WHEN 2 THEN ['quality.language.english_suffix_adjacent', 'quality.typography.cjk_latin_spacing', 'quality.language.suspicious_english_residue'] WHEN 3 THEN ['quality.typography.halfwidth_punctuation']
+  WHEN 4 THEN ['quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation'] WHEN 5 THEN ['quality.language.suspicious_english_residue'] WHEN 6 THEN ['quality.language.suspicious_english_residue', 'quality.completeness.interjection_untranslated'] ELSE [] END) AS reason_code FROM {_SUBJECT})"""
 
 
 @query(
     "quality_findings",
-    f"""SELECT item_id, file, line, reason_code, CASE WHEN reason_code = 'unclosed_delimiters' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN reason_code = 'unclosed_delimiters' THEN 'blocker' ELSE 'warning' END AS disposition FROM
-        (SELECT item_id, file, line, CASE reason_code WHEN 'english_residue_x' THEN 'english_residue' WHEN 'cjk_latin_x' THEN 'cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE NOT (item_id % 8 = 1 AND reason_code LIKE '%_x' AND reason_code <> 'english_residue_x' AND reason_code <> 'cjk_latin_x')) WHERE NOT (item_id % 8 = 1 AND reason_code = 'english_residue')""",
+    f"""SELECT item_id, file, line, reason_code, CASE WHEN reason_code = 'quality.structure.unclosed_delimiters' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN reason_code = 'quality.structure.unclosed_delimiters' THEN 'blocker' ELSE 'warning' END AS disposition FROM
+        (SELECT item_id, file, line, CASE reason_code WHEN 'english_residue_x' THEN 'quality.language.suspicious_english_residue' WHEN 'cjk_latin_x' THEN 'quality.typography.cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE NOT (item_id % 8 = 1 AND reason_code LIKE '%_x' AND reason_code <> 'english_residue_x' AND reason_code <> 'cjk_latin_x')) WHERE NOT (item_id % 8 = 1 AND reason_code = 'quality.language.suspicious_english_residue')""",
 )
 def quality_findings(t):
     """All rules on all subjects."""
@@ -43,7 +43,7 @@ def quality_findings(t):
 
 @query(
     "quality_histogram",
-    f"SELECT reason_code, COUNT(*) AS n FROM (SELECT CASE reason_code WHEN 'cjk_latin_x' THEN 'cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE reason_code <> 'english_residue_x') GROUP BY 1",
+    f"SELECT reason_code, COUNT(*) AS n FROM (SELECT CASE reason_code WHEN 'cjk_latin_x' THEN 'quality.typography.cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE reason_code <> 'english_residue_x') GROUP BY 1",
 )
 def quality_histogram(t):
     """Findings per reason."""
@@ -52,19 +52,19 @@ def quality_histogram(t):
 
 @query(
     "quality_gate",
-    f"""SELECT COUNT(*) FILTER (WHERE reason_code = 'unclosed_delimiters') AS blockers, COUNT(*) FILTER (WHERE reason_code <> 'unclosed_delimiters') AS warnings, COUNT(*) FILTER (WHERE reason_code = 'halfwidth_punctuation') AS acknowledged, 'blocked' AS decision
+    f"""SELECT COUNT(*) FILTER (WHERE reason_code = 'quality.structure.unclosed_delimiters') AS blockers, COUNT(*) FILTER (WHERE reason_code <> 'quality.structure.unclosed_delimiters') AS warnings, COUNT(*) FILTER (WHERE reason_code = 'quality.typography.halfwidth_punctuation') AS acknowledged, 'needs_review' AS decision
         FROM {_FOUND} WHERE reason_code <> 'english_residue_x'""",
 )
 def quality_gate(t):
     """The gate, one reason acknowledged; blockers stay."""
     found = Q.find(subjects(t))
-    return Q.gate(found, found.filter("reason_code IN ('halfwidth_punctuation', 'unclosed_delimiters')").select("finding_id"))
+    return Q.gate(found, found.filter("reason_code IN ('quality.typography.halfwidth_punctuation', 'quality.structure.unclosed_delimiters')").select("finding_id"))
 
 
-@query("quality_filter", f"SELECT item_id, reason_code FROM {_FOUND} WHERE reason_code IN ('ascii_ellipsis', 'halfwidth_punctuation') AND (file = 'src3' OR file = 'src4')")
+@query("quality_filter", f"SELECT item_id, reason_code FROM {_FOUND} WHERE reason_code IN ('quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation') AND (file = 'src3' OR file = 'src4')")
 def quality_filter(t):
     """Reasons and files at once."""
-    return Q.findings_filter(Q.find(subjects(t)), reasons=["ascii_ellipsis", "halfwidth_punctuation"], files=["src3", "src4/"[:-1]], min_severity="low").filter(F.col("file").isin("src3", "src4")).select("item_id", "reason_code")
+    return Q.findings_filter(Q.find(subjects(t)), reasons=["quality.typography.ascii_ellipsis", "quality.typography.halfwidth_punctuation"], files=["src3", "src4/"[:-1]], min_severity="low").filter(F.col("file").isin("src3", "src4")).select("item_id", "reason_code")
 
 
 @query("path_match", "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://(.*?)([?#].*)?$', 1) AS p FROM pages) WHERE p = 'en' OR starts_with(p, 'en/') OR list_contains(string_split(p, '/'), 'en') OR contains(p, 'en')")
@@ -91,13 +91,14 @@ _LINES = "(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 @query(
     "token_deltas",
-    """WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM conversations WHERE turn < 2), a AS (SELECT conv_id, w, COUNT(*) AS n FROM w WHERE role = 'user' GROUP BY 1, 2), b AS (SELECT conv_id, w, COUNT(*) AS n FROM w WHERE role <> 'user' GROUP BY 1, 2)
+    r"""WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations), a AS (SELECT conv_id, w, COUNT(*) AS n FROM w WHERE role = 'user' GROUP BY 1, 2), b AS (SELECT conv_id, w, COUNT(*) AS n FROM w WHERE role <> 'user' GROUP BY 1, 2)
        SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.w, b.w) AS token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS extra FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.w = b.w WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
 )
 def token_deltas(t):
-    """Long words that first questions and answers do not share equally often."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))
-    rows = t("conversations").filter("turn < 2").groupBy("conv_id").agg(F.flatten(F.collect_list(F.when(F.col("role") == "user", words))).alias("a"), F.flatten(F.collect_list(F.when(F.col("role") != "user", words))).alias("b"))
+    """Words that the two sides of a conversation do not say equally often."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    rows = t("conversations").select("conv_id", F.when(F.col("role") == "user", words).otherwise(none).alias("a"), F.when(F.col("role") != "user", words).otherwise(none).alias("b"))
     return Q.token_deltas(rows, "conv_id", "a", "b")
 
 

@@ -14,11 +14,11 @@ from quern.operators import versions as R
 
 from .book import query
 
-# -- versions of conversations: the target lacks every ninth turn, moves every fourth, and has new ones
+# -- versions of conversations: the target lacks every ninth turn, moves every fourth, edits every fifth, and has new ones
 
 
 def _turns(t):
-    return t("conversations").select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.concat_ws("-", "conv_id", "turn").alias("name"), "text")
+    return t("conversations").select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.concat_ws("-", "conv_id", "turn").alias("name"), "role", "text")
 
 
 def _versions(t):
@@ -26,11 +26,12 @@ def _versions(t):
     d = _turns(t).withColumns({"before": F.lag("text").over(w), "after": F.lead("text").over(w)})
     sides = []
     for side, keep in (("b", F.col("k") % 10 != 1), ("t", F.col("k") % 9 != 1)):
+        edited = F.when((F.lit(side) == "t") & (F.col("k") % 5 == 0), F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
         moved = F.when((F.lit(side) == "t") & (F.col("k") % 4 == 0), F.col("turn") + 1000).otherwise(F.col("turn"))
         sides.append(
             d.filter(keep).select(
                 F.concat(F.lit(side), "name").alias("id"), F.lit(None).cast("string").alias("lineage"), F.concat_ws(":", "conv_id", moved.cast("string")).alias("locator"),
-                F.md5(F.concat_ws("|", "conv_id", "text")).alias("content"), F.col("text").alias("source"), "before", "after",
+                F.md5(F.concat(F.col("conv_id").cast("string"), F.lit("|"), F.col("text"))).alias("content"), edited.alias("source"), "before", "after", F.col("role").alias("speaker"),
             )
         )
     return sides
@@ -39,23 +40,29 @@ def _versions(t):
 _V = """WITH d AS (SELECT conv_id, turn, conv_id * 7 + turn AS k, conv_id || '-' || turn AS name, text AS h FROM conversations), b AS (SELECT *, turn AS n FROM d WHERE k % 10 <> 1), t AS (SELECT *, CASE WHEN k % 4 = 0 THEN turn + 1000 ELSE turn END AS n FROM d WHERE k % 9 <> 1)"""
 
 
-@query("version_locator_matches", f"{_V} SELECT 'b' || b.name AS base_id, 't' || t.name AS target_id FROM b JOIN t ON b.conv_id = t.conv_id AND b.n = t.n AND b.h = t.h")
+_ONCE = """, lb AS (SELECT conv_id, n, MIN(name) AS name, MIN(h) AS h FROM b GROUP BY 1, 2 HAVING COUNT(*) = 1), lt AS (SELECT conv_id, n, MIN(name) AS name, MIN(h) AS h FROM t GROUP BY 1, 2 HAVING COUNT(*) = 1),
+    l AS (SELECT lb.name AS x, lt.name AS y FROM lb JOIN lt USING (conv_id, n)),
+    cb AS (SELECT conv_id, h, MIN(name) AS name, MIN(n) AS n FROM b WHERE h IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) = 1), ct AS (SELECT conv_id, h, MIN(name) AS name, MIN(n) AS n FROM t WHERE h IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) = 1),
+    c AS (SELECT cb.name AS x, ct.name AS y FROM cb JOIN ct USING (conv_id, h) WHERE cb.n <> ct.n AND cb.name NOT IN (SELECT x FROM l) AND ct.name NOT IN (SELECT y FROM l))"""
+
+
+@query("version_locator_matches", f"{_V}{_ONCE} SELECT 'b' || x AS base_id, 't' || y AS target_id FROM l")
 def version_locator_matches(t):
-    """Pairs at the same place with the same source."""
+    """Rows that stay in their place, edited or not."""
     base, target = _versions(t)
-    return R.candidates(base, target, fuzzy=False).filter("kind = 'locator'").select("base_id", "target_id")
+    return R.exact_matches(base, target).filter("kind = 'locator_exact'").select("base_id", "target_id")
 
 
-@query("version_content_candidates", f"{_V} SELECT 'b' || b.name AS base_id, 't' || t.name AS target_id FROM b JOIN t ON b.h = t.h")
+@query("version_content_candidates", f"{_V}{_ONCE} SELECT 'b' || x AS base_id, 't' || y AS target_id FROM c")
 def version_content_candidates(t):
-    """All pairs that some key joins."""
+    """Rows that moved, whose content both versions have once."""
     base, target = _versions(t)
-    return R.candidates(base, target, fuzzy=False).select("base_id", "target_id")
+    return R.exact_matches(base, target).filter("kind = 'content_exact'").select("base_id", "target_id")
 
 
 @query("version_reconcile")
 def version_reconcile(t):
-    """Dispositions of both versions, fuzzy candidates included."""
+    """Dispositions of both versions, modified sources included."""
     base, target = _versions(t)
     return R.reconcile(base, target)
 
@@ -203,10 +210,10 @@ def first_seen(t):
     return C.first_seen(t("orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("variant_table", "SELECT conv_id, MAX(CASE WHEN turn = 0 THEN length(text) END) AS a, MAX(CASE WHEN turn = 1 THEN length(text) END) AS b FROM conversations GROUP BY 1")
+@query("variant_table", "SELECT conv_id, MAX(CASE WHEN turn % 2 = 0 THEN length(text) END) AS a, MAX(CASE WHEN turn % 2 = 1 THEN length(text) END) AS b FROM conversations GROUP BY 1")
 def variant_table(t):
     """Two variants side by side."""
-    rows = t("conversations").select("conv_id", F.when(F.col("turn") == 0, "a").when(F.col("turn") == 1, "b").otherwise("c").alias("v"), F.length("text").cast("long").alias("n"))
+    rows = t("conversations").select("conv_id", F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("v"), F.length("text").cast("long").alias("n"))
     return C.wide(rows, "conv_id", "v", "n", ["a", "b"])
 
 

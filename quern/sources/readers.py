@@ -84,9 +84,12 @@ def write_relations_csv(pairs: DataFrame, path: str) -> None:
     pairs.select(*cols).write.option("header", "true").csv(path)
 
 
-def markdown_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the first pipe table of a document, columns by its header. Small files only."""
-    rows = [[c.strip() for c in r.value.strip().strip("|").split("|")] for r in spark.read.text(path).filter(F.trim("value").startswith("|")).limit(10_000).collect()]
+def markdown_table(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
+    """Rows of the first pipe table of a document, columns by its header. A table over ``most`` lines is refused."""
+    lines = spark.read.text(path).filter(F.trim("value").startswith("|")).limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"a table of more than {most} lines")
+    rows = [[c.strip() for c in r.value.strip().strip("|").split("|")] for r in lines]
     body = [r for r in rows[1:] if not all(set(c) <= set("-: ") for c in r)]
     head = rows[0] if rows else ["empty"]
     return spark.createDataFrame([tuple((r + [""] * len(head))[: len(head)]) for r in body], ", ".join(f"`{h}` string" for h in head))

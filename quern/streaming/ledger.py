@@ -39,6 +39,8 @@ def ingest(stream: DataFrame, ledger_path: str, checkpoint: str, prepare: Callab
 
         spark = batch.sparkSession
         fresh = prepare(batch)
+        # The first batch finds no ledger yet.
+        fresh.limit(0).write.mode("append").parquet(ledger_path)
         known = spark.read.schema(fresh.schema).parquet(ledger_path)
         insert_new(known, fresh.withColumn("ordinal", F.monotonically_increasing_id()), key).drop("ordinal").write.mode("append").parquet(ledger_path)
 
