@@ -16,29 +16,74 @@ ALIASES = {"task": "task_mode", "stage": "stage", "provider": "provider", "model
 CASELESS = ("provider", "task_mode", "stage", "execution_mode")
 
 
+#: Where providers' answers have each counter, the first that is there counts.
+COUNTERS = {
+    "prompt_tokens": ("promptTokenCount", "prompt_token_count", "prompt_tokens", "input_tokens", "inputTokenCount"),
+    "completion_tokens": ("candidatesTokenCount", "candidates_token_count", "completion_tokens", "output_tokens", "outputTokenCount"),
+    "reasoning_tokens": ("thoughtsTokenCount", "thoughts_token_count", "thoughts_tokens", "reasoning_tokens", "completion_tokens_details.reasoning_tokens", "output_tokens_details.reasoning_tokens"),
+    "text_output_tokens": ("candidatesTokenCount", "candidates_token_count", "text_output_tokens", "output_text_tokens", "completion_tokens_details.text_tokens", "output_tokens_details.text_tokens"),
+    "cached_tokens": ("cachedContentTokenCount", "cached_content_token_count", "cached_tokens", "cache_read_input_tokens", "prompt_tokens_details.cached_tokens", "input_tokens_details.cached_tokens"),
+    "total_tokens": ("totalTokenCount", "total_token_count", "total_tokens"),
+}
+#: Counters that leave thoughts out; reasons why an answer ended too early; where answers have their cost.
+WITHOUT_THOUGHTS = ("candidatesTokenCount", "candidates_token_count")
+TRUNCATED = ("MAX_TOKENS", "MAX_TOKEN", "LENGTH", "TOKEN_LIMIT", "OUTPUT_TOKEN_LIMIT")
+COSTS = ("actual_cost", "total_cost", "response_cost", "cost")
+
+
 def counter(payload: Column, *paths: str) -> Column:
-    """The first of the JSON paths that is a number of 0 or more; true and false are not numbers."""
+    """The first of the JSON paths that is a number of 0 or more, cut to a whole one; true and false are not numbers."""
     tries = [F.get_json_object(payload, p) for p in paths]
-    return F.coalesce(*[F.when(t.rlike(r"^\d+(\.0*)?$"), t.cast("double").cast("long")) for t in tries])
+    return F.coalesce(*[F.when(t.rlike(r"^\s*\+?\d+(\.\d*)?\s*$"), F.floor(F.trim(t).cast("decimal(38,6)")).cast("long")) for t in tries])
 
 
 def normalise(raw: DataFrame, payload: str = "provider_usage") -> DataFrame:
-    """Adds token counters out of a provider's JSON, whichever names it uses."""
+    """Adds token counters out of a provider's JSON, whichever names it uses, with ``billable_output_tokens`` and ``total_tokens_derived``.
+
+    Visible text is never computed from other counters, as providers disagree
+    on whether completion includes reasoning. A total is, from prompt and
+    completion, with the thoughts where completion leaves them out.
+    """
     p = F.col(payload)
-    out = raw.withColumns(
+    out = raw.withColumns({name: counter(p, *[f"$.{x}" for x in paths]) for name, paths in COUNTERS.items()})
+    apart = F.when(F.coalesce(*[F.get_json_object(p, f"$.{x}") for x in WITHOUT_THOUGHTS]).isNotNull(), F.coalesce("reasoning_tokens", F.lit(0))).otherwise(0)
+    spoken = F.col("completion_tokens") + apart
+    out = out.withColumn("total_tokens_derived", F.col("total_tokens").isNull() & F.col("prompt_tokens").isNotNull() & F.col("completion_tokens").isNotNull())
+    out = out.withColumn("total_tokens", F.coalesce("total_tokens", F.col("prompt_tokens") + spoken))
+    return out.withColumn("billable_output_tokens", F.coalesce(F.when(F.col("total_tokens") >= F.col("prompt_tokens"), F.col("total_tokens") - F.col("prompt_tokens")).when(F.col("total_tokens") < F.col("prompt_tokens"), 0), spoken))
+
+
+def budget_diagnostics(rows: DataFrame, text: str = "response_text", finish: str = "finish_reason", limit: str = "max_output_tokens") -> DataFrame:
+    """Adds why an answer has no text or ends early, to rows of ``normalise``.
+
+    ``empty_text, truncated, budget_exhausted, reasoning_ratio,
+    reasoning_budget_pressure, reason_code``; the code is empty where nothing
+    is wrong. A limit of 0 or less is none.
+    """
+    most = F.when(F.col(limit) > 0, F.col(limit))
+    used, reasoning = F.col("billable_output_tokens"), F.col("reasoning_tokens")
+    out = rows.withColumns(
         {
-            "prompt_tokens": counter(p, "$.promptTokenCount", "$.prompt_token_count", "$.prompt_tokens", "$.input_tokens"),
-            "completion_tokens": counter(p, "$.completion_tokens", "$.output_tokens"),
-            "candidates": counter(p, "$.candidatesTokenCount", "$.candidates_token_count"),
-            "reasoning_tokens": counter(p, "$.thoughtsTokenCount", "$.thoughts_token_count", "$.completion_tokens_details.reasoning_tokens", "$.output_tokens_details.reasoning_tokens"),
-            "cached_tokens": counter(p, "$.cachedContentTokenCount", "$.cached_content_token_count", "$.prompt_tokens_details.cached_tokens"),
-            "total_tokens": counter(p, "$.totalTokenCount", "$.total_token_count", "$.total_tokens"),
+            "empty_text": F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")) == "",
+            "truncated": F.upper(F.trim(F.coalesce(finish, F.lit("")))).isin(*TRUNCATED),
+            "budget_exhausted": F.coalesce(used >= most, F.lit(False)),
+            "reasoning_ratio": F.when(used > 0, reasoning / used),
         }
     )
-    spoken = F.coalesce("candidates", F.when(F.col("completion_tokens") >= F.coalesce("reasoning_tokens", F.lit(0)), F.col("completion_tokens") - F.coalesce("reasoning_tokens", F.lit(0))))
-    out = out.withColumn("text_output_tokens", spoken)
-    whole = F.coalesce("completion_tokens", F.when(F.col("candidates").isNotNull(), F.col("candidates") + F.coalesce("reasoning_tokens", F.lit(0))))
-    return out.withColumn("completion_tokens", whole).withColumn("total_tokens", F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))).drop("candidates")
+    silent = F.col("empty_text") & F.coalesce(reasoning > 0, F.lit(False)) & (F.coalesce("text_output_tokens", F.lit(0)) == 0)
+    spent = F.col("budget_exhausted") | F.col("truncated")
+    pressure = F.when(silent, spent).when(F.col("truncated"), F.coalesce(F.col("reasoning_ratio") >= 0.5, F.lit(False))).otherwise(False)
+    code = F.when(silent & spent, "reasoning_budget_exhausted").when(silent, "reasoning_without_text_output").when(F.col("truncated"), "truncated_output").when(F.col("empty_text"), "empty_response_text").otherwise("")
+    return out.withColumns({"reasoning_budget_pressure": pressure, "reason_code": code})
+
+
+def actual_cost(usage: Column, response: Column) -> Column:
+    """``(cost, currency, source)`` that a provider states, in the usage or beside the answer; nulls without one."""
+    number = lambda c: F.when(c.rlike(r"^\s*\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.try_cast("double"))
+    named = lambda j, *names: F.coalesce(*[F.nullif(F.trim(F.get_json_object(j, f"$.{n}")), F.lit("")) for n in names])
+    kinds = [F.struct(number(F.get_json_object(usage, f"$.{k}")).alias("cost"), named(usage, "cost_currency", "currency").alias("currency"), F.lit(f"usage.{k}").alias("source")) for k in COSTS]
+    kinds.append(F.struct(number(F.get_json_object(response, "$._hidden_params.response_cost")).alias("cost"), F.coalesce(named(response, "_hidden_params.response_cost_currency", "_hidden_params.currency"), F.lit("USD")).alias("currency"), F.lit("_hidden_params.response_cost").alias("source")))
+    return F.get(F.filter(F.array(*kinds), lambda k: k["cost"].isNotNull()), F.lit(0))
 
 
 def dedupe_key(*parts: Column) -> Column:

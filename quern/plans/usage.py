@@ -148,3 +148,52 @@ def ext_sessions(t):
 
     out = ledger.sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", "6 hours")
     return out.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("start")).cast("long").alias("session"), "n")
+
+
+# -- answers of four kinds of providers, built from the events
+
+_ANSWERS = r"""WITH e AS (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_id % 4 AS f FROM events),
+    n AS (SELECT *, CASE WHEN f < 3 THEN k END AS prompt_tokens, CASE f WHEN 0 THEN k + 1 WHEN 1 THEN 2 * k ELSE k END AS completion_tokens, CASE f WHEN 0 THEN k % 7 WHEN 1 THEN k % 5 END AS reasoning_tokens,
+      CASE f WHEN 0 THEN k + 1 WHEN 1 THEN k END AS text_output_tokens, CASE f WHEN 0 THEN 2 * k + 1 + k % 7 WHEN 1 THEN 3 * k WHEN 2 THEN 2 * k + 3 END AS total_tokens, f < 2 AS total_tokens_derived,
+      CASE f WHEN 0 THEN k + 1 + k % 7 WHEN 1 THEN 2 * k WHEN 2 THEN k + 3 ELSE k END AS billable_output_tokens FROM e)"""
+
+
+def _answers(t):
+    k, f = F.regexp_extract("props", "([0-9]+)", 1), F.col("event_id") % 4
+    n = k.cast("long")
+    payload = (
+        F.when(f == 0, F.format_string('{"promptTokenCount": %d, "candidatesTokenCount": %d, "thoughtsTokenCount": %d}', n, n + 1, n % 7))
+        .when(f == 1, F.format_string('{"prompt_tokens": "%d", "completion_tokens": %d, "completion_tokens_details": {"reasoning_tokens": %d, "text_tokens": %d}}', n, 2 * n, n % 5, n))
+        .when(f == 2, F.format_string('{"input_tokens": %d, "output_tokens": %d, "total_tokens": %d, "total_cost": -1, "cost": 0.%d, "currency": " EUR "}', n, n, 2 * n + 3, n))
+        .otherwise(F.format_string('{"outputTokenCount": %d, "reasoning_tokens": true, "prompt_tokens": -1}', n))
+    )
+    rows = t("events").select("event_id", payload.alias("provider_usage"), F.when(F.col("event_id") % 3 == 0, " \n").otherwise("text").alias("response_text"), F.when(F.col("event_id") % 5 == 0, "length").otherwise("stop").alias("finish_reason"), F.lit(60).alias("max_output_tokens"))
+    return usage.normalise(rows)
+
+
+_COUNTS = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "text_output_tokens", "total_tokens", "total_tokens_derived", "billable_output_tokens")
+
+
+@query("usage_normalised", f"{_ANSWERS} SELECT event_id, {', '.join(_COUNTS)} FROM n")
+def usage_normalised(t):
+    """Counters out of four kinds of answers."""
+    return _answers(t).select("event_id", *_COUNTS)
+
+
+@query(
+    "usage_budget_diagnostics",
+    f"""{_ANSWERS}, d AS (SELECT *, event_id % 3 = 0 AS empty, event_id % 5 = 0 AS cut, billable_output_tokens >= 60 AS spent, event_id % 3 = 0 AND coalesce(reasoning_tokens, 0) > 0 AND coalesce(text_output_tokens, 0) = 0 AS silent FROM n)
+        SELECT event_id, empty AS empty_text, cut AS truncated, spent AS budget_exhausted, CASE WHEN silent THEN spent OR cut WHEN cut THEN coalesce(reasoning_tokens / nullif(CAST(billable_output_tokens AS DOUBLE), 0) >= 0.5, false) ELSE false END AS reasoning_budget_pressure,
+          CASE WHEN silent THEN CASE WHEN spent OR cut THEN 'reasoning_budget_exhausted' ELSE 'reasoning_without_text_output' END WHEN cut THEN 'truncated_output' WHEN empty THEN 'empty_response_text' ELSE '' END AS reason_code FROM d""",
+)
+def usage_budget_diagnostics(t):
+    """Why answers are empty or cut."""
+    return usage.budget_diagnostics(_answers(t)).select("event_id", "empty_text", "truncated", "budget_exhausted", "reasoning_budget_pressure", "reason_code")
+
+
+@query("usage_actual_cost", r"""SELECT event_id, CAST('0.' || regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS cost, 'EUR' AS currency, 'usage.cost' AS source FROM events WHERE event_id % 4 = 2
+    UNION ALL SELECT event_id, CAST(event_id AS DOUBLE) / 8, 'USD', '_hidden_params.response_cost' FROM events WHERE event_id % 4 = 3""")
+def usage_actual_cost(t):
+    """Costs that providers state."""
+    beside = F.when(F.col("event_id") % 4 == 3, F.format_string('{"_hidden_params": {"response_cost": %s}}', (F.col("event_id") / 8).cast("string")))
+    return _answers(t).select("event_id", usage.actual_cost(F.col("provider_usage"), beside).alias("c")).select("event_id", "c.cost", "c.currency", "c.source").filter("cost IS NOT NULL")
