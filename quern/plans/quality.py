@@ -1,10 +1,13 @@
 """Queries on quality rules, keywords and glossaries.
 
-``documents`` has no Chinese text: subjects get some by projection.
+``documents`` has no Chinese text: its lines get some, with tags and marks, in
+the place of common words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -13,38 +16,58 @@ from quern.operators import quality as Q
 
 from .book import query
 
-# A source and a translation into which Chinese, tags and mistakes are set by the id.
-_SUBJECT = """(SELECT doc_id AS item_id, source AS file, CAST(doc_id % 97 AS INT) AS line, text AS s, CASE doc_id % 8 WHEN 0 THEN '你好{w}世界' WHEN 1 THEN '你好{b世界' WHEN 2 THEN '你好walking世界' WHEN 3 THEN '你好,世界' WHEN 4 THEN '你好...世界'
-  WHEN 5 THEN '你好 Well 世界' WHEN 6 THEN 'Hmm 你好' ELSE '你好世界' END AS t FROM documents)"""
+#: What stands for common words in the translation of a line; some lines get other signs, by document and line.
+_SWAPS = ((" the ", "的"), (" de ", " 的"), (" la ", "啦 "), (" and ", " {w}和{w} "), (" que ", "好{w=1}好"), (" is ", " [is] "), (" der ", "的OK"), (", ", "，"))
+_SOME = ((3, ". ", "..."), (5, " of ", "的, "), (7, " in ", "在{in "), (11, " to ", "[to到"))
 
 
 def subjects(t):
-    made = {0: "你好{w}世界", 1: "你好{b世界", 2: "你好walking世界", 3: "你好,世界", 4: "你好...世界", 5: "你好 Well 世界", 6: "Hmm 你好"}
-    text = F.lit("你好世界")
-    for k, v in made.items():
-        text = F.when(F.col("doc_id") % 8 == k, v).otherwise(text)
-    source = F.when(F.col("doc_id") % 8 == 6, "Hmm, well").otherwise(F.col("text"))
-    return t("documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("file"), (F.col("doc_id") % 97).cast("int").alias("line"), source.alias("source"), text.alias("translation"))
-
-
-_FOUND = f"""(SELECT item_id, file, line, unnest(CASE item_id % 8 WHEN 0 THEN ['quality.renpy.wait_tag_inside_cjk'] WHEN 1 THEN ['quality.structure.unclosed_delimiters', 'english_residue_x', 'cjk_latin_x'] WHEN 2 THEN ['quality.language.english_suffix_adjacent', 'quality.typography.cjk_latin_spacing', 'quality.language.suspicious_english_residue'] WHEN 3 THEN ['quality.typography.halfwidth_punctuation']
-  WHEN 4 THEN ['quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation'] WHEN 5 THEN ['quality.language.suspicious_english_residue'] WHEN 6 THEN ['quality.language.suspicious_english_residue', 'quality.completeness.interjection_untranslated'] ELSE [] END) AS reason_code FROM {_SUBJECT})"""
-
-
-@query(
-    "quality_findings",
-    f"""SELECT item_id, file, line, reason_code, CASE WHEN reason_code = 'quality.structure.unclosed_delimiters' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN reason_code = 'quality.structure.unclosed_delimiters' THEN 'blocker' ELSE 'warning' END AS disposition FROM
-        (SELECT item_id, file, line, CASE reason_code WHEN 'english_residue_x' THEN 'quality.language.suspicious_english_residue' WHEN 'cjk_latin_x' THEN 'quality.typography.cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE NOT (item_id % 8 = 1 AND reason_code LIKE '%_x' AND reason_code <> 'english_residue_x' AND reason_code <> 'cjk_latin_x')) WHERE NOT (item_id % 8 = 1 AND reason_code = 'quality.language.suspicious_english_residue')""",
-)
+    """A subject for each line of each document."""
+    lines = t("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    out = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), _SWAPS, F.col("said"))
+    for n, old, new in _SOME:
+        out = F.when((F.col("doc_id") + F.col("line")) % n == 0, F.replace(out, F.lit(old), F.lit(new))).otherwise(out)
+    return lines.select(F.concat_ws(":", "doc_id", "line").alias("item_id"), F.col("source").alias("file"), "line", F.col("said").alias("source"), out.alias("translation"))
+
+
+def _found() -> str:
+    """The rules in SQL: one row per subject and reason."""
+    swapped = reduce(lambda c, x: f"replace({c}, '{x[0]}', '{x[1]}')", _SWAPS, "said")
+    steps = f"t0 AS (SELECT *, {swapped} AS t FROM l)"
+    for k, (n, old, new) in enumerate(_SOME):
+        steps += f", t{k + 1} AS (SELECT * REPLACE (CASE WHEN (doc_id + line) % {n} = 0 THEN replace(t, '{old}', '{new}') ELSE t END AS t) FROM t{k})"
+    cjk, latin = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]", "[A-Za-z][A-Za-z0-9''’-]*"
+    names = lambda words: "[" + ", ".join("'" + w.lower().replace("'", "''") + "'" for w in words) + "]"
+    strange = lambda group, at: f"[x FOR x IN regexp_extract_all(m, '{group}', {at}) IF NOT list_contains({names(Q.ALLOWED_LATIN)}, lower(x))]"
+    spoken = lambda c: f"[lower(x) FOR x IN regexp_extract_all({c}, '[A-Za-z][A-Za-z''-]*')]"
+    bare = "replace(replace(replace(replace(t, '{{', ''), '}}', ''), '[[', ''), ']]', '')"
+    signs = lambda a, b: f"length({bare}) - length(replace({bare}, '{a}', '')) <> length({bare}) - length(replace({bare}, '{b}', ''))"
+    rules = {
+        "quality.renpy.wait_tag_inside_cjk": rf"regexp_matches(t, '{cjk}\s*\{{w(=[^{{}}\r\n]*)?\}}\s*{cjk}')",
+        "quality.structure.unclosed_delimiters": f"({signs('{', '}')} OR {signs('[', ']')})",
+        "quality.language.english_suffix_adjacent": f"len([y FOR y IN {strange(f'{cjk}({latin})', 1)} IF regexp_matches(y, '(''s|s|es|ed|ing|er|est|ly|ness|ment|tion|able|ible|ful|less)$')]) > 0",
+        "quality.typography.cjk_latin_spacing": f"(len({strange(f'{cjk}({latin})', 1)}) > 0 OR len({strange(f'(^|[^A-Za-z0-9’{chr(39) * 2}-])({latin}){cjk}', 2)}) > 0)",
+        "quality.typography.halfwidth_punctuation": f"""regexp_matches(t, '{cjk}[,.;:!?()"]|[,.;:!?()"]{cjk}')""",
+        "quality.typography.ascii_ellipsis": rf"regexp_matches(t, '{cjk}\.\.\.|\.\.\.{cjk}')",
+        "quality.language.suspicious_english_residue": f"(regexp_matches(t, '{cjk}') AND len([y FOR y IN {strange(latin, 0)} IF length(y) > 1]) > 0)",
+        "quality.completeness.interjection_untranslated": f"(NOT regexp_matches(said, '{cjk}') AND len(list_intersect(list_intersect({spoken('said')}, {names(Q.INTERJECTIONS)}), {spoken('t')})) > 0)",
+    }
+    cases = ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in rules.items())
+    return rf"""WITH l AS (SELECT doc_id, source AS file, CAST(line - 1 AS INT) AS line, said FROM (SELECT doc_id, source, generate_subscripts(p, 1) AS line, unnest(p) AS said FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents))), {steps},
+        m AS (SELECT *, regexp_replace(t, '\{{[^{{}}\r\n]*\}}|\[[^\[\]\r\n]*\]', ' ', 'g') AS m FROM t{len(_SOME)}), f AS (SELECT doc_id || ':' || line AS item_id, file, line, unnest([{cases}]) AS reason_code FROM m)"""
+
+
+_FOUND = _found()
+_BLOCKER = "reason_code = 'quality.structure.unclosed_delimiters'"
+
+
+@query("quality_findings", f"{_FOUND} SELECT item_id, file, line, reason_code, CASE WHEN {_BLOCKER} THEN 'high' ELSE 'medium' END AS severity, CASE WHEN {_BLOCKER} THEN 'blocker' ELSE 'warning' END AS disposition FROM f WHERE reason_code IS NOT NULL")
 def quality_findings(t):
     """All rules on all subjects."""
     return Q.find(subjects(t)).select("item_id", "file", "line", "reason_code", "severity", "disposition")
 
 
-@query(
-    "quality_histogram",
-    f"SELECT reason_code, COUNT(*) AS n FROM (SELECT CASE reason_code WHEN 'cjk_latin_x' THEN 'quality.typography.cjk_latin_spacing' ELSE reason_code END AS reason_code FROM {_FOUND} WHERE reason_code <> 'english_residue_x') GROUP BY 1",
-)
+@query("quality_histogram", f"{_FOUND} SELECT reason_code, COUNT(*) AS n FROM f WHERE reason_code IS NOT NULL GROUP BY 1")
 def quality_histogram(t):
     """Findings per reason."""
     return Q.find(subjects(t)).groupBy("reason_code").agg(F.count("*").alias("n"))
@@ -52,19 +75,19 @@ def quality_histogram(t):
 
 @query(
     "quality_gate",
-    f"""SELECT COUNT(*) FILTER (WHERE reason_code = 'quality.structure.unclosed_delimiters') AS blockers, COUNT(*) FILTER (WHERE reason_code <> 'quality.structure.unclosed_delimiters') AS warnings, COUNT(*) FILTER (WHERE reason_code = 'quality.typography.halfwidth_punctuation') AS acknowledged, 'needs_review' AS decision
-        FROM {_FOUND} WHERE reason_code <> 'english_residue_x'""",
+    f"""{_FOUND}, c AS (SELECT file, COUNT(*) FILTER (WHERE {_BLOCKER}) AS blockers, COUNT(*) FILTER (WHERE NOT {_BLOCKER}) AS warnings, COUNT(*) FILTER (WHERE reason_code = 'quality.typography.halfwidth_punctuation') AS acknowledged FROM f WHERE reason_code IS NOT NULL AND (file = 'src3' OR {_BLOCKER} OR reason_code LIKE '%halfwidth%') GROUP BY ALL)
+        SELECT CAST(SUM(blockers) AS BIGINT) AS blockers, CAST(SUM(warnings) AS BIGINT) AS warnings, CAST(SUM(acknowledged) AS BIGINT) AS acknowledged, CASE WHEN SUM(blockers) > 0 OR SUM(warnings) > SUM(acknowledged) THEN 'needs_review' WHEN SUM(warnings) > 0 THEN 'acknowledged' ELSE 'pass' END AS decision FROM c""",
 )
 def quality_gate(t):
-    """The gate, one reason acknowledged; blockers stay."""
-    found = Q.find(subjects(t))
+    """The gate over one file's findings and those of two reasons elsewhere; one reason acknowledged, blockers stay."""
+    found = Q.find(subjects(t)).filter("file = 'src3' OR reason_code IN ('quality.structure.unclosed_delimiters', 'quality.typography.halfwidth_punctuation')")
     return Q.gate(found, found.filter("reason_code IN ('quality.typography.halfwidth_punctuation', 'quality.structure.unclosed_delimiters')").select("finding_id"))
 
 
-@query("quality_filter", f"SELECT item_id, reason_code FROM {_FOUND} WHERE reason_code IN ('quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation') AND (file = 'src3' OR file = 'src4')")
+@query("quality_filter", f"{_FOUND} SELECT item_id, reason_code FROM f WHERE reason_code IN ('quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation') AND file IN ('src3', 'src4')")
 def quality_filter(t):
     """Reasons and files at once."""
-    return Q.findings_filter(Q.find(subjects(t)), reasons=["quality.typography.ascii_ellipsis", "quality.typography.halfwidth_punctuation"], files=["src3", "src4/"[:-1]], min_severity="low").filter(F.col("file").isin("src3", "src4")).select("item_id", "reason_code")
+    return Q.findings_filter(Q.find(subjects(t)), reasons=["quality.typography.ascii_ellipsis", "quality.typography.halfwidth_punctuation"], files=["SRC3", "src4"]).select("item_id", "reason_code")
 
 
 @query("path_match", "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://(.*?)([?#].*)?$', 1) AS p FROM pages) WHERE p = 'en' OR starts_with(p, 'en/') OR list_contains(string_split(p, '/'), 'en') OR contains(p, 'en')")
