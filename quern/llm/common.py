@@ -63,7 +63,7 @@ def keep_apart(docs: DataFrame, keep: tuple[str, ...], new: tuple[str, ...], tex
     return docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}" if c in new else c) for c in keep], F.col(f"`{text_col}`").alias("__text"))
 
 
-def salted_join(rows: DataFrame, other: DataFrame, on: str, spread: Column, how: str = "left", salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, other: DataFrame, on: str, spread: Column, how: str = "left", salts: int = 8) -> DataFrame:
     """Join on a column that may be hot in ``rows`` and is unique in ``other``: rows of a key are dealt over ``salts`` tasks, ``other`` is repeated."""
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -164,7 +164,8 @@ WORDED = r"text RLIKE '[^\\x20\\x09-\\x0D]'"
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(u, v, text_u, text_v)`` of the pairs."""
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    slim = texts.filter(WORDED).filter("doc_id IS NOT NULL").select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Written before repeated rows fold, so that only needed texts are shuffled for that.
+    slim = materialize(texts.filter(WORDED).filter("doc_id IS NOT NULL").select("doc_id", "text").join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
     both = pairs.join(slim.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(slim.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v")
 
@@ -225,14 +226,18 @@ def _differences(families: DataFrame, texts: DataFrame, like: Likeness) -> DataF
     placed = salted_join(members, counts, "root", F.col("node"), "inner").select("root", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), "node")
     heads = counts.select("root", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("root").alias("node"))
     rows = materialize(placed.unionByName(heads), "cells")
-    slim = texts.filter(WORDED).select(F.col("doc_id").alias("node"), "text").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    slim = texts.filter(WORDED).select(F.col("doc_id").alias("node"), "text")
+    # Rows that repeat follow each other, and count once.
     ordered = rows.join(slim, "node").select("root", "cell", "node", "text").repartition("root", "cell").sortWithinPartitions("root", "cell", F.col("node") != F.col("root"), "node")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(0, dtype=np.uint64)
+        x, last = np.zeros(0, dtype=np.uint64), None
         for b in slices(batches, "text"):
             nodes, roots, cols = [], [], [[], [], [], []]
             for root, node, text in zip(*(b.column(c).to_pylist() for c in ("root", "node", "text")), strict=True):
+                if (root, node) == last:
+                    continue
+                last = root, node
                 y = shingle_set(text, like.shingle)
                 if node == root:
                     x = y
