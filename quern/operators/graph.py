@@ -58,7 +58,7 @@ def routes(nodes: DataFrame, edges: DataFrame, max_depth: int = 32, max_routes:
         done = stop if done is None else done.unionByName(stop)
         grown = nxt.filter("target IS NOT NULL AND NOT again").select("entry", F.array_append("path", F.col("target")).alias("path"), F.array_append("way", F.col("line").cast("long")).alias("way"))
         place = F.row_number().over(Window.partitionBy("entry").orderBy("way"))
-        live = grown.withColumn("p", place).filter(F.col("p") <= max_routes).drop("p").checkpoint()
+        live = cut(grown.withColumn("p", place).filter(F.col("p") <= max_routes).drop("p"), "routes")
         if not live.limit(1).count():
             break
     if depth == max_depth - 1:

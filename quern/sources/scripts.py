@@ -16,8 +16,10 @@ _STRING = r'"((?:[^"\\]|\\.)*)"'
 
 
 def unescape(text: Column) -> Column:
-    """Escaped quotes and line breaks of a script string."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\n", "\n"), r'\\"', '"'), r"\\\\", r"\\")
+    """Escaped quotes, line breaks and backslashes of a script string."""
+    parts = F.split(text, r"\\\\", -1)  # what stands between escaped backslashes
+    plain = F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')))
+    return F.array_join(plain, "\\")
 
 
 def character_names(lines: DataFrame) -> DataFrame:
