@@ -8,7 +8,7 @@ from quern.llm import decontaminate, near_dup
 def odd_docs(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     extra = spark.createDataFrame([(10_001, None, "en", "s", 0), (10_002, "", None, None, 0), (10_003, "12 34", "en", None, 5), (None, "Words of the one and the other document are here.", "en", "s", 9), (10_004, "q" * 3000 + " the end of the and", "en", "s", 9)], docs.schema)
-    return docs.unionByName(extra).unionByName(docs.limit(3)).withColumn("spans", docs.doc_id * 2).withColumn("node", docs.lang).withColumn("row", docs.n_chars)
+    return docs.unionByName(extra).unionByName(docs.limit(3)).withColumn("spans", docs.doc_id * 2).withColumn("node", docs.lang).withColumn("row", docs.n_chars).withColumn("score", docs.lang).withColumn("lang_pred", docs.doc_id)
 
 
 def test_stages_one_by_one(spark, small):
