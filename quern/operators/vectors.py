@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import vectors as V
 
-#: Query vectors that one broadcast block may hold, in numbers.
+#: Numbers of the query vectors that one block may hold.
 BLOCK_NUMBERS = 8_000_000
 
 
@@ -32,62 +33,92 @@ def drop_reasons(store: DataFrame, dim: int | None = None, vector: str = "embedd
     return store.withColumn("drop_reason", reason)
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int = 4, min_similarity: float = 0.72, store_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", tie: tuple[Column, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+class _Block:
+    """Query vectors of one block, by length."""
+
+    def __init__(self, queries: list[tuple]):
+        self.ids = [q for q, _ in queries]
+        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim in {len(v) for _, v in queries} - {0}:
+            own = [i for i, (_, v) in enumerate(queries) if len(v) == dim]
+            self.by_dim[dim] = np.array(own), _unit(np.array([queries[i][1] for i in own], dtype=np.float64))
+
+    def search(self, b: pa.RecordBatch, k: int, least: float, query_type: pa.DataType, rest: list[str]) -> pa.RecordBatch:
+        """Of a batch of the store the best ``k`` of each query, ties with the last among them."""
+        v = b.column("__v")
+        sizes = np.diff(np.asarray(v.offsets)[: b.num_rows + 1])
+        score = np.zeros((len(self.ids), b.num_rows))
+        for dim, (own, m) in self.by_dim.items():
+            rows = np.flatnonzero(sizes == dim)
+            if len(rows):
+                x = np.asarray(v.take(pa.array(rows)).flatten()).reshape(-1, dim)
+                score[np.ix_(own, rows)] = m @ _unit(x).T
+        good = score >= least
+        if 0 < k < b.num_rows:
+            good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - 1e-12
+        q, at = np.nonzero(good)
+        take = pa.array(at)
+        ids = pa.array([self.ids[i] for i in q.tolist()], type=query_type)
+        return pa.RecordBatch.from_arrays([ids, b.column("__id").take(take), pa.array(score[q, at]), *(b.column(c).take(take) for c in rest)], names=["q", "id", "score", *rest])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int = 4, min_similarity: float = 0.72, store_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", tie: tuple[Column, ...] = (), keep: tuple[str, ...] = (), block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """``(query_id, store_id, score, rank, *keep)``: exact cosine, the best ``k`` of each query at the threshold.
 
     Order is score, then ``tie``, then the store's id; ``k`` of 0 or less means
-    all. Vectors of other lengths score 0. Queries go out in blocks of
-    ``BLOCK_NUMBERS``; each task keeps the best of its rows for every query,
-    so that only ``k`` rows per query and task are shuffled.
+    all. Vectors of other lengths score 0. Queries of ``block_numbers`` numbers
+    or less in all are broadcast; more are dealt into blocks of that size, and
+    blocks meet parts of the store in tasks of their own. Each Arrow batch
+    hands on ``k`` rows a query, and Spark the best of a task before rows of
+    one query meet.
     """
     spark = store.sparkSession
     slim = store.select(F.col(store_id).alias("__id"), F.col(vector).cast("array<double>").alias("__v"), *keep, *[t.alias(f"__t{i}") for i, t in enumerate(tie)])
-    parts, held, numbers = [], [], 0
-    for r in queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
-        held.append((r.q, r.v or []))
-        numbers += len(held[-1][1]) + 1
-        if numbers >= BLOCK_NUMBERS:
-            parts.append(held)
-            held, numbers = [], 0
-    if held or not parts:
-        parts.append(held)
+    asked = queries.select(F.col(query_id).alias("__q"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("__w"))
     rest = [c for c in slim.columns if c not in ("__id", "__v")]
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    query_type = dict(queries.dtypes)[query_id]
+    query_type = to_arrow_type(asked.schema["__q"].dataType)
+    schema = f"q {dict(asked.dtypes)['__q']}, id {fields['__id']}, score double" + "".join(f", `{c}` {fields[c]}" for c in rest)
+    blocks = -(-(asked.agg(F.sum(F.size("__w") + 1)).first()[0] or 1) // block_numbers)
 
-    def search(shared):
+    def by_block(shared):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for dim in {len(v) for _, v in shared.value} - {0}:
-                own = [i for i, (_, v) in enumerate(shared.value) if len(v) == dim]
-                m = np.array([shared.value[i][1] for i in own])
-                size = np.linalg.norm(m, axis=1, keepdims=True)
-                by_dim[dim] = np.array(own), np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+            block = _Block(shared.value)
             for b in batches:
-                v = b.column("__v")
-                sizes = np.diff(np.asarray(v.offsets)[: b.num_rows + 1])
-                score = np.zeros((len(shared.value), b.num_rows))
-                for dim, (own, m) in by_dim.items():
-                    rows = np.flatnonzero(sizes == dim)
-                    if len(rows):
-                        x = np.asarray(v.take(pa.array(rows)).flatten()).reshape(-1, dim)
-                        size = np.linalg.norm(x, axis=1, keepdims=True)
-                        score[np.ix_(own, rows)] = m @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
-                good = score >= min_similarity
-                if 0 < k < b.num_rows:  # ties with the k-th stay, the window below decides
-                    good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - 1e-12
-                q, at = np.nonzero(good)
-                take = pa.array(at)
-                ids = pa.array([shared.value[i][0] for i in q.tolist()])
-                yield pa.RecordBatch.from_arrays([ids, b.column("__id").take(take), pa.array(score[q, at]), *(b.column(c).take(take) for c in rest)], names=["q", "id", "score", *rest])
+                yield block.search(b, k, min_similarity, query_type, rest)
 
         return go
 
-    schema = f"q {query_type}, id {fields['__id']}, score double" + "".join(f", `{c}` {fields[c]}" for c in rest)
-    found = None
-    for part in parts:
-        hits = slim.mapInArrow(search(spark.sparkContext.broadcast(part)), schema)
-        found = hits if found is None else found.unionByName(hits)
+    def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, block = [], None, None
+        for b in batches:
+            cell = np.stack([b.column(c).to_numpy() for c in ("__block", "__part", "__side")])
+            edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                run = b.slice(i, j - i)
+                if tuple(cell[:2, i].tolist()) != at:
+                    held, at, block = [], tuple(cell[:2, i].tolist()), None
+                if cell[2, i] == 0:
+                    held += zip(run.column("__q").to_pylist(), run.column("__w").to_pylist(), strict=True)
+                elif held:
+                    block = block or _Block(held)
+                    yield block.search(run, k, min_similarity, query_type, rest)
+
+    if blocks == 1:
+        found = slim.mapInArrow(by_block(spark.sparkContext.broadcast([tuple(r) for r in asked.toLocalIterator()])), schema)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = slim.withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__side", F.lit(1))
+        mine = asked.withColumn("__block", F.pmod(F.xxhash64("__q"), F.lit(blocks)).cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("__side", F.lit(0))
+        both = cells.unionByName(mine, allowMissingColumns=True)
+        found = both.repartition("__block", "__part").sortWithinPartitions("__block", "__part", "__side").mapInArrow(by_cell, schema)
     order = Window.partitionBy("q").orderBy(F.round("score", 12).desc(), *[F.col(f"__t{i}").desc() for i in range(len(tie))], "id")
     ranked = found.withColumn("rank", F.row_number().over(order))
     if k > 0:
