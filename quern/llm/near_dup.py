@@ -157,15 +157,23 @@ def _features(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.mapInArrow(go, "doc_id long, own long, set_id binary, n_shingles long, bands array<long>, sig binary")
 
 
+#: Ids (of 8 bytes) that are broadcast at most; beyond it texts are shuffled to meet them.
+BROADCAST_IDS = 1_000_000
 #: Texts that have a word.
 WORDED = r"text RLIKE '[^\\x20\\x09-\\x0D]'"
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the texts with words whose id is among ``ids``; few ids are broadcast, so that only these texts move."""
+    ids = materialize(ids.distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.filter(WORDED).filter("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(u, v, text_u, text_v)`` of the pairs."""
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    # Written before repeated rows fold, so that only needed texts are shuffled for that.
-    slim = materialize(texts.filter(WORDED).filter("doc_id IS NOT NULL").select("doc_id", "text").join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+    # Rows that repeat fold after the others have gone.
+    slim = _texts_of(texts, pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id")))).dropDuplicates(["doc_id"])
     both = pairs.join(slim.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(slim.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v")
 
@@ -226,7 +234,7 @@ def _differences(families: DataFrame, texts: DataFrame, like: Likeness) -> DataF
     placed = salted_join(members, counts, "root", F.col("node"), "inner").select("root", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), "node")
     heads = counts.select("root", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("root").alias("node"))
     rows = materialize(placed.unionByName(heads), "cells")
-    slim = texts.filter(WORDED).select(F.col("doc_id").alias("node"), "text")
+    slim = _texts_of(texts, rows.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
     # Rows that repeat follow each other, and count once.
     ordered = rows.join(slim, "node").select("root", "cell", "node", "text").repartition("root", "cell").sortWithinPartitions("root", "cell", F.col("node") != F.col("root"), "node")
 
