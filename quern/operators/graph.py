@@ -95,25 +95,27 @@ def ancestry(parents: DataFrame, key: str = "id", parent: str = "parent_id") ->
     return up.select("id", F.when(cycle, F.col("ring")).otherwise(F.col("last")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("cycle"))
 
 
-def invalidate(records: DataFrame, changed: DataFrame) -> DataFrame:
-    """``(id, kind, stale, because)``: records whose sources changed, level by level.
-
-    ``records`` has ``id, kind, upstream`` with kind chunk, scene, label,
-    route or brief; a record is stale if it changed or an upstream record of
-    an earlier level is stale. A brief depends on every other record.
+def invalidate(records: DataFrame, links: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(id, kind, stale, cause, n_causes)``: records whose sources changed, level by level.
+
+    ``records`` has ``id, kind`` with kind chunk, scene, label, route or brief,
+    ``links`` ``id, up``, a row for each record that another stands on. A
+    record is stale if it changed or a record of an earlier level that it
+    stands on is stale; ``cause`` is ``changed``, else the smallest of those,
+    ``n_causes`` how many there are. A brief depends on every other record
+    (cause ``any``). Links that repeat count once.
     """
-    out = records.join(changed.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    stale = out.filter("hit").select("id")
-    because = out.select("id", F.when(F.col("hit"), F.array(F.lit("changed"))).otherwise(F.array().cast("array<string>")).alias("because"))
+    stale = cut(records.select("id").join(changed.select("id").distinct(), "id", "left_semi").select("id", F.lit(True).alias("own"), F.lit(None).cast("string").alias("cause"), F.lit(1).cast("long").alias("n")), "stale")
     for kind in ("scene", "label", "route"):
-        links = records.filter(F.col("kind") == kind).select("id", F.explode("upstream").alias("up"))
-        hit = links.join(stale.select(F.col("id").alias("up")), "up").groupBy("id").agg(F.array_sort(F.collect_set("up")).alias("ups"))
-        because = because.join(hit, "id", "left").select("id", F.concat("because", F.coalesce("ups", F.array().cast("array<string>"))).alias("because"))
-        stale = stale.unionByName(hit.select("id")).distinct()
-    some = stale.limit(1).agg((F.count("*") > 0).alias("any"))
-    joined = records.select("id", "kind").join(because, "id").join(F.broadcast(some))  # one row
-    brief = (F.col("kind") == "brief") & F.col("any")
-    return joined.select("id", "kind", ((F.size("because") > 0) | brief).alias("stale"), F.when(brief & (F.size("because") == 0), F.array(F.lit("any"))).otherwise(F.col("because")).alias("because"))
+        level = links.select("id", "up").distinct().join(records.filter(F.col("kind") == kind).select("id"), "id", "left_semi")
+        hit = level.join(stale.select(F.col("id").alias("up")), "up").groupBy("id").agg(F.min("up").alias("cause"), F.count("*").alias("n"))
+        both = stale.unionByName(hit.withColumn("own", F.lit(False)))
+        stale = cut(both.groupBy("id").agg(F.max("own").alias("own"), F.min("cause").alias("cause"), F.sum("n").alias("n")), "stale")
+    some = not stale.isEmpty()
+    out = records.select("id", "kind").join(stale, "id", "left")
+    brief = (F.col("kind") == "brief") & F.lit(some)
+    cause = F.when(F.col("own"), "changed").otherwise(F.coalesce("cause", F.when(brief, "any")))
+    return out.select("id", "kind", cause.isNotNull().alias("stale"), cause.alias("cause"), F.coalesce("n", F.lit(0)).alias("n_causes"))
 
 
 def resume_state(units: DataFrame, live: DataFrame, key: str = "unit_id") -> DataFrame:

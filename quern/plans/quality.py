@@ -126,19 +126,19 @@ def token_deltas(t):
 
 
 def _terms(t):
-    """The first two words of each benchmark item."""
+    """The words of each benchmark item."""
     w = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " "), " ")
-    return t("benchmark").select("item_id", F.concat_ws(" ", F.filter(F.slice(w, 1, 2), lambda x: x != "")).alias("term")).filter("term <> ''")
+    return t("benchmark").select("item_id", F.concat_ws(" ", F.filter(w, lambda x: x != "")).alias("term")).filter("term <> ''")
 
 
 @query(
     "keyword_hits",
-    r"""WITH t AS (SELECT item_id, array_to_string([x for x in string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' ')[1:2] if x <> ''], ' ') AS term FROM benchmark),
+    r"""WITH t AS (SELECT item_id, array_to_string([x for x in string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' ') if x <> ''], ' ') AS term FROM benchmark),
         d AS (SELECT doc_id, '  ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), '  ') || '  ' AS h FROM documents)
         SELECT item_id, doc_id FROM t JOIN d ON contains(h, ' ' || replace(term, ' ', '  ') || ' ') WHERE term <> ''""",
 )
 def keyword_hits(t):
-    """Documents in which an item's first two words stand next to each other."""
+    """Documents in which a whole item stands."""
     return K.probe_join(t("documents").select("doc_id", "text"), _terms(t), "text", "term", ["doc_id"]).select("item_id", "doc_id")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import contracts as C
@@ -125,12 +127,11 @@ def route_degrees(t):
 )
 def invalidation(t):
     """Stale records per kind after every fiftieth document changed: chunks, scenes of a source, labels of sources."""
-    d = t("documents").select("doc_id", "source")
-    chunks = d.select(F.col("doc_id").cast("string").alias("id"), F.lit("chunk").alias("kind"), F.array().cast("array<string>").alias("upstream"))
-    scenes = d.groupBy("source").agg(F.collect_list(F.col("doc_id").cast("string")).alias("upstream")).select(F.col("source").alias("id"), F.lit("scene").alias("kind"), "upstream")
-    labels = d.groupBy(F.concat(F.lit("l"), F.substring("source", 1, 4)).alias("id")).agg(F.collect_set("source").alias("upstream")).select("id", F.lit("label").alias("kind"), "upstream")
-    brief = d.sparkSession.createDataFrame([("brief", "brief", [])], "id string, kind string, upstream array<string>")
-    out = G.invalidate(chunks.unionByName(scenes).unionByName(labels).unionByName(brief), d.filter("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("id")))
+    d = t("documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("scene"), F.concat(F.lit("l"), F.substring("source", 1, 4)).alias("label"), (F.col("doc_id") % 50 == 0).alias("new"))
+    records = [d.select(F.col(c).alias("id"), F.lit(kind).alias("kind")).distinct() for c, kind in (("doc", "chunk"), ("scene", "scene"), ("label", "label"))]
+    brief = d.sparkSession.createDataFrame([("brief", "brief")], "id string, kind string")
+    links = d.select(F.col("scene").alias("id"), F.col("doc").alias("up")).unionByName(d.select(F.col("label").alias("id"), F.col("scene").alias("up")))
+    out = G.invalidate(reduce(DataFrame.unionByName, [*records, brief]), links, d.filter("new").select(F.col("doc").alias("id")))
     return out.groupBy("kind", "stale").agg(F.count("*").alias("n"))
 
 

@@ -104,3 +104,12 @@ def test_ledger_from_nothing_and_again(spark, tmp_path):
         spark.createDataFrame(rows, "dedupe_key string, n int").coalesce(1).write.mode("append").parquet(source)
         ledger.ingest(spark.readStream.schema("dedupe_key string, n int").parquet(source), path, str(tmp_path / "cp"), prepare).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_invalidation_says_why(spark):
+    records = spark.createDataFrame([("c1", "chunk"), ("c2", "chunk"), ("s1", "scene"), ("s2", "scene"), ("l1", "label"), ("r1", "route"), ("b", "brief")], "id string, kind string")
+    links = spark.createDataFrame([("s1", "c1"), ("s1", "c1"), ("s1", "c2"), ("s2", "c9"), ("l1", "s1"), ("l1", "s2"), ("r1", "l1")], "id string, up string")
+    changed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    got = {r.id: (r.stale, r.cause, r.n_causes) for r in graph.invalidate(records, links, changed("c1", "c2", "l1")).collect()}
+    assert got == {"c1": (True, "changed", 1), "c2": (True, "changed", 1), "s1": (True, "c1", 2), "s2": (False, None, 0), "l1": (True, "changed", 2), "r1": (True, "l1", 1), "b": (True, "any", 0)}
+    assert not any(r.stale for r in graph.invalidate(records, links, changed("other")).collect())
