@@ -51,9 +51,10 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("like", [Likeness(shingle=3, percent=85), Likeness()])
-def test_against_all_pairs(spark, like, monkeypatch):
+@pytest.mark.parametrize("like, most", [(Likeness(shingle=3, percent=85), 1_000_000), (Likeness(), 1)])
+def test_against_all_pairs(spark, like, most, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK", 4)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", most)
     rows = corpus(like.shingle)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n_shingles int, node int")
     assert sorted(map(tuple, near_dup.near_duplicates(df, like).collect())) == brute(rows, like)
