@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, license_scan, mixing, near_dup, quotation, repetition, secrets, token_output, url_filter
+from . import common, conversation_repair, decontaminate, language_id, license_scan, mixing, near_dup, periodic_runs, quotation, repetition, secrets, token_output, url_filter
 from .oracles import ORACLES  # noqa: F401  read by the entry module beside QUERIES
 
 
@@ -89,6 +89,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents get a periodic end first."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_license_scan": op2_license_scan,
@@ -100,4 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_repetition": op9_repetition,
     "op10_secrets": op10_secrets,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
