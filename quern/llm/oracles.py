@@ -54,6 +54,13 @@ SELECT d.doc_id, coalesce(s.size, 0) AS n_shingles, least(d.doc_id, coalesce(l.l
 FROM split d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id
 """
 
+#: The same links at 90 percent.
+NGRAM_JOIN = (
+    NEAR_DUP.replace(">= 85 *", ">= 90 *")
+    .replace("d.doc_id <= coalesce(l.low, d.doc_id) AS kept", "coalesce(n.n, 0) AS n_links")
+    .replace("LEFT JOIN least_of l", "LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM both_ways GROUP BY x) n ON n.doc_id = d.doc_id LEFT JOIN least_of l")
+)
+
 #: crc32 by its table; then the cheapest edits row by row, for each place in the pattern the least cost and its least letters.
 REPAIR = r"""
 WITH RECURSIVE crc_table AS (
@@ -98,4 +105,4 @@ SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, co
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_decontaminate": DECONTAMINATE, "op8_near_dup": NEAR_DUP, "op11_conversation_repair": REPAIR}
+ORACLES: dict[str, str] = {"op7_decontaminate": DECONTAMINATE, "op8_near_dup": NEAR_DUP, "op11_conversation_repair": REPAIR, "op12_ngram_join": NGRAM_JOIN}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversation_repair, decontaminate, language_id, license_scan, mixing, near_dup, periodic_runs, quotation, repetition, secrets, token_output, url_filter
+from . import common, conversation_repair, decontaminate, language_id, license_scan, mixing, near_dup, ngram_join, periodic_runs, quotation, repetition, secrets, token_output, url_filter
 from .oracles import ORACLES  # noqa: F401  read by the entry module beside QUERIES
 
 
@@ -93,6 +93,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents get a periodic end first."""
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(_table(spark, sf_dir, "documents"))))
@@ -110,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repetition": op9_repetition,
     "op10_secrets": op10_secrets,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ngram_join": op12_ngram_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
