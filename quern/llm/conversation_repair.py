@@ -176,7 +176,7 @@ def _rows(roles: list[str], texts: list[str], copies: list[int], repeated: list[
     return [Row(r, t, n, not _WORD.search(t), again, not _LAST.search(t)) for r, t, n, again in zip(roles, texts, copies, repeated, strict=True)]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], part_rows: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows to parts. A conversation is ``alone`` in its part if it surely has no other."""
     at = TaskContext.get().partitionId() << 40
     held: list[dict] = []  # of one part
@@ -205,7 +205,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and r["key"] != held[0]["key"]:
                 close(True)
                 state["parts"], state["first"], chars = 0, False, 0
-            elif held and (len(held) >= PART_ROWS or chars >= PART_CHARS):
+            elif held and (len(held) >= part_rows or chars >= PART_CHARS):
                 close(False)
                 chars = 0
             held.append(r)
@@ -279,7 +279,7 @@ def _bounds(parts: DataFrame) -> DataFrame:
     return both.join(place, "part")
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def repair(turns: DataFrame, conv_col: str = "conv_id", part_rows: int = PART_ROWS) -> DataFrame:
     """Conversations in parts, each with its edits and repaired turns.
 
     ``turns`` has ``conv_id, turn, role, text``; other columns are not read.
@@ -310,7 +310,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     marked = marked.select("key", "turn", "role", "digest", "text", "n", F.coalesce(~F.col("first.turn").eqNullSafe(F.col("turn")) & F.col("first").isNotNull(), F.lit(False)).alias("repeated"))
     order = ("key", "turn", "role", "digest")
     ordered = materialize(marked, "marked").repartitionByRange(*order).sortWithinPartitions(*order).drop("digest")
-    parts = materialize(ordered.mapInArrow(_pack, _PART_DDL), "parts")
+    parts = materialize(ordered.mapInArrow(lambda batches: _pack(batches, part_rows), _PART_DDL), "parts")
     bounds = materialize(_bounds(parts), "bounds")
     kept = ("key", "part", "alone", *_COUNTS, "first_turn", "last_turn", "first_role", "last_role")
     joined = parts.join(bounds.drop("first"), "part", "left").select(*kept, "roles", "texts", "copies", "repeated", "before", "after", "last", "place")

@@ -148,7 +148,7 @@ def _frequencies(classes: DataFrame) -> DataFrame:
     return met.unionByName(tokens.join(hot.select("token"), "token", "left_anti").join(rest, "token").select("node", "token", "n"))
 
 
-def entries(size: int, n_low: int, tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> list[int]:
+def entries(size: int, n_low: int, tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int, frequent: tuple[int, int] = FREQUENT) -> list[int]:
     """Index entries of one set at all its levels.
 
     ``tokens`` is how many tokens the set has given to be counted, ``known``
@@ -168,7 +168,7 @@ def entries(size: int, n_low: int, tokens: np.ndarray, known: np.ndarray, counts
                 break
             order = np.lexsort((known[mine], rank[mine]))
             some, n = known[mine][order], counts[mine][order]
-            k = np.ones(len(some), dtype=np.int64) if not many else 1 + (n > FREQUENT[0]) + (n > FREQUENT[1])
+            k = np.ones(len(some), dtype=np.int64) if not many else 1 + (n > frequent[0]) + (n > frequent[1])
             # A class gains nothing before it has as many tokens as make an entry.
             spot = np.where(k > 1, (mix64(some) % np.uint64(max(many, 1))).astype(np.int64) * 4 + k, 0)
             place = _occurrence(spot)
@@ -219,7 +219,7 @@ def _made(tokens: np.ndarray, k: np.ndarray, level: int, many: int) -> list[int]
     return out
 
 
-def _index(classes: DataFrame, like: Likeness) -> DataFrame:
+def _index(classes: DataFrame, like: Likeness, frequent: tuple[int, int]) -> DataFrame:
     """``(band, node)``: the index entries of every set that has some."""
     met = _frequencies(classes).groupBy("node").agg(F.collect_list("token").alias("known"), F.collect_list("n").alias("counts"))
     sizes = classes.select("node", "n_shingles", "n_low", F.size("tokens").alias("given"))
@@ -229,7 +229,7 @@ def _index(classes: DataFrame, like: Likeness) -> DataFrame:
             nodes, bands = [], []
             known, counts = b.column("known"), b.column("counts")
             for row, (node, size, low, given) in enumerate(zip(*(b.column(c).to_pylist() for c in ("node", "n_shingles", "n_low", "given")), strict=True)):
-                made = entries(size, low, given, known[row].values.to_numpy(zero_copy_only=False).view(np.uint64), counts[row].values.to_numpy(zero_copy_only=False), like.percent)
+                made = entries(size, low, given, known[row].values.to_numpy(zero_copy_only=False).view(np.uint64), counts[row].values.to_numpy(zero_copy_only=False), like.percent, frequent)
                 bands += made
                 nodes += [node] * len(made)
             yield pa.RecordBatch.from_arrays([pa.array(bands, type=pa.int64()), pa.array(nodes, type=pa.int64())], names=["band", "node"])
@@ -346,7 +346,7 @@ def _candidates(members: DataFrame, live: DataFrame, like: Likeness) -> DataFram
     return _by_cell(cells, "band", compare, "u long, v long").distinct()
 
 
-def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: tuple[int, int] = FREQUENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)`` of every row.
 
     A row's set are its distinct ``shingle``-word shingles, A-Z lower-cased;
@@ -358,7 +358,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links with nothing and has no component. Rows that share an id are one
     document with the links of all of them. Equal rows are all returned, and
     link. An empty table gives an empty result; other columns are not read.
-    Texts of any length count whole, in slices bounded by bytes.
+    Texts of any length count whole, in slices bounded by bytes. ``frequent``
+    says from how many sets on a token is indexed by pairs and by triples; it
+    changes the work, not the result.
     """
     spark, like = docs.sparkSession, Likeness(shingle=shingle, percent=percent)
     bound_batches(spark)
@@ -368,7 +370,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "n_low", "tokens", "bits")]
     classes = materialize(some.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), *firsts), "classes")
     maps, weights = classes.select("node", "n_shingles", "bits"), classes.select("node", "weight")
-    spread = materialize(_index(classes, like), "entries")
+    spread = materialize(_index(classes, like, frequent), "entries")
     shared = spread.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("top")).filter("center < top").select("band", "center")
     members = materialize(salted_join(spread, shared, "band", F.col("node"), "inner"), "members")
 
