@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, keep_apart, slices
 
-#: Documents of the sample, about, for each language, and symbols kept of all of them.
+#: Documents of the sample, at most, for each language, and symbols kept of all of them.
 TRAIN_DOCS, TRAIN_SYMBOLS = 128, 20_000
 #: Every label is learned; more than this many, of about 1 MB each in each task, are refused.
 MAX_LANGUAGES = 300
@@ -99,29 +99,44 @@ class Automaton:
         # Where a phrase starts anew; a symbol that the language lacks is a phrase of its own.
         self.root = np.zeros(width, dtype=np.int32)
         self.root[list(go[0])] = list(go[0].values())
-        used, free = np.zeros(slots + width, dtype=bool), width
-        for p in sorted(range(1, len(go)), key=lambda p: -len(go[p])):
-            if not go[p]:
-                continue
+        used = np.zeros(slots + width, dtype=bool)
+        sizes = np.fromiter(map(len, go), dtype=np.int64)
+        sizes[0] = at = kind = 0
+        for p in sorted(np.flatnonzero(sizes > 1).tolist(), key=lambda p: -sizes[p]):
             symbols = np.fromiter(go[p], dtype=np.int64)
             offsets = symbols - symbols[0]
-            while used[free]:
-                free += 1
-            at = free
+            # States of as many transitions look on where the one before found its place.
+            if kind != len(symbols):
+                at, kind = width + int(np.argmin(used[width:])), len(symbols)
             while True:
                 tries = at + np.flatnonzero(~used[at : at + 256])
-                fits = tries[~used[tries[:, None] + offsets].any(axis=1)] if len(offsets) > 1 else tries
+                fits = tries[~used[tries[:, None] + offsets].any(axis=1)]
                 if len(fits):
                     break
                 at += 256
-            place = fits[0] + offsets
+            at = int(fits[0])
+            place = at + offsets
             used[place] = True
-            self.base[p] = fits[0] - symbols[0]
+            self.base[p] = at - symbols[0]
             self.owner[place] = p
             self.next[place] = np.fromiter(go[p].values(), dtype=np.int64)
+        # States with one transition, the most by far, fill what is free.
+        ones = np.flatnonzero(sizes == 1)
+        place = width + np.flatnonzero(~used[width : len(self.owner)])[: len(ones)]
+        used[place] = True
+        self.base[ones] = place - np.fromiter((next(iter(go[p])) for p in ones.tolist()), dtype=np.int64, count=len(ones))
+        self.owner[place] = ones
+        self.next[place] = np.fromiter((next(iter(go[p].values())) for p in ones.tolist()), dtype=np.int64, count=len(ones))
         last = int(np.flatnonzero(used)[-1]) + 1 if used.any() else 0
         self.owner, self.next = self.owner[: last + width], self.next[: last + width]
 
+    @classmethod
+    def of(cls, base: np.ndarray, owner: np.ndarray, next_: np.ndarray, root: np.ndarray) -> Automaton:
+        """From arrays that another process made."""
+        self = cls.__new__(cls)
+        self.base, self.owner, self.next, self.root = base, owner, next_, root
+        return self
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and whether the symbol starts a phrase."""
         at = self.base.take(state) + symbol
@@ -136,16 +151,22 @@ class Parser:
         self.names, self.alphabet, self.tables = names, alphabet, tables
 
     @classmethod
-    def train(cls, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS) -> Parser:
-        """From labelled texts; each language's texts are interleaved up to ``symbols`` in all."""
+    def over(cls, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS) -> tuple[Parser, list[np.ndarray]]:
+        """A parser without automata, and the symbols that each language's is built of: its texts, interleaved up to ``symbols`` in all."""
         coded = {name: [letters(t) for t in group] for name, group in sorted(texts.items())}
         count = Counter(c for group in coded.values() for t in group for c in t.tolist() if c)
         alphabet = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
-        self = cls(list(coded), alphabet, [])
+        self, joined = cls(list(coded), alphabet, []), []
         for group in coded.values():
             each = max(1, symbols // max(1, len(group)))
-            joined = np.concatenate([np.concatenate([t[:each], [0]]) for t in group] or [np.zeros(0, dtype=np.int32)])
-            self.tables.append(Automaton(suffix_automaton(self.symbols(joined).tolist()), 1 + FREQUENT + HASHED))
+            joined.append(self.symbols(np.concatenate([np.concatenate([t[:each], [0]]) for t in group] or [np.zeros(0, dtype=np.int32)])))
+        return self, joined
+
+    @classmethod
+    def train(cls, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS) -> Parser:
+        """From labelled texts, in this process."""
+        self, joined = cls.over(texts, symbols)
+        self.tables = [Automaton(suffix_automaton(x.tolist()), 1 + FREQUENT + HASHED) for x in joined]
         return self
 
     def symbols(self, folded: np.ndarray) -> np.ndarray:
@@ -204,35 +225,58 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, symbols: int = TRAIN_SYMBOLS) -> DataFrame:
+    """``(lang, drawn, text)``: the ``train_docs`` labelled passages of each language that are drawn first, all if there are fewer.
+
+    Rows are drawn by a hash of id and text, and rows with both in common once,
+    so that a language is in the sample however its rows repeat or share ids.
+    """
+    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    span, share = 1 << 40, 2 * max(1, symbols // train_docs)
+    key = F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col))
+    start = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.greatest(F.lit(1).cast("long"), F.length(text_col) - share + 1)).cast("int") + 1
+    drawn = usable.select(F.col(lang_col).alias("lang"), F.pmod(key, F.lit(span)).alias("drawn"), F.col(text_col).alias("text"), start.alias("start"))
+    sizes = {r.lang: r["n"] for r in drawn.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Some four times as many as are wanted go on, so that no language's rows are sorted as a whole.
+    most = F.lit(-1).cast("long")
+    for name, n in sorted(sizes.items()):
+        most = F.when(F.col("lang") == name, F.lit(span if n <= 8 * train_docs else span * 4 * train_docs // n)).otherwise(most)
+    some = drawn.filter(F.col("drawn") < most).select("lang", "drawn", F.substring("text", F.col("start"), F.lit(share)).alias("text")).dropDuplicates(["lang", "drawn"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    return some.withColumn("place", place).filter(F.col("place") <= train_docs).drop("place")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, symbols: int = TRAIN_SYMBOLS) -> Parser:
-    """Fit on a bounded sample: about ``train_docs`` labelled documents of each language, by id hash.
+    """Fit on a bounded sample: at most ``train_docs`` labelled documents of each language (``sample``).
 
     Held-out rows and rows without id, text or language are not used. The
     sample's bounds are ``train_docs`` documents and ``symbols`` symbols a
     language; of each document it takes one passage, from a place drawn by its
     id, twice as long as its even share of the symbols (white space and digits
-    fold). Counting the labels reads all rows.
+    fold). Rows that share an id are drawn by their texts; equal rows count
+    once. Only the passages come to the driver, and the finished automata, some
+    100 KB to 1 MB a language; each language's is built in a task of its own.
     """
-    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Parser([], [], [])
-    span = 1 << 40
-    drawn = F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(span))
-    chosen = [(F.col("lang") == name) & (drawn < min(span, span * 2 * train_docs // n)) for name, n in sorted(sizes.items())]
-    any_ = chosen[0]
-    for c in chosen[1:]:
-        any_ = any_ | c
-    share = F.lit(2 * max(1, symbols // train_docs))
-    start = F.pmod(F.xxhash64(F.lit(29), "id"), F.greatest(F.lit(1).cast("long"), F.length("text") - share + 1)).cast("int") + 1
-    rows = usable.filter(any_).select("lang", "id", drawn.alias("drawn"), F.substring("text", start, share).alias("text")).collect()
+    spark = docs.sparkSession
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.drawn, r.id, r.text)):
-        if len(group := texts.setdefault(r.lang, [])) < train_docs:
-            group.append(r.text)
-    return Parser.train(texts, symbols)
+    for r in sorted(sample(docs, id_col, text_col, lang_col, train_docs, symbols).collect()):
+        texts.setdefault(r.lang, []).append(r.text)
+    if not texts:
+        return Parser([], [], [])
+    parser, joined = Parser.over(texts, symbols)
+    parts = spark.createDataFrame([(k, bytearray(x.astype(np.int32).tobytes())) for k, x in enumerate(joined)], "k int, symbols binary")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, raw in zip(b.column("k").to_pylist(), b.column("symbols").to_pylist(), strict=True):
+                table = Automaton(suffix_automaton(np.frombuffer(raw, dtype=np.int32).tolist()), 1 + FREQUENT + HASHED)
+                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), *(pa.array([x.tobytes()], type=pa.binary()) for x in (table.base, table.owner, table.next, table.root))], names=["k", "base", "owner", "next", "root"])
+
+    built = parts.repartitionByRange(len(joined), "k").mapInArrow(build, "k int, base binary, owner binary, next binary, root binary").collect()
+    parser.tables = [Automaton.of(*(np.frombuffer(r[c], dtype=np.int32) for c in ("base", "owner", "next", "root"))) for r in sorted(built)]
+    return parser
 
 
 def identify(docs: DataFrame, parser: Parser, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
