@@ -2,10 +2,10 @@
 
 Three fixed patterns find the usual forms. The method looks at every other
 token-like string that follows a sensitive word closely: it compresses the
-string, primed with a dictionary of identifiers and with the rest of its line,
-and reports strings whose marginal cost in bytes is near what random signs of
-their own alphabet cost: a random key cannot be predicted, a name or a sentence
-can.
+string, primed with dictionaries of long words and of identifiers and with the
+rest of its line, and reports strings whose marginal cost in bytes is near what
+random signs of their own alphabet cost: a random key cannot be predicted, a
+name or a word can. Compression alone decides, whatever the letters' case.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ MIN_LENGTH = 16
 CONTEXT = 40
 #: and reports those whose marginal cost is this part, or more, of random signs' cost.
 MIN_NOVELTY = 0.9
+#: Level of compression.
+LEVEL = 3
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,12 +48,37 @@ IDENTIFIERS = (
     "example.com https://www. http://localhost abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
     "xxxxxxxxxxxxxxxxxxxxxxxx ******************** changeme your_key_here placeholder created updated identifier "
 )
+#: Long words and parts of words, so that plain text of letters is cheap.
+WORDS = (
+    "administration administrator advertisement application appropriate architecture association authentication authorization automatically background "
+    "broadcasting calculation certificate championship characteristic circumstances classification collaboration combination commission communication "
+    "community comparison compatibility competition complement comprehensive concentration configuration confirmation congratulations connection "
+    "consciousness consideration constitution construction consultation contemporary contribution controller conversation cooperation corporation "
+    "correspondence cryptographic decentralization declaration definition demonstration department description destination determination development "
+    "differentiation dimension disappointment discrimination distribution documentation electromagnetic employment encryption encyclopedia engineering "
+    "entertainment environmental establishment evaluation examination exceptional experience experimental explanation expression extraordinary foundation "
+    "fundamental generation government hypothetical identification illustration immediately implementation improvement independent individual industrial "
+    "information infrastructure initialization inspiration installation institution instrumental intellectual intelligence interaction interdisciplinary "
+    "international interpretation introduction investigation investment jurisdiction knowledgeable laboratory legislation liberation literature maintenance "
+    "management manufacturer mathematical measurement microprocessor microscopic miscellaneous misunderstanding modernization motivation multidimensional "
+    "multiplication nationality negotiation neighbourhood notification notwithstanding observation occupational opportunity optimization organization "
+    "orientation overwhelming parameter parliamentary participation particularly performance permission personality perspective pharmaceutical philosophical "
+    "photographic physiological politically population possibility predominantly preparation presentation presumably principally probability procedure "
+    "processing production professional programmatically pronunciation proportional psychological publication qualification quantitative questionnaire "
+    "radiotherapy rationalization realization recommendation reconstruction registration relationship reliability representative reproduction requirement "
+    "resolution respectively responsibilities restoration revolutionary satisfaction scholarship scientifically sensitivity significance simultaneously "
+    "situation socioeconomic sophisticated specification standardization statistical straightforward structure subsequently substantially superintendent "
+    "sustainability synchronization systematically technological telecommunications temperature terminology themselves theoretical thermodynamic "
+    "transcontinental transformation transmission transportation unbelievable understanding unfortunately university unprecedented unquestionably validation "
+    "verification visualization vulnerability whatsoever counter inter under over hyper super trans micro macro multi pseudo ultra electro photo hydro "
+    "ability ically fulness lessness ishment ologist ography ization ational itively ousness "
+)
 
 
 class Novelty:
     """Marginal compressed size of strings in their line."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS):
+    def __init__(self, identifiers: str = WORDS + IDENTIFIERS):
         import zstandard
 
         self.zstd, self.identifiers = zstandard, identifiers.encode()
@@ -59,10 +86,11 @@ class Novelty:
     def rates(self, line: str, strings: list[str]) -> list[float]:
         """Bytes that each string adds after the identifiers and the rest of its line, per byte that random signs would add."""
         primed = self.zstd.ZstdCompressionDict(self.identifiers + line.encode("utf-8", "replace"), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        primed.precompute_compress(level=3)
+        primed.precompute_compress(level=LEVEL)
         compress = self.zstd.ZstdCompressor(dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
         bare = len(compress(b""))
-        return [(len(compress(x.encode())) - bare) / random_cost(x) for x in strings]
+        # Words in capitals cost what they cost in small letters.
+        return [(min(len(compress(y.encode())) for y in {x, x.lower() if x.upper() == x or x.istitle() else x}) - bare) / random_cost(x) for x in strings]
 
 
 def random_cost(token: str) -> float:
@@ -104,12 +132,10 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty,
             if before and reach[before - 1] > start:
                 continue
             done, token = end, text[start:end]
-            # Letters of one case are words, whatever they cost.
-            if any(c.isdigit() for c in token) or (token.lower() != token and not token.istitle() and token.upper() != token):
-                if start > line[1]:
-                    stop = text.find("\n", end)
-                    line = text.rfind("\n", 0, start) + 1, len(text) if stop < 0 else stop
-                lines.setdefault(line, []).append((start, end))
+            if start > line[1]:
+                stop = text.find("\n", end)
+                line = text.rfind("\n", 0, start) + 1, len(text) if stop < 0 else stop
+            lines.setdefault(line, []).append((start, end))
     out = []
     for (first, last), spans in lines.items():
         edges = [first, *(x for span in spans for x in span), last]
