@@ -20,8 +20,9 @@ from .common import SPACE, bound_batches, keep_apart, mix64, slices, word_hashes
 
 #: Words of a repeat that counts towards the method's limits.
 MIN_REPEAT = 10
-#: A text fails if repeats of that length cover more of its words than this,
-MAX_COVERED = 0.4
+#: A text fails if repeats of that length cover more of its words than this (the part of duplicate lines
+#: that public filters of web corpora allow, well below the base's half of all words),
+MAX_COVERED = 0.3
 #: or if its longest repeat is longer than this many words and than this part of its words.
 MAX_LONGEST, MAX_LONGEST_PART = 50, 0.2
 
