@@ -50,7 +50,7 @@ BROADCAST_TOKENS = 100_000
 #: Sets like the smallest of an entry by this percentage, as far as bitmaps tell, join its family.
 FAMILY = 75
 #: Members, and bytes of differences, of a part of a family; members of a part of an entry.
-CELL_ROWS, CELL_BYTES, ENTRY_ROWS, BLOCK = 2048, 16 << 20, 1024, 512
+CELL_ROWS, CELL_BYTES, ENTRY_ROWS, BLOCK = 512, 16 << 20, 1024, 512
 
 #: Sizes from which the levels start; a level is less than half an octave.
 _BOUNDS = sorted({int(2 ** (k / 2)) for k in range(100)})
