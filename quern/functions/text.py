@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The code points that count as Chinese characters, as a regex class.
 CJK = r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+#: Fixed value: a Latin word beside Chinese text.
 LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9'’\-]*"
 
 
@@ -115,27 +116,35 @@ def replace_terms(text: Column, pairs: list[tuple[str, str]]) -> Column:
 TAG, FIELD = r"\{[^{}\r\n]*\}", r"\[[^\[\]\r\n]*\]"
 
 
-def _until_none(text: Column, step) -> Column:
-    """``step`` as often as there are signs that open markup, so that none it can take is left."""
-    n = F.length(text) - F.length(F.translate(text, "{[", ""))
-    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.when(text.isNotNull(), F.aggregate(rounds, text, lambda t, _: step(t)))
+def _until_same(text: Column, step) -> Column:
+    """``step`` until it changes nothing: as many rounds as markup lies in markup, each linear.
+
+    Every round but the last takes a sign that opens and one that closes, so
+    that there are no more rounds than pairs of them; rounds after the last
+    change cost nothing.
+    """
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    pairs = F.least(count("{"), count("}")) + F.least(count("["), count("]"))
+    # An array of one element names the new text, so that it is made once.
+    once = lambda s: F.element_at(F.transform(F.array(step(s["t"])), lambda t: F.struct(t.alias("t"), (t == s["t"]).alias("done"))), 1)
+    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
+    done = F.aggregate(F.sequence(F.lit(1), pairs), start, lambda s, _: F.when(s["done"], s).otherwise(once(s)))["t"]
+    return F.when(pairs > 0, done).otherwise(text)
 
 
 def strip_markup(text: Column) -> Column:
     """Tags in braces and fields in brackets out, however deep they lie in each other."""
-    return _until_none(text, lambda t: F.regexp_replace(F.regexp_replace(t, TAG, ""), FIELD, ""))
+    return _until_same(text, lambda t: F.regexp_replace(F.regexp_replace(t, TAG, ""), FIELD, ""))
 
 
 def mask_markup(text: Column) -> Column:
-    """Tags and fields, however deep, as as many spaces: what is left stays in its place."""
+    """Tags, then fields, however deep, as as many spaces: what is left stays in its place."""
 
-    def step(t: Column) -> Column:
-        found = F.regexp_extract(t, f"{TAG}|{FIELD}", 0)
-        at = F.instr(t, found)
-        return F.when(found == "", t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), F.repeat(F.lit(" "), F.length(found)), F.substring(t, at + F.length(found), F.length(t))))
+    def blank(t: Column, pattern: str) -> Column:
+        spaces = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), spaces, lambda rest, gap: F.concat(rest, F.coalesce(gap, F.lit("")))), "")
 
-    return _until_none(text, step)
+    return _until_same(text, lambda t: blank(blank(t, TAG), FIELD))
 
 
 def token_estimate(chars: Column) -> Column:

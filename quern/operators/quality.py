@@ -55,17 +55,19 @@ def unclosed_delimiters(s: DataFrame, p: Policy) -> Column:
     t = s["translation"]
     for mark in ("{{", "}}", "[[", "]]"):
         t = F.replace(t, F.lit(mark), F.lit(""))
-    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    return F.array_compact(F.array(*[F.when(count(a) != count(b), F.lit(a + b)) for a, b in ("{}", "[]")]))
+    # An array of one element names the text, so that it is made once.
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    odd = lambda x: F.array_compact(F.array(*[F.when(count(x, a) != count(x, b), F.lit(a + b)) for a, b in ("{}", "[]")]))
+    return F.element_at(F.transform(F.array(t), odd), 1)
 
 
 def english_suffix_next_to_cjk(s: DataFrame, p: Policy) -> Column:
-    found = _all(mask_markup(s["translation"]), rf"(?<={CJK})({LATIN_TOKEN})", 1)
+    found = _all(s["masked"], rf"(?<={CJK})({LATIN_TOKEN})", 1)
     return F.filter(found, lambda x: x.rlike(r"(?:'s|s|es|ed|ing|er|est|ly|ness|ment|tion|able|ible|ful|less)$") & ~_allowed(p)(x))
 
 
 def cjk_latin_spacing(s: DataFrame, p: Policy) -> Column:
-    found = _all(mask_markup(s["translation"]), rf"(?<={CJK}){LATIN_TOKEN}|(?<![A-Za-z0-9'’\-]){LATIN_TOKEN}(?![A-Za-z0-9'’\-])(?={CJK})")
+    found = _all(s["masked"], rf"(?<={CJK}){LATIN_TOKEN}|(?<![A-Za-z0-9'’\-]){LATIN_TOKEN}(?![A-Za-z0-9'’\-])(?={CJK})")
     return F.filter(found, lambda x: ~_allowed(p)(x))
 
 
@@ -78,7 +80,7 @@ def ascii_ellipsis(s: DataFrame, p: Policy) -> Column:
 
 
 def english_residue(s: DataFrame, p: Policy) -> Column:
-    found = F.filter(_all(mask_markup(s["translation"]), LATIN_TOKEN), lambda x: (F.length(x) >= 2) & ~_allowed(p)(x))
+    found = F.filter(_all(s["masked"], LATIN_TOKEN), lambda x: (F.length(x) >= 2) & ~_allowed(p)(x))
     return F.when(s["translation"].rlike(CJK), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -124,10 +126,12 @@ RULES: dict[str, Callable[[DataFrame, Policy], Column]] = {
 def find(subjects: DataFrame, policy: Policy = Policy(), rules: dict | None = None, key: str = "item_id") -> DataFrame:
     """``(item_id, file, line, reason_code, evidence, n_evidence, severity, disposition, finding_id)``, one row per subject and reason.
 
-    ``subjects`` needs ``source`` and ``translation``; null is empty. A
-    blocker is always of high severity.
+    ``subjects`` needs ``source`` and ``translation``; null is empty. Rules
+    also see ``masked``, the translation without its markup. A blocker is always of high severity.
     """
     s = subjects.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "translation")})
+    # Made once, as several rules read it.
+    s = s.withColumn("masked", mask_markup(F.col("translation")))
     chosen = rules or RULES
     found = F.array(*[F.struct(F.lit(code).alias("reason_code"), rule(s, policy).alias("evidence")) for code, rule in chosen.items()])
     place = [F.col(c) if c in s.columns else F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("line", "int"))]
@@ -195,9 +199,13 @@ def path_match(path: Column, wanted: str) -> Column:
 def gate(findings: DataFrame, acknowledged: DataFrame, key: str = "finding_id") -> DataFrame:
     """One row: counts and decision. Warnings may be acknowledged, blockers never."""
     seen = acknowledged.select(key).distinct().withColumn("__ack", F.lit(True))
-    rows = findings.join(seen, key, "left")
-    warning, ack = F.col("disposition") == "warning", F.coalesce(F.col("__ack"), F.lit(False))
-    out = rows.agg(F.count_if(F.col("disposition") == "blocker").alias("blockers"), F.count_if(warning).alias("warnings"), F.count_if(warning & ack).alias("acknowledged"))
+    return gate_marked(findings.join(seen, key, "left"), F.col("__ack"))
+
+
+def gate_marked(findings: DataFrame, acknowledged: Column) -> DataFrame:
+    """``gate`` where a column of the findings tells what is acknowledged, in one pass."""
+    warning, ack = F.col("disposition") == "warning", F.coalesce(acknowledged, F.lit(False))
+    out = findings.agg(F.count_if(F.col("disposition") == "blocker").alias("blockers"), F.count_if(warning).alias("warnings"), F.count_if(warning & ack).alias("acknowledged"))
     open_ = (F.col("blockers") > 0) | (F.col("warnings") > F.col("acknowledged"))
     return out.withColumn("decision", F.when(open_, "needs_review").when(F.col("warnings") > 0, "acknowledged").otherwise("pass"))
 

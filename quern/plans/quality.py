@@ -81,7 +81,7 @@ def quality_histogram(t):
 def quality_gate(t):
     """The gate over one file's findings and those of two reasons elsewhere; one reason acknowledged, blockers stay."""
     found = Q.find(subjects(t)).filter("file = 'src3' OR reason_code IN ('quality.structure.unclosed_delimiters', 'quality.typography.halfwidth_punctuation')")
-    return Q.gate(found, found.filter("reason_code IN ('quality.typography.halfwidth_punctuation', 'quality.structure.unclosed_delimiters')").select("finding_id"))
+    return Q.gate_marked(found, F.col("reason_code").isin("quality.typography.halfwidth_punctuation", "quality.structure.unclosed_delimiters"))
 
 
 @query("quality_filter", f"{_FOUND} SELECT item_id, reason_code FROM f WHERE reason_code IN ('quality.typography.ascii_ellipsis', 'quality.typography.halfwidth_punctuation') AND file IN ('src3', 'src4')")

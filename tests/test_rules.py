@@ -1,5 +1,8 @@
 """Rules whose queries cannot show every case, on hand-made rows."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -113,3 +116,22 @@ def test_invalidation_says_why(spark):
     got = {r.id: (r.stale, r.cause, r.n_causes) for r in graph.invalidate(records, links, changed("c1", "c2", "l1")).collect()}
     assert got == {"c1": (True, "changed", 1), "c2": (True, "changed", 1), "s1": (True, "c1", 2), "s2": (False, None, 0), "l1": (True, "changed", 2), "r1": (True, "l1", 1), "b": (True, "any", 0)}
     assert not any(r.stale for r in graph.invalidate(records, links, changed("other")).collect())
+
+
+def test_markup_of_many_signs_is_linear(spark):
+    """A hundred thousand signs in one text; the rounds stop when nothing changes."""
+    deep = "{" * 60 + "x" + "}" * 60
+    texts = ["{" * 100_000, "{a}" * 33_000, "[" * 50_000 + "]" * 3, "}{" * 50_000, "a{b" + "[c]" * 5 + "}d", deep, "{a[b}c]", "{ {a} [b} ]", None, ""]
+    started = time.perf_counter()
+    masked, bare = values(spark, texts, T.mask_markup), values(spark, texts, T.strip_markup)
+    assert time.perf_counter() - started < 60
+
+    def rounds(text, blank):
+        before = None
+        while text is not None and before != text:
+            before = text
+            for pattern in (T.TAG, T.FIELD):
+                text = re.sub(pattern, (lambda m: " " * len(m[0])) if blank else "", text)
+        return text
+
+    assert masked == [rounds(t, True) for t in texts] and bare == [rounds(t, False) for t in texts]
