@@ -42,9 +42,17 @@ def longest_common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def ratio_if(a: str, b: str, least: float) -> float | None:
+    """``sequence_ratio`` where it is ``least`` or more, else None: matching blocks are a common subsequence."""
+    if 2 * longest_common(a, b) < least * (len(a) + len(b)):
+        return None
+    ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return ratio if ratio >= least else None
+
+
 @F.pandas_udf(DoubleType())
 def ratio_from(base: pd.Series, target: pd.Series, least: pd.Series) -> pd.Series:
-    """``sequence_ratio`` where it can reach ``least``, else null: matching blocks are a common subsequence."""
+    """``sequence_ratio`` where a common subsequence lets it reach ``least``, else null."""
     out = []
     for a, b, low in zip(base, target, least, strict=True):
         hopeless = a is None or b is None or 2 * longest_common(a, b) < low * (len(a) + len(b))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tables import cut
-from quern.functions.text import trigrams
-from quern.functions.udfs import ratio_from
+from quern.functions.udfs import ratio_if
 
 #: Rank of each kind of match and what context adds to it, limits of modified sources, options shown.
 RANKS = {"confirmed_lineage": 600.0, "locator_exact": 500.0, "content_exact": 450.0, "moved_exact": 300.0, "source_modified": 200.0}
 MOVED_BONUS = {"speaker": 30.0, "before": 12.0, "after": 12.0, "mode": 4.0}
 MODIFIED_BONUS = {"speaker": 8.0, "before": 4.0, "after": 4.0}
-MIN_RATIO, MARGIN, MIN_LENGTH, RAREST, OPTIONS = 0.82, 5.0, 4, 16, 8
+MIN_RATIO, MARGIN, MIN_LENGTH, OPTIONS = 0.82, 5.0, 4, 8
 #: Columns of a version that may be missing; they are null then.
 OPTIONAL = ("lineage", "locator", "content", "before", "after", "speaker", "mode")
 
@@ -114,25 +116,82 @@ def moved_matches(a: DataFrame, b: DataFrame, counts: DataFrame) -> DataFrame:
         rows = cut(rows.join(gone, ["side", "id"], "left_anti"), "moved")
 
 
-def modified_pairs(a: DataFrame, b: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """``(base_id, target_id, score, confidence, context)`` of rows whose sources are ``MIN_RATIO`` alike or more.
+def _common_bigrams(a: list[str], b: list[str], width: int) -> np.ndarray:
+    """For all pairs, an upper bound of the bigrams that both have, as often as both have them.
 
-    Rows are compared if the target has one of the base row's ``rarest``
-    trigrams that any target has. Lengths that cannot reach the ratio are left
-    out before texts meet, common subsequences that cannot before blocks are
-    matched.
+    Bigrams are counted in ``width`` hashed places; a place's first and second
+    are signs of a vector, so that a product of matrices counts them for all
+    pairs, and the others count whole for each text.
     """
-    grams = lambda d, n: d.filter(F.length("source") >= 3).select(F.col("id").alias(n), F.explode(F.array_distinct(trigrams("source"))).alias("gram")).filter(F.trim("gram") != "")
-    gb = grams(b, "target_id")
-    held = grams(a, "base_id").join(gb.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    rare = held.withColumn("p", F.row_number().over(Window.partitionBy("base_id").orderBy("n", "gram"))).filter(F.col("p") <= rarest)
-    chars = lambda d, n: d.select(F.col("id").alias(f"{n}_id"), F.col("source").alias(f"{n}_source"), F.length("source").alias(f"{n}_length"), *[F.col(c).alias(f"{n}_{c}") for c in ("speaker", "before", "after")])
-    size = lambda d, n: d.select(F.col("id").alias(f"{n}_id"), F.length("source").alias(f"{n}_length"))
-    pairs = rare.join(gb, "gram").select("base_id", "target_id").distinct()
-    near = 2 * F.least("base_length", "target_length") >= MIN_RATIO * (F.col("base_length") + F.col("target_length"))
-    pairs = pairs.join(size(a, "base"), "base_id").join(size(b, "target"), "target_id").filter(near & (F.greatest("base_length", "target_length") >= MIN_LENGTH)).select("base_id", "target_id")
-    text = pairs.join(chars(a, "base"), "base_id").join(chars(b, "target"), "target_id")
-    scored = text.withColumn("ratio", ratio_from("base_source", "target_source", F.lit(MIN_RATIO))).filter(F.col("ratio") >= MIN_RATIO)
+    sides, more = [], []
+    for texts in (a, b):
+        signs, rest = np.zeros((len(texts), 2 * width), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            key = (c[:-1] * np.uint64(0x9E3779B1) + c[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+            n = np.bincount((key % np.uint64(width)).astype(np.int64), minlength=width)
+            signs[i, :width], signs[i, width:], rest[i] = n > 0, n > 1, np.maximum(n - 2, 0).sum()
+        sides.append(signs)
+        more.append(rest)
+    return np.rint(sides[0] @ sides[1].T).astype(np.int64) + np.minimum(more[0][:, None], more[1][None, :])
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``(base_id, target_id, ratio)`` of all pairs of ``(id, source)`` whose sources are ``least`` alike or more; the longer one has ``min_length`` characters.
+
+    No pair is missed: a ratio needs a common subsequence of ``least / 2`` of
+    all characters, which leaves all but a stated number of bigrams in common.
+    Rows fall into buckets by length (a tenth apart) and blocks by id; blocks
+    whose lengths may match meet in cells, where one product of matrices bounds
+    the common bigrams of all their pairs. Only pairs within the bound have
+    their texts compared. A cell holds two blocks; their number grows with the
+    product of the sides, as any exact join at such a ratio does, and the work
+    of a pair is some hundred multiplications.
+    """
+    step = math.log(1.1)
+    apart = math.ceil(math.log((2 - least) / least) / step) + 1
+    # Long texts have wide vectors, so that their blocks are small.
+    rows = lambda bucket: F.greatest(F.lit(64), F.least(F.lit(2048), F.floor(F.lit(1 << 20) / F.exp(F.col(bucket) * step)))).cast("int")
+    buckets, sides = [], []
+    for df, bucket, part in ((a, "ka", "pa"), (b, "kb", "pb")):
+        have = df.filter(F.length("source") > 0).select("id", "source", F.floor(F.log(F.length("source").cast("double")) / step).cast("int").alias(bucket))
+        counts = cut(have.groupBy(bucket).agg(F.count("*").alias("n")).select(bucket, F.ceil(F.col("n") / rows(bucket)).cast("int").alias("parts")), "buckets")
+        sides.append(have.join(F.broadcast(counts), bucket).withColumn(part, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"))
+        buckets.append(counts.select(bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part)))
+    # Buckets are at most some hundred and fifty a side; a block meets those whose lengths are near.
+    near = buckets[1].withColumn("ka", F.explode(F.sequence(F.col("kb") - apart, F.col("kb") + apart)))
+    cells = buckets[0].join(near, "ka").select("ka", "pa", "kb", "pb")
+    keys = ("ka", "pa", "kb", "pb")
+    left, right = sides[0].join(cells, ["ka", "pa"]).select(*keys, "id", "source"), sides[1].join(cells, ["kb", "pb"]).select(*keys, "id", "source")
+    ids = [f.dataType.simpleString() for f in (a.schema["id"], b.schema["id"])]
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        xs, ys = x.column("source").to_pylist(), y.column("source").to_pylist()
+        us, vs, ratios = [], [], []
+        if xs and ys:
+            n, m = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+            both = n[:, None] + m[None, :]
+            common = np.ceil(least / 2 * both - 1e-9)
+            some = (2 * np.minimum(n[:, None], m[None, :]) >= least * both) & (np.maximum(n[:, None], m[None, :]) >= min_length)
+            width = 1 << max(8, min(13, int(max(n.max(), m.max())).bit_length() + 1))
+            if some.any():
+                some &= _common_bigrams(xs, ys, width) >= 3 * common - both - 1
+            for i, j in np.argwhere(some).tolist():
+                ratio = ratio_if(xs[i], ys[j], least)
+                if ratio is not None:
+                    us.append(i)
+                    vs.append(j)
+                    ratios.append(ratio)
+        return pa.table({"base_id": x.column("id").take(pa.array(us, type=pa.int64())), "target_id": y.column("id").take(pa.array(vs, type=pa.int64())), "ratio": pa.array(ratios, type=pa.float64())})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, f"base_id {ids[0]}, target_id {ids[1]}, ratio double")
+
+
+def modified_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(base_id, target_id, score, confidence, context)`` of rows whose sources are ``MIN_RATIO`` alike or more."""
+    chars = lambda d, n: d.select(F.col("id").alias(f"{n}_id"), F.col("source").alias(f"{n}_source"), *[F.col(c).alias(f"{n}_{c}") for c in ("speaker", "before", "after")])
+    pairs = cut(similar_pairs(a.select("id", "source"), b.select("id", "source")), "similar")
+    scored = pairs.join(chars(a, "base"), "base_id").join(chars(b, "target"), "target_id")
     # A neighbour that is the other side's source is no context either.
     same = {c: F.coalesce(F.col(f"base_{c}") == F.col(f"target_{c}"), F.lit(False)) for c in MODIFIED_BONUS}
     for c in ("before", "after"):

@@ -104,6 +104,33 @@ def test_reconcile(spark):
     assert set(kinds) == {*R.RANKS, "context_high_confidence"}
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    """Short and long texts, swapped pieces, other scripts, empty and null ones; nothing that all pairs find is missed."""
+    rng = random.Random(2)
+    words = "the cat saw a dog and ran home over hills while rain fell on old stone walls near blue water 猫 が 好き だ été".split()
+    lines = ["".join(rng.choices("ab", k=rng.randrange(1, 9))) for _ in range(60)] + [" ".join(rng.choices(words, k=rng.choice([2, 3, 5, 9, 40, 300]))) for _ in range(160)]
+    sides = []
+    for _ in range(2):
+        side = []
+        for t in lines:
+            c = list(t)
+            for _ in range(rng.randrange(0, 1 + len(c) // 6)):
+                at = rng.randrange(len(c)) if c else 0
+                c[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "e"])
+            side.append("".join(c) if rng.random() < 0.8 else t[len(t) // 2 :] + t[: len(t) // 2])
+        sides.append([*side, "", None])
+    frames = [spark.createDataFrame([(f"{n}{i}", t) for i, t in enumerate(s)], "id string, source string") for n, s in zip("bt", sides, strict=True)]
+    got = {(r.base_id, r.target_id): r.ratio for r in R.similar_pairs(*frames).collect()}
+    want = {}
+    for i, x in enumerate(sides[0]):
+        for j, y in enumerate(sides[1]):
+            if x and y and max(len(x), len(y)) >= 4 and 2 * min(len(x), len(y)) >= 0.82 * (len(x) + len(y)):
+                ratio = SequenceMatcher(None, x, y, autojunk=False).ratio()
+                if ratio >= 0.82:
+                    want[f"b{i}", f"t{j}"] = ratio
+    assert got == want and len(want) > 150
+
+
 def test_a_common_source_lists_no_pairs(spark):
     rows = lambda side: spark.range(3000).selectExpr(f"concat('{side}', id) AS id", "'...' AS source", f"concat('{side}', id) AS locator", "if(id < 3, concat('line ', id), 'same') AS before")
     got = R.reconcile(rows("b"), rows("t"), fuzzy=False)
