@@ -382,7 +382,7 @@ def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int |
     each bucket. ``cut`` tells that a class had more pairs than it proposed.
     """
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    cells = members.join(live, "band").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("int"))
+    cells = salted_join(members, live, "band", F.col("node"), "inner").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cells = cells.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "family", "comp", "sig")
     floor = like.least_agreeing
@@ -423,22 +423,33 @@ def _proposals(members: DataFrame, live: DataFrame, like: Likeness, most: int |
     return _by_cell(cells, "band", compare, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
 
 
-def _numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``(doc_id, own, text)``, and ``(own, doc_id)`` of texts that share their id ``own`` with another text.
+#: Ids from here on leave too little room above them for further numbers.
+HIGH = 1 << 62
+
+
+def _numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """``(doc_id, own, text)``, ``(own, doc_id)`` of texts that share their id ``own`` with another text, and what was taken off all ids.
 
     All but one of the texts of an id get numbers above all ids; where no id
-    has two texts, nothing changes.
+    has two texts, nothing changes. If the largest id leaves no room above it,
+    ``HIGH`` is taken off all ids first; then none may be below ``-HIGH``.
     """
     worded = texts.filter("doc_id IS NOT NULL").filter(WORDED).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     shared = materialize(worded.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high"), "shared")
     plain = texts.select("doc_id", F.col("doc_id").alias("own"), "text")
     if shared.isEmpty():
-        return plain, None
-    top = texts.agg(F.max("doc_id")).first()[0]
+        return plain, None, 0
+    top, least = texts.agg(F.max("doc_id"), F.min("doc_id")).first()
+    shift = HIGH if top >= HIGH else 0
+    if shift:
+        if least < -HIGH:
+            raise ValueError("ids at both ends of the range, some of them shared")
+        down = lambda df, *cols: df.withColumns({c: F.col(c) - F.lit(HIGH) for c in cols})
+        worded, shared, plain, top = down(worded, "doc_id"), down(shared, "doc_id"), down(plain, "doc_id", "own"), top - HIGH
     extra = worded.join(shared, "doc_id").filter("digest <> low").select("doc_id", "digest").distinct()
     extra = materialize(extra.select(F.col("doc_id").alias("own"), "digest", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("number")), "numbers")
     named = plain.withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("doc_id").join(extra, ["own", "digest"], "left")
-    return named.select(F.coalesce("number", "own").alias("doc_id"), "own", "text"), extra.select("own", F.col("number").alias("doc_id"))
+    return named.select(F.coalesce("number", "own").alias("doc_id"), "own", "text"), extra.select("own", F.col("number").alias("doc_id")), shift
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,13 +466,13 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    texts, twins = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    texts, twins, shift = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     features = materialize(_features(texts, like), "features")
     classes = features.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     spread = classes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("top")).filter("center < top").select("band", "center")
-    members = materialize(spread.join(shared, "band"), "members")
+    members = materialize(salted_join(spread, shared, "band", F.col("node"), "inner"), "members")
 
     sigs = classes.groupBy("node").agg(F.first("sig").alias("sig"))
 
@@ -491,4 +502,4 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
             break
     rows = features.select(F.col("own").alias("doc_id"), "set_id", "n_shingles").join(classes.select("set_id", "node"), "set_id", "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select((F.col("doc_id") + F.lit(shift)).alias("doc_id"), "n_shingles", (component + F.lit(shift)).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -364,7 +364,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     spark, like = docs.sparkSession, Likeness(shingle=shingle, percent=percent)
     bound_batches(spark)
-    texts, twins = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    texts, twins, shift = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     features = materialize(_features(texts, like), "features")
     some = features.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "n_low", "tokens", "bits")]
@@ -394,4 +394,4 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     known = classes.select("set_id", "node", "weight").join(labels, "node", "left").join(counts, "node", "left")
     rows = features.select(F.col("own").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"), "n_shingles").join(known, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"))
+    return rows.select((F.col("doc_id") + F.lit(shift)).alias("doc_id"), "n_shingles", (component + F.lit(shift)).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"))

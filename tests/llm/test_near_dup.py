@@ -90,3 +90,12 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert len(got) == len(rows)
     assert {r.doc_id: r.component_id for r in got if r.n_shingles} == {i: 1 for i in range(1, 8)}
     assert sorted((r.doc_id, r.component_id) for r in got if not r.n_shingles) == [(6, 6), (6, 6)]
+
+
+def test_shared_ids_near_the_end_of_the_range(spark):
+    top, text = 2**63 - 1, " ".join(f"t{i}" for i in range(40))
+    rows = [(top, text), (top, "x y z v w u"), (top - 1, text), (5, "x y z v w u"), (-7, "alone in here with it")]
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(top, 5), (top - 1, 5), (5, 5), (-7, -7)}
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(spark.createDataFrame([*rows, (-(2**63), "z")], "doc_id long, text string"))
