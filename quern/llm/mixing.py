@@ -141,13 +141,14 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
     every source's blocks; what is taken in all does not depend on ``shards``.
     ``taken`` is the words in the parts, repeats counted, never over three times ``size``. Null
     texts have size 0 and take nothing; the null source is a source of its
-    own; rows that repeat are documents of their own. An empty table gives
+    own; rows that repeat are documents of their own, and rows of one id, or without
+    an id, are in order of a hash of their texts. An empty table gives
     an empty result. Other columns are read only if named in ``keep``; one
     with the name of a returned column comes back as ``kept_<name>``. Texts of
     any length count whole.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(text_col)).alias("text_hash"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     recipe = make_recipe(sized, **options) if recipe is None else recipe
     if shards < 1:
         raise ValueError("a mix has one shard at least")
@@ -156,11 +157,12 @@ def mix(docs: DataFrame, recipe: list[Share] | None = None, seed: int = 17, id_c
     table = spark.createDataFrame([(i, r.source, r.size, r.target, r.blocks, r.seats // r.blocks, r.seats % r.blocks, *map(Decimal, _shuffle(r.blocks, seed, r.source)), max(1, r.rows // SEGMENT_ROWS), [e[i] for e in ends]) for i, r in enumerate(recipe)], schema)
     # The recipe has MAX_SOURCES rows at most.
     rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").drop("name", "source")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # Rows without an id are in order of their texts; of one id, too.
+    order = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), F.col("doc_id"))).otherwise(F.col("text_hash"))
     rows = rows.withColumn("order", order).withColumn("segment", F.pmod(F.shiftright("order", 20), F.col("segments")))
     sums = rows.groupBy("at", "segment").agg(F.sum("size").alias("words"))
     sums = sums.select("at", "segment", (F.sum("words").over(Window.partitionBy("at").orderBy("segment")) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("at", "segment").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("at", "segment").orderBy("order", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(sums, ["at", "segment"])
     # The first `size % blocks` blocks of a source have one word more than the others; no product passes its size.
     rows = rows.withColumn("first", F.col("before") + F.col("inside")).withColumn("last", F.col("first") + F.col("size"))

@@ -476,3 +476,12 @@ def test_queries_are_registered():
 
     assert {k.split("_")[0] for k in queries.QUERIES} <= {k.split("_")[0] for k in entry.queries()}
     assert math.isfinite(np.float64(1))
+
+
+def test_mix_without_ids(spark):
+    """Rows without an id or of one id spread over the tape by their texts, and reruns cut the same ones."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5]), " ".join(f"w{rng.randrange(99)}" for _ in range(50)), rng.choice("ab")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(((r.text, r.doc_id or -1, r.taken, str(r.passes)) for r in mixing.mix(d, keep=("text",)).collect())) for d in (df, df.repartition(5).orderBy("text")))
+    assert one == two and len(one) == 300
