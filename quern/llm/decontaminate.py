@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -143,8 +144,8 @@ def find_overlap(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     found_type = f"n_words long, spans array<struct<first: long, last: long>>, items array<{item_type}>"
     arrow_item = to_arrow_type(bench.schema[item_col].dataType)
 
-    def search(rows: DataFrame, windows: dict, only_found: bool) -> DataFrame:
-        """The rows with ``n_words``, ``spans`` and ``items``."""
+    def search(rows: DataFrame, windows: dict, only_found: bool) -> tuple[DataFrame, Broadcast]:
+        """The rows with ``n_words``, ``spans`` and ``items``, and the tables that all tasks hold meanwhile."""
         shared = spark.sparkContext.broadcast(Tables(windows))
         cols = [c for c in rows.columns if c != "__text"]
 
@@ -162,15 +163,19 @@ def find_overlap(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                 yield out.filter(pa.array([bool(h) for h in spans])) if only_found else out
 
         fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "__text")
-        return rows.mapInArrow(go, fields + found_type)
+        return rows.mapInArrow(go, fields + found_type), shared
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     passes = _passes(bench, item_col, item_text, size, pass_windows)
     first = next(passes)
-    found = search(slim.withColumn("__text_id", F.sha2(F.col("__text").cast("binary"), 256)) if (second := next(passes, None)) is not None else slim, first, False)
+    found = search(slim.withColumn("__text_id", F.sha2(F.col("__text").cast("binary"), 256)) if (second := next(passes, None)) is not None else slim, first, False)[0]
     if second is not None:
         texts = slim.select(F.sha2(F.col("__text").cast("binary"), 256).alias("__text_id"), "__text").filter("__text IS NOT NULL")
-        parts = [materialize(search(texts, w, True), "overlap") for w in chain([second], passes)]
+        parts = []
+        for windows in chain([second], passes):
+            rows, shared = search(texts, windows, True)
+            parts.append(materialize(rows, "overlap"))
+            shared.destroy()  # its finds are written
         more = reduce(DataFrame.unionByName, parts).groupBy("__text_id").agg(F.flatten(F.collect_set("spans")).alias("more_spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"))
         found = salted_join(found, more, "__text_id", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
         both = [F.when(F.col(f"more_{c}").isNull(), F.col(c)).otherwise(F.array_sort(F.array_union(c, f"more_{c}"))).alias(c) for c in ("spans", "items")]
