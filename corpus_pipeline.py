@@ -9,7 +9,6 @@ group; empty tables and further columns are fine in every stage.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,11 +85,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
-    step = partial(_step, spark, sf_dir)
-    return reduce(step, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All stages on ``documents``.
 
-
-def _step(spark: SparkSession, sf_dir: str, docs: DataFrame, stage: tuple) -> DataFrame:
-    name, function = stage
-    return common.materialize(function(spark, docs, sf_dir), "stage")
+    What a stage writes on the way is deleted when its result is written, and
+    that when the next one's is, so that the folder holds two stages at most.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, function in STAGES:
+        path = common.new_path(spark, "stage")
+        with common.scratch(spark):
+            done = function(spark, docs, sf_dir)
+            done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before:
+            common.discard(spark, before)
+        before = path
+    return docs

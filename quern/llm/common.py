@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The folder of what is written on the way, where a caller has set one.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call returns."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or the scratch folder in it, that no other call returns."""
+    return f"{(_SCRATCH.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written on the way inside goes to a folder that is deleted at the end.
+
+    For callers that write their result elsewhere before the end: frames made
+    inside cannot be read after it.
+    """
+    path = new_path(spark, "scratch")
+    mark = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(mark)
+        discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
