@@ -30,21 +30,28 @@ def sequence_ratio(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(base, target, strict=True)])
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table as the bits of a number."""
+def longest_common(a: str, b: str, least: float = 0) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of a number.
+
+    Where it turns out on the way that it is below ``least``, a number below
+    ``least`` that it does not exceed.
+    """
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full = row = (1 << len(a)) - 1
-    for c in b:
+    for j, c in enumerate(b):
         if at := row & places.get(c, 0):
             row = (row + at | row - at) & full
+        if least and j % 32 == 31 and (most := len(a) - row.bit_count() + len(b) - j - 1) < least:
+            return most
     return len(a) - row.bit_count()
 
 
 def ratio_if(a: str, b: str, least: float) -> float | None:
     """``sequence_ratio`` where it is ``least`` or more, else None: matching blocks are a common subsequence."""
-    if 2 * longest_common(a, b) < least * (len(a) + len(b)):
+    both = len(a) + len(b)
+    if 2 * longest_common(a, b, least / 2 * both - 1e-9) < least * both:
         return None
     ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
     return ratio if ratio >= least else None

@@ -134,3 +134,57 @@ def digest_of(rows: DataFrame, by: list[str], *parts: Column) -> DataFrame:
     number = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
     sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(number(1 + 15 * i)).alias(f"s{i}") for i in range(4)])
     return sums.select(*by, F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(4)]), 256).alias("digest"), "n")
+
+
+def assign_labels(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``chunks`` with ``label``: of the label that shares most lines in its file (the first of several), else the file's only label, else ``_unassigned``.
+
+    ``chunks`` has ``chunk_id, file, first_line, last_line`` (lines may be null).
+    """
+    spans = nodes.select("label", "file", F.col("first_line").alias("a"), F.col("last_line").alias("b"))
+    shared = F.least("last_line", "b") - F.greatest("first_line", "a") + 1
+    hits = chunks.select("chunk_id", "file", "first_line", "last_line").join(spans, "file").filter(shared > 0)
+    best = hits.groupBy("chunk_id").agg(F.max(F.struct(shared.alias("n"), (-F.col("a")).alias("back"), "label")).alias("m")).select("chunk_id", F.col("m.label").alias("by_lines"))
+    only = nodes.groupBy("file").agg(F.count_distinct("label").alias("n"), F.min("label").alias("only")).filter("n = 1").drop("n")
+    rows = chunks.join(best, "chunk_id", "left").join(only, "file", "left")
+    return rows.withColumn("label", F.coalesce("by_lines", "only", F.lit("_unassigned"))).drop("by_lines", "only")
+
+
+def label_records(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(label, summary, evidence, upstream, unresolved, digest)`` of every label.
+
+    ``chunks`` has ``label, chunk_id, summary, evidence`` (an array): a label's
+    summary joins those of its chunks in order of their ids, or is ``Label
+    `name```; evidence comes once each, in that order. A dynamic jump is noted
+    in the summary. The digest changes with what the record is made of.
+    """
+    parts = chunks.groupBy("label").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string").alias("id"), F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")))).alias("c")
+    )
+    dynamic = edges.filter("kind = 'unresolved'").select(F.col("source").alias("label")).distinct().withColumn("unresolved", F.lit(True))
+    rows = nodes.groupBy("label").agg(F.min("file").alias("file")).join(parts, "label", "left").join(dynamic, "label", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
+    told = F.filter(F.transform("c", lambda c: c["summary"]), lambda s: s != "")
+    body = F.when(F.size(told) > 0, F.array_join(told, "\n")).otherwise(F.concat(F.lit("Label `"), F.col("label"), F.lit("`")))
+    body = F.when(F.col("unresolved"), F.concat(body, F.lit("\n[unresolved dynamic jump/call present]"))).otherwise(body)
+    none = F.array().cast("array<string>")
+    evidence = F.array_distinct(F.filter(F.flatten(F.transform("c", lambda c: c["evidence"])), lambda e: F.coalesce(e, F.lit("")) != ""))
+    digest = F.sha2(F.to_json(F.struct("label", "c", "unresolved")).cast("binary"), 256)
+    return rows.select("label", body.alias("summary"), F.coalesce(evidence, none).alias("evidence"), F.coalesce(F.transform("c", lambda c: c["id"]), none).alias("upstream"), "unresolved", digest.alias("digest"))
+
+
+def route_records(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(entry, route, summary, evidence, unresolved, digest)`` of every route, folded along its path.
+
+    ``found`` is what ``routes`` returns, ``labels`` what ``label_records``
+    does. Paths have a bounded length, so that a route's parts fit a row.
+    """
+    steps = found.select("entry", "route", F.posexplode("path").alias("place", "label")).join(labels, "label", "left")
+    summary = F.concat(F.lit("## "), F.col("label"), F.lit("\n"), F.coalesce("summary", F.lit("(no label summary)")))
+    rows = steps.groupBy("entry", "route").agg(
+        F.array_sort(F.collect_list(F.struct("place", summary.alias("said"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), F.coalesce("digest", F.lit("")).alias("digest")))).alias("s"),
+        F.max(F.coalesce("unresolved", F.lit(False))).alias("unresolved"),
+    )
+    body = F.array_join(F.transform("s", lambda s: s["said"]), "\n\n")
+    body = F.when(F.col("unresolved"), F.concat(body, F.lit("\n\n[route contains unresolved dynamic jump/call]"))).otherwise(body)
+    digest = F.sha2(F.concat_ws(",", F.transform("s", lambda s: s["digest"])).cast("binary"), 256)
+    return rows.select("entry", "route", body.alias("summary"), F.array_distinct(F.flatten(F.transform("s", lambda s: s["evidence"]))).alias("evidence"), "unresolved", digest.alias("digest"))

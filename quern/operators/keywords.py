@@ -95,12 +95,16 @@ def evidence(found: DataFrame, order: list[str], keep: list[str], most: int = MA
 
 
 def glossary_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, kind)``: terms inside texts; of equal terms normalize, then preserve, then non_translatable."""
+    """``(key, term, kind)``: terms inside texts, case included; of equal terms normalize, then preserve, then non_translatable."""
     priority = {"normalize": 0, "preserve": 1, "non_translatable": 2}
     rank = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col("kind")]
     best = terms.withColumn("__r", rank).groupBy("term").agg(F.min_by("kind", "__r").alias("kind"))
-    # Only the first word decides the join; the whole term is looked for afterwards.
-    return texts.select(key, F.col(text).alias("__t")).join(best, F.contains(F.col("__t"), F.col("term"))).select(key, "term", "kind")
+    # Texts and terms meet by a term's first two signs (or its only one); keys and terms only. Then the whole term is looked for.
+    signs = F.split(text, "")
+    firsts = F.array_distinct(F.concat(signs, F.array_compact(F.zip_with(signs, F.slice(signs, 2, F.greatest(F.length(text) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))))
+    probes = texts.select(key, F.explode(firsts).alias("__probe"))
+    near = probes.join(best.filter("term <> ''").withColumn("__probe", F.substring("term", 1, 2)), "__probe").select(key, "term", "kind").distinct()
+    return texts.select(key, F.col(text).alias("__t")).join(near, key).filter(F.contains("__t", "term")).select(key, "term", "kind")
 
 
 def merge_plan(candidates: DataFrame, glossary: DataFrame, min_confidence: float = 0.6, overwrite: bool = False) -> DataFrame:

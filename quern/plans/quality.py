@@ -97,16 +97,35 @@ def path_match(t):
     return t("pages").withColumn("p", p).filter(Q.path_match(F.col("p"), "en")).select("page_id")
 
 
-@query("translation_checks", "SELECT coalesce(problem, 'none') AS problem, COUNT(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'tags' WHEN 2 THEN 'fields' WHEN 3 THEN 'formats' END AS problem FROM documents) GROUP BY 1")
+_TOKENS = ((" the ", " {i}the{/i} "), (" de ", " [name] "), (" la ", " %d, "), (" and ", " %s; "), (" der ", " {b} "))
+_LOST = ((3, "{i}", ""), (4, "[name]", "name"), (5, "%d,", "%s,"), (7, " %s;", ""))
+
+
+def _checked() -> str:
+    """Lines with tags, fields and formats, some lost in the translation, in SQL."""
+    source = reduce(lambda c, x: f"replace({c}, '{x[0]}', '{x[1]}')", _TOKENS, "translate(coalesce(said, ''), '%{}[]', '')")
+    lost = reduce(lambda c, x: f"CASE WHEN (doc_id + line) % {x[0]} = 0 THEN replace({c}, '{x[1]}', '{x[2]}') ELSE {c} END", _LOST, "s")
+    return f"""l AS (SELECT doc_id, CAST(line - 1 AS INT) AS line, said FROM (SELECT doc_id, generate_subscripts(p, 1) AS line, unnest(p) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+        a AS (SELECT doc_id, line, {source} AS s FROM l), b AS (SELECT *, CASE WHEN (doc_id + line) % 11 = 0 THEN ' ' ELSE {lost} END AS t FROM a)"""
+
+
+def _same(pattern: str) -> str:
+    return f"list_sort(regexp_extract_all(s, '{pattern}')) = list_sort(regexp_extract_all(t, '{pattern}'))"
+
+
+@query(
+    "translation_checks",
+    rf"""WITH {_checked()} SELECT coalesce(CASE WHEN trim(t) = '' THEN 'empty' WHEN NOT {_same(r"\{[^{}\r\n]*\}")} THEN 'tags' WHEN NOT {_same(r"\[[^\[\]\r\n]*\]")} THEN 'fields' WHEN NOT {_same("%[ds]")} THEN 'formats' END, 'none') AS problem, COUNT(*) AS n FROM b GROUP BY 1""",
+)
 def translation_checks(t):
-    """The first token rule that a translation breaks."""
-    source = F.lit("{b}Hi{/b} [name], %d of %s")
-    texts = {0: " ", 1: "Hi [name], %d of %s", 2: "{b}Hi{/b} name, %d of %s", 3: "{b}Hi{/b} [name], %d"}
-    out = F.lit("{b}[name]{/b}, %s of %d")
-    for k, v in texts.items():
-        out = F.when(F.col("doc_id") % 5 == k, v).otherwise(out)
-    rows = Q.validate_translation(t("documents").select(source.alias("source"), out.alias("translation")))
-    return rows.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+    """The first token rule that the translation of a line breaks."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    source = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), _TOKENS, F.translate(F.coalesce("said", F.lit("")), "%{}[]", ""))
+    rows = lines.select("doc_id", "line", source.alias("source"))
+    at = F.col("doc_id") + F.col("line")
+    lost = reduce(lambda c, x: F.when(at % x[0] == 0, F.replace(c, F.lit(x[1]), F.lit(x[2]))).otherwise(c), _LOST, F.col("source"))
+    checked = Q.validate_translation(rows.select("source", F.when(at % 11 == 0, " ").otherwise(lost).alias("translation")))
+    return checked.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
 
 
 _LINES = "(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -195,8 +214,14 @@ def glossary_merge_plan(t):
     return K.merge_plan(d, glossary).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("keyword_plurals", "SELECT DISTINCT term, form FROM (SELECT * FROM (VALUES ('story', 'stories'), ('cities', 'city'), ('box', 'boxes'), ('glass', 'glasses'), ('cat', 'cats'), ('dogs', 'dog'), ('boxes', 'box'), ('old key', 'old keys')) v(term, form))")
+@query(
+    "keyword_plurals",
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents), l AS (SELECT term, lower(term) AS low, length(term) AS n FROM w WHERE length(term) > 2), p AS (SELECT *, regexp_matches(low, 's$') AND NOT regexp_matches(low, '(ss|us|is)$') AND n > 3 AS plural FROM l),
+        f AS (SELECT term, low, CASE WHEN low LIKE '%ies' AND n > 3 THEN term[:-4] || 'y' WHEN regexp_matches(low, '(ses|xes|zes|ches|shes)$') THEN term[:-3] WHEN plural THEN term[:-2] END AS form FROM p
+          UNION ALL SELECT term, low, CASE WHEN regexp_matches(low, '[^aeiou]y$') THEN term[:-2] || 'ies' WHEN regexp_matches(low, '(s|x|z|ch|sh)$') THEN term || 'es' ELSE term || 's' END FROM p WHERE NOT plural)
+        SELECT term, form FROM f WHERE form IS NOT NULL AND lower(form) <> low""",
+)
 def keyword_plurals(t):
-    """Other-number forms."""
-    words = t("region").sparkSession.createDataFrame([(x,) for x in ("story", "cities", "box", "glass", "cat", "dogs", "boxes", "old key", "ox")], "term string")
+    """Other-number forms of all words of the documents."""
+    words = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
     return words.select("term", F.explode(T.plural_forms(F.col("term"))).alias("form"))

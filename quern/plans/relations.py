@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import relations as R
@@ -36,28 +37,29 @@ def relation_dialogue_pairs(t):
     return _parts(t)[2]
 
 
-@query(
-    "relation_scores",
-    f"""{_SCENE}, {_DIALOGUE}, {_NS}, sd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM p JOIN ns a ON a.who = l JOIN ns b ON b.who = r), dd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM d JOIN nd a ON a.who = l JOIN nd b ON b.who = r),
-     s AS (SELECT l, r, sd.v / (SELECT MAX(v) FROM sd) AS s, dd.v / (SELECT MAX(v) FROM dd) AS d FROM sd FULL JOIN dd USING (l, r))
-     SELECT l AS "left", r AS "right", ROUND(coalesce(s, 0), 6) AS scene, ROUND(coalesce(d, 0), 6) AS dialogue, ROUND(coalesce(s, 0) * 0.45 + coalesce(d, 0) * 0.35, 6) AS score, CASE WHEN coalesce(s, 0) * 0.45 >= coalesce(d, 0) * 0.35 THEN 'scene' ELSE 'dialogue' END AS dominant FROM s""",
-)
+#: Whoever speaks two rows later in a user's script is spoken of by a row of a high value.
+_MENTION = """w AS (SELECT least(a, b) AS l, greatest(a, b) AS r, COUNT(*) AS v FROM (SELECT event_type AS a, LEAD(event_type, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, value FROM events) WHERE value > 50 AND b IS NOT NULL AND a <> b GROUP BY 1, 2)"""
+_PARTS = f"""{_SCENE}, {_DIALOGUE}, {_NS}, {_MENTION}, sd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM p JOIN ns a ON a.who = l JOIN ns b ON b.who = r), dd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM d JOIN nd a ON a.who = l JOIN nd b ON b.who = r),
+     s AS (SELECT l, r, coalesce(sd.v / (SELECT MAX(v) FROM sd), 0) AS s, coalesce(dd.v / (SELECT MAX(v) FROM dd), 0) AS d, coalesce(w.v / (SELECT MAX(v) FROM w), 0) AS m FROM sd FULL JOIN dd USING (l, r) FULL JOIN w USING (l, r)), t AS (SELECT *, s * 0.45 + d * 0.35 + m * 0.2 AS score FROM s)"""
+
+
+@query("relation_scores", f"""{_PARTS} SELECT l AS "left", r AS "right", ROUND(s, 6) AS scene, ROUND(d, 6) AS dialogue, ROUND(m, 6) AS mention, ROUND(score, 6) AS score, CASE greatest(s * 0.45, d * 0.35, m * 0.2) WHEN s * 0.45 THEN 'scene' WHEN d * 0.35 THEN 'dialogue' ELSE 'mention' END AS dominant FROM t""")
 def relation_scores(t):
-    """Scaled densities, weighted total and dominant component of all pairs."""
-    return _scores(t).select("left", "right", *[F.round(c, 6).alias(c) for c in ("scene", "dialogue", "score")], "dominant")
+    """Scaled densities and mentions, weighted total and dominant component of all pairs."""
+    return _scores(t).select("left", "right", *[F.round(c, 6).alias(c) for c in ("scene", "dialogue", "mention", "score")], "dominant")
 
 
 def _scores(t):
     e, _, _, scene, dialogue = _parts(t)
-    nothing = e.sparkSession.createDataFrame([], "left string, right string, value double")
-    return R.relation_scores(e.select("who").distinct(), R.scaled(scene), R.scaled(dialogue), R.scaled(nothing))
+    later = F.lead("who", 2).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    spoken = t("events").select("user_id", "ts", "event_id", F.col("event_type").alias("who"), "value").withColumn("m", F.array_compact(F.array(later)))
+    mention = R.mention_pairs(spoken.filter("value > 50"), "who", "m")
+    return R.relation_scores(e.select("who").distinct(), R.scaled(scene), R.scaled(dialogue), R.scaled(mention))
 
 
 @query(
     "relation_edges",
-    f"""{_SCENE}, {_DIALOGUE}, {_NS}, sd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM p JOIN ns a ON a.who = l JOIN ns b ON b.who = r), dd AS (SELECT l, r, v / SQRT(a.n * b.n) AS v FROM d JOIN nd a ON a.who = l JOIN nd b ON b.who = r),
-     s AS (SELECT l, r, coalesce(sd.v / (SELECT MAX(v) FROM sd), 0) * 0.45 + coalesce(dd.v / (SELECT MAX(v) FROM dd), 0) * 0.35 AS score FROM sd FULL JOIN dd USING (l, r)),
-     k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, l, r) AS rank, (SELECT greatest(0.18, quantile_cont(score, 0.65)) FROM s) AS cut FROM s WHERE score > 0)
+    f"""{_PARTS}, k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, l, r) AS rank, (SELECT greatest(0.18, quantile_cont(score, 0.65)) FROM t) AS cut FROM t WHERE score > 0)
      SELECT l AS "left", r AS "right", ROUND(score, 6) AS score, rank FROM k WHERE (score >= cut AND rank <= 4) OR rank <= 3""",
 )
 def relation_edges(t):

@@ -119,6 +119,37 @@ def route_degrees(t):
     return G.degrees(*G.labels_and_edges(_script(t)))
 
 
+def _chunks(t):
+    """Seven lines each of every file, with what stands there as evidence."""
+    e = t("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    c = F.floor(F.col("n") / 7)
+    rows = e.groupBy(F.col("user_id").cast("string").alias("file"), c.alias("c")).agg(F.min("n").cast("long").alias("first_line"), F.max("n").cast("long").alias("last_line"), F.array_sort(F.collect_set("event_type")).alias("evidence"))
+    return rows.select(F.format_string("%s-%04d", "file", "c").alias("chunk_id"), "file", "first_line", "last_line", F.when(F.col("c") % 4 != 3, F.concat(F.lit("Part "), F.col("c").cast("string"))).alias("summary"), "evidence")
+
+
+@query(
+    "route_labels",
+    f"""{_N}, n AS (SELECT user_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), c AS (SELECT user_id, n // 7 AS c, MIN(n) AS a, MAX(n) AS b, list_sort(list(DISTINCT event_type)) AS evidence FROM n GROUP BY 1, 2),
+        s AS (SELECT user_id, 'L' || (n // 10) AS label, MIN(n) AS x, MAX(n) AS y FROM n GROUP BY 1, 2), h AS (SELECT c.*, label, x, least(b, y) - greatest(a, x) + 1 AS k FROM c JOIN s ON s.user_id = c.user_id AND least(b, y) >= greatest(a, x)),
+        m AS (SELECT user_id, c, any_value(evidence) AS evidence, arg_max(label, {{'k': k, 'x': -x, 'label': label}}) AS label FROM h GROUP BY 1, 2), p AS (SELECT label, string_agg(CASE WHEN c % 4 <> 3 THEN 'Part ' || c END, chr(10) ORDER BY user_id || '-' || lpad(c::VARCHAR, 4, '0')) AS said, COUNT(*) AS n_chunks, list(evidence) AS ev FROM m GROUP BY 1),
+        d AS (SELECT DISTINCT source AS label FROM j WHERE target NOT IN (SELECT label FROM l))
+        SELECT l.label, coalesce(said, 'Label `' || l.label || '`') || CASE WHEN d.label IS NULL THEN '' ELSE chr(10) || '[unresolved dynamic jump/call present]' END AS summary, array_to_string(list_sort(list_distinct(flatten(ev))), ',') AS evidence, coalesce(n_chunks, 0) AS n_upstream, d.label IS NOT NULL AS unresolved FROM l LEFT JOIN p USING (label) LEFT JOIN d USING (label)""",
+)
+def route_labels(t):
+    """What each label's chunks say, with their evidence."""
+    nodes, edges = G.labels_and_edges(_script(t))
+    rows = G.label_records(nodes, edges, G.assign_labels(_chunks(t), nodes))
+    return rows.select("label", "summary", F.array_join(F.array_sort("evidence"), ",").alias("evidence"), F.size("upstream").cast("long").alias("n_upstream"), "unresolved")
+
+
+@query("route_records")
+def route_records(t):
+    """Routes from every entry, told in the order of their labels."""
+    nodes, edges = G.labels_and_edges(_script(t))
+    labels = G.label_records(nodes, edges, G.assign_labels(_chunks(t), nodes))
+    return G.route_records(G.routes(nodes, edges, max_depth=8, max_routes=16), labels).select("entry", "route", "summary", F.array_join("evidence", ",").alias("evidence"), "unresolved")
+
+
 @query(
     "invalidation",
     """WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 50 = 0), s AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 50 = 0), l AS (SELECT DISTINCT 'l' || source[1:4] AS id FROM documents WHERE source IN (SELECT id FROM s))
@@ -318,12 +349,12 @@ def coverage_stale(t):
     return V.stale_reasons(d, {"text": ("text", "text2"), "lang": ("lang", "lang2")}).select("doc_id", F.array_join("stale", ",").alias("stale"))
 
 
-@query("coverage_progress", "SELECT o_custkey, COUNT(*) - COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS pending, ROUND(100.0 * COUNT(*) FILTER (WHERE o_orderstatus = 'F') / COUNT(*), 0) AS percent FROM orders GROUP BY 1")
+@query("coverage_progress", "SELECT o_custkey, COUNT(*) - COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS pending, round_even(100.0 * COUNT(*) FILTER (WHERE o_orderstatus = 'F') / COUNT(*), 1) AS percent FROM orders GROUP BY 1")
 def coverage_progress(t):
-    """Pending count and percent done (whole percents here)."""
+    """Pending count and percent done."""
     g = t("orders").groupBy("o_custkey").agg(F.count("*").alias("base"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
-    pending, _ = V.progress(F.col("base"), F.col("done"))
-    return g.select("o_custkey", pending.alias("pending"), F.round(100.0 * F.col("done") / F.col("base"), 0).alias("percent"))
+    pending, percent = V.progress(F.col("base"), F.col("done"))
+    return g.select("o_custkey", pending.alias("pending"), percent.alias("percent"))
 
 
 @query("registry_search", "SELECT s_suppkey FROM supplier WHERE contains(lower(s_name || ' ' || s_nationkey), '7')")

@@ -16,10 +16,10 @@ def ext_semi_join(t):
     return B.having(t("customer"), done, ["c_custkey"]).select("c_custkey")
 
 
-@query("ext_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("ext_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 450000)")
 def ext_anti_join(t):
-    """Customers without orders."""
-    return B.lacking(t("customer"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    """Customers without a large order."""
+    return B.lacking(t("customer"), t("orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 @query(
