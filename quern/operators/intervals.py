@@ -69,10 +69,11 @@ def scene_scores(targets: DataFrame, scenes: DataFrame, top: int = 3) -> DataFra
 
 
 def active_relations(relations: DataFrame, active: DataFrame) -> DataFrame:
-    """Relations both of whose ends are active, the surest first (NaN counts as 0)."""
+    """Relations both of whose ends are active, the surest first (what is no finite number counts as 0)."""
     who = active.select("who").distinct()
     out = relations.join(who.withColumnRenamed("who", "left"), "left", "left_semi").join(who.withColumnRenamed("who", "right"), "right", "left_semi")
-    return out.orderBy(F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)).desc(), "left", "right")
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
+    return out.orderBy(F.when(F.isnan(sure) | (F.abs(sure) == float("inf")), 0.0).otherwise(sure).desc(), "left", "right")
 
 
 def overlapping_writes(ops: DataFrame, by: list[str], first: str, last: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import match_key, plural_forms
+from quern.functions.text import FIELD, match_key, plural_forms
 
 #: Occurrences that an evidence record lists.
 MAX_REPORTED = 32
@@ -36,16 +36,33 @@ def probe_join(corpus: DataFrame, terms: DataFrame, text: str, term: str, keys:
     return both.withColumn("places", places).filter("places > 0").drop("__needle", "__hay")
 
 
+#: Kinds of a hit, the best first.
+MATCH_KINDS = ("exact", "possessive_variant", "case_variant", "plural_variant")
+
+
 def occurrences(corpus: DataFrame, candidates: DataFrame, source: str = "source", key: list[str] | None = None) -> DataFrame:
-    """Corpus rows that hold a candidate's term, with ``match_kind`` exact, case_variant or plural_variant, the best one."""
+    """Corpus rows that hold a candidate's term, with the best ``match_kind`` of ``MATCH_KINDS``.
+
+    A place inside a field in brackets counts only for terms that have
+    brackets. A term that is followed by ``'s`` wherever it stands is a
+    possessive variant.
+    """
     key = key or ["occurrence_id"]
-    forms = candidates.select("term", F.explode(F.concat(F.array(F.struct(F.col("term").alias("form"), F.lit(0).alias("way"))), F.transform(plural_forms(F.col("term")), lambda x: F.struct(x.alias("form"), F.lit(2).alias("way")))))).select("term", "col.*")
+    forms = candidates.select("term", F.explode(F.concat(F.array(F.struct(F.col("term").alias("form"), F.lit(0).alias("way"))), F.transform(plural_forms(F.col("term")), lambda x: F.struct(x.alias("form"), F.lit(3).alias("way")))))).select("term", "col.*")
     hits = probe_join(corpus, forms, source, "form", key)
     joined = hits.join(corpus.select(*key, F.col(source).alias("__source")), key)
-    exact = F.contains(F.concat(F.lit(" "), F.regexp_replace("__source", "[^A-Za-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("form", "[^A-Za-z0-9_]+", " "), F.lit(" ")))
-    kind = F.when(F.col("way") == 0, F.when(exact, 0).otherwise(1)).otherwise(2)
+    plain = F.when(F.contains("form", F.lit("[")), F.col("__source")).otherwise(F.regexp_replace("__source", FIELD, " "))
+    # A sign that stands for 's sticks to its word.
+    bound = F.regexp_replace(plain, r"(?<=[A-Za-z0-9_])['’]s(?![A-Za-z0-9_])", "\u0001")
+    joined = joined.withColumn("__plain", bound)
+    spaced = lambda c, other: F.concat(F.lit(" "), F.regexp_replace(c, f"[^A-Za-z0-9_{other}]+", " "), F.lit(" "))
+    form = spaced(F.col("form"), "")
+    alone, owned = F.contains(spaced(F.col("__plain"), "\u0001"), form), F.contains(spaced(F.regexp_replace("__plain", "\u0001", " "), ""), form)
+    there = F.contains(F.lower(spaced(F.regexp_replace("__plain", "\u0001", " "), "")), F.lower(form))
+    joined = joined.filter(there)
+    kind = F.when(F.col("way") == 0, F.when(alone, 0).when(owned, 1).otherwise(2)).otherwise(3)
     best = joined.groupBy("term", *key).agg(F.min(kind).alias("kind"), F.max("places").alias("places"))
-    return best.withColumn("match_kind", F.element_at(F.array(*map(F.lit, ("exact", "case_variant", "plural_variant"))), F.col("kind") + 1)).drop("kind")
+    return best.withColumn("match_kind", F.element_at(F.array(*map(F.lit, MATCH_KINDS)), F.col("kind") + 1)).drop("kind")
 
 
 def history_status(candidates: DataFrame, found: DataFrame) -> DataFrame:
@@ -63,6 +80,7 @@ def history_status(candidates: DataFrame, found: DataFrame) -> DataFrame:
         F.countDistinct(F.when(match_key(F.col("translation")) != "", match_key(F.col("translation")))).alias("n_translations"),
         F.max((F.col("match_kind") == "case_variant").cast("int")).alias("case"),
         F.max((F.col("match_kind") == "plural_variant").cast("int")).alias("plural"),
+        F.max((F.col("match_kind") == "possessive_variant").cast("int")).alias("owned"),
         F.max((match_key(F.col("source")) == match_key(F.col("translation"))).cast("int")).alias("kept"),
         first.alias("first"),
         F.min(F.struct("occurrence_order", match_key(F.col("translation")).alias("t"))).alias("unused"),
@@ -75,7 +93,7 @@ def history_status(candidates: DataFrame, found: DataFrame) -> DataFrame:
     conflict = whole & (target != "") & (match_key(F.col("first.translation")) != target)
     unaligned = ~whole & (target != "") & (F.col("visible") == 0)
     preserved = (match_key(F.col("term")) == target) & (F.col("kept") == 1)
-    tests = (("case_variant", F.col("case") == 1), ("plural_variant", F.col("plural") == 1), ("multiple_historical_translations", F.col("n_translations") > 1), ("preserve_evidence", preserved), ("candidate_target_conflict", conflict), ("translation_alignment_unknown", unaligned))
+    tests = (("case_variant", F.col("case") == 1), ("plural_variant", F.col("plural") == 1), ("possessive_variant", F.col("owned") == 1), ("multiple_historical_translations", F.col("n_translations") > 1), ("preserve_evidence", preserved), ("candidate_target_conflict", conflict), ("translation_alignment_unknown", unaligned))
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]))
     has = lambda x: F.array_contains("reasons", x)
     out = out.withColumn("reasons", F.when(F.col("n").isNull(), F.array(F.lit("no_history_occurrence"))).otherwise(reasons))
