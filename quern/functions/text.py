@@ -117,17 +117,16 @@ TAG, FIELD = r"\{[^{}\r\n]*\}", r"\[[^\[\]\r\n]*\]"
 
 
 def _until_same(text: Column, step) -> Column:
-    """``step`` until it changes nothing: as many rounds as markup lies in markup, each linear.
+    """``step`` until no markup is left: as many rounds as markup lies in markup, each linear.
 
-    Every round but the last takes a sign that opens and one that closes, so
-    that there are no more rounds than pairs of them; rounds after the last
-    change cost nothing.
+    Every round takes a sign that opens and one that closes, so that there are
+    no more rounds than pairs of them; those after the last change cost nothing.
     """
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     pairs = F.least(count("{"), count("}")) + F.least(count("["), count("]"))
     # An array of one element names the new text, so that it is made once.
-    once = lambda s: F.element_at(F.transform(F.array(step(s["t"])), lambda t: F.struct(t.alias("t"), (t == s["t"]).alias("done"))), 1)
-    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
+    once = lambda s: F.element_at(F.transform(F.array(step(s["t"])), lambda t: F.struct(t.alias("t"), (~t.rlike(f"{TAG}|{FIELD}")).alias("done"))), 1)
+    start = F.struct(text.alias("t"), (~text.rlike(f"{TAG}|{FIELD}")).alias("done"))
     done = F.aggregate(F.sequence(F.lit(1), pairs), start, lambda s, _: F.when(s["done"], s).otherwise(once(s)))["t"]
     return F.when(pairs > 0, done).otherwise(text)
 

@@ -58,7 +58,7 @@ def unclosed_delimiters(s: DataFrame, p: Policy) -> Column:
     # An array of one element names the text, so that it is made once.
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     odd = lambda x: F.array_compact(F.array(*[F.when(count(x, a) != count(x, b), F.lit(a + b)) for a, b in ("{}", "[]")]))
-    return F.element_at(F.transform(F.array(t), odd), 1)
+    return F.when(s["translation"].rlike(r"[{}\[\]]"), F.element_at(F.transform(F.array(t), odd), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def english_suffix_next_to_cjk(s: DataFrame, p: Policy) -> Column:
@@ -101,7 +101,9 @@ def speaker_label_untranslated(s: DataFrame, p: Policy) -> Column:
 def interjection_untranslated(s: DataFrame, p: Policy) -> Column:
     low = lambda c: F.transform(_all(c, r"[A-Za-z][A-Za-z'\-]*"), F.lower)
     kept = F.array_sort(F.array_intersect(F.array_intersect(low(s["source"]), F.array(*[F.lit(x.lower()) for x in p.interjections])), low(s["translation"])))
-    return F.when((F.size(kept) > 0) & ~s["source"].rlike(CJK), F.array(F.array_join(kept, ","))).otherwise(F.array().cast("array<string>"))
+    # Words are listed only where one of the interjections stands at all.
+    some = s["translation"].rlike(rf"(?i)(?<![A-Za-z])(?:{'|'.join(p.interjections)})(?![A-Za-z])") if p.interjections else F.lit(False)
+    return F.coalesce(F.when(some & ~s["source"].rlike(CJK), F.when(F.size(kept) > 0, F.array(F.array_join(kept, ",")))), F.array().cast("array<string>"))
 
 
 def garbled_phrase(s: DataFrame, p: Policy) -> Column:
