@@ -94,8 +94,9 @@ def select_edges(scores: DataFrame, people: int, floor: float = EDGE_FLOOR, quan
     """Edges worth showing: above the floor and the quantile, at most one less than people (3 at least), 3 if there are."""
     good = scores.filter("score > 0")
     cut = good.agg(F.greatest(F.lit(floor), F.percentile("score", quantile)).alias("__cut"), F.count("*").alias("__n"))
-    ranked = good.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "left", "right")))
-    most = max(people - 1, 3)
+    # Only what can be shown is ranked.
+    most, best = max(people - 1, 3), (F.col("score").desc(), F.col("left"), F.col("right"))
+    ranked = good.orderBy(*best).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*best)))
     keep = ((F.col("score") >= F.col("__cut")) & (F.col("rank") <= most)) | (F.col("rank") <= F.least(F.lit(3), F.col("__n")))
     return ranked.join(F.broadcast(cut)).filter(keep).drop("__cut", "__n")  # one row
 

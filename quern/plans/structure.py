@@ -363,13 +363,24 @@ def registry_search(t):
     return V.search(t("supplier"), ["s_name", "s_nationkey"], "7").select("s_suppkey")
 
 
-@query("set_digest")
+@query(
+    "set_digest",
+    """WITH r AS (SELECT source, sha256(doc_id::VARCHAR || chr(31) || coalesce(text, chr(0))) AS h FROM documents), n AS (SELECT source, [('0x' || substr(h, 1 + 15 * i, 15))::UBIGINT::HUGEINT FOR i IN range(4)] AS p FROM r),
+        s AS (SELECT source, COUNT(*) AS n, SUM(p[1]) AS a, SUM(p[2]) AS b, SUM(p[3]) AS c, SUM(p[4]) AS d FROM n GROUP BY 1) SELECT source, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS digest, n FROM s""",
+)
 def set_digest(t):
     """Order-free digest of each source's rows."""
     return G.digest_of(t("documents"), ["source"], F.col("doc_id"), F.col("text"))
 
 
-@query("keyword_occurrences")
+@query(
+    "keyword_occurrences",
+    r"""WITH t AS (SELECT * FROM (VALUES ('Licensed', 'Licensed', 0), ('Licensed', 'Licenseds', 3), ('license', 'license', 0), ('license', 'licenses', 3), ('token', 'token', 0), ('token', 'tokens', 3), ('works', 'works', 0), ('works', 'work', 3)) v(term, form, way)),
+        d AS (SELECT doc_id, '  ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), '  ') || '  ' AS h, regexp_replace(regexp_replace(text, '\[[^\[\]\r\n]*\]', ' ', 'g'), '([A-Za-z0-9_])[''’]s([^A-Za-z0-9_]|$)', '\1' || chr(1) || '\2', 'g') AS p FROM documents),
+        h AS (SELECT doc_id, term, form, way, CAST((length(h) - length(replace(h, ' ' || lower(form) || ' ', ''))) / (length(form) + 2) AS BIGINT) AS places, ' ' || regexp_replace(p, '[^A-Za-z0-9_' || chr(1) || ']+', ' ', 'g') || ' ' AS a, ' ' || regexp_replace(p, '[^A-Za-z0-9_]+', ' ', 'g') || ' ' AS b FROM d, t),
+        k AS (SELECT term, doc_id, places, CASE WHEN way = 3 THEN 3 WHEN contains(a, ' ' || form || ' ') THEN 0 WHEN contains(b, ' ' || form || ' ') THEN 1 ELSE 2 END AS k FROM h WHERE places > 0 AND contains(lower(b), ' ' || lower(form) || ' '))
+        SELECT term, doc_id AS occurrence_id, MAX(places) AS places, ['exact', 'possessive_variant', 'case_variant', 'plural_variant'][MIN(k) + 1] AS match_kind FROM k GROUP BY 1, 2""",
+)
 def keyword_occurrences(t):
     """Terms with their case and number variants."""
     docs = t("documents").select(F.col("doc_id").alias("occurrence_id"), F.col("text").alias("source"))
