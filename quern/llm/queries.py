@@ -54,7 +54,9 @@ def quoting(turns: DataFrame) -> DataFrame:
     said = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     rows = turns
     for back in (1, 2):
-        rows = rows.join(said.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"back{back}")), ["conv_id", "turn"], "left")
+        # Only turns that quote so far back meet a text.
+        quoted = said.filter(F.pmod("turn", F.lit(3)) <= 2 - back)
+        rows = rows.join(quoted.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"back{back}")), ["conv_id", "turn"], "left")
     below = lambda text: F.regexp_replace(text, "(?m)^", "> ")
     head = lambda back: F.format_string("On turn %d the other wrote:\n", F.col("turn") - back)
     once = F.concat(head(1), below(F.col("back1")), F.lit("\n"), F.col("text"))
@@ -65,7 +67,8 @@ def quoting(turns: DataFrame) -> DataFrame:
 
 def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's turns quote nothing, so the query links them as mail that does."""
-    return quotation.link_quotes(quoting(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    mail = common.materialize(quoting(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "mail")
+    return quotation.link_quotes(mail)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
