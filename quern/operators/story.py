@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.tables import cut
+
 from .intervals import scene_scores
 
+#: Aliases up to which every task gets all of them.
+BROADCAST_ALIASES = 100_000
 #: Fixed value: aliases that are matched as words, not as parts of words.
 WORD_LIKE = r"^[A-Za-z0-9_ -]+$"
 
@@ -28,22 +32,31 @@ def _pairs_of_chars(text: Column) -> Column:
     return F.array_compact(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.length(text) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
 
 
-def alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, who: str, alias: str = "alias") -> DataFrame:
+def alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, who: str, alias: str = "alias", broadcast_aliases: int = BROADCAST_ALIASES) -> DataFrame:
     """``(key, who)``: distinct texts and the owners of the aliases that stand in them, case aside.
 
     Aliases of one character match nothing. Those of letters, digits, ``_``,
     blanks and ``-`` match whole words, others anywhere. Texts and aliases meet
     by the alias' first word, or its first two signs, and are confirmed then.
+    Few aliases are handed to the tasks that read the texts; where there are
+    many, probes meet them without their texts, which are joined again.
     """
     low = aliases.select(who, F.lower(F.trim(alias)).alias("__alias")).filter(F.length("__alias") > 1).distinct()
     token = F.regexp_extract("__alias", "[a-z0-9_]+", 0)
     word = F.col("__alias").rlike(WORD_LIKE) & (token != "")
     low = low.withColumn("__word", F.col("__alias").rlike(WORD_LIKE)).withColumn("__probe", F.when(word, F.concat(F.lit("w"), token)).otherwise(F.concat(F.lit("c"), F.substring("__alias", 1, 2))))
+    # Written, as its size decides how probes meet it: they are many times the texts, whatever Spark takes them for.
+    low = cut(low, "aliases")
+    n, n_signs = low.agg(F.count("*"), F.count_if(F.col("__probe").startswith("c"))).first()
     said = texts.select(key, F.lower(text).alias("__text")).filter("__text IS NOT NULL")
     words = F.transform(F.regexp_extract_all("__text", F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.concat(F.lit("w"), x))
     chars = F.transform(_pairs_of_chars(F.col("__text")), lambda x: F.concat(F.lit("c"), x))
-    probes = said.withColumn("__probe", F.explode(F.array_distinct(F.concat(words, chars))))
-    near = probes.join(low, "__probe")
+    # Pairs of signs are listed only if an alias asks for them.
+    probe = F.explode(F.array_distinct(F.concat(words, chars) if n_signs else words)).alias("__probe")
+    if n <= broadcast_aliases:
+        near = said.select(key, "__text", probe).join(F.broadcast(low), "__probe")
+    else:
+        near = said.select(key, probe).join(low.hint("merge"), "__probe").drop("__probe").distinct().join(said, key)
     whole = F.expr(r"regexp_like(__text, concat('(?<![a-z0-9_])\\Q', __alias, '\\E(?![a-z0-9_])'))")
     return near.filter(F.when(F.col("__word"), whole).otherwise(F.contains("__text", F.col("__alias")))).select(key, who).distinct()
 
@@ -70,12 +83,14 @@ def retrieve(targets: DataFrame, speakers: DataFrame, aliases: DataFrame, scenes
     relations need both ends among them, the surest first (a confidence that is
     no finite number counts as 0); terms come in their own order.
     """
-    active = active_characters(targets, speakers, aliases)
+    # Each is read several times. Of tables that come from the driver Spark knows no size, and might hand out the other side.
+    aliases, relations, terms, scenes = cut(aliases, "aliases"), cut(relations, "relations"), cut(terms, "terms"), cut(scenes, "scenes")
+    active = cut(active_characters(targets, speakers, aliases), "active")
     people = active.groupBy("target_id").agg(F.collect_set("char_id").alias("people"))
-    placed = targets.select("target_id", "file", "first", "last").join(people, "target_id", "left")
-    ranked = scene_scores(placed, scenes, top_scenes)
+    placed = cut(targets.select("target_id", "file", "first", "last").join(people, "target_id", "left"), "placed")
+    ranked = cut(scene_scores(placed, scenes, top_scenes), "ranked")
     joined = ranked.join(scenes.select("scene_id", F.explode("people").alias("char_id")), "scene_id").filter(F.trim("char_id") != "").select("target_id", "char_id")
-    cast = active.unionByName(joined).distinct()
+    cast = cut(active.unionByName(joined).distinct(), "cast")
 
     sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
     sure = F.when(F.isnan(sure) | (F.abs(sure) == float("inf")), 0.0).otherwise(sure)

@@ -1,5 +1,6 @@
 """Rules whose queries cannot show every case, on hand-made rows."""
 
+import random
 import re
 import time
 
@@ -83,6 +84,32 @@ def test_scenes_without_a_file(spark):
     assert got == {("t1", "s1"): 152, ("t1", "s2"): 8, ("t2", "s1"): 8, ("t2", "s2"): 8, ("t2", "s3"): 16}
 
 
+def test_scenes_of_a_long_file_are_not_all_paired(spark):
+    """Near scenes by blocks, far ones by people: the same ranks as all pairs, of a small part of their number."""
+    rng = random.Random(3)
+    people = lambda: rng.choice([None, [], ["a"], ["b"], ["a", "b"], ["b", "a"], ["c", None]])
+    span = lambda: rng.choice([(x := rng.randrange(3000), x + rng.randrange(5)), (x, x + 500), (x, None), (x + 3, x), (None, None)])
+    rows = lambda n, m: [(f"{n}{i:03}", rng.choice("fffg"), *(span() if rng.random() < 0.2 else (x := rng.randrange(3000), x + rng.randrange(9))), people()) for i in range(m)]
+    ts, ss = rows("t", 150), rows("s", 300)
+    shape = "file string, first int, last int, people array<string>"
+    targets, scenes = spark.createDataFrame(ts, "target_id string, " + shape), spark.createDataFrame(ss, "scene_id string, " + shape)
+    low = lambda *x: min(v for v in x if v is not None)
+    want = set()
+    for t, tf, t1, t2, tp in ts:
+        scored = []
+        for s, sf, s1, s2, sp in ss:
+            if tf != sf:
+                continue
+            before = s2 is not None and t1 is not None and s2 < t1
+            far = t1 - s2 if before else None if s1 is None or t2 is None else s1 - t2
+            over = None not in (s1, s2, t1, t2) and s1 <= t2 and t1 <= s2
+            near = 0 if s1 is None or t1 is None else 101 + low(s2, t2) - max(s1, t1) if over else max(0, 40 - low(far, 40))
+            scored.append((-(50 + near + 8 * len({*(tp or [])} & {*(sp or [])})), s))
+        want |= {(t, s, -score, k + 1) for k, (score, s) in enumerate(sorted(scored)[:3])}
+    frame = intervals.scene_scores(targets, scenes)
+    assert {tuple(r) for r in frame.collect()} == want and len(want) == 450
+
+
 def test_small_contracts(spark, tmp_path):
     rows = spark.createDataFrame([("k", "a", 1), ("k", "a", 3), ("k", "b", 2)], "k string, v string, n int")
     assert contracts.wide(rows, "k", "v", "n", ["a", "b"]).first()[0:3] == ("k", 3, 2)

@@ -30,6 +30,22 @@ def test_aliases(spark):
                 want.add((i, who))
     assert {(r.t, r.who) for r in story.alias_hits(t, a, "t", "text", "who").collect()} == want
     assert want == {(0, 1), (0, 2), (2, 3), (3, 4), (7, 6), (8, 1)}
+    assert {(r.t, r.who) for r in story.alias_hits(t, a, "t", "text", "who", broadcast_aliases=0).collect()} == want
+    words = a.filter("who IN (1, 2, 4)")
+    assert {(r.t, r.who) for r in story.alias_hits(t, words, "t", "text", "who").collect()} == {x for x in want if x[1] in (1, 2, 4)}
+
+
+def test_probes_of_texts_are_not_handed_out(spark, capsys):
+    """Few aliases whose size Spark does not know: they are broadcast, not the many probes of the texts."""
+    a = spark.createDataFrame([(1, "one"), (2, "two")], "who int, alias string")
+    spark.range(50).selectExpr("id AS t", "concat('one ', id) AS text").write.mode("overwrite").saveAsTable("few_texts")
+    hits = story.alias_hits(spark.table("few_texts"), a, "t", "text", "who")
+    assert hits.count() == 50
+    hits.explain()
+    plan = capsys.readouterr().out
+    handed = plan[plan.index("BroadcastExchange") :]
+    assert "Generate explode" in plan and "Generate explode" not in handed
+    spark.sql("DROP TABLE few_texts")
 
 
 def test_retrieve(spark):
