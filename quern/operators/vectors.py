@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import vectors as V
 
 #: Numbers of the query vectors that one block may hold.
 BLOCK_NUMBERS = 8_000_000
+#: Scores that a task holds at once, for all queries of a tile and all rows of a batch.
+TILE_NUMBERS = 500_000
+#: What scores of one pair may differ by, and ties with the last of the best with it.
+MARGIN = 1e-12
 
 
 def drop_reasons(store: DataFrame, dim: int | None = None, vector: str = "embedding", model: Column | None = None, task: Column | None = None) -> DataFrame:
@@ -34,32 +37,65 @@ def drop_reasons(store: DataFrame, dim: int | None = None, vector: str = "embedd
 
 
 class _Block:
-    """Query vectors of one block, by length."""
+    """Query vectors of one block, by length, and the ``k``-th best score that each has found so far."""
 
-    def __init__(self, queries: list[tuple]):
-        self.ids = [q for q, _ in queries]
-        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {len(v) for _, v in queries} - {0}:
-            own = [i for i, (_, v) in enumerate(queries) if len(v) == dim]
-            self.by_dim[dim] = np.array(own), _unit(np.array([queries[i][1] for i in own], dtype=np.float64))
+    def __init__(self, ids: pa.Array, vectors: pa.ListArray, k: int, least: float):
+        self.ids, self.k = ids, k
+        self.sizes = _sizes(vectors)
+        self.by_dim = {int(dim): (own := np.flatnonzero(self.sizes == dim), _unit(_matrix(vectors, own, int(dim)))) for dim in np.unique(self.sizes[self.sizes > 0])}
+        self.least = np.full(len(ids), least, dtype=np.float64)
 
-    def search(self, b: pa.RecordBatch, k: int, least: float, query_type: pa.DataType, rest: list[str]) -> pa.RecordBatch:
-        """Of a batch of the store the best ``k`` of each query, ties with the last among them."""
+    def search(self, b: pa.RecordBatch, rest: list[str]) -> Iterator[pa.RecordBatch]:
+        """Of a batch of the store what may be among the best ``k`` of each query, ties with the last among them.
+
+        Queries are taken in tiles, so that no table of scores has more than
+        ``TILE_NUMBERS`` numbers, however many queries there are.
+        """
         v = b.column("__v")
-        sizes = np.diff(np.asarray(v.offsets)[: b.num_rows + 1])
-        score = np.zeros((len(self.ids), b.num_rows))
-        for dim, (own, m) in self.by_dim.items():
-            rows = np.flatnonzero(sizes == dim)
-            if len(rows):
-                x = np.asarray(v.take(pa.array(rows)).flatten()).reshape(-1, dim)
-                score[np.ix_(own, rows)] = m @ _unit(x).T
-        good = score >= least
-        if 0 < k < b.num_rows:
-            good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] - 1e-12
+        sizes = _sizes(v)
+        there = {dim: (rows := np.flatnonzero(sizes == dim), _unit(_matrix(v, rows, dim))) for dim in self.by_dim}
+        # Vectors of other lengths score 0.
+        tile = max(1, TILE_NUMBERS // max(1, b.num_rows))
+        for start in range(0, len(self.ids), tile):
+            n, score = min(tile, len(self.ids) - start), None
+            for dim, (own, m) in self.by_dim.items():
+                rows, x = there[dim]
+                i, j = np.searchsorted(own, (start, start + n))
+                if j - i == n and len(rows) == b.num_rows:
+                    score = m[i:j] @ x.T
+                elif len(rows) and i < j:
+                    score = np.zeros((n, b.num_rows)) if score is None else score
+                    score[np.ix_(own[i:j] - start, rows)] = m[i:j] @ x.T
+            score = np.zeros((n, b.num_rows)) if score is None else score
+            q, at, found = self._best(score, start)
+            if len(q):
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q)), b.column("__id").take(take), pa.array(found), *(b.column(c).take(take) for c in rest)], names=["q", "id", "score", *rest])
+
+    def _best(self, score: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = self.least[start : start + len(score)]
+        good = score >= own[:, None]
+        if 0 < self.k:
+            many = np.flatnonzero(np.count_nonzero(good, axis=1) >= self.k)
+            for i in many.tolist():
+                at = np.flatnonzero(good[i])
+                # Sums of another batch may differ in their last places, hence the margin.
+                own[i] = max(own[i], np.partition(score[i, at], len(at) - self.k)[len(at) - self.k] - MARGIN)
+                good[i, at] = score[i, at] >= own[i]
         q, at = np.nonzero(good)
-        take = pa.array(at)
-        ids = pa.array([self.ids[i] for i in q.tolist()], type=query_type)
-        return pa.RecordBatch.from_arrays([ids, b.column("__id").take(take), pa.array(score[q, at]), *(b.column(c).take(take) for c in rest)], names=["q", "id", "score", *rest])
+        return q + start, at, score[q, at]
+
+
+def _sizes(v: pa.ListArray) -> np.ndarray:
+    return np.diff(np.asarray(v.offsets)[: len(v) + 1])
+
+
+def _whole(c: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], type=c.type)
+
+
+def _matrix(v: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
+    return np.asarray(v.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, dim)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -75,22 +111,23 @@ def top_k(store: DataFrame, queries: DataFrame, k: int = 4, min_similarity: floa
     or less in all are broadcast; more are dealt into blocks of that size, and
     blocks meet parts of the store in tasks of their own. Each Arrow batch
     hands on ``k`` rows a query, and Spark the best of a task before rows of
-    one query meet.
+    one query meet; a task hands on nothing worse than the ``k`` that it has.
     """
     spark = store.sparkSession
     slim = store.select(F.col(store_id).alias("__id"), F.col(vector).cast("array<double>").alias("__v"), *keep, *[t.alias(f"__t{i}") for i, t in enumerate(tie)])
     asked = queries.select(F.col(query_id).alias("__q"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("__w"))
     rest = [c for c in slim.columns if c not in ("__id", "__v")]
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    query_type = to_arrow_type(asked.schema["__q"].dataType)
     schema = f"q {dict(asked.dtypes)['__q']}, id {fields['__id']}, score double" + "".join(f", `{c}` {fields[c]}" for c in rest)
     blocks = -(-(asked.agg(F.sum(F.size("__w") + 1)).first()[0] or 1) // block_numbers)
 
     def by_block(shared):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = _Block(shared.value)
+            with pa.ipc.open_stream(shared.value) as stream:
+                mine = stream.read_all().combine_chunks()
+            block = _Block(_whole(mine.column("__q")), _whole(mine.column("__w")), k, min_similarity)
             for b in batches:
-                yield block.search(b, k, min_similarity, query_type, rest)
+                yield from block.search(b, rest)
 
         return go
 
@@ -106,13 +143,19 @@ def top_k(store: DataFrame, queries: DataFrame, k: int = 4, min_similarity: floa
                 if tuple(cell[:2, i].tolist()) != at:
                     held, at, block = [], tuple(cell[:2, i].tolist()), None
                 if cell[2, i] == 0:
-                    held += zip(run.column("__q").to_pylist(), run.column("__w").to_pylist(), strict=True)
-                elif held:
-                    block = block or _Block(held)
-                    yield block.search(run, k, min_similarity, query_type, rest)
+                    held.append(run.select(["__q", "__w"]))
+                elif held or block:
+                    if not block:
+                        mine = pa.Table.from_batches(held)
+                        held, block = [], _Block(_whole(mine.column("__q")), _whole(mine.column("__w")), k, min_similarity)
+                    yield from block.search(run, rest)
 
     if blocks == 1:
-        found = slim.mapInArrow(by_block(spark.sparkContext.broadcast([tuple(r) for r in asked.toLocalIterator()])), schema)
+        sink = pa.BufferOutputStream()
+        mine = asked.toArrow()
+        with pa.ipc.new_stream(sink, mine.schema) as stream:
+            stream.write_table(mine)
+        found = slim.mapInArrow(by_block(spark.sparkContext.broadcast(sink.getvalue().to_pybytes())), schema)
     else:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cells = slim.withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__side", F.lit(1))
