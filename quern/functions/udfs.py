@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
@@ -48,11 +49,37 @@ def longest_common(a: str, b: str, least: float = 0) -> int:
     return len(a) - row.bit_count()
 
 
-def ratio_if(a: str, b: str, least: float) -> float | None:
-    """``sequence_ratio`` where it is ``least`` or more, else None: matching blocks are a common subsequence."""
-    both = len(a) + len(b)
-    if 2 * longest_common(a, b, least / 2 * both - 1e-9) < least * both:
-        return None
+class Packed:
+    """Texts side by side in the bits of one number, each with a free bit behind it, so that one addition serves all of them."""
+
+    def __init__(self, texts: list[str]):
+        self.size = sum(map(len, texts)) + len(texts)
+        points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        self.starts = np.concatenate([[0], ends[:-1] + 1])
+        bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
+        inside = np.ones(self.size, dtype=bool)
+        inside[ends] = False
+        self.full, self.places = bits(inside), {}
+        order = np.argsort(points, kind="stable")
+        cuts = np.flatnonzero(np.diff(points[order])) + 1
+        for at in np.split(order, cuts):
+            here = np.zeros(self.size, dtype=bool)
+            here[at] = True
+            self.places[chr(points[at[0]])] = bits(here & inside)
+
+    def longest_common(self, b: str) -> np.ndarray:
+        """``longest_common`` of each of the texts and ``b``."""
+        full = row = self.full
+        for c in b:
+            if at := row & self.places.get(c, 0):
+                row = (row + at | row - at) & full
+        left = np.unpackbits(np.frombuffer((full ^ row).to_bytes(-(-self.size // 8), "little"), dtype=np.uint8), count=self.size, bitorder="little")
+        return np.add.reduceat(left, self.starts, dtype=np.int64)
+
+
+def ratio_at(a: str, b: str, least: float) -> float | None:
+    """``sequence_ratio`` where it is ``least`` or more, else None."""
     ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
     return ratio if ratio >= least else None
 

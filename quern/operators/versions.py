@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tables import cut
-from quern.functions.udfs import ratio_if
+from quern.functions.udfs import Packed, longest_common, ratio_at
 
 #: Rank of each kind of match and what context adds to it, limits of modified sources, options shown.
 RANKS = {"confirmed_lineage": 600.0, "locator_exact": 500.0, "content_exact": 450.0, "moved_exact": 300.0, "source_modified": 200.0}
 MOVED_BONUS = {"speaker": 30.0, "before": 12.0, "after": 12.0, "mode": 4.0}
 MODIFIED_BONUS = {"speaker": 8.0, "before": 4.0, "after": 4.0}
 MIN_RATIO, MARGIN, MIN_LENGTH, OPTIONS = 0.82, 5.0, 4, 8
+#: Texts that are compared with another one at a time.
+PACKED = 256
 #: Columns of a version that may be missing; they are null then.
 OPTIONAL = ("lineage", "locator", "content", "before", "after", "speaker", "mode")
 
@@ -136,6 +139,24 @@ def _common_bigrams(a: list[str], b: list[str], width: int) -> np.ndarray:
     return np.rint(sides[0] @ sides[1].T).astype(np.int64) + np.minimum(more[0][:, None], more[1][None, :])
 
 
+def _subsequences(xs: list[str], ys: list[str], some: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs of ``some`` with a common subsequence of ``common`` characters or more.
+
+    ``PACKED`` texts at a time are one number, which a text of the other side
+    passes once for all of them; where few are left, each goes alone.
+    """
+    for first in range(0, len(xs), PACKED):
+        part, packed = xs[first : first + PACKED], None
+        for j in np.flatnonzero(some[first : first + PACKED].any(axis=0)).tolist():
+            at = np.flatnonzero(some[first : first + PACKED, j])
+            if len(at) * 5 < len(part):
+                yield from ((first + i, j) for i in at.tolist() if longest_common(xs[first + i], ys[j], common[first + i, j]) >= common[first + i, j])
+            else:
+                packed = packed or Packed(part)
+                found = packed.longest_common(ys[j])
+                yield from ((first + i, j) for i in at.tolist() if found[i] >= common[first + i, j])
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_length: int = MIN_LENGTH) -> DataFrame:
     """``(base_id, target_id, ratio)`` of all pairs of ``(id, source)`` whose sources are ``least`` alike or more; the longer one has ``min_length`` characters.
 
@@ -176,8 +197,8 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_leng
             width = 1 << max(8, min(13, int(max(n.max(), m.max())).bit_length() + 1))
             if some.any():
                 some &= _common_bigrams(xs, ys, width) >= 3 * common - both - 1
-            for i, j in np.argwhere(some).tolist():
-                ratio = ratio_if(xs[i], ys[j], least)
+            for i, j in _subsequences(xs, ys, some, common):
+                ratio = ratio_at(xs[i], ys[j], least)
                 if ratio is not None:
                     us.append(i)
                     vs.append(j)

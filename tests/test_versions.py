@@ -4,6 +4,9 @@ import random
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
+
+from quern.functions.udfs import Packed, longest_common
 from quern.operators import versions as R
 
 COLUMNS = ("id", "lineage", "locator", "content", "source", "before", "after", "speaker", "mode")
@@ -131,6 +134,23 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == want and len(want) > 150
 
 
+def test_packed_texts_count_as_single_ones():
+    """Side by side in one number, and all of a block by one pass; a common part never runs into the next text."""
+    rng = random.Random(4)
+    texts = ["", "a", "aaaa", "ab" * 40, "猫が好き", "\0x", *["".join(rng.choices("abc 猫", k=rng.randrange(70))) for _ in range(60)], ""]
+    packed = Packed(texts)
+    for b in texts:
+        assert packed.longest_common(b).tolist() == [longest_common(a, b) for a in texts]
+    passes = []
+    some, common = np.ones((len(texts), len(texts)), dtype=bool), np.full((len(texts), len(texts)), 9)
+    single, R.longest_common = R.longest_common, lambda *a: passes.append(a)
+    try:
+        got = set(R._subsequences(texts, texts, some, common))
+    finally:
+        R.longest_common = single
+    assert not passes and got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if longest_common(a, b) >= 9}
+
+
 def test_a_common_source_lists_no_pairs(spark):
     rows = lambda side: spark.range(3000).selectExpr(f"concat('{side}', id) AS id", "'...' AS source", f"concat('{side}', id) AS locator", "if(id < 3, concat('line ', id), 'same') AS before")
     got = R.reconcile(rows("b"), rows("t"), fuzzy=False)
