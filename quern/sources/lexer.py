@@ -32,11 +32,15 @@ _PREFIX = re.compile(r"(?i)(r|u|b|f|br|rb|fr|rf)")
 _BODY = {q: re.compile(rf"((?:[^\\{q[0]}]|\\.|{q[0]}(?!{q[0]}{q[0]}))*){q}" if len(q) == 3 else rf"((?:[^\\{q}]|\\.)*){q}", re.S) for q in _QUOTE.values()}
 _TAIL = re.compile(r"(?:[^\\]|\\.)*\\", re.S)
 
-_PIECE = [("path", pa.string()), ("line", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("at_line", pa.int64()), ("at", pa.int64()), ("prefix", pa.string()), ("quote", pa.string()), ("body", pa.string()), ("closes", pa.bool_()), ("code", pa.string())]
+_PIECE = [("path", pa.string()), ("at_line", pa.int64()), ("at", pa.int64()), ("end_line", pa.int64()), ("last", pa.int64()), ("prefix", pa.string()), ("quote", pa.string()), ("body", pa.string()), ("closed", pa.bool_()), ("code", pa.string()), ("whole", pa.bool_())]
+#: Rows of literals that are handed on at a time.
+_ROWS = 5000
 
 
 def scan(text: str, kind: int) -> tuple[list[tuple], int]:
     """Pieces ``(first, last, opens, prefix, quote, body, closes)`` of literals in a line, and what is open behind it."""
+    if kind == CODE and '"' not in text and "'" not in text:
+        return [], CODE
     out, at = [], 0
     prefix, first, opens = "", 0, False
     while True:
@@ -51,7 +55,7 @@ def scan(text: str, kind: int) -> tuple[list[tuple], int]:
             kind = next(k for k, q in _QUOTE.items() if q == m["quote"])
             first, at, opens = m.start("quote") - len(prefix), m.end(), True
         quote = _QUOTE[kind]
-        m = _BODY[quote].match(text, at)
+        m = _BODY[quote].match(text, at) if text.find(quote, at) >= 0 else None
         if m:
             out.append((first, m.end(), opens, prefix, quote, m[1], True))
             at, kind, prefix, opens = m.end(), CODE, "", False
@@ -67,29 +71,47 @@ def scan(text: str, kind: int) -> tuple[list[tuple], int]:
         return out, CODE
 
 
-def _exits(texts: list[tuple[int, str]], kind: int) -> tuple[int, int | None, int | None]:
-    """What is open behind the lines, and where it opened; no place if it was open before them."""
-    line = first = None
-    for n, text in texts:
-        pieces, kind = scan(text, kind)
-        if kind == CODE:
-            line = first = None
-        elif pieces and pieces[-1][2]:
-            line, first = n, pieces[-1][0]
-    return kind, line, first
+def _step(state: tuple, n: int, text: str) -> tuple:
+    """What is open behind a line, and where it opened; no place if it was open before the chunk."""
+    pieces, kind = scan(text, state[0])
+    if kind == CODE:
+        return CODE, None, None
+    return (kind, n, pieces[-1][0]) if pieces and pieces[-1][2] else (kind, *state[1:])
+
+
+def _exits(texts: list[tuple[int, str]]) -> list[tuple]:
+    """The state behind the lines for each kind that may be open before them.
+
+    Where a kind comes to the state of another one, it goes on like that, so
+    that most lines are read once and not once for each kind.
+    """
+    out, known = [], []
+    for kind in KINDS:
+        state, passed = (kind, None, None), []
+        for at, (n, text) in enumerate(texts):
+            state = _step(state, n, text)
+            passed.append(state)
+            same = next((k for k in known if k[at] == state), None)
+            if same:
+                passed += same[at + 1 :]
+                state = same[-1]
+                break
+        known.append(passed)
+        out.append(state)
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, str]]]]:
     """The first row of each chunk and its lines; rows come sorted."""
     key, row, held = None, None, []
     for b in batches:
-        for r in b.to_pylist():
-            here = (r["path"], r["part"])
-            if here != key:
+        cols = {n: b.column(n).to_pylist() for n in b.schema.names}
+        for i, (path, part, line, text) in enumerate(zip(cols["path"], cols["part"], cols["line"], cols["text"], strict=True)):
+            if (path, part) != key:
                 if held:
                     yield row, held
-                key, row, held = here, r, []
-            held.append((r["line"], r["text"]))
+                key, row, held = (path, part), {n: c[i] for n, c in cols.items()}, []
+            held.append((line, text))
     if held:
         yield row, held
 
@@ -105,11 +127,13 @@ def literals(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``closed``. ``text`` has escapes undone unless the prefix has an ``r``.
     """
     rows = lines.select("path", F.col("line").cast("long").alias("line"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("line") / chunk).cast("long").alias("part"))
+    # Read three times, and made once.
+    rows = cut(rows, "lines")
     long = cut(rows.filter(F.col("part") > 0).select("path").distinct(), "long")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, held in _chunks(batches):
-            ends = [_exits(held, k) for k in KINDS]
+            ends = _exits(held)
             cols = [[r["path"]], [r["part"]], *([[e[c] for e in ends]] for c in range(3))]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["path", "part", "kinds", "lines", "firsts"])
 
@@ -130,25 +154,40 @@ def literals(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     mapped = by_chunk(rows.join(long, "path", "left_semi")).mapInArrow(maps, "path string, part long, kinds array<long>, lines array<long>, firsts array<long>")
     starts = cut(mapped.repartition("path").sortWithinPartitions("path", "part").mapInArrow(chain, "path string, part long, kind long, open_line long, open_first long"), "starts")
 
+    def batch(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), _PIECE, strict=True)], names=[n for n, _ in _PIECE])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for r, held in _chunks(batches):
-            kind, at_line, at, out = r["kind"] or CODE, r["open_line"], r["open_first"], []
+            kind, begun = r["kind"] or CODE, len(out)
+            if kind != CODE:
+                out.append([r["path"], r["open_line"], r["open_first"], None, None, "", _QUOTE[kind], "", False, "", False])
             for n, text in held:
                 pieces, kind = scan(text, kind)
                 for first, last, opens, prefix, quote, body, closes in pieces:
                     if opens:
-                        at_line, at = n, first
-                    out.append((r["path"], n, first, last, at_line, at, prefix, quote, body, closes, text[:first] if opens else ""))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), _PIECE, strict=True)], names=[n for n, _ in _PIECE])
-
-    schema = "path string, line long, first long, last long, at_line long, at long, prefix string, quote string, body string, closes boolean, code string"
+                        out.append([r["path"], n, first, n, last, prefix, quote, body, closes, text[:first], True])
+                    else:
+                        out[-1][3], out[-1][4], out[-1][8] = n, last, closes
+                        out[-1][7] += body
+            if kind != CODE and len(out) > begun:
+                out[-1][10] = False
+            if len(out) >= _ROWS:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    schema = "path string, at_line long, at long, end_line long, last long, prefix string, quote string, body string, closed boolean, code string, whole boolean"
     pieces = by_chunk(rows.join(starts, ["path", "part"], "left")).mapInArrow(read, schema)
-    # The pieces of a literal, in the order of their lines.
-    whole = pieces.groupBy("path", F.col("at_line"), F.col("at")).agg(
-        F.max("line").alias("end_line"), F.max_by("last", "line").alias("last"), F.max("prefix").alias("prefix"), F.max("quote").alias("quote"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda p: p["body"]), "").alias("body"), F.max("closes").alias("closed"), F.max("code").alias("code"),
+    pieces = cut(pieces, "pieces")
+    # The pieces of a literal that stands in several chunks, in the order of their lines.
+    parts = pieces.filter("NOT whole").groupBy("path", "at_line", "at").agg(
+        F.max("end_line").alias("end_line"), F.max_by("last", "end_line").alias("last"), F.max("prefix").alias("prefix"), F.max("quote").alias("quote"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end_line", "body"))), lambda p: p["body"]), "").alias("body"), F.max("closed").alias("closed"), F.max("code").alias("code"),
     )
+    whole = pieces.filter("whole").drop("whole").unionByName(parts)
     raw = F.lower("prefix").contains("r")
     return whole.select("path", F.col("at_line").alias("line"), F.col("at").alias("first"), "end_line", "last", "prefix", "quote", "body", F.when(raw, F.col("body")).otherwise(unescape(F.col("body"))).alias("text"), "closed", "code")
 
@@ -185,12 +224,13 @@ def inventory(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     source, or want translation, count: ``index`` numbers them in their block,
     from 1, and ``occurrence`` the openings of a block's name that have one.
     """
+    lines = cut(lines.select("path", "line", "text"), "script")
     t = F.trim(F.coalesce("text", F.lit("")))
     head = r"^\s*translate\s+\S+\s+([^\s:]+)\s*:"
     w = Window.partitionBy("path").orderBy("line")
     upto, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     voice = (t == "voice") | t.startswith("voice ") | t.rlike(r'^#\s*voice(\s[^"]*)?".*"$')
-    block = F.when(F.col("text").rlike(head), F.regexp_extract("text", head, 1))
+    block = F.when(F.col("text").contains("translate") & F.col("text").rlike(head), F.regexp_extract("text", head, 1))
     about = lines.select(
         "path", F.col("line").cast("long").alias("line"), t.alias("said"), F.max(t.startswith("translate ")).over(Window.partitionBy("path")).alias("is_translation"),
         F.coalesce(F.last(block, ignorenulls=True).over(upto), F.lit("_global")).alias("block"), F.count(block).over(upto).alias("opening"),
@@ -203,13 +243,15 @@ def inventory(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     named = F.col("is_translation") & F.col("code").rlike(r"[A-Za-z_]\w*\s*=\s*$")
     shown = F.col("code").rlike(r"^\s*define\s+[A-Za-z_]\w*\s*=\s*Character\s*\(\s*(_\(\s*)?$")
     left_out = (F.col("said") == "voice") | F.col("said").startswith("voice ") | F.col("said").startswith("translate ") | old | named | shown
-    wanted = wants_translation(F.col("text"))
+    # Each made once, as several columns read it.
+    rows = rows.withColumns({"wanted": wants_translation(F.col("text")), "cjk": has_cjk(F.col("text")), "inert": non_translatable(F.col("text"))})
+    wanted, cjk, inert = F.col("wanted"), F.col("cjk"), F.col("inert")
     kind = (
         F.when(~F.col("closed"), "parse_error")
         .when(left_out, "explicitly_excluded")
-        .when(F.col("source").isNotNull() & has_cjk(F.col("text")), "already_translated")
+        .when(F.col("source").isNotNull() & cjk, "already_translated")
         .when(wanted, "translatable")
-        .when(non_translatable(F.col("text")) | has_cjk(F.col("text")), "unsupported")
+        .when(inert | cjk, "unsupported")
         .otherwise("unknown")
     )
     rows = rows.withColumn("classification", kind)
@@ -218,7 +260,7 @@ def inventory(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = rows.withColumn("counts", counts).withColumn("index", F.when(counts, number.over(Window.partitionBy("path", "opening").orderBy("line", "first"))).cast("int"))
     which = F.dense_rank().over(Window.partitionBy("path", "block", "counts").orderBy("opening"))
     rows = rows.withColumn("occurrence", F.when(F.col("counts"), which)).withColumn("speaker", F.when(~F.col("said").startswith("new "), speaker_of(F.col("code"))))
-    names = character_names(lines.select("path", "line", "text")).withColumnRenamed("name", "speaker_name")
+    names = character_names(lines).withColumnRenamed("name", "speaker_name")
     rows = rows.join(names, "speaker", "left")
     source = F.when(F.col("counts"), F.coalesce("source", "text"))
     unit = F.when(F.col("counts"), identity(F.col("path"), F.col("block"), F.col("occurrence"), F.col("index"), source))

@@ -25,7 +25,7 @@ def unescape(text: Column) -> Column:
 def character_names(lines: DataFrame) -> DataFrame:
     """``(speaker, name)`` from ``define x = Character("Name")`` lines; later definitions win."""
     p = rf"^\s*define\s+([A-Za-z_]\w*)\s*=\s*Character\(\s*(?:_\()?{_STRING}"
-    rows = lines.select(F.regexp_extract("text", p, 1).alias("speaker"), F.regexp_extract("text", p, 2).alias("name"), F.struct("path", "line").alias("at")).filter("speaker <> ''")
+    rows = lines.filter(F.contains("text", F.lit("Character("))).select(F.regexp_extract("text", p, 1).alias("speaker"), F.regexp_extract("text", p, 2).alias("name"), F.struct("path", "line").alias("at")).filter("speaker <> ''")
     return rows.groupBy("speaker").agg(F.max_by("name", "at").alias("name"))
 
 

@@ -82,3 +82,19 @@ def test_classes_and_speakers(spark):
     said = {r.line: r for r in rows}
     assert (said[4].source, said[4].speaker, said[4].speaker_name, said[4]["index"], said[4].occurrence, said[4].block) == ("Hello there.", "e", "Eileen", 1, 1, "start_1")
     assert (said[7]["index"], said[7].speaker) == (2, None) and L.inventory(spark.createDataFrame([], "path string, line int, text string")).count() == 0
+
+
+def test_lines_are_read_once_for_all_that_may_be_open(monkeypatch):
+    """The kinds that may be open before a chunk soon agree; from there on no line is read again."""
+    lines = [(n, f"e 'said {n}' # \"no\"") for n in range(200)]
+    want = []
+    for kind in L.KINDS:
+        state = (kind, None, None)
+        for n, text in lines:
+            state = L._step(state, n, text)
+        want.append(state)
+    read, scan = [], L.scan
+    monkeypatch.setattr(L, "scan", lambda text, kind: read.append(kind) or scan(text, kind))
+    assert L._exits(lines) == want
+    # Literals in three quotes stay open to the end, all others agree.
+    assert len(read) < 3 * len(lines) + 20
