@@ -141,9 +141,11 @@ def mask_markup(text: Column) -> Column:
 
     def blank(t: Column, pattern: str) -> Column:
         spaces = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), spaces, lambda rest, gap: F.concat(rest, F.coalesce(gap, F.lit("")))), "")
+        gone = F.array_join(F.zip_with(F.split(t, pattern, -1), spaces, lambda rest, gap: F.concat(rest, F.coalesce(gap, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit(pattern[1])), gone).otherwise(t)
 
-    return _until_same(text, lambda t: blank(blank(t, TAG), FIELD))
+    # An array of one element names the text without tags, which is read several times.
+    return _until_same(text, lambda t: F.element_at(F.transform(F.array(blank(t, TAG)), lambda u: blank(u, FIELD)), 1))
 
 
 def token_estimate(chars: Column) -> Column:

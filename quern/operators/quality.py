@@ -125,13 +125,19 @@ RULES: dict[str, Callable[[DataFrame, Policy], Column]] = {
 }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks, where their files would give fewer tasks than there are cores: rules cost far more than moving texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
+
+
 def find(subjects: DataFrame, policy: Policy = Policy(), rules: dict | None = None, key: str = "item_id") -> DataFrame:
     """``(item_id, file, line, reason_code, evidence, n_evidence, severity, disposition, finding_id)``, one row per subject and reason.
 
     ``subjects`` needs ``source`` and ``translation``; null is empty. Rules
     also see ``masked``, the translation without its markup. A blocker is always of high severity.
     """
-    s = subjects.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "translation")})
+    s = spread(subjects).withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "translation")})
     # Made once, as several rules read it.
     s = s.withColumn("masked", mask_markup(F.col("translation")))
     chosen = rules or RULES

@@ -110,6 +110,18 @@ def test_scenes_of_a_long_file_are_not_all_paired(spark):
     assert {tuple(r) for r in frame.collect()} == want and len(want) == 450
 
 
+def test_few_files_do_not_bind_the_rules_to_few_tasks(spark):
+    """One partition of subjects is judged by all cores; what each rule finds stays the same."""
+    said = ["的OK 的cats", "walk的dog's 的", "的的Bob和 Al的", "x-的 ’a的", "oh的 OH, xoh ohx Hmm", "no", "", None]
+    rows = spark.createDataFrame([(i, "oh hmm", t) for i, t in enumerate(said)], "item_id int, source string, translation string").coalesce(1)
+    found = quality.find(rows)
+    assert found.rdd.getNumPartitions() > 1
+    got = {(r.item_id, r.reason_code.rsplit(".", 1)[1]): r.evidence for r in found.collect()}
+    assert {k[0]: v for k, v in got.items() if k[1] == "english_suffix_adjacent"} == {0: ["cats"], 1: ["dog's"]}
+    assert {k[0]: v for k, v in got.items() if k[1] == "cjk_latin_spacing"} == {0: ["cats"], 1: ["walk", "dog's"], 2: ["Bob", "Al"], 3: ["x-"], 4: ["oh"]}
+    assert {k[0]: v for k, v in got.items() if k[1] == "interjection_untranslated"} == {4: ["hmm,oh"]}
+
+
 def test_small_contracts(spark, tmp_path):
     rows = spark.createDataFrame([("k", "a", 1), ("k", "a", 3), ("k", "b", 2)], "k string, v string, n int")
     assert contracts.wide(rows, "k", "v", "n", ["a", "b"]).first()[0:3] == ("k", 3, 2)
