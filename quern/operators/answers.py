@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,8 +79,9 @@ def read_answers(answers: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, D
         tests += [F.when(F.size(cited) == 0, problem("empty_field", c.cites)), F.when(F.size(F.array_except(cited, "expected")) > 0, problem("unknown_id", c.cites))]
     each = each.withColumn("problem", F.coalesce(*tests))
     if c.key:
-        first = each.filter("problem IS NULL").groupBy("request_id", F.trim(f"t_{c.key}").alias("__key")).agg(F.min("index").alias("__first"))
-        each = each.withColumn("__key", F.trim(f"t_{c.key}")).join(first, ["request_id", "__key"], "left")
+        # A window and no join with itself, so that answers are parsed once for it.
+        each = each.withColumn("__key", F.trim(f"t_{c.key}"))
+        each = each.withColumn("__first", F.min(F.when(F.col("problem").isNull(), F.col("index"))).over(Window.partitionBy("request_id", "__key")))
         again = F.col("problem").isNull() & (F.col("index") != F.col("__first"))
         each = each.withColumn("problem", F.when(again, problem("duplicate_id", c.key)).otherwise(F.col("problem")))
     fields = F.map_from_arrays(F.array(*map(F.lit, c.fields)), F.array(*[F.col(f"t_{f}") for f in c.fields]))

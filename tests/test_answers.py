@@ -61,3 +61,14 @@ def test_routes_are_told_in_order(spark):
         assert records[key].summary == body + ("\n\n[route contains unresolved dynamic jump/call]" if open_ else "")
         assert records[key].evidence == list(dict.fromkeys(e for x in path for e in told[x][1])) and records[key].unresolved == open_
         assert len(records[key].digest) == len(hashlib.sha256().hexdigest())
+
+
+def test_answers_are_parsed_once_for_their_items(spark, capsys):
+    """Items that repeat are found without joining the answers with themselves."""
+    answer = '[{"id": "a", "translation": "x"}, {"id": " a", "translation": "y"}, {"id": "b", "translation": " "}, {"id": "b", "translation": "z"}]'
+    rows = spark.createDataFrame([(1, ["a", "b"], answer), (2, ["a"], answer)], "request_id long, expected array<string>, answer string")
+    items, issues, _ = A.read_answers(rows, "translation")
+    assert sorted((r.request_id, r["index"]) for r in items.collect()) == [(1, 0), (1, 3), (2, 0)]
+    assert sorted((r.request_id, r["index"], r.code) for r in issues.collect()) == [(1, 1, "duplicate_id"), (1, 2, "empty_field"), (2, 1, "duplicate_id"), (2, 2, "empty_field"), (2, 3, "unknown_id")]
+    items.explain()
+    assert "Join" not in capsys.readouterr().out
