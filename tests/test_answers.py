@@ -72,3 +72,53 @@ def test_answers_are_parsed_once_for_their_items(spark, capsys):
     assert sorted((r.request_id, r["index"], r.code) for r in issues.collect()) == [(1, 1, "duplicate_id"), (1, 2, "empty_field"), (2, 1, "duplicate_id"), (2, 2, "empty_field"), (2, 3, "unknown_id")]
     items.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_routes_of_files_that_share_labels(spark):
+    """Jumps of several files stand on the same lines: each path is a route, in the order of lines and targets."""
+    lines = [(f"f{i}", 10 * k + n, text) for i in range(3) for k in range(6) for n, text in ((0, f"label L{k}:"), (3, f"    jump L{k + 1 + i}"), (4, '"say"'))]
+    nodes, edges = G.labels_and_edges(spark.createDataFrame(lines, "file string, line long, text string"))
+    after = {f"L{k}": sorted((10 * k + 3, f"L{k + 1 + i}") for i in range(3) if k + 1 + i < 6) for k in range(6)}
+    walk = lambda path: [p for _, x in after[path[-1]] for p in walk([*path, x])] if after[path[-1]] else [path]
+    all_ = walk(["L0"])
+    assert len(all_) > 9
+    for most in (9, 32):
+        got = sorted((r.route, r.path) for r in G.routes(nodes, edges, max_depth=8, max_routes=most).collect() if r.entry == "L0")
+        assert got == [(n + 1, p) for n, p in enumerate(all_[:most])]
+
+
+def test_lines_are_read_once_for_routes(spark, capsys):
+    """What is found in the lines is a table of its own; a label's chunks are put together from pieces."""
+    lines = spark.createDataFrame([("f", 0, "label a:"), ("f", 1, "    jump b"), ("f", 2, "label b:")], "file string, line long, text string")
+    nodes, edges = G.labels_and_edges(lines)
+    nodes.explain()
+    edges.explain()
+    assert "Window" not in capsys.readouterr().out
+    chunks = spark.createDataFrame([("c", "f", 0, 2, "s", ["e"])], "chunk_id string, file string, first_line long, last_line long, summary string, evidence array<string>")
+    labels = G.label_records(nodes, edges, G.assign_labels(chunks, nodes))
+    G.route_records(G.routes(nodes, edges), labels).select("summary").explain()
+    out = capsys.readouterr().out
+    assert "lag" not in out and "to_json" not in out and "partition_id" in out.lower()
+
+
+def test_chunks_of_long_files(spark):
+    """Chunks within, across and beyond blocks of lines, without ends or with swapped ones, against all pairs."""
+    rng = random.Random(5)
+    lines = [(f, 7 * n, f"label {f}{rng.randrange(30)}:" if n % 9 == 0 else '"say"') for f in ("p", "q") for n in range(300)]
+    lines += [("one", 5, "label only:"), ("one", 6, '"say"')]
+    nodes, edges = G.labels_and_edges(spark.createDataFrame(lines, "file string, line long, text string"))
+    ends = [(a, a + rng.choice((0, 6, 90, 700))) for a in (rng.randrange(-300, 2400) for _ in range(60))] + [(None, None), (None, 40), (500, None), (90, 20), (10**12, 10**13), (-(10**12), 10**12)]
+    chunks = [(f"{f}{i:03}", f, a, b, f"s{i}" if i % 4 else None, [f"e{i % 5}", None]) for f in ("p", "q", "one", "none") for i, (a, b) in enumerate(ends)]
+    spans = {(r.file, r.label): (r.first_line, r.last_line) for r in nodes.collect()}
+    least, most = (lambda *x: min(v for v in x if v is not None)), (lambda *x: max(v for v in x if v is not None))
+    home = {}
+    for i, f, a, b, _, _ in chunks:
+        shared = [(least(b, y) - most(a, x) + 1, -x, name) for (g, name), (x, y) in spans.items() if g == f]
+        home[i] = max(s for s in shared)[2] if shared and max(shared)[0] > 0 else "only" if f == "one" else "_unassigned"
+    placed = G.assign_labels(spark.createDataFrame(chunks, "chunk_id string, file string, first_line long, last_line long, summary string, evidence array<string>"), nodes)
+    assert {r.chunk_id: r.label for r in placed.collect()} == home and placed.count() == len(chunks)
+    for r in G.label_records(nodes, edges, placed).collect():
+        mine = sorted(c for c in chunks if home[c[0]] == r.label)
+        assert r.upstream == [c[0] for c in mine] and r.evidence == list(dict.fromkeys(c[5][0] for c in mine))
+        made = {"label": r.label} | ({"c": [{"id": c[0], "summary": c[4] or "", "evidence": c[5]} for c in mine]} if mine else {}) | {"unresolved": False}
+        assert r.digest == hashlib.sha256(json.dumps(made, separators=(",", ":")).encode()).hexdigest()
