@@ -50,37 +50,121 @@ def longest_common(a: str, b: str, least: float = 0) -> int:
 
 
 class Packed:
-    """Texts side by side in the bits of one number, each with a free bit behind it, so that one addition serves all of them."""
+    """Texts side by side, 64 characters of each in a word, so that one operation on words serves all of them."""
 
     def __init__(self, texts: list[str]):
-        self.size = sum(map(len, texts)) + len(texts)
-        points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        self.starts = np.concatenate([[0], ends[:-1] + 1])
-        bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
-        inside = np.ones(self.size, dtype=bool)
-        inside[ends] = False
-        self.full, self.places = bits(inside), {}
-        order = np.argsort(points, kind="stable")
-        cuts = np.flatnonzero(np.diff(points[order])) + 1
-        for at in np.split(order, cuts):
-            here = np.zeros(self.size, dtype=bool)
-            here[at] = True
-            self.places[chr(points[at[0]])] = bits(here & inside)
-
-    def longest_common(self, b: str) -> np.ndarray:
-        """``longest_common`` of each of the texts and ``b``."""
-        full = row = self.full
-        for c in b:
-            if at := row & self.places.get(c, 0):
-                row = (row + at | row - at) & full
-        left = np.unpackbits(np.frombuffer((full ^ row).to_bytes(-(-self.size // 8), "little"), dtype=np.uint8), count=self.size, bitorder="little")
-        return np.add.reduceat(left, self.starts, dtype=np.int64)
+        self.texts, self.lengths = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.points, code = np.unique(points, return_inverse=True)
+        row = np.repeat(np.arange(len(texts)), self.lengths)
+        place = np.arange(points.size) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        #: By character, word and text.
+        self.places = np.zeros((self.points.size, max(1, -(-int(self.lengths.max(initial=0)) // 64)), len(texts)), dtype=np.uint64)
+        np.bitwise_or.at(self.places, (code, place >> 6, row), np.uint64(1) << (place & 63).astype(np.uint64))
+
+    def longest_common(self, b: str, least: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+        """``longest_common`` of each of the texts, or of those at ``at``, and ``b``; of one that stays below its ``least``, a number below it.
+
+        A pair that reaches ``least`` leaves few characters out, so that two
+        that match stand at near places: words further off are not read. What
+        is left of both bounds what can still be reached, and texts that cannot
+        reach theirs are dropped on the way; the last few go on alone.
+        """
+        at = np.arange(self.lengths.size) if at is None else at
+        least = np.zeros(at.size, dtype=np.int64) if least is None else least.astype(np.int64)
+        keep, n, m, out = np.arange(at.size), self.lengths[at], len(b), np.zeros(at.size, dtype=np.int64)
+        points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        code = np.searchsorted(self.points, points)
+        code = [int(c) if c < self.points.size and self.points[c] == p else -1 for c, p in zip(code, points, strict=True)]
+        masks = {u: self.places[u] if at.size == self.lengths.size else self.places[u].take(at, axis=1) for u in {*code} - {-1}}
+        words, every = self.places.shape[1], max(16, m // 16)
+        rows = np.full((words, at.size), ~np.uint64(0))
+        stop, changed, band = 4 * every, True, None
+        for j, u in enumerate(code):
+            if j == stop:
+                stop += every
+                # Equal ends of both may match whole; what stands before them is counted.
+                upto = np.clip(n[keep] - m + j - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+                inside = np.where(upto == 64, ~np.uint64(0), (np.uint64(1) << (upto & np.uint64(63))) - np.uint64(1))
+                most = np.bitwise_count(~rows & inside).sum(axis=0, dtype=np.int64) + m - j
+                alive = np.flatnonzero(most >= least[keep])
+                if alive.size * 5 < keep.size * 4:
+                    keep, changed = keep[alive], True
+                    if keep.size * 20 < m - j:
+                        out[keep] = [longest_common(self.texts[at[i]], b, least[i]) for i in keep.tolist()]
+                        return out
+                    rows, masks = rows.take(alive, axis=1), {u: masks[u].take(alive, axis=1) for u in {*code[j:]} - {-1}}
+            if changed:
+                below, above = int((m - least[keep]).max(initial=0)), int((n[keep] - least[keep]).max(initial=0))
+                matches, sums, over = np.empty_like(rows), np.empty_like(rows), np.empty(rows.shape, dtype=bool)
+                changed, band = False, None
+            first, last = max(0, j - below) >> 6, min(words, (j + above >> 6) + 1)
+            if u < 0 or first >= last:
+                continue
+            if band != (first, last):
+                band = first, last
+                v, t, s, carry = (x[first:last] for x in (rows, matches, sums, over))
+                low, up, carry = s[:-1], s[1:], carry[1:]
+            np.bitwise_and(v, masks[u][first:last], out=t)
+            np.add(v, t, out=s)
+            if last - first > 1:
+                np.less(low, v[:-1], out=carry)
+                np.add(up, carry, out=up)
+                while np.count_nonzero(up) < up.size:  # a full word hands on what it gets
+                    carry[1:] = (carry & (up == 0))[:-1]
+                    carry[0] = False
+                    if not carry.any():
+                        break
+                    np.add(up, carry, out=up)
+            np.bitwise_xor(v, t, out=v)
+            np.bitwise_or(v, s, out=v)
+        out[keep] = np.bitwise_count(~rows).sum(axis=0, dtype=np.int64)
+        return out
+
+
+#: Length of the pieces by which long matching blocks are found, and of texts for which that is not worth it.
+_PIECE, _SHORT = 16, 48
+
+
+def _longest_block(a: str, b: str) -> tuple[int, int, int]:
+    """Place in both texts and length of their longest common piece, the first of them; a length of 0 where it is below ``_PIECE``."""
+    places: dict[str, list[int]] = {}
+    for i in range(len(a) - _PIECE + 1):
+        places.setdefault(a[i : i + _PIECE], []).append(i)
+    best = (0, 0, 0)
+    for j in range(len(b) - _PIECE + 1):
+        for i in places.get(b[j : j + _PIECE], ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            n, by = _PIECE, 256
+            while by:
+                while i + n + by <= len(a) and a[i + n : i + n + by] == b[j + n : j + n + by]:
+                    n += by
+                by //= 2
+            best = max(best, (n, -i, -j))
+    return -best[1], -best[2], best[0]
+
+
+def matching(a: str, b: str) -> int:
+    """Characters in the matching blocks of ``SequenceMatcher``, which looks at short blocks only."""
+    total, open_ = 0, [(a, b)]
+    while open_:
+        x, y = open_.pop()
+        if x in y or y in x:
+            total += min(len(x), len(y))
+            continue
+        i, j, n = _longest_block(x, y) if min(len(x), len(y)) > _SHORT else (0, 0, 0)
+        if n:
+            total += n
+            open_ += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+        else:
+            total += sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    return total
 
 
 def ratio_at(a: str, b: str, least: float) -> float | None:
     """``sequence_ratio`` where it is ``least`` or more, else None."""
-    ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    ratio = 2.0 * matching(a, b) / (len(a) + len(b)) if a or b else 1.0
     return ratio if ratio >= least else None
 
 

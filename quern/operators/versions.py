@@ -19,8 +19,10 @@ RANKS = {"confirmed_lineage": 600.0, "locator_exact": 500.0, "content_exact": 45
 MOVED_BONUS = {"speaker": 30.0, "before": 12.0, "after": 12.0, "mode": 4.0}
 MODIFIED_BONUS = {"speaker": 8.0, "before": 4.0, "after": 4.0}
 MIN_RATIO, MARGIN, MIN_LENGTH, OPTIONS = 0.82, 5.0, 4, 8
-#: Texts that are compared with another one at a time.
-PACKED = 256
+#: Words of the texts that are compared with another one at a time; texts below which each goes alone.
+PACKED, ALONE = 1 << 23, 12
+#: Columns of counts that one product takes; common pieces of texts that are listed at a time.
+COLUMNS, LISTED = 1024, 1 << 19
 #: Columns of a version that may be missing; they are null then.
 OPTIONAL = ("lineage", "locator", "content", "before", "after", "speaker", "mode")
 
@@ -119,42 +121,198 @@ def moved_matches(a: DataFrame, b: DataFrame, counts: DataFrame) -> DataFrame:
         rows = cut(rows.join(gone, ["side", "id"], "left_anti"), "moved")
 
 
-def _common_bigrams(a: list[str], b: list[str], width: int) -> np.ndarray:
-    """For all pairs, an upper bound of the bigrams that both have, as often as both have them.
+def _counts(texts: list[str], size: int, width: int) -> np.ndarray:
+    """How often each text has the pieces of ``size`` characters, by ``width`` hashed places."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), n)
+    key = c * np.uint64(0x9E3779B1)
+    if size == 2:
+        key, row = (key[:-1] + c[1:])[row[:-1] == row[1:]], row[:-1][row[:-1] == row[1:]]
+    place = (key * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(width)
+    return np.bincount(row * width + place.astype(np.int64), minlength=len(texts) * width).reshape(len(texts), width)
 
-    Bigrams are counted in ``width`` hashed places; a place's first and second
-    are signs of a vector, so that a product of matrices counts them for all
-    pairs, and the others count whole for each text.
+
+def _common_pieces(a: list[str], b: list[str], size: int, width: int) -> np.ndarray:
+    """For all pairs, an upper bound of the pieces of one or two characters that both have, as often as both have them.
+
+    Whether a place has a count or more is a sign of a vector, so that products
+    of matrices count what is common for all pairs. Counts above 32 are told
+    apart by a sixteenth and count as the highest that they may be.
+    """
+    x, y = _counts(a, size, width), _counts(b, size, width)
+    top = np.minimum(x.max(axis=0), y.max(axis=0))
+    kind = np.float32 if max(x.sum(axis=1).max(), y.sum(axis=1).max()) < 1 << 22 else np.float64
+    total, left, right, held, level = np.zeros((len(a), len(b)), dtype=kind), [], [], 0, 1
+    while True:
+        at, step = np.flatnonzero(top >= level), max(1, level // 16)
+        if at.size:
+            left.append((x[:, at] >= level).astype(kind) * kind(step))
+            right.append((y[:, at] >= level).astype(kind))
+        held, level = held + at.size, level + step
+        if left and (held >= COLUMNS or not at.size):
+            total += np.concatenate(left, axis=1) @ np.concatenate(right, axis=1).T
+            left, right, held = [], [], 0
+        if not at.size:
+            return total
+
+
+def _ranks(xs: list[str], ys: list[str], wanted: float) -> tuple[dict[int, np.ndarray], int]:
+    """Numbers of the pieces of 1, 2, 4, 8 and some other length at each place of all texts, and that length.
+
+    Every text has an end of its own, so that no piece goes over into the next
+    text. The length is the least at which about ``wanted`` places of both
+    sides have the same piece.
+    """
+    points = np.frombuffer("".join([*xs, *ys]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    n = np.array([len(t) for t in [*xs, *ys]], dtype=np.int64)
+    points = np.insert(points, np.cumsum(n), (1 << 21) + np.arange(n.size))
+    number = lambda key: np.unique(key, return_inverse=True)[1].astype(np.int64)
+    first = int(n[: len(xs)].sum()) + len(xs)
+
+    def longer(r: np.ndarray, by: int) -> np.ndarray:
+        later = np.concatenate([r[by:], np.full(by, r.max() + 1)])
+        return number(r * (r.max() + 2) + later)
+
+    def shared(r: np.ndarray) -> float:
+        return float(np.bincount(r[:first], minlength=r.max() + 1).astype(float) @ np.bincount(r[first:], minlength=r.max() + 1))
+
+    ranks = {1: number(points)}
+    for size in (1, 2, 4):
+        ranks[2 * size] = longer(ranks[size], size)
+    four, eight = shared(ranks[4]) + 1, shared(ranks[8]) + 1
+    size = 4 if four <= wanted else 4 + math.ceil(4 * math.log(four / wanted) / max(math.log(four / eight), 0.01))
+    size = min(16, size)
+    if size not in ranks:
+        ranks[size] = longer(ranks[4 if size < 8 else 8], size - (4 if size < 8 else 8))
+    return ranks, size
+
+
+def _blocks(xs: list[str], ys: list[str], some: np.ndarray, common: np.ndarray, wanted: float) -> np.ndarray:
+    """The pairs of ``some`` whose matching blocks may hold ``common`` characters or more.
+
+    As ``SequenceMatcher`` does, the longest common piece of a pair (the first
+    of them) cuts it into what is before and what is behind, and so on. Left of
+    a piece that stands at far places, or right of it, one text has little to
+    match. Where no common piece of the listed length is left, blocks are
+    shorter, and two of them have a character between them. Texts that repeat
+    themselves so that their pieces are too many to list stay in ``some``.
     """
-    sides, more = [], []
-    for texts in (a, b):
-        signs, rest = np.zeros((len(texts), 2 * width), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-            key = (c[:-1] * np.uint64(0x9E3779B1) + c[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
-            n = np.bincount((key % np.uint64(width)).astype(np.int64), minlength=width)
-            signs[i, :width], signs[i, width:], rest[i] = n > 0, n > 1, np.maximum(n - 2, 0).sum()
-        sides.append(signs)
-        more.append(rest)
-    return np.rint(sides[0] @ sides[1].T).astype(np.int64) + np.minimum(more[0][:, None], more[1][None, :])
+    if max(map(len, xs)) >= 1 << 20 or max(map(len, ys)) >= 1 << 20:
+        return some
+    ranks, size = _ranks(xs, ys, wanted * some.sum())
+    n, m = (np.array([len(t) for t in side], dtype=np.int64) for side in (xs, ys))
+    begin_a = np.cumsum(n + 1) - n - 1
+    begin_b = np.cumsum(m + 1) - m - 1 + (n + 1).sum()
+    last = int((n + 1).sum())
+    row_a, row_b = np.repeat(np.arange(n.size), n + 1), np.repeat(np.arange(m.size), m + 1)
+    chars, ids = ranks[1], ranks[size]
+    times = np.bincount(ids[last:], minlength=ids.max() + 1)
+    places = np.argsort(ids[last:], kind="stable") + last
+    start = np.cumsum(times) - times
+    listed = times[ids[:last]]
+    by_row = np.add.reduceat(listed, begin_a)
+    out, row = some.copy(), 0
+    most = (1 << 20) - 1
+    while row < n.size:
+        upto = row + max(1, min(LISTED // m.size, int(np.searchsorted(np.cumsum(by_row[row:]), LISTED, side="right"))))
+        if by_row[row] > LISTED or not some[row:upto].any():
+            row = upto
+            continue
+        span = slice(begin_a[row], begin_a[upto] if upto < n.size else last)
+        k = listed[span]
+        i = np.repeat(np.arange(span.start, span.stop), k)
+        j = places[np.repeat(start[ids[span]] - np.cumsum(k) + k, k) + np.arange(i.size)]
+        # Only where a common piece begins: the characters before differ.
+        begins = (i == 0) | (chars[i - 1] != chars[j - 1])
+        i, j = i[begins], j[begins]
+        pair = (row_a[i] - row) * m.size + row_b[j - last]
+        asked = some[row:upto].ravel()[pair]
+        i, j, pair = i[asked], j[asked], pair[asked]
+        length, on = np.full(i.size, size), np.arange(i.size)
+        while on.size:
+            on = on[(i[on] + length[on] < last) & (j[on] + length[on] < ids.size)]
+            on = on[ids[i[on] + length[on]] == ids[j[on] + length[on]]]
+            length[on] += size
+        for by in (8, 4, 2, 1):
+            at = np.flatnonzero((i + length < last) & (j + length < ids.size))
+            length[at[ranks[by][i[at] + length[at]] == ranks[by][j[at] + length[at]]]] += by
+        i, j = i - begin_a[row_a[i]], j - begin_b[row_b[j - last]]
+        # Parts of pairs: places in both texts, from and to; the common pieces in each part.
+        of = np.flatnonzero(some[row:upto].ravel())
+        place = np.zeros((upto - row) * m.size, dtype=np.int64)
+        place[of] = np.arange(of.size)
+        need = common[row:upto].ravel()[of]
+        sure, node = np.zeros(of.size, dtype=np.int64), place[pair]
+        whose, a0, b0 = np.arange(of.size), np.zeros(of.size, dtype=np.int64), np.zeros(of.size, dtype=np.int64)
+        a1, b1 = n[row + of // m.size], m[of % m.size]
+        while True:
+            best = np.zeros(whose.size, dtype=np.int64)
+            np.maximum.at(best, node, length << 40 | (most - i) << 20 | (most - j))
+            cut_ = best > 0
+            w, h = a1 - a0, b1 - b0
+            none = np.minimum(np.minimum(w, h), ((w + h + 1) * (size - 1) // (2 * size - 1)))
+            k, x, y = best >> 40, most - (best >> 20 & most), most - (best & most)
+            add = lambda values, at: np.bincount(whose[at], weights=values[at], minlength=of.size).astype(np.int64)  # noqa: B023, E731
+            sure += add(np.where(cut_, k, none), slice(None))
+            if not cut_.any():
+                break
+            rest = np.minimum(x - a0, y - b0) + np.minimum(a1 - x - k, b1 - y - k)
+            alive = sure + add(rest, cut_) >= need
+            go = cut_ & alive[whose]
+            sure[~alive] = -1
+            # The parts on both sides of each longest piece, and what the other pieces have in them.
+            new = np.cumsum(go) - 1
+            on = go[node]
+            i, j, length, node = i[on], j[on], length[on], node[on]
+            x_, y_, k_ = x[node], y[node], k[node]
+            ahead = np.minimum(length, np.minimum(x_ - i, y_ - j))
+            behind = np.maximum(0, np.maximum(x_ + k_ - i, y_ + k_ - j))
+            l, r = ahead >= size, length - behind >= size
+            half = int(go.sum())
+            whose, a0, b0, a1, b1 = (np.concatenate(p) for p in ((whose[go], whose[go]), (a0[go], (x + k)[go]), (b0[go], (y + k)[go]), (x[go], a1[go]), (y[go], b1[go])))
+            i, j, length, node = (np.concatenate(p) for p in ((i[l], (i + behind)[r]), (j[l], (j + behind)[r]), (ahead[l], (length - behind)[r]), (new[node][l], new[node][r] + half)))
+        out[row:upto].ravel()[of[sure < need]] = False
+        row = upto
+    return out
+
+
+def _possible(xs: list[str], ys: list[str], least: float, min_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that lengths, common characters, bigrams and pieces let be ``least`` alike, and how many characters each has in common then."""
+    n, m = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
+    both = n[:, None] + m[None, :]
+    common = np.ceil(least / 2 * both - 1e-9)
+    some = (2 * np.minimum(n[:, None], m[None, :]) >= least * both) & (np.maximum(n[:, None], m[None, :]) >= min_length)
+    width = 1 << max(8, min(13, int(max(n.max(), m.max())).bit_length() + 1))
+    if some.any():
+        some &= _common_pieces(xs, ys, 1, 256) >= common
+    if some.any():
+        some &= _common_pieces(xs, ys, 2, width) >= 3 * common - both - 1
+    # Numbering the pieces is worth it where many pairs of long texts are left.
+    if some.sum() * n.mean() > 16 * (n.sum() + m.sum()):
+        some = _blocks(xs, ys, some, common, max(32.0, n.mean() / 16))
+    return some, common
 
 
 def _subsequences(xs: list[str], ys: list[str], some: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int]]:
     """The pairs of ``some`` with a common subsequence of ``common`` characters or more.
 
-    ``PACKED`` texts at a time are one number, which a text of the other side
-    passes once for all of them; where few are left, each goes alone.
+    A text of one side passes many of the other side at once, as many as
+    ``PACKED`` words hold; where few are left, each goes alone.
     """
-    for first in range(0, len(xs), PACKED):
-        part, packed = xs[first : first + PACKED], None
-        for j in np.flatnonzero(some[first : first + PACKED].any(axis=0)).tolist():
-            at = np.flatnonzero(some[first : first + PACKED, j])
-            if len(at) * 5 < len(part):
-                yield from ((first + i, j) for i in at.tolist() if longest_common(xs[first + i], ys[j], common[first + i, j]) >= common[first + i, j])
+    words = len({*"".join(xs)}) * -(-max(map(len, xs), default=1) // 64) + 1
+    size = max(64, PACKED // words)
+    for first in range(0, len(xs), size):
+        part, packed = xs[first : first + size], None
+        for j in np.flatnonzero(some[first : first + size].any(axis=0)).tolist():
+            at = np.flatnonzero(some[first : first + size, j])
+            least = common[first + at, j]
+            if at.size < ALONE:
+                found = np.array([longest_common(xs[first + i], ys[j], c) for i, c in zip(at.tolist(), least.tolist(), strict=True)])
             else:
                 packed = packed or Packed(part)
-                found = packed.longest_common(ys[j])
-                yield from ((first + i, j) for i in at.tolist() if found[i] >= common[first + i, j])
+                found = packed.longest_common(ys[j], least, at)
+            yield from ((first + i, j) for i in at[found >= least].tolist())
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -162,15 +320,16 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_leng
 
     No pair is missed: a ratio needs a common subsequence of ``least / 2`` of
     all characters, which leaves all but a stated number of bigrams in common.
-    Rows fall into buckets by length (a tenth apart) and blocks by id; blocks
-    whose lengths may match meet in cells, where one product of matrices bounds
-    the common bigrams of all their pairs. Only pairs within the bound have
-    their texts compared. A cell holds two blocks; their number grows with the
-    product of the sides, as any exact join at such a ratio does, and the work
-    of a pair is some hundred multiplications.
+    Rows fall into buckets by length (a quarter apart) and blocks by id; blocks
+    whose lengths may match meet in cells, where products of matrices bound the
+    common characters and bigrams of all their pairs, and the common pieces of
+    some characters bound their matching blocks. Only pairs within the bounds
+    have their texts compared, as far as they can still be alike. A cell holds
+    two blocks; their number grows with the product of the sides, as any exact
+    join at such a ratio does.
     """
-    step = math.log(1.1)
-    apart = math.ceil(math.log((2 - least) / least) / step) + 1
+    step = math.log(1.25)
+    apart = math.ceil(math.log((2 - least) / least) / step + 1e-9)
     # Long texts have wide vectors, so that their blocks are small.
     rows = lambda bucket: F.greatest(F.lit(64), F.least(F.lit(2048), F.floor(F.lit(1 << 20) / F.exp(F.col(bucket) * step)))).cast("int")
     buckets, sides = [], []
@@ -190,13 +349,7 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float = MIN_RATIO, min_leng
         xs, ys = x.column("source").to_pylist(), y.column("source").to_pylist()
         us, vs, ratios = [], [], []
         if xs and ys:
-            n, m = np.array([len(t) for t in xs]), np.array([len(t) for t in ys])
-            both = n[:, None] + m[None, :]
-            common = np.ceil(least / 2 * both - 1e-9)
-            some = (2 * np.minimum(n[:, None], m[None, :]) >= least * both) & (np.maximum(n[:, None], m[None, :]) >= min_length)
-            width = 1 << max(8, min(13, int(max(n.max(), m.max())).bit_length() + 1))
-            if some.any():
-                some &= _common_bigrams(xs, ys, width) >= 3 * common - both - 1
+            some, common = _possible(xs, ys, least, min_length)
             for i, j in _subsequences(xs, ys, some, common):
                 ratio = ratio_at(xs[i], ys[j], least)
                 if ratio is not None:

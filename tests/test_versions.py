@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
+from quern.functions import udfs
 from quern.functions.udfs import Packed, longest_common
 from quern.operators import versions as R
 
@@ -163,3 +164,83 @@ def test_empty_and_null_rows(spark):
     some = spark.createDataFrame([("x", None), ("y", "")], "id string, source string")
     assert sorted(r.disposition for r in R.reconcile(some, some.limit(0)).collect()) == ["deleted", "deleted"]
     assert sorted(r.disposition for r in R.reconcile(some, some).collect()) == ["added"] * 2 + ["deleted"] * 2
+
+
+def test_packed_texts_reach_what_single_ones_reach():
+    """With a least number, for all texts and for some, at both ends of the band and over several words."""
+    rng = random.Random(6)
+    for size in (5, 60, 130, 300):
+        first = "".join(rng.choices("abc d猫", k=size))
+        texts = ["", first, first[size // 3 :] + first[: size // 3]]
+        for _ in range(60):
+            c = list(first)
+            for _ in range(rng.randrange(1 + size // 3)):
+                at = rng.randrange(len(c))
+                c[at : at + 1] = rng.choice(["", "x", "ab", c[at]])
+            texts.append("".join(c) or "z")
+        packed = Packed(texts)
+        for b in (first, first[: size // 2] + "zz" + first[size // 2 :], ""):
+            want = np.array([longest_common(a, b) for a in texts])
+            least = np.ceil(0.41 * (packed.lengths + len(b)) - 1e-9)
+            for at in (np.arange(len(texts)), np.arange(0, len(texts), 3)):
+                got, true = packed.longest_common(b, least[at], at), want[at]
+                assert ((got >= least[at]) == (true >= least[at])).all() and (got[true >= least[at]] == true[true >= least[at]]).all()
+
+
+def test_matching_blocks_leave_out_far_pieces_only(monkeypatch):
+    """What the common pieces rule out, SequenceMatcher does not match; with pieces that do not fit a list as well."""
+    rng = random.Random(7)
+    for turn in range(24):
+        size, signs = rng.choice([6, 30, 90, 200]), rng.choice(["ab", "abcd ", "the rainon猫"])
+        firsts = ["".join(rng.choices(signs, k=size)) for _ in range(3)]
+        sides = []
+        for n in (14, 15):
+            side = []
+            for _ in range(n):
+                c = list(rng.choice(firsts))
+                for _ in range(rng.randrange(1 + size // 3)):
+                    at = rng.randrange(len(c) + 1)
+                    c[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "ab"])
+                t = "".join(c) or "z"
+                side.append(t[size // 3 :] + t[: size // 3] if rng.random() < 0.2 else t)
+            sides.append([t or "z" for t in side])
+        both = np.array([[len(x) + len(y) for y in sides[1]] for x in sides[0]])
+        common = np.ceil(R.MIN_RATIO / 2 * both - 1e-9)
+        monkeypatch.setattr(R, "LISTED", (20, 2000, 1 << 19)[turn % 3])
+        left = R._blocks(*sides, np.ones(both.shape, dtype=bool), common, (1, 8, 1000)[turn // 3 % 3])
+        like = np.array([[SequenceMatcher(None, x, y, autojunk=False).ratio() >= R.MIN_RATIO for y in sides[1]] for x in sides[0]])
+        assert not (like & ~left).any()
+        assert not (like & ~((R._common_pieces(*sides, 1, 256) >= common) & (R._common_pieces(*sides, 2, 256) >= 3 * common - both - 1))).any()
+
+
+def test_unlike_texts_of_few_syllables_are_not_compared(monkeypatch):
+    """Random texts of the same syllables share most bigrams; few of their pairs may be read character by character."""
+    rng = random.Random(8)
+    side = lambda: ["".join(rng.choices(["th", "er", "on", "an", " the", " re", "in", "ed ", "ing "], k=200)) for _ in range(80)]
+    xs, ys = side(), side()
+    read = []
+    one, many = R.longest_common, Packed.longest_common
+    monkeypatch.setattr(R, "longest_common", lambda *a: read.append(1) or one(*a))
+    monkeypatch.setattr(Packed, "longest_common", lambda self, b, least=None, at=None: read.extend([1] * (len(self.texts) if at is None else len(at))) or many(self, b, least, at))
+    some, common = R._possible(xs, ys, R.MIN_RATIO, R.MIN_LENGTH)
+    assert not list(R._subsequences(xs, ys, some, common)) and len(read) < len(xs) * len(ys) / 10
+
+
+def test_matching_counts_as_sequence_matcher(monkeypatch):
+    """Long blocks by their pieces, what is left by the library; ties go to the first in both texts."""
+    rng = random.Random(9)
+    monkeypatch.setattr(udfs, "_SHORT", 0)
+    for turn in range(300):
+        monkeypatch.setattr(udfs, "_PIECE", (2, 5, 16)[turn % 3])
+        a = "".join(rng.choices(rng.choice(["ab", "abcdef ", "猫がab"]), k=rng.choice([0, 7, 40, 160])))
+        c = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 4)):
+            at = rng.randrange(len(c) + 1)
+            c[at : at + rng.choice([0, 1, 9])] = rng.choice(["", "x", "ab", a[:20]])
+        b = "".join(c)
+        want = SequenceMatcher(None, a, b, autojunk=False)
+        assert udfs.matching(a, b) == sum(m.size for m in want.get_matching_blocks()) and udfs.ratio_at(a, b, 0.0) == want.ratio()
+    text = "a line of some words " * 300
+    monkeypatch.undo()
+    monkeypatch.setattr(udfs.difflib, "SequenceMatcher", None)
+    assert udfs.ratio_at(text, text + "indeed", 0.82) == 2.0 * len(text) / (2 * len(text) + 6)
