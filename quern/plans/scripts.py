@@ -14,22 +14,27 @@ _CN = "猫"
 
 def script_lines(t):
     """``(path, line, text)``: translations with their sources, old and new strings, literals over several lines, definitions, open ones."""
-    said = F.concat(F.lit("Said "), F.translate("said", "\"'\\", ""))
-    rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "said")).select("doc_id", "k", said.alias("s"), ((F.col("doc_id") + F.col("k")) % 6).alias("m"))
     put = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    s, k = F.col("s"), F.col("k").cast("string")
-    forms = [
-        F.array(put("translate zh b", (F.col("k") % 3).cast("string"), ":"), put('    # e "', s, '"'), put('    e "', s, '"')),
-        F.array(put('    old "', s, '"'), put(f'    new "{_CN} ', s, '"')),
-        F.array(put("    e '''", s), F.lit("it's \"more\" # no comment"), F.lit("end''' with fade")),
-        F.array(put("define e", k, ' = Character("Name")'), put("    e", k, ' happy "', s, '" # "not this"')),
-        F.array(F.lit('    voice "a.ogg"'), put('    menu "', s, " \\"), F.lit('joined"')),
-        F.array(put('    "open ', s), put('    x = f(name="', s, "\", other=r'raw\\n')")),
-    ]
-    form = forms[0]
-    for m in range(1, 6):
-        form = F.when(F.col("m") == m, forms[m]).otherwise(form)
-    files = rows.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", form.alias("lines")))), lambda r: r["lines"])).alias("lines"))
+
+    def form(said, at):
+        s, k = F.concat(F.lit("Said "), F.translate(said, "\"'\\", "")), at.cast("string")
+        forms = [
+            F.array(put("translate zh b", (at % 3).cast("string"), ":"), put('    # e "', s, '"'), put('    e "', s, '"')),
+            F.array(put('    old "', s, '"'), put(f'    new "{_CN} ', s, '"')),
+            F.array(put("    e '''", s), F.lit("it's \"more\" # no comment"), F.lit("end''' with fade")),
+            F.array(put("define e", k, ' = Character("Name")'), put("    e", k, ' happy "', s, '" # "not this"')),
+            F.array(F.lit('    voice "a.ogg"'), put('    menu "', s, " \\"), F.lit('joined"')),
+            F.array(put('    "open ', s), put('    x = f(name="', s, "\", other=r'raw\\n')")),
+        ]
+        m, out = (F.col("doc_id") + at) % 6, forms[0]
+        for n in range(1, 6):
+            out = F.when(m == n, forms[n]).otherwise(out)
+        return F.struct(at.alias("k"), out.alias("lines"))
+
+    # Whole texts meet, before their lines become longer.
+    texts = t("documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    formed = F.flatten(F.transform("texts", lambda x: F.transform(F.split(x, "\n"), form)))
+    files = texts.select("doc_id", F.flatten(F.transform(F.array_sort(formed), lambda r: r["lines"])).alias("lines"))
     return files.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.posexplode("lines").alias("line", "text"))
 
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.tables import cut
 from quern.functions.text import has_cjk, identity, non_translatable
 
 from .scripts import character_names, unescape
@@ -32,7 +32,19 @@ _PREFIX = re.compile(r"(?i)(r|u|b|f|br|rb|fr|rf)")
 _BODY = {q: re.compile(rf"((?:[^\\{q[0]}]|\\.|{q[0]}(?!{q[0]}{q[0]}))*){q}" if len(q) == 3 else rf"((?:[^\\{q}]|\\.)*){q}", re.S) for q in _QUOTE.values()}
 _TAIL = re.compile(r"(?:[^\\]|\\.)*\\", re.S)
 
-_PIECE = [("path", pa.string()), ("at_line", pa.int64()), ("at", pa.int64()), ("end_line", pa.int64()), ("last", pa.int64()), ("prefix", pa.string()), ("quote", pa.string()), ("body", pa.string()), ("closed", pa.bool_()), ("code", pa.string()), ("whole", pa.bool_())]
+#: What is told of a line, as bits.
+TRANSLATE, OLD, VOICE, NEW, PASSED = (1 << k for k in range(5))
+
+#: Of a literal, or of its piece in a chunk: where it is, what it says, and its line (flags, block and openings so far, the line above).
+_PIECE = [
+    ("path", pa.string()), ("at_line", pa.int64()), ("at", pa.int64()), ("end_line", pa.int64()), ("last", pa.int64()), ("prefix", pa.string()), ("quote", pa.string()), ("body", pa.string()), ("closed", pa.bool_()), ("code", pa.string()),
+    ("flags", pa.int32()), ("is_translation", pa.bool_()), ("block", pa.string()), ("opening", pa.int64()), ("above", pa.string()),
+]
+#: Of a chunk of a long file: what is open behind it for each kind before it, and what its lines leave to the next one.
+_MAPPED = [("path", pa.string()), ("part", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("kinds", "lines", "firsts")], ("translate", pa.bool_()), ("heads", pa.int64()), ("head", pa.string()), ("kept", pa.string())]
+#: What a chunk really starts with, whether the file goes on behind it, and whether a literal is open at one of its ends.
+_START = [("path", pa.string()), ("part", pa.int64()), ("kind", pa.int64()), ("open_line", pa.int64()), ("open_first", pa.int64()), ("block", pa.string()), ("opening", pa.int64()), ("above", pa.string()), ("is_translation", pa.bool_()), ("more", pa.bool_()), ("cut", pa.bool_())]
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
 #: Rows of literals that are handed on at a time.
 _ROWS = 5000
 
@@ -101,95 +113,140 @@ def _exits(texts: list[tuple[int, str]]) -> list[tuple]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, str]]]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, str, int, str | None]]]]:
     """The first row of each chunk and its lines; rows come sorted."""
     key, row, held = None, None, []
     for b in batches:
-        cols = {n: b.column(n).to_pylist() for n in b.schema.names}
-        for i, (path, part, line, text) in enumerate(zip(cols["path"], cols["part"], cols["line"], cols["text"], strict=True)):
-            if (path, part) != key:
+        path, part, *line = (b.column(n).to_pylist() for n in ("path", "part", "line", "text", "flags", "head"))
+        for i, new in enumerate(zip(path, part, strict=True)):
+            if new != key:
                 if held:
                     yield row, held
-                key, row, held = (path, part), {n: c[i] for n, c in cols.items()}, []
-            held.append((line, text))
+                key, row, held = new, {n: b.column(n)[i].as_py() for n in b.schema.names}, []
+            held.append((line[0][i], line[1][i], line[2][i], line[3][i]))
     if held:
         yield row, held
 
 
-def literals(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``(path, line, first, end_line, last, prefix, quote, body, text, closed, code)`` of every string literal.
+def _table(fields: list, out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    ``lines`` has ``path, line, text``, lines numbered from 0 without gaps; a
-    null text is an empty line. ``first`` and ``last`` are offsets in code
-    points, prefix and quotes included, ``last`` exclusive and in ``end_line``;
-    ``code`` is what stands before the literal in its line. What follows a
-    ``#`` is no literal. One that its line or file does not end is not
-    ``closed``. ``text`` has escapes undone unless the prefix has an ``r``.
+
+def _batched(fields: list, rows: Iterator) -> Iterator[pa.RecordBatch]:
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= _ROWS:
+            yield _table(fields, out)
+            out = []
+    if out:
+        yield _table(fields, out)
+
+
+def _schema(fields: list) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in fields)
+
+
+def _placed(lines: DataFrame, chunk: int, flags: Column, head: Column) -> DataFrame:
+    """Every string literal with its line: columns as in ``_PIECE``.
+
+    ``flags`` and ``head`` tell of a line what ``inventory`` asks, ``head`` the
+    name of the block that it opens. Texts are dealt once by file and chunk,
+    and all that follows reads that exchange: the maps of chunks of long files,
+    the literals inside of a chunk, and those that stand in several.
     """
-    rows = lines.select("path", F.col("line").cast("long").alias("line"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("line") / chunk).cast("long").alias("part"))
-    # Read three times, and made once.
-    rows = cut(rows, "lines")
-    long = cut(rows.filter(F.col("part") > 0).select("path").distinct(), "long")
+    n = F.col("line").cast("long")
+    dealt = lines.select("path", F.floor(F.col("line") / chunk).cast("long").alias("part"), n.alias("line"), F.coalesce("text", F.lit("")).alias("text"), flags.cast("int").alias("flags"), head.cast("string").alias("head")).repartition("path", "part")
+    order = ("path", "part", "line")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, held in _chunks(batches):
-            ends = _exits(held)
-            cols = [[r["path"]], [r["part"]], *([[e[c] for e in ends]] for c in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["path", "part", "kinds", "lines", "firsts"])
+        def rows():
+            for r, held in _chunks(batches):
+                if r["part"] == 0 and len(held) < chunk:
+                    continue  # the whole file
+                heads = [h for *_, h in held if h is not None]
+                # Behind a chunk that is not full there is none.
+                ends = _exits([x[:2] for x in held]) if len(held) >= chunk else [(CODE, None, None)] * len(KINDS)
+                kept = next((x[1] for x in reversed(held) if not x[2] & PASSED), None)
+                yield r["path"], r["part"], *zip(*ends, strict=True), any(x[2] & TRANSLATE for x in held), len(heads), heads[-1] if heads else None, kept
+
+        yield from _batched(_MAPPED, rows())
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, now = None, (CODE, None, None)
-        for b in batches:
+        def rows():
+            path, now, block, opening, above = None, (CODE, None, None), None, 0, None
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["path"] != path:
+                        path, now, block, opening, above = r["path"], (CODE, None, None), None, 0, None
+                    kind, line, first = (r[c][now[0]] for c in ("kinds", "lines", "firsts"))
+                    yield path, r["part"], *now, block, opening, above, r["is_translation"], r["more"], now[0] != CODE or (r["more"] and kind != CODE)
+                    now = (kind, line if line is not None or kind == CODE else now[1], first if line is not None or kind == CODE else now[2])
+                    block, opening, above = r["head"] if r["heads"] else block, opening + r["heads"], above if r["kept"] is None else r["kept"]
+
+        yield from _batched(_START, rows())
+
+    mapped = dealt.sortWithinPartitions(*order).mapInArrow(maps, _schema(_MAPPED)).repartition("path")
+    w = Window.partitionBy("path")
+    mapped = mapped.withColumns({"is_translation": F.max("translate").over(w), "more": F.lead("part").over(w.orderBy("part")).isNotNull()})
+    # Small: a row for each chunk of a file of several.
+    starts = mapped.sortWithinPartitions("path", "part").mapInArrow(chain, _schema(_START))
+
+    def read(whole: bool):
+        def literals_of(r: dict, held: list) -> Iterator[list]:
+            kind, opening, block, above = r["kind"] or CODE, r["opening"] or 0, r["block"], r["above"]
+            translation = r["is_translation"] if r["is_translation"] is not None else any(x[2] & TRANSLATE for x in held)
             out = []
-            for r in b.to_pylist():
-                if r["path"] != path:
-                    path, now = r["path"], (CODE, None, None)
-                out.append((path, r["part"], *now))
-                kind, line, first = (r[c][now[0]] for c in ("kinds", "lines", "firsts"))
-                now = (kind, line if line is not None or kind == CODE else now[1], first if line is not None or kind == CODE else now[2])
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["path", "part", "kind", "open_line", "open_first"])
-
-    by_chunk = lambda df: df.repartition("path", "part").sortWithinPartitions("path", "part", "line")
-    mapped = by_chunk(rows.join(long, "path", "left_semi")).mapInArrow(maps, "path string, part long, kinds array<long>, lines array<long>, firsts array<long>")
-    starts = cut(mapped.repartition("path").sortWithinPartitions("path", "part").mapInArrow(chain, "path string, part long, kind long, open_line long, open_first long"), "starts")
-
-    def batch(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), _PIECE, strict=True)], names=[n for n, _ in _PIECE])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for r, held in _chunks(batches):
-            kind, begun = r["kind"] or CODE, len(out)
             if kind != CODE:
-                out.append([r["path"], r["open_line"], r["open_first"], None, None, "", _QUOTE[kind], "", False, "", False])
-            for n, text in held:
+                out.append([r["path"], r["open_line"], r["open_first"], None, None, "", _QUOTE[kind], "", False, "", None, None, None, None, None])
+            split = {0} if kind != CODE else set()
+            for n, text, flags, head in held:
+                if head is not None:
+                    block, opening = head, opening + 1
                 pieces, kind = scan(text, kind)
                 for first, last, opens, prefix, quote, body, closes in pieces:
                     if opens:
-                        out.append([r["path"], n, first, n, last, prefix, quote, body, closes, text[:first], True])
+                        # What a line above may quote stands in double quotes.
+                        out.append([r["path"], n, first, n, last, prefix, quote, body, closes, text[:first], flags, translation, block, opening, above if above and '"' in above else None])
                     else:
                         out[-1][3], out[-1][4], out[-1][8] = n, last, closes
                         out[-1][7] += body
-            if kind != CODE and len(out) > begun:
-                out[-1][10] = False
-            if len(out) >= _ROWS:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-
-    schema = "path string, at_line long, at long, end_line long, last long, prefix string, quote string, body string, closed boolean, code string, whole boolean"
-    pieces = by_chunk(rows.join(starts, ["path", "part"], "left")).mapInArrow(read, schema)
-    pieces = cut(pieces, "pieces")
+                if not flags & PASSED:
+                    above = text
+            if kind != CODE and r["more"]:
+                split.add(len(out) - 1)
+            return (x for k, x in enumerate(out) if (k in split) != whole)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _batched(_PIECE, (x for r, held in _chunks(batches) if whole or r["cut"] for x in literals_of(r, held)))
+
+        # An inner join would ask for other rows of the exchange, and have it made again; no line is below 0.
+        rows = dealt.join(starts.hint("shuffle_hash"), ["path", "part"], "left")
+        rows = rows if whole else rows.filter(F.col("cut") | (F.col("line") < 0))
+        return rows.sortWithinPartitions(*order).mapInArrow(run, _schema(_PIECE))
+
     # The pieces of a literal that stands in several chunks, in the order of their lines.
-    parts = pieces.filter("NOT whole").groupBy("path", "at_line", "at").agg(
+    parts = read(False).groupBy("path", "at_line", "at").agg(
         F.max("end_line").alias("end_line"), F.max_by("last", "end_line").alias("last"), F.max("prefix").alias("prefix"), F.max("quote").alias("quote"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end_line", "body"))), lambda p: p["body"]), "").alias("body"), F.max("closed").alias("closed"), F.max("code").alias("code"),
+        *[F.max(c).alias(c) for c in ("flags", "is_translation", "block", "opening", "above")],
     )
-    whole = pieces.filter("whole").drop("whole").unionByName(parts)
     raw = F.lower("prefix").contains("r")
-    return whole.select("path", F.col("at_line").alias("line"), F.col("at").alias("first"), "end_line", "last", "prefix", "quote", "body", F.when(raw, F.col("body")).otherwise(unescape(F.col("body"))).alias("text"), "closed", "code")
+    rows = read(True).unionByName(parts).withColumnsRenamed({"at_line": "line", "at": "first"})
+    return rows.withColumn("text", F.when(raw, F.col("body")).otherwise(unescape(F.col("body"))))
+
+
+def literals(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(path, line, first, end_line, last, prefix, quote, body, text, closed, code)`` of every string literal.
+
+    ``lines`` has ``path, line, text``, lines numbered from 0 without gaps; a
+    null text is an empty line. ``first`` and ``last`` are offsets in code
+    points, prefix and quotes included, ``last`` exclusive and in ``end_line``;
+    ``code`` is what stands before the literal in its line. What follows a
+    ``#`` is no literal. One that its line or file does not end is not
+    ``closed``. ``text`` has escapes undone unless the prefix has an ``r``.
+    """
+    return _placed(lines, chunk, F.lit(0), F.lit(None)).select("path", "line", "first", "end_line", "last", "prefix", "quote", "body", "text", "closed", "code")
 
 
 #: Words before a string that name no speaker.
@@ -224,25 +281,21 @@ def inventory(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     source, or want translation, count: ``index`` numbers them in their block,
     from 1, and ``occurrence`` the openings of a block's name that have one.
     """
-    lines = cut(lines.select("path", "line", "text"), "script")
     t = F.trim(F.coalesce("text", F.lit("")))
     head = r"^\s*translate\s+\S+\s+([^\s:]+)\s*:"
-    w = Window.partitionBy("path").orderBy("line")
-    upto, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    voice = (t == "voice") | t.startswith("voice ") | t.rlike(r'^#\s*voice(\s[^"]*)?".*"$')
+    says_voice = (t == "voice") | t.startswith("voice ")
+    passed = (t == "") | says_voice | t.rlike(r'^#\s*voice(\s[^"]*)?".*"$')
+    told = {TRANSLATE: t.startswith("translate "), OLD: t.startswith("old "), VOICE: says_voice, NEW: t.startswith("new "), PASSED: passed}
+    flags = reduce(lambda x, y: x + y, [F.when(c, bit).otherwise(0) for bit, c in told.items()])
     block = F.when(F.col("text").contains("translate") & F.col("text").rlike(head), F.regexp_extract("text", head, 1))
-    about = lines.select(
-        "path", F.col("line").cast("long").alias("line"), t.alias("said"), F.max(t.startswith("translate ")).over(Window.partitionBy("path")).alias("is_translation"),
-        F.coalesce(F.last(block, ignorenulls=True).over(upto), F.lit("_global")).alias("block"), F.count(block).over(upto).alias("opening"),
-        F.last(F.when((t != "") & ~voice, F.col("text")), ignorenulls=True).over(above).alias("above"),
-    )
-    rows = literals(lines, chunk).join(about, ["path", "line"])
+    rows = _placed(lines, chunk, flags, block).filter("path IS NOT NULL").withColumn("block", F.coalesce("block", F.lit("_global")))
+    said = lambda bit: F.col("flags").bitwiseAND(bit) > 0
     marks = F.coalesce(*[F.when(F.col("above").rlike(p), F.regexp_extract("above", p, 1)) for p in (r'^\s*#\s*[^"]*?"(.*)"\s*$', r'^\s*old\s+"(.*)"\s*$')])
     rows = rows.withColumn("source", F.when(F.col("is_translation"), unescape(marks)))
-    old = F.col("is_translation") & F.col("said").startswith("old ")
+    old = F.col("is_translation") & said(OLD)
     named = F.col("is_translation") & F.col("code").rlike(r"[A-Za-z_]\w*\s*=\s*$")
     shown = F.col("code").rlike(r"^\s*define\s+[A-Za-z_]\w*\s*=\s*Character\s*\(\s*(_\(\s*)?$")
-    left_out = (F.col("said") == "voice") | F.col("said").startswith("voice ") | F.col("said").startswith("translate ") | old | named | shown
+    left_out = said(VOICE) | said(TRANSLATE) | old | named | shown
     # Each made once, as several columns read it.
     rows = rows.withColumns({"wanted": wants_translation(F.col("text")), "cjk": has_cjk(F.col("text")), "inert": non_translatable(F.col("text"))})
     wanted, cjk, inert = F.col("wanted"), F.col("cjk"), F.col("inert")
@@ -254,12 +307,13 @@ def inventory(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .when(inert | cjk, "unsupported")
         .otherwise("unknown")
     )
-    rows = rows.withColumn("classification", kind)
     counts = F.col("closed") & ~left_out & (F.col("source").isNotNull() | wanted)
-    number = F.sum(F.when(counts, 1).otherwise(0))
-    rows = rows.withColumn("counts", counts).withColumn("index", F.when(counts, number.over(Window.partitionBy("path", "opening").orderBy("line", "first"))).cast("int"))
+    # Known before the strings of a file meet, so that only what is asked for is moved.
+    rows = rows.withColumns({"classification": kind, "counts": counts, "speaker": F.when(~said(NEW), speaker_of(F.col("code")))}).repartition("path")
+    number = F.sum(F.when(F.col("counts"), 1).otherwise(0))
+    rows = rows.withColumn("index", F.when(F.col("counts"), number.over(Window.partitionBy("path", "opening").orderBy("line", "first"))).cast("int"))
     which = F.dense_rank().over(Window.partitionBy("path", "block", "counts").orderBy("opening"))
-    rows = rows.withColumn("occurrence", F.when(F.col("counts"), which)).withColumn("speaker", F.when(~F.col("said").startswith("new "), speaker_of(F.col("code"))))
+    rows = rows.withColumn("occurrence", F.when(F.col("counts"), which))
     names = character_names(lines).withColumnRenamed("name", "speaker_name")
     rows = rows.join(names, "speaker", "left")
     source = F.when(F.col("counts"), F.coalesce("source", "text"))

@@ -1,6 +1,7 @@
 """The lexer against a walk over each file, sign by sign."""
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -98,3 +99,23 @@ def test_lines_are_read_once_for_all_that_may_be_open(monkeypatch):
     assert L._exits(lines) == want
     # Literals in three quotes stay open to the end, all others agree.
     assert len(read) < 3 * len(lines) + 20
+
+
+def test_texts_are_dealt_once(spark):
+    """An inventory writes no table on the way; maps, whole and cut literals read one exchange of the texts."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    rng = random.Random(12)
+    lines = ["translate zh b1:", '    # e "A longer text."', '    e "A longer text."', "    e '''open", "more", "end'''", '    menu "a \\', 'b c d"', "", '    voice "a.ogg"', '    old "Save"', '    new "猫"', 'define f = Character("Fay")', '    f "Said so."', '"""']
+    rows = [(f"p{p}", i, t) for p in range(20) for i, t in enumerate(rng.choices(lines, k=rng.choice([1, 2, 3, 4, 9, 30])))]
+    frame = spark.createDataFrame(rows, "path string, line int, text string")
+    whole = L.inventory(frame, 1000)
+    want = sorted(map(str, whole.collect()))
+    for chunk in (1, 2, 3):
+        got = L.inventory(frame, chunk)
+        assert sorted(map(str, got.collect())) == want
+    assert set(shared.iterdir()) == before
+    tasks = L.pending_tasks(frame, 3).select("path", "line", "index")
+    tasks.collect()
+    plan = tasks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 2
