@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from quern.plans import QUERIES
 from quern.sources import lexer as L
 
 
@@ -119,3 +120,11 @@ def test_texts_are_dealt_once(spark):
     tasks.collect()
     plan = tasks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") >= 2
+
+
+def test_script_queries_write_no_tables(spark, small):
+    """What the queries on scripts need beside their exchanges is small."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert QUERIES["script_inventory"](spark, small).count() > 0
+    assert set(shared.iterdir()) == before
